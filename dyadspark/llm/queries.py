@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import fingerprint, line_dedup
+from dyadspark.llm import fingerprint, line_dedup, packing, piece_bpe
 from dyadspark.llm.common import table
 
 #: Where a page's markup ends a line of text.
@@ -40,8 +41,23 @@ FROM k
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.best_fit_packing(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"op2_document_fingerprints": op2_document_fingerprints, "op3_line_dedup": op3_line_dedup}
+    return {
+        "op2_document_fingerprints": op2_document_fingerprints,
+        "op3_line_dedup": op3_line_dedup,
+        "op6_sentencepiece": op6_sentencepiece,
+        "op10_best_fit_packing": op10_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict:
