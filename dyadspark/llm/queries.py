@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import fingerprint, line_dedup, packing, piece_bpe
-from dyadspark.llm.common import table
+from dyadspark.llm import fingerprint, line_dedup, packing, piece_bpe, quality
+from dyadspark.llm.common import fold, table
 
 #: Where a page's markup ends a line of text.
 PAGE_LINES = r"\n|</(?:p|li|h1|title|div|nav|footer|article|head|script|style)>|<br>"
@@ -41,6 +41,13 @@ FROM k
 """
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
+    out = quality.classify(docs, model, "doc_id", "text")
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumnRenamed("id", "doc_id")
@@ -55,6 +62,7 @@ def queries() -> dict:
     return {
         "op2_document_fingerprints": op2_document_fingerprints,
         "op3_line_dedup": op3_line_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_sentencepiece": op6_sentencepiece,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
