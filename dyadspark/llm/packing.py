@@ -6,7 +6,6 @@ documents there are. The driver packs the histogram; documents take their places
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +22,10 @@ CAPACITY, END_ID = 1024, 2
 SETTINGS = ((0.25, 0.25), (1, 0.25), (1, 0.5))
 #: Ranks are counted within so many buckets of documents; each bucket is one stream of rows with one counter a length.
 BUCKETS = 1024
-#: White space other than a single space or line break between words; texts with it are tokenized whole.
-ODD = re.compile(r"[ \n][ \n]|^[ \n]|[ \n]$|[^\S \n]|[\x1c-\x1f\x85\xa0]")
+
+
+#: White space other than single blanks or line breaks; a text with any is tokenized whole.
+ODD = [a + b for a in " \n" for b in " \n"] + [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 class Encoder:
@@ -41,29 +42,41 @@ class Encoder:
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True
+        self.feed = self._ids(["\n"])[0]
+        (self.line,) = np.frombuffer(self.feed, "<u4")
         self.stops = dict(zip(".,", self._ids([".", ","]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in words]
-        for at in range(0, len(words), 10_000):
-            self.cache.update(zip(words[at : at + 10_000], self._ids(plain[at : at + 10_000]), strict=True))
+        """Takes the words' ids into the cache, some thousand at once, parted by line breaks, which are always tokens."""
+        for blank in (True, False):
+            own = [w for w in words if (w[0] not in "\0\n") == blank]
+            for at in range(0, len(own), 2000):
+                some = own[at : at + 2000]
+                text = " " + "\n ".join(some) if blank else "\n".join([w[1:] for w in some])
+                data = self._ids([text])[0]
+                cut = (np.flatnonzero(np.frombuffer(data, "<u4") == self.line) * 4).tolist()
+                parts = map(data.__getitem__, map(slice, [0, *[c + 4 for c in cut]], [*cut, len(data)]))
+                if blank:
+                    self.cache.update(zip(some, parts, strict=True))
+                else:
+                    self.cache.update((w, self.feed + x if w[0] == "\n" else x) for w, x in zip(some, parts, strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.cache) > self.MOST:
             self.cache.clear()
         cut, new = [], set()
         for t in texts:
-            if not t or ODD.search(t):
+            if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ODD):
                 cut.append(None)
                 continue
             words = t.replace("\n", " \n").split(" ")
             words[0] = "\0" + words[0]  # the only one without a blank before it
             cut.append(words)
             new.update(words)
-        new = [w for w in new if w not in self.cache]
+        new -= self.cache.keys()
         # a stop or comma after a letter is a token of its own
         stopped = [w for w in new if w[-1] in self.stops and len(w) > 1 and w[-2].isalpha()]
         self._learn([w for w in new if not (w[-1] in self.stops and len(w) > 1 and w[-2].isalpha())])
