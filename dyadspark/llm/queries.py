@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import fingerprint, line_dedup, packing, piece_bpe, quality
+from dyadspark.llm import ball_tree, fingerprint, line_dedup, ngram_lm, packing, piece_bpe, quality
 from dyadspark.llm.common import fold, table
 
 #: Where a page's markup ends a line of text.
@@ -53,6 +53,24 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ball_tree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding")
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.best_fit_packing(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumnRenamed("id", "doc_id")
@@ -64,9 +82,11 @@ def queries() -> dict:
         "op3_line_dedup": op3_line_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op6_sentencepiece": op6_sentencepiece,
+        "op8_exact_top_k": op8_exact_top_k,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL}
