@@ -6,7 +6,9 @@ documents there are. The driver packs the histogram; documents take their places
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +30,39 @@ BUCKETS = 1024
 ODD = [a + b for a in " \n" for b in " \n"] + [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
+def _by_ranks(path: str):
+    """The tokenizer as ranks alone, which is faster for single words; None unless it must give the same ids.
+
+    It merges any two neighbours whose joined bytes are a token, lowest id first, while the tokenizer merges listed pairs in
+    the list's order. If ids follow the list and each token's own bytes merge to that token by listed pairs, then whenever a
+    token is due its span has gone through just the merges of the token alone, so its neighbours are the listed pair.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"]
+    if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["dropout"]:
+        return None
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    rank = {p: i for i, p in enumerate(pairs)}
+    if [vocab.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    for a, b in pairs:  # in order: the parts are known to merge to themselves, so it is enough to see the whole do so
+        parts = list(a + b)
+        while len(parts) > 1:
+            at = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+            if (parts[at], parts[at + 1]) not in rank:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+    byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printed)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
+
+
 class Encoder:
     """Ids as bytes (little-endian unsigned 32-bit), text by text.
 
@@ -42,27 +77,23 @@ class Encoder:
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True
-        self.feed = self._ids(["\n"])[0]
-        (self.line,) = np.frombuffer(self.feed, "<u4")
+        self.ranks = _by_ranks(path)
         self.stops = dict(zip(".,", self._ids([".", ","]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Takes the words' ids into the cache, some thousand at once, parted by line breaks, which are always tokens."""
-        for blank in (True, False):
-            own = [w for w in words if (w[0] not in "\0\n") == blank]
-            for at in range(0, len(own), 2000):
-                some = own[at : at + 2000]
-                text = " " + "\n ".join(some) if blank else "\n".join([w[1:] for w in some])
-                data = self._ids([text])[0]
-                cut = (np.flatnonzero(np.frombuffer(data, "<u4") == self.line) * 4).tolist()
-                parts = map(data.__getitem__, map(slice, [0, *[c + 4 for c in cut]], [*cut, len(data)]))
-                if blank:
-                    self.cache.update(zip(some, parts, strict=True))
-                else:
-                    self.cache.update((w, self.feed + x if w[0] == "\n" else x) for w, x in zip(some, parts, strict=True))
+        """Takes the words' ids into the cache: words of Latin letters by ranks, others by the tokenizer as they are."""
+        plain = [w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in words]
+        if self.ranks is None:
+            own = dict.fromkeys(plain)
+        else:
+            own = {w: None for w in plain if w and max(w) > "\u024f"}
+            code = self.ranks._core_bpe.encode_ordinary
+            self.cache.update((k, array("I", code(w)).tobytes()) for k, w in zip(words, plain, strict=True) if w not in own)
+        own.update(zip(own, self._ids(list(own)), strict=True))
+        self.cache.update((k, own[w]) for k, w in zip(words, plain, strict=True) if w in own)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.cache) > self.MOST:
