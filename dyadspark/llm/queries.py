@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import ball_tree, fingerprint, line_dedup, ngram_lm, packing, piece_bpe, quality
+from dyadspark.llm import ball_tree, fingerprint, line_dedup, ngram_lm, packing, piece_bpe, quality, substring_dedup, suffix_dedup
 from dyadspark.llm.common import fold, table
 
 #: Where a page's markup ends a line of text.
@@ -48,11 +48,19 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ball_tree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding")
@@ -81,7 +89,9 @@ def queries() -> dict:
         "op2_document_fingerprints": op2_document_fingerprints,
         "op3_line_dedup": op3_line_dedup,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_best_fit_packing": op10_best_fit_packing,
