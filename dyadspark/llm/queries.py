@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import ball_tree, fingerprint, line_dedup, ngram_lm, packing, piece_bpe, quality, substring_dedup, suffix_dedup
+from dyadspark.llm import ball_tree, fingerprint, jaccard_join, line_dedup, ngram_lm, packing, piece_bpe, quality, substring_dedup, suffix_dedup
 from dyadspark.llm.common import fold, table
 
 #: Where a page's markup ends a line of text.
 PAGE_LINES = r"\n|</(?:p|li|h1|title|div|nav|footer|article|head|script|style)>|<br>"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_groups(docs, "doc_id", "text", 4, (85, 100)).drop("text")
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -85,7 +90,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_document_fingerprints": op2_document_fingerprints,
         "op3_line_dedup": op3_line_dedup,
         "op4_quality_classifier": op4_quality_classifier,
@@ -99,4 +108,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL}
+    import corpus_pipeline
+
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {"op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL}

@@ -90,5 +90,6 @@ def dedup(docs: DataFrame, text_col: str, window: int = WINDOW, gram: int = GRAM
             yield pa.RecordBatch.from_arrays(cols, ["key", "n_words", "n_removed", last])
 
     results = rec.with_spans(texts, spans).select("key", "text", "copies", "spans").mapInArrow(run, f"key binary, n_words long, n_removed long, {last} string")
-    out = rec.back_to_rows(docs, text_col, results).fillna(0, ["n_words", "n_removed"])
-    return out.fillna(hashlib.sha256(b"").hexdigest(), ["kept_sha256"]) if digests else out
+    if digests:
+        return rec.back_to_rows(docs, text_col, results).fillna(0, ["n_words", "n_removed"]).fillna(hashlib.sha256(b"").hexdigest(), ["kept_sha256"])
+    return rec.back_to_rows(docs, text_col, results).fillna(0, ["n_words", "n_removed"])
