@@ -1 +1,186 @@
-"""Queries."""
+"""Queries of frame-level post-processing. Line items stand for points of a frame; embeddings for probabilities."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from dyadspark.functions.columns import mid_rank
+from dyadspark.operators import frames
+from dyadspark.plans.registry import query, rounded
+from dyadspark.sources import fixtures as fx
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    """rec, frame, i, x, y, score, joint: one row a line item, ordered within its supplier."""
+    l = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("rec"), F.col("l_quantity").alias("x"), F.round(F.col("l_extendedprice") / 1000, 6).alias("y"), (F.col("l_discount") * 10).alias("score"), F.col("l_linenumber").alias("joint"), "l_orderkey", "l_partkey", "l_shipdate")
+    w = Window.partitionBy("rec").orderBy("l_orderkey", "joint", "l_partkey", "x", "y", "score", "l_shipdate")
+    return l.withColumn("i", F.row_number().over(w) - 1).withColumn("frame", F.floor(F.col("i") / 5).cast("long")).withColumn("score", F.round("score", 6))
+
+
+P = """l AS (SELECT l_suppkey AS rec, l_quantity AS x, round(l_extendedprice / 1000, 6) AS y, round(l_discount * 10, 6) AS score, l_linenumber AS joint,
+ row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, round(l_extendedprice / 1000, 6), l_discount * 10, l_shipdate) - 1 AS i FROM lineitem),
+p AS (SELECT *, CAST(i // 5 AS BIGINT) AS frame FROM l)"""
+
+
+@query(f"WITH {P} SELECT rec, round(avg(coalesce(x, 0)), 5) AS x, round(avg(coalesce(y, 0)), 5) AS y FROM p GROUP BY rec")
+def frame_means(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.frame_means(_points(spark, sf), ["rec"], ["x", "y"]), 5)
+
+
+@query(f"""WITH {P}, f AS (SELECT rec, frame, count(*) FILTER (score > 0.8) AS n FROM p GROUP BY ALL)
+SELECT rec, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 6) AS detection_rate, count(*) FILTER (n > 0) AS frames_detected, round(avg(n), 6) AS avg_active, max(n) AS max_active FROM f GROUP BY rec""")
+def detection_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.detection_rate(_points(spark, sf), ["rec"], "frame", "score", 0.8))
+
+
+@query(f"WITH {P} SELECT rec, frame, i FROM (SELECT *, row_number() OVER (PARTITION BY rec, frame ORDER BY abs(x + 3.0 / 2 - 50.0 / 2), i) AS k FROM p) WHERE k = 1")
+def central_pick(spark: SparkSession, sf: str) -> DataFrame:
+    d = frames.central_distance(F.col("x"), F.lit(3.0), F.lit(50.0))
+    return frames.best_row(_points(spark, sf), ["rec", "frame"], [d, F.col("i")]).select("rec", "frame", F.col("i").cast("long").alias("i"))
+
+
+@query(f"WITH {P} SELECT rec, frame, i, round(x * y, 6) AS area FROM (SELECT *, row_number() OVER (PARTITION BY rec, frame ORDER BY x * y DESC, i) AS k FROM p) WHERE k = 1")
+def largest_face(spark: SparkSession, sf: str) -> DataFrame:
+    b = frames.best_row(_points(spark, sf), ["rec", "frame"], [F.desc(F.col("x") * F.col("y")), F.col("i")])
+    return rounded(b.select("rec", "frame", F.col("i").cast("long").alias("i"), (F.col("x") * F.col("y")).alias("area")), 6)
+
+
+@query(f"""WITH {P} SELECT rec, round(avg(score), 6) AS AP, round(avg(CAST(score > 0.5 AS DOUBLE)), 6) AS AP_50, round(avg(CAST(score > 0.75 AS DOUBLE)), 6) AS AP_75, round(coalesce(avg(score) FILTER (score > 0.3 AND score <= 0.7), 0), 6) AS AP_M, round(coalesce(avg(score) FILTER (score > 0.7), 0), 6) AS AP_L FROM p GROUP BY rec""")
+def confidence_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.confidence_bands(_points(spark, sf), ["rec"], "score"))
+
+
+@query(f"""WITH {P}, d AS (SELECT *, abs(score - lag(score) OVER (PARTITION BY rec, joint ORDER BY i)) AS d FROM p)
+SELECT rec, round(avg(score), 6) AS AP, round(avg(CAST(score >= 0.5 AS DOUBLE)), 6) AS AR, round(coalesce(avg(d), 0), 6) AS AU, count(DISTINCT joint) FILTER (score >= 0.5) AS active_joints FROM d GROUP BY rec""")
+def keypoint_visibility(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.visibility(_points(spark, sf), ["rec"], "joint", "i", "score"))
+
+
+@query(f"""WITH {P}, m AS (SELECT * FROM (VALUES ('head', 1), ('head', 2), ('arms', 3), ('arms', 4), ('legs', 5), ('legs', 6))m(part, joint))
+SELECT rec, part, round(avg(score), 9) AS confidence, avg(score) > 0.4567 AS counted FROM p JOIN m USING (joint) GROUP BY ALL""")
+def body_parts(spark: SparkSession, sf: str) -> DataFrame:
+    m = spark.createDataFrame([("head", 1), ("head", 2), ("arms", 3), ("arms", 4), ("legs", 5), ("legs", 6)], "part string, joint int")
+    return rounded(frames.part_means(_points(spark, sf), m, ["rec"], "score", 0.4567), 9)
+
+
+PROB = "list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE)))"
+
+
+@query(f"""WITH p AS (SELECT label, {PROB} AS e FROM embeddings), s AS (SELECT label, list_transform(e, lambda x: x / list_sum(e)) AS e FROM p),
+m AS (SELECT label, [avg(e[1]), avg(e[2]), avg(e[3]), avg(e[4])] AS m, avg(list_max(e)) AS c FROM s GROUP BY label)
+SELECT label, round(c, 5) AS mean_confidence, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS dominant, round(-list_sum(list_transform(m, lambda x: greatest(x, 1e-6) * ln(greatest(x, 1e-6)))) / ln(4), 5) AS entropy FROM m""")
+def class_probs_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")))
+    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    p = fx.table(spark, sf, "embeddings").select("label", F.transform(e, lambda x: x / total).alias("e"))
+    return rounded(frames.class_means(p, ["label"], "e", 4).drop("means"), 5)
+
+
+@query(f"""WITH {P} SELECT rec, round(avg(abs(x - y) / y), 5) AS abs_rel, round(avg(power(x - y, 2) / y), 4) AS sq_rel, round(sqrt(avg(power(x - y, 2))), 5) AS rmse, round(sqrt(avg(power(ln(x) - ln(y), 2))), 5) AS rmse_log,
+round(avg(CAST(greatest(x / y, y / x) < 1.25 AS DOUBLE)), 6) AS delta_1, round(avg(CAST(greatest(x / y, y / x) < 1.5625 AS DOUBLE)), 6) AS delta_2, round(avg(CAST(greatest(x / y, y / x) < 1.953125 AS DOUBLE)), 6) AS delta_3 FROM p WHERE y > 0.01 GROUP BY rec""")
+def depth_errors(spark: SparkSession, sf: str) -> DataFrame:
+    d = frames.depth_errors(_points(spark, sf), ["rec"], "x", "y")
+    return d.select("rec", *[F.round(c, n).alias(c) for c, n in (("abs_rel", 5), ("sq_rel", 4), ("rmse", 5), ("rmse_log", 5), ("delta_1", 6), ("delta_2", 6), ("delta_3", 6))])
+
+
+@query(f"""WITH {P}, q AS (SELECT rec, quantile_cont(y, 0.7) AS q FROM p GROUP BY rec), m AS (SELECT rec, avg(x) FILTER (y > q) AS f, avg(x) FILTER (y <= q) AS b FROM p JOIN q USING (rec) GROUP BY rec)
+SELECT rec, round(f, 5) AS foreground_motion, round(b, 5) AS background_motion, round(f / b, 5) AS motion_ratio FROM m""")
+def foreground_split(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.split_at_quantile(_points(spark, sf), ["rec"], "y", "x"), 5)
+
+
+@query(f"""WITH {P}, d AS (SELECT *, x - lag(x) OVER (PARTITION BY rec ORDER BY i) AS d FROM p) SELECT rec, round(1 - least(1.0, coalesce(stddev_pop(d), 0) / (avg(x) + 1e-8)), 5) + 0.0 AS temporal_consistency, round(avg(x) FILTER (x > 0), 5) AS positive_mean FROM d GROUP BY rec""")
+def temporal_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.temporal_consistency(_points(spark, sf), ["rec"], "i", "x"), 5)
+
+
+@query(f"""WITH {P} SELECT rec, round(avg(x), 5) AS mean_magnitude, round(stddev_pop(x), 5) AS std_magnitude, max(x) AS max_magnitude, round(coalesce(sum(y * x) / sum(x), 0), 5) AS direction, round(1 / (1 + stddev_pop(x)), 5) AS consistency FROM p GROUP BY rec""")
+def weighted_direction(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.flow_direction(_points(spark, sf), ["rec"], "x", "y"), 5)
+
+
+@query(f"""WITH {P}, s AS (SELECT rec, CAST(ntile(4) OVER w - 1 AS INTEGER) AS segment, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS v FROM p WINDOW w AS (PARTITION BY rec ORDER BY i))
+SELECT rec, segment, round(avg(v), 5) AS mean_speed, round(avg(CAST(v > 20 AS DOUBLE)), 5) AS dynamic_share FROM s WHERE v IS NOT NULL GROUP BY ALL""")
+def track_speeds(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.track_speeds(_points(spark, sf), ["rec"], "i", "x", "y", 20.0, 4), 5)
+
+
+@query(f"""WITH {P}, v AS (SELECT rec, i, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy FROM p WINDOW w AS (PARTITION BY rec ORDER BY i)), a AS (SELECT *, vx - lag(vx) OVER w AS ax, vy - lag(vy) OVER w AS ay FROM v WINDOW w AS (PARTITION BY rec ORDER BY i)),
+m AS (SELECT rec, avg(sqrt(vx * vx + vy * vy)) AS v, avg(sqrt(ax * ax + ay * ay)) AS a FROM a GROUP BY rec)
+SELECT rec, round(v, 5) AS velocity, round(a, 5) AS acceleration, round(exp(-coalesce(a, 0)), 5) AS smoothness, round(1 / (1 + coalesce(v, 0)), 5) AS stability FROM m""")
+def pose_smoothness(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.motion_norms(_points(spark, sf), ["rec"], "i", ["x", "y"]), 5)
+
+
+@query(f"""WITH {P}, t AS (SELECT *, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy FROM p WINDOW w AS (PARTITION BY rec ORDER BY i)), la AS (SELECT rec, x AS x0, y AS y0, vx, vy FROM t WHERE i = 4),
+e AS (SELECT t.rec, s, i - 4 AS k, sqrt(power(x0 + la.vx * s * (i - 4) - x, 2) + power(y0 + la.vy * s * (i - 4) - y, 2)) AS d FROM t JOIN la USING (rec) CROSS JOIN (SELECT unnest([0.5, 1.0, 1.5])::DOUBLE AS s) WHERE i > 4 AND i <= 10),
+m AS (SELECT rec, s, avg(d) AS ade, arg_max(d, k) AS fde FROM e GROUP BY ALL) SELECT rec, round(min(ade), 5) AS minADE, round(min(fde), 5) AS minFDE, min(fde) > 100 AS missed FROM m GROUP BY rec""")
+def cv_prediction_ade(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.predicted_errors(_points(spark, sf).where("i <= 10"), ["rec"], "i", "x", "y", 4, [0.5, 1.0, 1.5], 100.0), 5)
+
+
+@query(f"""WITH {P}, b AS (SELECT rec, frame, x, y, 20.0 AS w, 10.0 AS h FROM p), m AS (SELECT a.rec, a.frame, CASE WHEN b.rec IS NULL THEN 0 ELSE 1 END * greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS inter FROM b a LEFT JOIN b ON b.rec = a.rec AND b.frame = a.frame - 1)
+SELECT rec, frame, coalesce(max(inter / (400.0 - inter)) > 0.3, false) AS matched FROM m GROUP BY ALL""")
+def iou_match(spark: SparkSession, sf: str) -> DataFrame:
+    b = _points(spark, sf).withColumn("w", F.lit(20.0)).withColumn("h", F.lit(10.0))
+    return frames.matches_previous(b, ["rec"], "frame", ["x", "y", "w", "h"])
+
+
+@query(f"""WITH {P}, c AS (SELECT rec, i, greatest(0.0, least(1.0, coalesce(1 - stddev_pop(x) OVER w / avg(x) OVER w, 0))) AS c FROM p WINDOW w AS (PARTITION BY rec ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT rec, i, round(c, 5) + 0.0 AS consistency FROM c""")
+def detection_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.detection_consistency(_points(spark, sf), ["rec"], "i", "x").select("rec", F.col("i").cast("long").alias("i"), "consistency"), 5)
+
+
+@query(f"""WITH {P}, c AS (SELECT rec, joint, count(*) AS n, count(*) FILTER (score > 0.5) AS t FROM p GROUP BY ALL) SELECT rec, arg_min(joint, joint - 100 * n) AS mode, sum(t) > sum(n) / 2.0 AS flagged FROM c GROUP BY rec""")
+def mode_vote(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.majority(_points(spark, sf).withColumn("flag", F.col("score") > 0.5), ["rec"], "joint", "flag")
+
+
+@query("""SELECT l_returnflag AS rec, CAST(floor(l_quantity * 5 / 32) AS INTEGER) AS bin_r, CAST(floor(l_partkey % 256 / 32.0) AS INTEGER) AS bin_g, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS share FROM lineitem GROUP BY l_returnflag, floor(l_quantity * 5 / 32), floor(l_partkey % 256 / 32.0)""")
+def color_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    l = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("rec"), (F.col("l_quantity") * 5).alias("r"), (F.col("l_partkey") % 256).alias("g"))
+    return rounded(frames.color_histogram(l, ["rec"], ["r", "g"]))
+
+
+@query(f"""WITH {P} SELECT rec, round(avg(CAST(x > 25 AS DOUBLE)), 6) AS coverage, round(coalesce(count(*) FILTER (x > 25 AND y > 30) / CAST(nullif(count(*) FILTER (x > 25 OR y > 30), 0) AS DOUBLE), 0), 6) AS iou FROM p GROUP BY rec""")
+def mask_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.mask_overlap(_points(spark, sf).withColumn("m", F.col("x") > 25).withColumn("b", F.col("y") > 30), ["rec"], "m", "b"))
+
+
+@query(f"""WITH {P}, n AS (SELECT rec, i, x / greatest(max(abs(x)) OVER w, max(abs(y)) OVER w) AS x, y / greatest(max(abs(x)) OVER w, max(abs(y)) OVER w) AS y FROM p WINDOW w AS (PARTITION BY rec)) SELECT rec, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM n GROUP BY rec""")
+def normalized_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    n = frames.normalized_coordinates(_points(spark, sf), ["rec"], ["x", "y"])
+    return rounded(n.groupBy("rec").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+
+
+@query(f"""WITH {P}, k AS (SELECT rec, frame, avg(x) AS x FROM p WHERE frame % 3 <> 1 GROUP BY ALL), g AS (SELECT rec, CAST(unnest(range(0, max(frame) + 1)) AS INTEGER) AS frame FROM p GROUP BY rec) SELECT g.rec, g.frame, round(coalesce(x, 0), 5) AS x FROM g LEFT JOIN k ON k.rec = g.rec AND k.frame = g.frame""")
+def densified_frames(spark: SparkSession, sf: str) -> DataFrame:
+    p = _points(spark, sf)
+    kept = p.where("frame % 3 <> 1").groupBy("rec", "frame").agg(F.avg("x").alias("x"))
+    n = p.groupBy("rec").agg((F.max("frame") + 1).alias("n"))
+    return rounded(frames.densified_frames(kept, n, ["rec"], "frame", "n", ["x"]), 5)
+
+
+@query(f"""WITH {P} SELECT rec, round(sum(x), 4) AS total_motion, round(avg(x), 5) AS average_motion FROM p WHERE i < 10 GROUP BY rec""")
+def flow_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.flow_totals(_points(spark, sf), ["rec"], "i", "x"), 5)
+
+
+@query(f"""WITH {P}, n AS (SELECT rec, count(*) AS n FROM p GROUP BY rec), s AS (SELECT DISTINCT rec, s FROM (SELECT rec, unnest(list_append(list_filter(range(0, n, 4), lambda s: s <= n - 8), greatest(0, n - 8))) AS s FROM n)),
+m AS (SELECT s.rec, s.s, p.i, avg(x) OVER (PARTITION BY s.rec, s.s) AS m FROM s JOIN p ON p.rec = s.rec AND p.i >= s.s AND p.i < s.s + 8) SELECT rec, i, round(avg(m), 5) AS smoothed FROM m GROUP BY ALL""")
+def overlap_smoothing(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.smoothed_by_overlap(_points(spark, sf), ["rec"], "i", "x", 8, 4).select("rec", F.col("i").cast("long").alias("i"), "smoothed"), 5)
+
+
+@query(f"""WITH {P}, a AS (SELECT rec, i, x / 50 AS m, score AS e, y / 100 AS c FROM p), u AS (SELECT rec, i, greatest(0.0, least(1.0, (e - m) * 2.0)) AS au1, greatest(0.0, least(1.0, c * 1.3)) AS au6 FROM a)
+SELECT rec, round(avg(au1), 6) AS au1, round(avg(au6), 6) AS au6, round(avg(CASE WHEN au1 < 0.25 THEN 1 - au1 * 2 ELSE 0 END), 6) AS au1_0 FROM u GROUP BY rec""")
+def action_units(spark: SparkSession, sf: str) -> DataFrame:
+    au = frames.action_units(F.col("x") / 50, F.lit(0.1), F.col("score"), F.lit(0.5), F.col("y") / 100)
+    u = _points(spark, sf).select("rec", au.alias("au"))
+    return rounded(u.groupBy("rec").agg(F.avg(F.col("au")["AU1"]).alias("au1"), F.avg(F.col("au")["AU6"]).alias("au6"), F.avg(frames.intensity_levels(F.col("au")["AU1"])[0]).alias("au1_0")))
+
+
+@query(f"""WITH {P} SELECT rec, i, CAST(rank() OVER (PARTITION BY rec ORDER BY x) + (count(*) OVER (PARTITION BY rec, x) - 1) / 2.0 AS DOUBLE) AS k FROM p""")
+def mid_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return _points(spark, sf).select("rec", F.col("i").cast("long").alias("i"), mid_rank(F.col("x"), ["rec"]).alias("k"))
