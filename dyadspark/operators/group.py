@@ -58,14 +58,14 @@ def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n
 
 def friedman(df: DataFrame, value: str, block: str, treatment: str, within: list[str]) -> DataFrame:
     """Chi-square over blocks that have every treatment (three at least), mid-ranks and tie correction."""
-    k = df.select(*within, treatment).distinct().groupBy(*within).agg(F.count(F.lit(1)).alias("k"))
-    x = df.where(F.col(value).isNotNull()).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*within, block))).join(k, within).where(F.col("__n") == F.col("k"))
+    k = df.select(*within, treatment).distinct().groupBy(*within).agg(F.count(F.lit(1)).alias("__k"))
+    x = df.where(F.col(value).isNotNull()).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*within, block))).join(k, within).where(F.col("__n") == F.col("__k"))
     x = x.withColumn("rank", mid_rank(F.col(value), [*within, block])).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*within, block, value)))
-    per = x.groupBy(*within, treatment).agg(F.sum("rank").alias("s"), F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.sum(F.pow("ties", 2) - 1).alias("tied"))
-    out = per.groupBy(*within).agg(F.max("n").alias("n"), F.max("k").alias("k"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("tied").alias("tied")).where((F.col("k") >= 3) & (F.col("n") >= 2))
-    n, m = F.col("n").cast("double"), F.col("k").cast("double")
+    per = x.groupBy(*within, treatment).agg(F.sum("rank").alias("s"), F.count(F.lit(1)).alias("n"), F.max("__k").alias("__k"), F.sum(F.pow("ties", 2) - 1).alias("tied"))
+    out = per.groupBy(*within).agg(F.max("n").alias("n"), F.max("__k").alias("__k"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("tied").alias("tied")).where((F.col("__k") >= 3) & (F.col("n") >= 2))
+    n, m = F.col("n").cast("double"), F.col("__k").cast("double")
     chi = F.try_divide(12 / (n * m * (m + 1)) * F.col("ss") - 3 * n * (m + 1), 1 - F.col("tied") / (n * m * (m * m - 1)))
-    return out.select(*within, F.col("n").alias("n_blocks"), F.col("k").alias("n_treatments"), chi.alias("chi2")).withColumn("p_value", chi2_p(F.col("chi2"), (F.col("n_treatments") - 1).cast("double")))
+    return out.select(*within, F.col("n").alias("n_blocks"), F.col("__k").alias("n_treatments"), chi.alias("chi2")).withColumn("p_value", chi2_p(F.col("chi2"), (F.col("n_treatments") - 1).cast("double")))
 
 
 def leader_counts(leaders: DataFrame, within: list[str]) -> DataFrame:

@@ -134,7 +134,7 @@ def transfer_entropy(pair: DataFrame, bins: int = 6, key: list[str] = KEY) -> Da
     ab = F.col("b_bp") - F.col("bp") - F.col("b_bp_ap") + F.col("both")
     ba = F.col("a_ap") - F.col("ap") - F.col("a_ap_bp") + F.col("both")
     out = out.select(*key, ab.alias("te_AtoB"), ba.alias("te_BtoA")).withColumn("te_net", F.col("te_AtoB") - F.col("te_BtoA"))
-    return out.withColumn("te_leader", leader(F.col("te_net")))
+    return out.withColumn("te_leader", leader(F.round("te_net", 12)))
 
 
 def coupled_oscillator(pair: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -167,7 +167,7 @@ h AS (SELECT dyad, dimension, ga, gb, ha, hb, -sum(p * log2(p + 1e-12)) AS h FRO
 w AS (SELECT dyad, dimension, max(h) FILTER (ga = 1 AND gb = 0 AND ha = 1 AND hb = 0) AS b_bp, max(h) FILTER (ga = 1 AND gb = 1 AND ha = 1 AND hb = 0) AS bp, max(h) FILTER (ga = 1 AND gb = 0 AND ha = 0 AND hb = 0) AS b_bp_ap,
  max(h) FILTER (ga = 1 AND gb = 1 AND ha = 0 AND hb = 0) AS hb2, max(h) FILTER (ga = 0 AND gb = 1 AND ha = 0 AND hb = 1) AS a_ap, max(h) FILTER (ga = 1 AND gb = 1 AND ha = 0 AND hb = 1) AS ap, max(h) FILTER (ga = 0 AND gb = 1 AND ha = 0 AND hb = 0) AS a_ap_bp FROM h GROUP BY ALL),
 t AS (SELECT dyad, dimension, b_bp - bp - b_bp_ap + hb2 AS ab, a_ap - ap - a_ap_bp + hb2 AS ba FROM w)
-SELECT dyad, dimension, round(ab, 5) + 0.0 AS te_AtoB, round(ba, 5) + 0.0 AS te_BtoA, round(ab - ba, 5) + 0.0 AS te_net, CASE WHEN ab > ba THEN 'A' WHEN ab < ba THEN 'B' ELSE 'sync' END AS te_leader FROM t""")
+SELECT dyad, dimension, round(ab, 5) + 0.0 AS te_AtoB, round(ba, 5) + 0.0 AS te_BtoA, round(ab - ba, 5) + 0.0 AS te_net, CASE WHEN round(ab - ba, 12) > 0 THEN 'A' WHEN round(ab - ba, 12) < 0 THEN 'B' ELSE 'sync' END AS te_leader FROM t""")
 def transfer_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(synchrony.transfer_entropy(fx.pairs(spark, sf)), 5)
 
