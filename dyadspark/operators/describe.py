@@ -123,3 +123,12 @@ def first_present(rows: DataFrame, within: list[str], order: str, columns: list[
 def merged_sources(rows: DataFrame, within: list[str], priority: str) -> DataFrame:
     """One row for each name, of the source that comes first."""
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*within).orderBy(priority))).where("__k = 1").drop("__k")
+
+
+def batch_summary(dense: DataFrame, entity: list[str], index: str, dims: list[str], bin_size: float) -> DataFrame:
+    """duration, n_frames, n_features, and mean_ and var_ (population) of each given dimension; one conditional aggregation."""
+    of = lambda d: F.when(F.col("feature") == d, F.col("value"))
+    return dense.groupBy(*entity).agg(
+        ((F.max(index) - F.min(index) + 1) * F.lit(bin_size)).alias("duration"), F.count_distinct(index).alias("n_frames"), F.count_distinct("feature").alias("n_features"),
+        *[x for d in dims for x in (F.avg(of(d)).alias(f"mean_{d}"), F.var_pop(of(d)).alias(f"var_{d}"))],
+    )

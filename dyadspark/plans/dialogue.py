@@ -176,3 +176,21 @@ def label_names(spark: SparkSession, sf: str) -> DataFrame:
 def text_source(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.table(spark, sf, "events")
     return e.select("event_id", text.first_text(F.when(F.col("event_id") % 3 == 0, F.lit(" ")).otherwise(F.col("event_type")), F.col("props")).alias("text"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, list_distinct({WORDS.format('lower(text)')}) AS w FROM conversations)
+SELECT a.conv_id, count(*) AS n_pairs, CAST(max(len(list_intersect(a.w, b.w))) AS BIGINT) AS most_shared FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY a.conv_id""")
+def sentence_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of turns of a conversation: an equality join on the conversation with the order as residual."""
+    w = F.array_distinct(F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda x: x != ""))
+    t = fx.table(spark, sf, "conversations").select("conv_id", "turn", w.alias("w"))
+    b = t.select("conv_id", F.col("turn").alias("turn_b"), F.col("w").alias("w_b"))
+    both = t.join(b, "conv_id").where("turn < turn_b")
+    return both.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.max(F.size(F.array_intersect("w", "w_b"))).cast("long").alias("most_shared"))
+
+
+@query("""SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS transcript FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def transcript_join(spark: SparkSession, sf: str) -> DataFrame:
+    c = fx.table(spark, sf, "conversations").where(F.trim("text") != "")
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("transcript"))

@@ -97,3 +97,14 @@ def key_frames(spark: SparkSession, sf: str) -> DataFrame:
 def spectral_features(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     return rounded(kernels.spectral(s, ["vec_id"], "i", "x", 64.0), 4)
+
+
+@query()
+def pca_scree(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of variance by component and its running sum, and the thirty features of greatest loading."""
+    from pyspark.sql import Window
+
+    l = kernels.loadings(fx.dense(spark, sf), "pca", 20, ENTITY)
+    c = l.groupBy(*ENTITY, "component").agg(F.first("explained").alias("explained"))
+    k = F.regexp_extract("component", r"(\d+)", 1).cast("int")
+    return rounded(c.withColumn("cumulative", F.sum("explained").over(Window.partitionBy(*ENTITY).orderBy(k))))

@@ -172,3 +172,11 @@ def merged_sources(spark: SparkSession, sf: str) -> DataFrame:
 def sentinel_and_json(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 7 == 0, F.lit(-100.0)).otherwise(F.col("value")))
     return e.select("event_id", F.nullif(F.round("value", 1), F.lit(-100.0)).alias("value"), F.from_json("props", "k long").k.alias("k"))
+
+
+@query(f"""WITH {DENSE_SQL} SELECT dyad, person, (max(bin) - min(bin) + 1) * CAST(21600.0 AS DOUBLE) AS duration, count(DISTINCT bin) AS n_frames, count(DISTINCT feature) AS n_features,
+round(avg(value) FILTER (feature = 'click'), 5) AS mean_click, round(var_pop(value) FILTER (feature = 'click'), 4) AS var_click, round(avg(value) FILTER (feature = 'view'), 5) AS mean_view, round(var_pop(value) FILTER (feature = 'view'), 4) AS var_view FROM dense GROUP BY dyad, person""")
+def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a subject: duration, sizes, and mean and variance of chosen dimensions."""
+    d = describe.batch_summary(fx.dense(spark, sf), ["dyad", "person"], "bin", ["click", "view"], fx.BIN)
+    return d.select("dyad", "person", "duration", "n_frames", "n_features", *[F.round(c, 4 if c.startswith("var") else 5).alias(c) for c in ("mean_click", "var_click", "mean_view", "var_view")])
