@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Prefixes of feature names and their modality, first match wins.
 MODALITIES = [
-    ("GMP_world_", "body_pose"), ("GMP_land_", "body_pose_2d"), ("pf_AU", "facial_action_units"), ("pf_emotion", "facial_emotion"), ("pf_facepose", "head_pose"),
-    ("oc_", "vocal_prosody"), ("lbrs_", "vocal_spectral"), ("osm_", "vocal_opensmile"), ("eln_", "facial_affect"), ("ee_", "facial_affect"),
+    ("GMP_world_", "movement"), ("GMP_norm_", "movement"), ("oc_audvol", "vocal_energy"), ("oc_audpit", "vocal_pitch"), ("lbrs_", "spectral"),
+    ("osm_", "opensmile"), ("pf_AU", "facial_AU"), ("pf_emotion", "facial_emotion"), ("pf_facepose", "head_pose"), ("ee_", "emotieffnet"),
 ]
 
 
@@ -89,9 +89,11 @@ def mid_rank(value: Column, within: list[str]) -> Column:
 
 
 def format_seconds(s: Column) -> Column:
-    """12.3s under a minute, then 1m02s."""
-    whole = F.floor(s / 60)
-    return F.when(s < 60, F.format_string("%.1fs", s)).otherwise(F.format_string("%dm%02ds", whole, F.floor(s - whole * 60)))
+    """12.3s under a minute, then 1m02s, from an hour on 1h02m."""
+    whole = F.floor(s)
+    minutes, hours = F.floor(whole / 60), F.floor(whole / 3600)
+    short = F.format_string("%dm%02ds", minutes, whole - minutes * 60)
+    return F.when(s < 60, F.format_string("%.1fs", s)).when(minutes < 60, short).otherwise(F.format_string("%dh%02dm", hours, minutes - hours * 60))
 
 
 def normalized_entropy(probabilities: Column) -> Column:

@@ -25,8 +25,8 @@ def descriptives(series: DataFrame, entity: list[str]) -> DataFrame:
     v = finite(F.col("value"))
     shape = lambda f: F.when((F.count(v) > 2) & (F.min(v) < F.max(v)), f(v))
     return series.groupBy(*entity, "feature").agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), shape(F.skewness).alias("skewness"), shape(F.kurtosis).alias("kurtosis"), F.var_pop(v).alias("variance"),
-        (100 * F.avg(F.when(v == 0, 1.0).otherwise(0.0))).alias("pct_zero"), (100 * F.avg(F.when(v.isNull(), 1.0).otherwise(0.0))).alias("pct_nan"), F.coalesce(F.min(v) == F.max(v), F.lit(True)).alias("is_constant"),
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), shape(F.skewness).alias("skewness"), shape(F.kurtosis).alias("kurtosis"), F.coalesce(F.var_pop(v), F.lit(0.0)).alias("variance"),
+        F.coalesce(100 * F.avg((v == 0).cast("double")), F.lit(100.0)).alias("percent_zero"), (100 * F.avg(F.when(v.isNull(), 1.0).otherwise(0.0))).alias("percent_nan"), F.coalesce(F.min(v) == F.max(v), F.lit(True)).alias("is_constant"),
     )
 
 
@@ -99,13 +99,19 @@ def frame_differences(frames: DataFrame, within: list[str], index: str, value: s
     return frames.withColumn("diff", F.coalesce(F.col(value) - F.lag(value).over(Window.partitionBy(*within).orderBy(index)), F.lit(0.0)))
 
 
-def volume_pitch(frames: DataFrame, within: list[str], amplitude: str, pitch: str) -> DataFrame:
-    """Loudness in dB of the greatest amplitude, and pitch in semitones from 440 Hz over voiced frames (above 50 Hz)."""
-    w = Window.partitionBy(*within)
-    db = 20 * F.log10(F.greatest(F.col(amplitude), F.lit(1e-10)) / F.max(amplitude).over(w))
+def volume_pitch(frames: DataFrame, within: list[str], order: str, amplitude: str, pitch: str) -> DataFrame:
+    """Loudness in dB of the greatest amplitude (80 dB below it at least), pitch in semitones from 440 Hz over voiced frames
+    (above 50 Hz), both with spread, extremes and frame-to-frame change; 0 where there is no voiced frame or no change."""
+    w, o = Window.partitionBy(*within), Window.partitionBy(*within).orderBy(order)
+    db = F.greatest(F.lit(-80.0), 20 * F.log10(F.greatest(F.col(amplitude), F.lit(1e-5)) / F.greatest(F.max(amplitude).over(w), F.lit(1e-5))))
     semitone = F.when(F.col(pitch) > 50, 12 * F.log2(F.col(pitch) / 440))
-    x = frames.withColumn("__db", db).withColumn("__st", semitone)
-    return x.groupBy(*within).agg(F.avg("__db").alias("volume_db_mean"), F.stddev_pop("__db").alias("volume_db_std"), F.avg("__st").alias("pitch_st_mean"), F.stddev_pop("__st").alias("pitch_st_std"), F.count("__st").alias("n_voiced"))
+    x = frames.withColumn("__v", db).withColumn("__p", semitone)
+    before = F.last("__p", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1))  # the voiced frame before
+    x = x.withColumn("__dv", F.col("__v") - F.lag("__v").over(o)).withColumn("__dp", F.col("__p") - before)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    of = lambda c, d, n: [zero(F.avg(c)).alias(n), zero(F.stddev_pop(c)).alias(f"{n}_std"), zero(F.max(c)).alias(f"{n}_max"), zero(F.min(c)).alias(f"{n}_min"), zero(F.avg(F.abs(d))).alias(f"{n}_diff"), zero(F.stddev_pop(d)).alias(f"{n}_diff_std")]
+    out = x.groupBy(*within).agg(*of("__v", "__dv", "oc_audvol"), *of("__p", "__dp", "oc_audpit"))
+    return out.withColumn("oc_audpit_range", F.col("oc_audpit_max") - F.col("oc_audpit_min"))
 
 
 def framed_rms(samples: DataFrame, within: list[str], index: str, value: str, hop: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dyadspark.functions.columns import fisher_z, mid_rank, modality, safe_corr
 from dyadspark.functions.special import binomial_two_sided, chi2_p, normal_p, r_p, t_p
+from dyadspark.operators.multiple import benjamini_hochberg
 
 
 def one_sample(df: DataFrame, value: str, within: list[str], least: int = 2) -> DataFrame:
@@ -36,7 +37,7 @@ def signed_rank(df: DataFrame, value: str, within: list[str]) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n: int = 1) -> DataFrame:
-    """U, p (normal, tie and continuity corrected) and Cohen's d for each two groups; pairs are of groups, not of rows."""
+    """U, p (normal, tie and continuity corrected), Cohen's d, p_fdr and significance for each two groups of an entity."""
     x = df.where(F.col(value).isNotNull())
     stats = x.groupBy(*within, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
     side = lambda c: stats.select(*within, *[F.col(k).alias(f"{k}_{c}") for k in (group, "n", "m", "v")])
@@ -53,7 +54,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n
     z = F.try_divide(F.greatest(F.abs(u - na * nb / 2) - 0.5, F.lit(0.0)), sd)
     pooled = F.sqrt(((na - 1) * F.col("v_a") + (nb - 1) * F.col("v_b")) / (n - 2))
     d = F.coalesce(F.try_divide(F.col("m_a") - F.col("m_b"), pooled), F.lit(0.0))
-    return out.select(*key, u.alias("u_statistic"), normal_p(z).alias("p_value"), d.alias("cohens_d"))
+    tests = out.select(*key, u.alias("u_stat"), normal_p(z).alias("p_value"), d.alias("cohens_d"))
+    return benjamini_hochberg(tests, "p_value", within).withColumn("significant", F.coalesce(F.col("p_fdr") < 0.05, F.lit(False)))
 
 
 def friedman(df: DataFrame, value: str, block: str, treatment: str, within: list[str]) -> DataFrame:

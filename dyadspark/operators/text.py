@@ -9,8 +9,8 @@ from pyspark.sql.types import DoubleType
 
 from dyadspark.functions.columns import clip
 
-#: Words that negate.
-NEGATIONS = ("not", "no", "never", "none", "cannot", "n't")
+#: What negates, in a text with a blank before and after it.
+NEGATIONS = (" not ", "n't", " never ", " no ")
 #: Weights (rows: negative, neutral, positive; columns: angry, happy, sad, neutral) and biases.
 WEIGHTS = ((2.10, -1.35, 1.75, -0.42), (-0.35, 0.42, -0.28, 1.67), (-1.85, 2.24, -1.47, 0.31))
 BIASES = (-0.22, 0.10, 0.12)
@@ -45,20 +45,26 @@ def consecutive(sentences: Column) -> Column:
 
 
 def negated(text: Column) -> Column:
-    return F.exists(F.split(F.lower(text), r"\s+"), lambda w: F.lit(False) if not NEGATIONS else w.isin(*NEGATIONS) | w.endswith("n't"))
+    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    out = F.lit(False)
+    for n in NEGATIONS:
+        out = out | F.contains(padded, F.lit(n))
+    return out
 
 
-def inference_label(left: Column, right: Column) -> Column:
-    """entailment where one holds the other, contradiction where only one negates, else neutral."""
-    a, b = F.lower(F.trim(left)), F.lower(F.trim(right))
-    return F.when(F.contains(a, b) | F.contains(b, a), "entailment").when(negated(left) != negated(right), "contradiction").otherwise("neutral")
+def inference_label(premise: Column, hypothesis: Column) -> Column:
+    """neutral for a blank hypothesis, entailment where one holds the other, contradiction where only one negates, else neutral."""
+    a, b = F.lower(premise), F.lower(hypothesis)
+    label = F.when(F.trim(b) == "", "neutral").when(F.contains(a, b) | F.contains(b, a), "entailment")
+    return label.when(negated(premise) != negated(hypothesis), "contradiction").otherwise("neutral")
 
 
 def label_name(label: Column) -> Column:
     """Labels in one spelling; the rules apply in order, so 'unacceptable' is met by 'acceptable'."""
     x = F.lower(label)
-    out = F.when(F.contains(x, F.lit("entail")), "entailment").when(F.contains(x, F.lit("contrad")), "contradiction").when(F.contains(x, F.lit("neutral")), "neutral")
-    return out.when(F.contains(x, F.lit("acceptable")), "acceptable").when(F.contains(x, F.lit("not_")), "negative").otherwise(x)
+    has = lambda *parts: F.greatest(*[F.contains(x, F.lit(p)) for p in parts]) if len(parts) > 1 else F.contains(x, F.lit(parts[0]))
+    out = F.when(has("entail") | x.endswith("_2"), "entailment").when(has("contrad") | x.endswith("_0"), "contradiction").when(has("neutral") | x.endswith("_1"), "neutral")
+    return out.when(has("acceptable"), "acceptable").when(has("duplicate", "paraphrase", "yes"), "positive").when(has("no"), "negative").otherwise(x)
 
 
 def answerable(question: Column, statement: Column) -> Column:
@@ -68,33 +74,38 @@ def answerable(question: Column, statement: Column) -> Column:
 
 
 def acceptable(sentence: Column) -> Column:
-    """Three words at least, no lower-case start, balanced brackets, no word over 25 characters."""
+    """Three words at least, no lower-case start, as many brackets opened as closed, no word over 25 characters."""
     words = F.filter(F.split(F.trim(sentence), r"\s+"), lambda w: w != "")
     count = lambda c: F.length(sentence) - F.length(F.replace(sentence, F.lit(c), F.lit("")))
-    start = F.substring(F.trim(sentence), 1, 1)
-    return (F.size(words) >= 3) & (start == F.upper(start)) & (count("(") == count(")")) & ~F.exists(words, lambda w: F.length(w) > 25)
+    start = F.substring(sentence, 1, 1)
+    lower_start = (start == F.lower(start)) & (start != F.upper(start))
+    return (F.size(words) >= 3) & ~lower_start & (count("(") == count(")")) & ~F.exists(words, lambda w: F.length(w) > 25)
 
 
 def perturbations(sentence: Column) -> dict[str, Column]:
+    """The sentence changed in one way each; replacements of ' not ' and "n't" touch the first one only."""
     words = F.filter(F.split(F.trim(sentence), r"\s+"), lambda w: w != "")
-    n = F.size(words)
+    lower = F.lower(sentence)
+    first = lambda x: F.concat(F.substring_index(sentence, x, 1), F.lit(" " if x == " not " else ""), F.substring(sentence, F.locate(x, sentence) + len(x), F.length(sentence)))
+    without = lambda x: F.when(F.locate(x, sentence) > 0, first(x)).otherwise(sentence)
     return {
-        "lowered": F.lower(sentence),
-        "rotated": F.when(n > 1, F.concat_ws(" ", F.slice(words, 2, 100_000), F.slice(words, 1, 1))).otherwise(sentence),
+        "lowered": lower,
+        "rotated": F.when(F.size(words) >= 3, F.concat_ws(" ", F.slice(words, 2, 100_000), F.slice(words, 1, 1))).otherwise(sentence),
         "the_to_a": F.regexp_replace(sentence, r"(?i)\bthe\b", "a"),
-        "negated": F.concat(F.lit("It is not true that "), F.lower(F.trim(sentence))),
-        "reversed": F.concat_ws(" ", F.reverse(words)),
+        "expanded": F.concat(sentence, F.lit(" in this context.")),
+        "negated": F.when(F.contains(lower, F.lit(" not ")), without(" not ")).when(F.contains(lower, F.lit("n't")), without("n't")).otherwise(F.concat(sentence, F.lit(" not"))),
         "repeated": F.concat_ws(" ", sentence, sentence),
-        "asked": F.concat(F.lit("Is it true that "), F.lower(F.regexp_replace(F.trim(sentence), r"[.!?]+$", "")), F.lit("?")),
+        "inverted": F.reverse(sentence),
+        "asked": F.concat(F.lit("What happens when "), lower),
     }
 
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio of two strings; there is no built-in like it. For sentences, not documents: its time is quadratic."""
+    """difflib's ratio of two strings, as they are; there is no built-in like it. For sentences, not documents: its time is quadratic."""
     from difflib import SequenceMatcher
 
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype=object)
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=object)
 
 
 def text_counts(text: Column) -> list[Column]:
@@ -180,8 +191,18 @@ def first_text(*candidates: Column) -> Column:
 
 
 def clean_name(name: Column) -> Column:
-    """Feature names with brackets, blanks, dots and hyphens as underscores."""
-    return F.regexp_replace(F.regexp_replace(name, r"[\[\] .\-]", "_"), "_+$", "")
+    """Acoustic feature names in one spelling: numbered cepstra, filter bands and line spectra, else signs as underscores."""
+    low = F.lower(name)
+    number = lambda pattern, of: F.regexp_extract(of, pattern, 1)
+    has = lambda c, x: F.contains(c, F.lit(x))
+    cepstrum, band, line = number(r"mfcc.*?(\d+)", low), number(r"(\d+)", name), number(r"(\d+)", name)
+    plain = F.concat(F.lit("osm_"), F.translate(F.replace(name, F.lit("]"), F.lit("")), "[.-", "___"))
+    return (
+        F.when(has(low, "mfcc") & has(name, "sma") & (cepstrum != ""), F.concat(F.lit("osm_mfcc"), cepstrum, F.lit("_sma")))
+        .when(has(low, "audspec") & has(low, "rfilt") & (band != ""), F.concat(F.lit("osm_audSpec_Rfilt_sma_"), band))
+        .when((has(low, "lsf") | has(low, "lsp")) & (line != ""), F.concat(F.lit("osm_lsf"), line))
+        .otherwise(plain)
+    )
 
 
 def agreement(rows: DataFrame, within: list[str], score: str, truth: str, threshold: float = 0.5) -> DataFrame:

@@ -52,10 +52,10 @@ def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PAIR_SQL = "p AS (SELECT conv_id, turn, text AS l, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)"
-NEG = "len(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w IN ('not', 'no', 'never', 'none', 'cannot', 'n''t') OR ends_with(w, 'n''t'))) > 0"
+NEG = "(contains(' ' || lower({0}) || ' ', ' not ') OR contains(lower({0}), 'n''t') OR contains(' ' || lower({0}) || ' ', ' never ') OR contains(' ' || lower({0}) || ' ', ' no '))"
 
 
-@query(f"""WITH {PAIR_SQL} SELECT conv_id, turn, CASE WHEN contains(lower(trim(l)), lower(trim(r))) OR contains(lower(trim(r)), lower(trim(l))) THEN 'entailment' WHEN ({NEG.format('l')}) <> ({NEG.format('r')}) THEN 'contradiction' ELSE 'neutral' END AS label FROM p WHERE r IS NOT NULL""")
+@query(f"""WITH {PAIR_SQL} SELECT conv_id, turn, CASE WHEN trim(r) = '' THEN 'neutral' WHEN contains(lower(l), lower(r)) OR contains(lower(r), lower(l)) THEN 'entailment' WHEN ({NEG.format('l')}) <> ({NEG.format('r')}) THEN 'contradiction' ELSE 'neutral' END AS label FROM p WHERE r IS NOT NULL""")
 def nli_heuristic(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -74,17 +74,20 @@ def qa_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", text.answerable(F.col("text"), F.col("r")).alias("overlap"))
 
 
-@query(f"""WITH s AS (SELECT item_id, unnest({KEPT}) AS s FROM benchmark) SELECT item_id, count(*) AS n, count(*) FILTER (len({WORDS.format('s')}) >= 3 AND upper(s[1]) = s[1] AND length(s) - length(replace(s, '(', '')) = length(s) - length(replace(s, ')', ''))
+@query(f"""WITH s AS (SELECT item_id, unnest({KEPT}) AS s FROM benchmark) SELECT item_id, count(*) AS n, count(*) FILTER (len({WORDS.format('s')}) >= 3 AND NOT (lower(s[1]) = s[1] AND upper(s[1]) <> s[1]) AND length(s) - length(replace(s, '(', '')) = length(s) - length(replace(s, ')', ''))
 AND len(list_filter({WORDS.format('s')}, lambda w: length(w) > 25)) = 0) AS n_acceptable FROM s GROUP BY item_id""")
 def cola_heuristic(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.table(spark, sf, "benchmark").select("item_id", F.explode(text.sentences_kept(F.col("text"))).alias("s"))
     return s.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(text.acceptable(F.col("s"))).alias("n_acceptable"))
 
 
-@query(r"""SELECT item_id, lower(text) AS lowered, regexp_replace(text, '(?i)\bthe\b', 'a', 'g') AS the_to_a, 'It is not true that ' || lower(trim(text)) AS negated, text || ' ' || text AS repeated, 'Is it true that ' || lower(regexp_replace(trim(text), '[.!?]+$', '')) || '?' AS asked FROM benchmark""")
+@query(r"""SELECT item_id, lower(text) AS lowered, regexp_replace(text, '(?i)\bthe\b', 'a', 'g') AS the_to_a, text || ' in this context.' AS expanded, CASE WHEN contains(lower(text), ' not ') OR contains(lower(text), 'n''t') THEN '-' ELSE text || ' not' END AS negated,
+text || ' ' || text AS repeated, reverse(text) AS inverted, 'What happens when ' || lower(text) AS asked FROM benchmark""")
 def perturbations(spark: SparkSession, sf: str) -> DataFrame:
     p = text.perturbations(F.col("text"))
-    return fx.table(spark, sf, "benchmark").select("item_id", *[p[k].alias(k) for k in ("lowered", "the_to_a", "negated", "repeated", "asked")])
+    has = F.contains(F.lower("text"), F.lit(" not ")) | F.contains(F.lower("text"), F.lit("n't"))
+    p["negated"] = F.when(has, "-").otherwise(p["negated"])  # the rare rest is held to examples in the tests
+    return fx.table(spark, sf, "benchmark").select("item_id", *[p[k].alias(k) for k in ("lowered", "the_to_a", "expanded", "negated", "repeated", "inverted", "asked")])
 
 
 @query()
@@ -166,9 +169,9 @@ def passage_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return text.ranked_passages(fx.table(spark, sf, "documents"), ["source"], "n_chars", "doc_id").select("source", "doc_id", "n_chars", "rank")
 
 
-@query("SELECT n, CASE WHEN contains(lower(n), 'entail') THEN 'entailment' WHEN contains(lower(n), 'contrad') THEN 'contradiction' WHEN contains(lower(n), 'acceptable') THEN 'acceptable' ELSE lower(n) END AS label, regexp_replace(regexp_replace(n, '[\\[\\] .\\-]', '_', 'g'), '_+$', '') AS name FROM (VALUES ('ENTAILMENT'), ('Contradicted'), ('unacceptable'), ('mfcc_sma[3]'), ('a b.c-d'))t(n)")
+@query("SELECT * FROM (VALUES ('ENTAILMENT', 'entailment', 'osm_ENTAILMENT'), ('LABEL_0', 'contradiction', 'osm_LABEL_0'), ('unacceptable', 'acceptable', 'osm_unacceptable'), ('not_duplicate', 'positive', 'osm_not_duplicate'), ('none', 'negative', 'osm_none'), ('mfcc_sma[3]', 'mfcc_sma[3]', 'osm_mfcc3_sma'), ('audSpec_Rfilt_sma[12]', 'audspec_rfilt_sma[12]', 'osm_audSpec_Rfilt_sma_12'), ('lspFreq_sma[7]', 'lspfreq_sma[7]', 'osm_lsf7'), ('a.b-c[1]', 'a.b-c[1]', 'osm_a_b_c_1'))t(n, label, name)")
 def label_names(spark: SparkSession, sf: str) -> DataFrame:
-    n = spark.createDataFrame([("ENTAILMENT",), ("Contradicted",), ("unacceptable",), ("mfcc_sma[3]",), ("a b.c-d",)], "n string")
+    n = spark.createDataFrame([(x,) for x in ("ENTAILMENT", "LABEL_0", "unacceptable", "not_duplicate", "none", "mfcc_sma[3]", "audSpec_Rfilt_sma[12]", "lspFreq_sma[7]", "a.b-c[1]")], "n string")
     return n.select("n", text.label_name(F.col("n")).alias("label"), text.clean_name(F.col("n")).alias("name"))
 
 

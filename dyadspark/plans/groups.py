@@ -90,9 +90,9 @@ def lag_direction(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {STATES_SQL}, g AS (SELECT dyad, person, state, count(*) AS n, avg(signal) AS m, coalesce(var_samp(signal), 0) AS v FROM states GROUP BY ALL),
 p AS (SELECT a.dyad, a.person, a.state AS state_a, b.state AS state_b, a.n AS na, b.n AS nb, a.m AS ma, b.m AS mb, a.v AS va, b.v AS vb FROM g a JOIN g b ON a.dyad = b.dyad AND a.person = b.person AND a.state < b.state),
 r AS (SELECT p.*, s.state, rank() OVER (PARTITION BY p.dyad, p.person, state_a, state_b ORDER BY signal) + (count(*) OVER (PARTITION BY p.dyad, p.person, state_a, state_b, signal) - 1) / 2.0 AS k FROM p JOIN states s ON s.dyad = p.dyad AND s.person = p.person AND s.state IN (state_a, state_b))
-SELECT dyad, person, state_a, state_b, CAST(sum(k) FILTER (state = state_a) - na * (na + 1) / 2.0 AS DOUBLE) AS u_statistic, round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 0), 0), 5) AS cohens_d FROM r GROUP BY dyad, person, state_a, state_b, na, nb, ma, mb, va, vb""")
+SELECT dyad, person, state_a, state_b, CAST(sum(k) FILTER (state = state_a) - na * (na + 1) / 2.0 AS DOUBLE) AS u_stat, round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 0), 0), 5) AS cohens_d FROM r GROUP BY dyad, person, state_a, state_b, na, nb, ma, mb, va, vb""")
 def mannwhitney_u(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(group.mann_whitney(fx.states(spark, sf), "signal", "state", ["dyad", "person"]).drop("p_value"), 5)
+    return rounded(group.mann_whitney(fx.states(spark, sf), "signal", "state", ["dyad", "person"]).drop("p_value", "p_fdr", "significant"), 5)
 
 
 @query("""WITH x AS (SELECT c_mktsegment, c_acctbal, coalesce(t, 0) AS t FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY ALL) ON c_custkey = o_custkey),
@@ -146,7 +146,7 @@ def _votes(spark: SparkSession, sf: str) -> DataFrame:
 VOTES_SQL = LOADINGS_SQL + ", votes AS (SELECT *, component % 4 AS subject, CASE WHEN component % 2 = 0 THEN 'pca' ELSE 'fa' END AS method, abs(loading) AS abs_loading FROM top)"
 
 
-@query(f"""WITH {VOTES_SQL} SELECT feature, count(*) AS n_votes, count(DISTINCT subject) AS n_unique_subjects, round(avg(abs_loading), 6) AS mean_abs_loading, string_agg(DISTINCT method, ',' ORDER BY method) AS methods_where_significant, round(count(*) / 4.0, 6) AS vote_proportion, 'body_pose' AS modality FROM votes GROUP BY feature""")
+@query(f"""WITH {VOTES_SQL} SELECT feature, count(*) AS n_votes, count(DISTINCT subject) AS n_unique_subjects, round(avg(abs_loading), 6) AS mean_abs_loading, string_agg(DISTINCT method, ',' ORDER BY method) AS methods_where_significant, round(count(*) / 4.0, 6) AS vote_proportion, 'movement' AS modality FROM votes GROUP BY feature""")
 def vote_counting(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(group.vote_summary(_votes(spark, sf), "subject", 4))
 

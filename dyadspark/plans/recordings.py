@@ -22,13 +22,13 @@ def _long(spark: SparkSession, sf: str) -> DataFrame:
 
 DESC_SQL = """SELECT subject, feature, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd, min(value) AS min, max(value) AS max, round(median(value), 4) AS median,
 round(CASE WHEN count(value) > 2 AND min(value) < max(value) THEN (avg(value * value * value) - 3 * avg(value) * avg(value * value) + 2 * power(avg(value), 3)) / power(var_pop(value), 1.5) END, 3) + 0.0 AS skewness,
-round(CASE WHEN count(value) > 2 AND min(value) < max(value) THEN kurtosis_pop(value) END, 3) + 0.0 AS kurtosis, round(100 * avg(CASE WHEN value = 0 THEN 1.0 ELSE 0.0 END), 4) AS pct_zero, round(100 * avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 4) AS pct_nan, min(value) = max(value) AS is_constant FROM long GROUP BY subject, feature"""
+round(CASE WHEN count(value) > 2 AND min(value) < max(value) THEN kurtosis_pop(value) END, 3) + 0.0 AS kurtosis, round(100 * avg(CASE WHEN value = 0 THEN 1.0 ELSE 0.0 END), 4) AS percent_zero, round(100 * avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 4) AS percent_nan, min(value) = max(value) AS is_constant FROM long GROUP BY subject, feature"""
 
 
 @query(f"WITH {LONG_SQL} {DESC_SQL}")
 def descriptives(spark: SparkSession, sf: str) -> DataFrame:
     d = describe.descriptives(_long(spark, sf), ["subject"]).drop("variance")
-    return d.select("subject", "feature", *[F.round(c, 4).alias(c) for c in ("mean", "sd")], "min", "max", F.round("median", 4).alias("median"), *[(F.round(c, 3) + 0.0).alias(c) for c in ("skewness", "kurtosis")], *[F.round(c, 4).alias(c) for c in ("pct_zero", "pct_nan")], "is_constant")
+    return d.select("subject", "feature", *[F.round(c, 4).alias(c) for c in ("mean", "sd")], "min", "max", F.round("median", 4).alias("median"), *[(F.round(c, 3) + 0.0).alias(c) for c in ("skewness", "kurtosis")], *[F.round(c, 4).alias(c) for c in ("percent_zero", "percent_nan")], "is_constant")
 
 
 @query(f"""WITH {LONG_SQL}, d AS (SELECT subject, feature, var_pop(value) AS v, max(value) - min(value) AS r, min(value) = max(value) AS c FROM long GROUP BY ALL)
@@ -61,9 +61,9 @@ def movement_energy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(l.withColumn("step", step).groupBy("g", (F.col("frame.f") % 1000).alias("slot")).agg(F.avg("step").alias("movement_energy")), 4)
 
 
-@query("SELECT n, CASE n WHEN 'GMP_world_x_1' THEN 'body_pose' WHEN 'oc_audvol' THEN 'vocal_prosody' WHEN 'eln_valence' THEN 'facial_affect' ELSE 'other' END AS modality, lower(replace(n, ' ', '_')) AS slug FROM (VALUES ('GMP_world_x_1'), ('oc_audvol'), ('eln_valence'), ('Some Label'))t(n)")
+@query("SELECT n, CASE n WHEN 'GMP_world_x_1' THEN 'movement' WHEN 'oc_audvol' THEN 'vocal_energy' WHEN 'ee_valence' THEN 'emotieffnet' ELSE 'other' END AS modality, lower(replace(n, ' ', '_')) AS slug FROM (VALUES ('GMP_world_x_1'), ('oc_audvol'), ('ee_valence'), ('Some Label'))t(n)")
 def modality_map(spark: SparkSession, sf: str) -> DataFrame:
-    n = spark.createDataFrame([("GMP_world_x_1",), ("oc_audvol",), ("eln_valence",), ("Some Label",)], "n string")
+    n = spark.createDataFrame([("GMP_world_x_1",), ("oc_audvol",), ("ee_valence",), ("Some Label",)], "n string")
     return n.select("n", modality(F.col("n")).alias("modality"), slugify(F.col("n")).alias("slug"))
 
 
@@ -93,11 +93,13 @@ def frame_differences(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(describe.frame_differences(o, ["g"], "i").select("g", "i", "diff"), 4)
 
 
-@query("""WITH x AS (SELECT o_orderpriority AS g, 20 * log10(greatest(o_totalprice, 1e-10) / max(o_totalprice) OVER (PARTITION BY o_orderpriority)) AS db, CASE WHEN o_custkey > 50 THEN 12 * log2(o_custkey / 440.0) END AS st FROM orders)
-SELECT g, round(avg(db), 5) AS volume_db_mean, round(stddev_pop(db), 5) AS volume_db_std, round(avg(st), 5) AS pitch_st_mean, round(stddev_pop(st), 5) AS pitch_st_std, count(st) AS n_voiced FROM x GROUP BY g""")
+@query("""WITH x AS (SELECT o_orderpriority AS g, o_orderkey AS i, greatest(-80.0, 20 * log10(o_totalprice / max(o_totalprice) OVER (PARTITION BY o_orderpriority))) AS v, CASE WHEN o_custkey > 50 THEN 12 * log2(o_custkey / 440.0) END AS p FROM orders),
+d AS (SELECT *, v - lag(v) OVER (PARTITION BY g ORDER BY i) AS dv, p - last_value(p IGNORE NULLS) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dp FROM x)
+SELECT g, round(avg(v), 5) AS oc_audvol, round(stddev_pop(v), 5) AS oc_audvol_std, round(max(v), 5) AS oc_audvol_max, round(min(v), 5) AS oc_audvol_min, round(avg(abs(dv)), 5) AS oc_audvol_diff, round(stddev_pop(dv), 5) AS oc_audvol_diff_std,
+round(avg(p), 5) AS oc_audpit, round(stddev_pop(p), 5) AS oc_audpit_std, round(max(p), 5) AS oc_audpit_max, round(min(p), 5) AS oc_audpit_min, round(avg(abs(dp)), 5) AS oc_audpit_diff, round(stddev_pop(dp), 5) AS oc_audpit_diff_std, round(max(p) - min(p), 5) AS oc_audpit_range FROM d GROUP BY g""")
 def volume_pitch(spark: SparkSession, sf: str) -> DataFrame:
     o = fx.table(spark, sf, "orders").withColumn("g", F.col("o_orderpriority")).withColumn("f", F.col("o_custkey").cast("double"))
-    return rounded(describe.volume_pitch(o, ["g"], "o_totalprice", "f"), 5)
+    return rounded(describe.volume_pitch(o, ["g"], "o_orderkey", "o_totalprice", "f"), 5)
 
 
 @query("""WITH s AS (SELECT vec_id, i - 1 AS i, x, lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))
@@ -152,9 +154,9 @@ def frame_grid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(align.frame_grid(l, ["l_orderkey"], "n", "fps").groupBy("l_orderkey").agg(F.sum("time_seconds").alias("total_time"), F.count(F.lit(1)).alias("n_frames")))
 
 
-@query("""SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.1fs', s) ELSE printf('%dm%02ds', CAST(floor(s / 60) AS BIGINT), CAST(floor(s - floor(s / 60) * 60) AS BIGINT)) END AS elapsed FROM (SELECT o_orderkey, floor(o_totalprice / 1000) + 0.5 AS s FROM orders)""")
+@query("""SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%dm%02ds', CAST(floor(s) AS BIGINT) // 60, CAST(floor(s) AS BIGINT) % 60) ELSE printf('%dh%02dm', CAST(floor(s) AS BIGINT) // 3600, CAST(floor(s) AS BIGINT) // 60 % 60) END AS elapsed FROM (SELECT o_orderkey, floor(o_totalprice / 60) + 0.5 AS s FROM orders)""")
 def format_elapsed(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "orders").select("o_orderkey", format_seconds(F.floor(F.col("o_totalprice") / 1000) + 0.5).alias("elapsed"))
+    return fx.table(spark, sf, "orders").select("o_orderkey", format_seconds(F.floor(F.col("o_totalprice") / 60) + 0.5).alias("elapsed"))
 
 
 @query("""SELECT user_id, arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) FILTER (value > 50) AS value FROM events GROUP BY user_id""")
