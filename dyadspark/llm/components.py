@@ -12,9 +12,8 @@ def _star(neighbours: DataFrame, larger: bool) -> DataFrame:
     """neighbours (u, v): hangs v's on the least of u's neighbourhood; on the large star only those above u."""
     least = neighbours.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
     joined = neighbours.join(least, "u")
-    if larger:
-        return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    hung = joined.where(F.col("v") > F.col("u")).withColumn("x", F.array("v")) if larger else joined.withColumn("x", F.array("u", "v"))
+    return hung.select(F.explode("x").alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        large = _star(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        large = _star(both, True)
         small = _star(large.where(F.col("u") != F.col("v")).distinct(), False)
         now = written(small.where(F.col("u") != F.col("v")).distinct(), "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return now.select(F.explode(F.array("u", "v")).alias("node"), F.col("v").alias("root")).distinct()

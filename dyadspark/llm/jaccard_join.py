@@ -2,12 +2,14 @@
 
 Two sets with Jaccard similarity of num/den or more, of S shingles together, differ in (den - num) / (den + num) * S at most.
 Cut both by hash into more parts than that and some parts are equal. Sizes fall into ranges, a range has one number of parts,
-and a set is cut for each range that may hold a partner. Three parts more than needed are equal, so that a part without
-shingles needn't count; sets with three or more such parts are also known by each three of them.
+and a set is cut for each range that may hold a partner. There are `spare` parts more than needed, so that parts without
+shingles needn't count; a set with more of those than that is also known by each spare + 1 of them.
 
 Sets with an equal part form a bucket. Each is hung on the bucket's least, slice by slice and then in all, so buckets of any
-size give stars and not pairs. The stars are searched first: the bucket's least set is a query to the index of the others.
-Most buckets are then connected; only those that aren't are searched all against all, in blocks, across components.
+size give stars and not pairs. Then the set that is in most buckets becomes a bucket's hub: among near copies of one text, the
+one closest to the others. Hubs are searched first: each is a query to the index of the others in its buckets. Most buckets
+are then connected; only those that aren't are searched all against all, in blocks, across components. Before any search, sketches rule out what can't be: one bit for each hash value, flipped by each shingle, so that two sketches
+differ in no more bits than their sets in shingles. Only texts of sets that pass are fetched.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from dyadspark.llm.components import components
 from dyadspark.llm.textvec import SLICE, U, Rolling, Words, mix, packed, slices, unpacked, windows_within
 
 WORDS, SIMILAR = 5, (80, 100)
-SPARE, RATIO, BITS, BLOCK = 2, 1.5, 7, 256
+SPARE, RATIO, BLOCK = 2, 1.5, 256
+#: Characters of text that a part of the signatures stands for, and the least number of parts (a power of two).
+PART_CHARS, PARTS = 4_000_000, 64
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +46,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     h = np.concatenate([roll.windows(at, size), roll.windows(x.first[short], n[short])])
     with np.errstate(over="ignore"):
         _, one = np.unique(h + mix(row.astype(U)), return_index=True)
-    order = one[np.lexsort((h[one], row[one]))]
+    order = one[np.argsort(row[one], kind="stable")]
     return row[order], h[order]
 
 
@@ -51,13 +55,21 @@ class Ranges:
 
     def __init__(self, similar: tuple[int, int]):
         self.num, self.den = similar
+        if not 7 * self.den <= 10 * self.num <= 10 * self.den:
+            raise ValueError("parts of sets tell candidates for similarities from 0.7 to 1")
         low = [1]
         while low[-1] < 1 << 40:
             low.append(max(low[-1] + 1, int(low[-1] * RATIO)))
         self.low = np.array(low)
         self.top = (self.low[1:] - 1) * self.den // self.num  # of the larger set
-        apart = (self.low[1:] - 1 + self.top) * (self.den - self.num) // (self.den + self.num)
-        self.parts = np.where(apart > 0, apart + 1 + SPARE, 1)
+        self.apart = (self.low[1:] - 1 + self.top) * (self.den - self.num) // (self.den + self.num)
+        spare = np.full(len(self.apart), SPARE)
+        for _ in range(20):  # large sets: so many that more empty parts are rare in the range's smallest sets
+            q = self.apart + 1.0 + spare
+            empty = q * np.exp(-self.low[:-1] / q)
+            spare = np.where(self.apart > 9, np.minimum(np.maximum(SPARE, np.ceil(empty + 4 * np.sqrt(empty)) + 1), self.apart), SPARE).astype(np.int64)
+        self.spare = np.where(self.apart > 0, spare, 0)
+        self.parts = self.apart + 1 + self.spare
 
     def of(self, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(sets, range): of their sizes n, each set with each range it belongs to."""
@@ -92,17 +104,28 @@ def signatures(row: np.ndarray, h: np.ndarray, n_rows: int, ranges: Ranges) -> t
             sigs.append(mix(total + mix(name)))
         rows.append(sets[own])
         empty = q - np.bincount(own, minlength=len(sets))
-        for k in np.flatnonzero(empty > SPARE):  # rare: many parts without shingles
+        for k in np.flatnonzero((empty > ranges.spare[j]) & (ranges.apart[j] > 0)):  # rare: many parts without shingles
             none = sorted(set(range(int(q[k]))) - set((cell[own == k] - base[k]).tolist()))
-            triples = np.array(list(combinations(none, SPARE + 1)), np.int64)
-            code = (triples * np.array([1, 1 << 20, 1 << 40])).sum(1).astype(U)
+            codes = [hash(c) & (1 << 64) - 1 for c in combinations(none, int(ranges.spare[j[k]]) + 1)]  # of ints: the same everywhere
             with np.errstate(over="ignore"):
-                sigs.append(mix(code ^ mix(np.array([int(j[k]) + 1], U) << U(50))))
-            rows.append(np.full(len(triples), sets[k]))
+                sigs.append(mix(np.array(codes, U) ^ mix(np.array([int(j[k]) + 1], U) << U(50))))
+            rows.append(np.full(len(codes), sets[k]))
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(sigs) if sigs else np.zeros(0, U)
 
 
-def _stars(texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+def sketch(h: np.ndarray) -> bytes:
+    """A bit for each value of the hash, flipped by each shingle: two bits a shingle at least, a power of two, 256 or more."""
+    bits = max(256, 1 << int(2 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h >> U(3)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one length, the least: halves of longer ones laid on each other."""
+    least = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, least), 0) for s in sketches])
+
+
+def _stars(texts: DataFrame, size: int, similar: tuple[int, int], bits: int) -> DataFrame:
     """sig, a, b long: in each bucket every id but the least is hung on a smaller one."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +143,12 @@ def _stars(texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
                 lead = np.repeat(head, np.diff(np.append(head, len(sig))))
                 edge = np.flatnonzero((node != node[lead]) & ~new)
                 lone, least = sig[head], row[head]
-                cut = np.searchsorted(lone, np.arange(1 << BITS, dtype=U) << U(64 - BITS))
+                cut = np.searchsorted(lone, np.arange(1 << bits, dtype=U) << U(64 - bits))
                 ends = np.append(cut[1:], len(lone))
-                side = np.searchsorted(sig[edge], np.arange(1 << BITS, dtype=U) << U(64 - BITS))
+                side = np.searchsorted(sig[edge], np.arange(1 << bits, dtype=U) << U(64 - bits))
                 side_ends = np.append(side[1:], len(edge))
                 rows = []
-                for part in range(1 << BITS):
+                for part in range(1 << bits):
                     i, k, e, f = cut[part], ends[part], side[part], side_ends[part]
                     if k > i:
                         used, local = np.unique(least[i:k], return_inverse=True)
@@ -165,23 +188,22 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield list(own)
 
 
-def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
-    """{record: lists it is in} for the records in at least `least` of the sorted lists, by DivideSkip.
+def t_occurrence(lists: list[list[int]], least: int, wanted=None) -> dict[int, int]:
+    """{record: lists it is in} for the records (that are wanted) in at least `least` of the sorted lists, by DivideSkip.
 
-    The longest lists are set aside, so many that what is left must still hold a record `least` minus their number times.
-    The short ones are merged by a heap, and what they hold often enough is looked up in the long ones by bisection.
+    The `least` - 1 longest lists are set aside: a record in `least` of all must still be in one of the short ones, those of
+    the rarest shingles. These are merged by a heap, and what they hold is looked up in the long ones by bisection, as long
+    as the lists that are left can still make up what is missing.
     """
     lists = sorted((x for x in lists if x), key=len)
     if len(lists) < least or least < 1:
         return {}
-    longest = len(lists[-1])
-    n_long = min(least - 1, int(least / (0.01 * np.log2(longest + 1) * least + 1))) if longest > 1 else 0
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    short, long = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
     found = {}
     for record, times in groupby(heapq.merge(*short)):
-        n = sum(1 for _ in times)
-        if n < least - n_long:
+        if wanted and not wanted(record):
             continue
+        n = sum(1 for _ in times)
         for left, x in zip(range(len(long) - 1, -1, -1), long, strict=True):
             i = bisect_left(x, record)
             n += i < len(x) and x[i] == record
@@ -201,11 +223,11 @@ def index_of(sets: list[np.ndarray]) -> dict[int, list[int]]:
     return out
 
 
-def partners(query: np.ndarray, sizes: list[int], index: dict[int, list[int]], similar: tuple[int, int]) -> list[int]:
-    """The indexed sets that are similar to the query."""
+def partners(query: np.ndarray, sizes: list[int], index: dict[int, list[int]], similar: tuple[int, int], wanted=None) -> list[int]:
+    """The indexed sets (that are wanted) that are similar to the query."""
     num, den = similar
     n = len(query)
-    hits = t_occurrence([index[x] for x in query.tolist() if x in index], -(-num * n // den))
+    hits = t_occurrence([index[x] for x in query.tolist() if x in index], -(-num * n // den), wanted)
     return [i for i, common in hits.items() if den * common >= num * (n + sizes[i] - common)]
 
 
@@ -217,38 +239,90 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def _sketched(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """id, key, n, bits of the texts with these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _sets(batch.column(2), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["id", "key", "n", "bits"])
+
+    return texts.join(ids, "id").select("id", "key", "text").mapInArrow(run, "id long, key binary, n long, bits binary")
+
+
+def _closeness(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    num, den = similar
+    return (differing * (den + num) <= (n_a + n_b) * (den - num)) & (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b))
+
+
+def _close_pairs(pairs: DataFrame, sketches: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """a, b, a_key, b_key of the pairs of ids that sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a_bits").to_pylist(), batch.column("b_bits").to_pylist()
+            differing = np.array([int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in zip(a, b, strict=True)], np.int64)
+            keep = _closeness(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy(), differing, similar)
+            yield batch.select(["a", "b", "a_key", "b_key"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("key", "n", "bits")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.mapInArrow(run, "a long, b long, a_key binary, b_key binary")
+
+
 def _searched_stars(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """a, b, a_key, b_key, linked boolean for pairs of ids (a, b): each a queries the index of its b."""
+    """Of pairs (a, b, a_key, b_key) those that link: each a queries the index of its b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                keys, a = batch.column("a_key").to_pylist(), batch.column("a").to_numpy()
+                keys = batch.column("a_key").to_pylist()
                 heads = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
                 queries = _sets(batch.column("a_text").take(pa.array(heads, pa.int64())), size)
                 sets = _sets(batch.column("b_text"), size)
-                linked = np.zeros(len(a), bool)
-                for i, j, query in zip(heads, [*heads[1:], len(a)], queries, strict=True):
+                linked = []
+                for i, j, query in zip(heads, [*heads[1:], len(keys)], queries, strict=True):
                     own = sets[i:j]
-                    linked[[i + k for k in partners(query, [len(s) for s in own], index_of(own), similar)]] = True
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "a_key", "b_key")), pa.array(linked)], ["a", "b", "a_key", "b_key", "linked"])
+                    linked += [i + k for k in partners(query, [len(s) for s in own], index_of(own), similar)]
+                yield batch.select(["a", "b", "a_key", "b_key"]).take(pa.array(sorted(linked), pa.int64()))
 
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key"), F.col("text").alias(f"{c}_text"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_key", "b_key", "a_text", "b_text")
-    return both.mapInArrow(run, "a long, b long, a_key binary, b_key binary, linked boolean")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key2"), F.col("text").alias(f"{c}_text"))
+    both = pairs.join(side("b"), "b").where("b_key = b_key2").drop("b_key2").join(side("a"), "a").where("a_key = a_key2")
+    return both.select("a", "b", "a_key", "b_key", "a_text", "b_text").mapInArrow(run, "a long, b long, a_key binary, b_key binary")
 
 
 def _searched_blocks(members: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """a, b (keys) of links between components in buckets (sig, id, component), each searched all against all.
+    """a, b (keys) of links between components in buckets (sig, id, key, component, n, bits), each all against all.
 
-    A bucket of more than BLOCK members is cut into blocks by hash, and each two blocks meet in one search.
+    A bucket of more than BLOCK members is cut into blocks by hash, and each two blocks meet in one search. Sketches choose
+    the members whose texts are needed.
     """
-    n = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    dealt = members.join(n, "sig").withColumn("own", own).withColumn("at", meet).select("id", "component", F.xxhash64("sig", "at.i", "at.j").alias("task"))
-    rows = dealt.join(texts.select("id", "key", "text"), "id").repartition("task").sortWithinPartitions("task", "key").select("task", "component", "key", "text")
+    n = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    dealt = members.join(n, "sig").withColumn("own", own).withColumn("at", meet).select(F.xxhash64("sig", "at.i", "at.j").alias("task"), "id", "key", "component", "n", "bits")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, rows in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["task"]):
+            rows = list(rows)
+            bits, size_of = folded([r["bits"] for r in rows]), np.array([r["n"] for r in rows])
+            _, part = np.unique(np.array([r["component"].hex() for r in rows]), return_inverse=True)
+            keep = np.zeros(len(rows), bool)
+            for i in range(len(rows) - 1):
+                differing = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1, dtype=np.int64)
+                near = np.flatnonzero(_closeness(size_of[i], size_of[i + 1 :], differing, similar) & (part[i + 1 :] != part[i])) + i + 1
+                keep[near] = True
+                keep[i] |= len(near) > 0
+            at = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array([task] * len(at), pa.int64()), *(pa.array([rows[i][c] for i in at], k) for c, k in (("id", pa.int64()), ("key", pa.binary()), ("component", pa.binary())))], ["task", "id", "key", "component"])
+
+    needed = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(chosen, "task long, id long, key binary, component binary")
+    # tasks with the same members need one search
+    needed = written(needed, "needed")
+    once = needed.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("of")).groupBy("n", "of").agg(F.min("task").alias("task"))
+    rows = needed.join(once.select("task"), "task").join(texts.select("id", F.col("key").alias("key2"), "text"), "id").where("key = key2")
+    rows = rows.select("task", "component", "key", "text").repartition("task").sortWithinPartitions("task", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def searched(task: list[dict]) -> list[tuple[bytes, bytes]]:
@@ -263,7 +337,8 @@ def _searched_blocks(members: DataFrame, texts: DataFrame, size: int, similar: t
 
             out = []
             for i, query in enumerate(sets):
-                for k in partners(query, sizes, index, similar):
+                apart = lambda k, i=i: k < i and root(task[k]["component"]) != root(task[i]["component"])
+                for k in partners(query, sizes, index, similar, apart):
                     x, y = root(task[i]["component"]), root(task[k]["component"])
                     if x != y:
                         up[max(x, y)] = min(x, y)
@@ -286,20 +361,25 @@ def similar_texts(docs: DataFrame, text_col: str, size: int = WORDS, similar: tu
     same = text.groupBy(F.xxhash64("text").alias("id")).agg(F.collect_set("text").alias("texts")).select("id", F.explode("texts").alias("text"))
     same.withColumn("key", text_key(F.col("text"))).write.bucketBy(parts_for(spark, 8), "id").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    stars = written(_stars(texts, size, similar), "stars")
-    searched = written(_searched_stars(stars.select("a", "b").distinct(), texts, size, similar), "searched")
-    links = searched.where("linked").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    stars = written(_stars(texts, size, similar, max(PARTS, 2 * chars // PART_CHARS).bit_length() - 1), "stars")
+    members = stars.select("sig", F.explode(F.array("a", "b")).alias("id")).distinct()
+    degree = members.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    hubs = members.join(degree, "id").groupBy("sig").agg(F.max(F.struct("n", "id")).alias("hub"))
+    hung = written(members.join(hubs, "sig").select("sig", F.col("hub.id").alias("a"), F.col("id").alias("b")), "hung")
+    pairs = hung.where("a <> b").select("a", "b").distinct()
+    sketches = written(_sketched(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, size), "sketches")
+    linked = written(_searched_stars(_close_pairs(pairs, sketches, similar), texts, size, similar), "linked")
+    links = linked.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
     groups = written(components(links), "groups")
-    # buckets with a star that failed, by members and their components
-    open_sigs = stars.join(searched.where(~F.col("linked")).select("a", "b").distinct(), ["a", "b"]).select("sig").distinct()
-    still = stars.join(open_sigs, "sig")
-    members = still.select("sig", F.col("a").alias("id")).unionByName(still.select("sig", F.col("b").alias("id"))).distinct()
-    keys = searched.select(F.col("a").alias("id"), F.col("a_key").alias("key")).unionByName(searched.select(F.col("b").alias("id"), F.col("b_key").alias("key"))).distinct()
-    named = keys.join(groups, keys.key == groups.node, "left").select("id", F.coalesce("root", "key").alias("component"))
-    members = written(members.join(named, "id"), "members")
-    shape = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("of"), F.min("component").alias("x"), F.max("component").alias("y"))
+    # buckets with a member that doesn't link to the hub, and their components
+    open_sigs = hung.where("a <> b").join(linked.select("a", "b").distinct(), ["a", "b"], "left_anti").select("sig").distinct()
+    members = hung.select("sig", F.col("b").alias("id")).join(open_sigs, "sig")
+    named = sketches.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("root", "key"))
+    shape = members.join(named.select("id", "component"), "id").groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("of"), F.min("component").alias("x"), F.max("component").alias("y"))
     chosen = shape.where(F.col("x") != F.col("y")).groupBy("n", "of").agg(F.min("sig").alias("sig")).select("sig")  # one of buckets with the same members
-    more = _searched_blocks(members.join(chosen, "sig"), texts, size, similar)
+    asked = members.join(written(chosen, "buckets"), "sig").join(named.select("id", "key", "component", "n", "bits"), "id")
+    more = _searched_blocks(asked, texts, size, similar)
     return texts, components(links.unionByName(more))
 
 
@@ -327,26 +407,32 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = WORD
 
 
 def _components_of(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """__key, __component: the least id of each text's component."""
+    """__key, __root, __component: each text's component by its least text's key and its least id."""
     least = rows.groupBy("__key").agg(F.min(id_col).alias("__least"))
     rooted = least.join(groups.select(F.col("node").alias("__key"), F.col("root").alias("__root")), "__key", "left").withColumn("__root", F.coalesce("__root", "__key"))
     whole = rooted.groupBy("__root").agg(F.min("__least").alias("__component"))
-    return rooted.join(whole, "__root").select("__key", "__component")
+    return rooted.join(whole, "__root").select("__key", "__root", "__component")
 
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs with one row of each group of similar or equal texts: the one with the least id.
 
-    All rows without words stay, as do other rows that link with nothing. Where several rows of a group bear its least id,
+    Rows without words, and other rows that link with nothing, all stay. Where several rows of a group bear its least id,
     whole copies or not, one of them stays. Of a group without any id one row stays.
     """
-    marked = jaccard_groups(docs, id_col, text_col, size, similar)
-    stay = marked.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    ids = written(stay.where(F.col("n_shingles") > 0).select("component_id").groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
-    if ids.isEmpty():
-        return stay.select(*docs.columns)
-    twice = ids.select(F.col("component_id").alias("__id"))
-    more = stay.join(twice, (stay["component_id"].eqNullSafe(twice["__id"])) & (stay["n_shingles"] > 0), "left")
-    single = more.where(F.col("__id").isNull() & (F.col("component_id").isNotNull() | (F.col("n_shingles") == 0) | F.lit(ids.where("component_id IS NULL").isEmpty())))
-    several = stay.where(F.col("n_shingles") > 0).join(twice, stay["component_id"].eqNullSafe(twice["__id"]), "left_semi")
-    return single.select(*docs.columns).unionByName(several.dropDuplicates(["component_id"]).select(*docs.columns))
+    texts, groups = similar_texts(docs, text_col, size, similar)
+    wordless = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    rows = docs.withColumn("__key", text_key(F.col(text_col))).withColumn("__id", F.xxhash64(text_col)).withColumn("__wordless", wordless)
+    light = rows.drop(text_col)
+    marked = light.join(_components_of(rows, groups, id_col), "__key", "left")
+    stay = marked.where(F.col("__wordless") | F.col(id_col).eqNullSafe(F.col("__component")))
+    several = written(stay.where(~F.col("__wordless")).groupBy("__root").agg(F.count(F.lit(1)).alias("n"), F.min("__key").alias("k")).where("n > 1"), "several")
+    if not several.isEmpty():  # ids that repeat in a group: one row for each, by least key, then any of equal rows
+        again = several.select(F.col("__root").alias("__r"), "k")
+        own = stay["__root"] == again["__r"]
+        plain = stay.join(again, own & ~F.col("__wordless"), "left_anti")
+        first = stay.where(~F.col("__wordless")).join(again, own & (F.col("__key") == F.col("k")), "left_semi")
+        stay = plain.unionByName(first.dropDuplicates(["__root"]))
+    # texts come from the table that is laid out by their hash, and don't move again
+    own = texts.select(F.col("id").alias("__id"), F.col("key").alias("__k"), F.col("text").alias(text_col))
+    return stay.join(own, (stay["__id"] == own["__id"]) & (stay["__key"] == own["__k"]), "left").select(*docs.columns)
