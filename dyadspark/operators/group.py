@@ -128,7 +128,7 @@ def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
 def method_means(peaks: DataFrame, r: str, entity: list[str]) -> tuple[DataFrame, DataFrame]:
     """Mean absolute r by entity and method, and over entities mean, sd and median by method."""
     per = peaks.groupBy(*entity, "method").agg(F.avg(F.abs(r)).alias("mean_abs_r"))
-    return per, per.groupBy("method").agg(F.avg("mean_abs_r").alias("mean"), F.stddev_samp("mean_abs_r").alias("sd"), F.median("mean_abs_r").alias("median"), F.count(F.lit(1)).alias("n"))
+    return per, per.groupBy("method").agg(F.count(F.lit(1)).alias("n_obs"), F.avg("mean_abs_r").alias("mean_abs_r"), F.stddev_samp("mean_abs_r").alias("sd_abs_r"), F.median("mean_abs_r").alias("median_abs_r"))
 
 
 def valid_covariates(subjects: DataFrame, columns: list[str], most_missing: float = 0.2) -> list[str]:
@@ -147,3 +147,14 @@ def joined_scores(pairs: DataFrame, subjects: DataFrame, score: str, subject: st
     out = pairs.join(one("sub_a"), "sub_a", "left").join(one("sub_b"), "sub_b", "left")
     known = F.array_compact(F.array("sub_a_score", "sub_b_score"))
     return out.withColumn(score, F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known)))
+
+
+def metric_summary(rows: DataFrame, metrics: list[str], within: list[str], entity: str) -> DataFrame:
+    """Number of entities, and mean and sd of each metric."""
+    return rows.groupBy(*within).agg(F.count_distinct(entity).alias("n_dyads"), *[x for m in metrics for x in (F.avg(m).alias(f"mean_{m}"), F.stddev_samp(m).alias(f"sd_{m}"))])
+
+
+def entity_effects(summary: DataFrame, tests: DataFrame, entity: list[str]) -> DataFrame:
+    """eta squared, greatest |d|, and numbers of significant and of all pairs of states for each entity."""
+    pairs = tests.groupBy(*entity).agg(F.max(F.abs("cohens_d")).alias("max_cohens_d"), F.count_if("significant").alias("n_sig_pairs"), F.count(F.lit(1)).alias("n_pairs"))
+    return eta_squared(summary, entity).join(pairs, entity, "left")

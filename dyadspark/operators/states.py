@@ -125,3 +125,10 @@ def hmm_parameters(n_states, n_features, covariance: str):
     return base + cov
 
 
+
+
+def segments_table(states: DataFrame, probabilities: str, bin_size: float) -> DataFrame:
+    """time_seconds, frame_idx and state_probability of each bin: the assigned state's element, null beyond the array."""
+    t = F.col("bin") * F.lit(bin_size)
+    p = F.when((F.col("state") >= 1) & (F.col("state") <= F.size(probabilities)), F.element_at(probabilities, F.col("state")))
+    return states.withColumn("time_seconds", t).withColumn("frame_idx", F.floor(t / bin_size)).withColumn("state_probability", p)

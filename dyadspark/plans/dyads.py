@@ -245,3 +245,14 @@ def wide_interpolated(spark: SparkSession, sf: str) -> DataFrame:
     steps = F.sequence(F.lit(0), F.floor((F.col("hi") + step / 2 - F.col("lo")) / step).cast("int"))
     grid = ends.select("dyad", F.explode(F.transform(steps, lambda k: F.col("lo") + k * step)).alias("time_seconds"))
     return rounded(align.interpolated(w, grid, ["dyad"], "time_seconds", "pearson_r_click"), 5)
+
+
+@query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")}, ctop AS (SELECT dyad, dimension, start, ccc AS concordance_ccc FROM (SELECT *, row_number() OVER (PARTITION BY dyad, dimension, "window" ORDER BY abs(ccc) DESC, lag) AS k FROM swept WHERE ccc IS NOT NULL) WHERE k = 1 AND start % 8 = 0)
+SELECT coalesce(b.dyad, c.dyad) AS dyad, coalesce(b.dimension, c.dimension) AS dimension, coalesce(b.start, c.start) * CAST(21600.0 AS DOUBLE) AS window_time, round(b.peak, 6) AS pearson_r, round(c.concordance_ccc, 6) AS concordance_ccc FROM best b FULL JOIN ctop c ON b.dyad = c.dyad AND b.dimension = c.dimension AND b.start = c.start""")
+def merged_methods(spark: SparkSession, sf: str) -> DataFrame:
+    """Full outer merge of two methods' windows."""
+    swept = _swept(spark, sf)
+    key = ["dyad", "dimension", "start"]
+    r = synchrony.windowed_peaks(swept).select(*key, F.col("peak").alias("pearson_r"))
+    c = synchrony.windowed_peaks(swept, of="ccc").where((F.col("start") % 8 == 0) & F.col("peak").isNotNull()).select(*key, F.col("peak").alias("concordance_ccc"))
+    return rounded(r.join(c, key, "full_outer").withColumn("window_time", F.col("start") * fx.BIN).drop("start"))

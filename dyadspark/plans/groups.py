@@ -51,7 +51,7 @@ per AS (SELECT dyad, method, avg(abs(correlation)) AS mean_abs_r FROM methods GR
 per9 AS (SELECT dyad, method, round(mean_abs_r, 9) AS mean_abs_r FROM per)"""
 
 
-@query(f"WITH {METHODS_SQL} SELECT method, round(avg(mean_abs_r), 6) AS mean, round(stddev_samp(mean_abs_r), 6) AS sd, round(median(mean_abs_r), 6) AS median, count(*) AS n FROM per GROUP BY method")
+@query(f"WITH {METHODS_SQL} SELECT method, count(*) AS n_obs, round(avg(mean_abs_r), 6) AS mean_abs_r, round(stddev_samp(mean_abs_r), 6) AS sd_abs_r, round(median(mean_abs_r), 6) AS median_abs_r FROM per GROUP BY method")
 def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(group.method_means(_methods(spark, sf), "correlation", ["dyad"])[1])
 
@@ -188,3 +188,26 @@ def significant_peaks(spark: SparkSession, sf: str) -> DataFrame:
 def top_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("dyad").orderBy(F.desc(F.abs("correlation")), "dimension"))
     return rounded(_peaks(spark, sf).withColumn("rank", k).where("rank <= 3").select("dyad", "dimension", "correlation", "rank"))
+
+
+@query(f"""WITH {METHODS_SQL} SELECT dimension, count(DISTINCT dyad) AS n_dyads, round(avg(r), 6) AS mean_pearson, round(stddev_samp(r), 6) AS sd_pearson, round(avg(c), 6) AS mean_ccc, round(stddev_samp(c), 6) AS sd_ccc FROM ov GROUP BY dimension""")
+def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
+    o = synchrony.overall(fx.pairs(spark, sf)).withColumnRenamed("pearson_pearson_r_overall", "pearson").withColumnRenamed("concordance_concordance_ccc_overall", "ccc")
+    return rounded(group.metric_summary(o, ["pearson", "ccc"], ["dimension"], "dyad"))
+
+
+@query(f"""WITH {STATES_SQL}, g AS (SELECT dyad, person, state, count(*) AS n, avg(signal) AS m, coalesce(stddev_samp(signal), 0) AS sd FROM states GROUP BY ALL),
+w AS (SELECT *, sum(n * m) OVER (PARTITION BY dyad, person) / sum(n) OVER (PARTITION BY dyad, person) AS gm FROM g),
+e AS (SELECT dyad, person, count(*) AS n_states, sum(n * power(m - gm, 2)) / (sum(n * power(m - gm, 2)) + sum((n - 1) * sd * sd)) AS eta FROM w GROUP BY dyad, person HAVING count(*) >= 2),
+p AS (SELECT a.dyad, a.person, max(abs((a.m - b.m) / sqrt(((a.n - 1) * a.sd * a.sd + (b.n - 1) * b.sd * b.sd) / (a.n + b.n - 2)))) AS d, count(*) AS n_pairs FROM g a JOIN g b ON a.dyad = b.dyad AND a.person = b.person AND a.state < b.state GROUP BY ALL)
+SELECT dyad, person, n_states, round(eta, 6) AS eta_squared, round(d, 5) AS max_cohens_d, n_pairs FROM e JOIN p USING (dyad, person)""")
+def entity_effects(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.states(spark, sf)
+    e = group.entity_effects(states.signal_summary(s, "signal"), group.mann_whitney(s, "signal", "state", ["dyad", "person"]), ["dyad", "person"])
+    return e.select("dyad", "person", "n_states", F.round("eta_squared", 6).alias("eta_squared"), F.round("max_cohens_d", 5).alias("max_cohens_d"), "n_pairs")
+
+
+@query(f"""WITH {PEAK_SQL} SELECT p.dyad, p.dimension, round(correlation, 6) AS correlation, c_mktsegment FROM peak p JOIN customer ON c_custkey = p.dyad""")
+def peaks_with_subjects(spark: SparkSession, sf: str) -> DataFrame:
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("dyad"), "c_mktsegment")
+    return rounded(_peaks(spark, sf).join(c, "dyad").select("dyad", "dimension", "correlation", "c_mktsegment"))

@@ -182,3 +182,12 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A row a subject: duration, sizes, and mean and variance of chosen dimensions."""
     d = describe.batch_summary(fx.dense(spark, sf), ["dyad", "person"], "bin", ["click", "view"], fx.BIN)
     return d.select("dyad", "person", "duration", "n_frames", "n_features", *[F.round(c, 4 if c.startswith("var") else 5).alias(c) for c in ("mean_click", "var_click", "mean_view", "var_view")])
+
+
+@query("""WITH f AS (SELECT l_orderkey AS rec, unnest(range(0, CAST(max(l_linenumber) AS BIGINT))) AS frame_idx FROM lineitem GROUP BY l_orderkey), s AS (SELECT l_orderkey AS rec, 'oc_quantity' AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY l_orderkey)
+SELECT f.rec, CAST(frame_idx AS INTEGER) AS frame_idx, feature, value FROM f JOIN s USING (rec)""")
+def broadcast_scalars(spark: SparkSession, sf: str) -> DataFrame:
+    l = fx.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("rec")).agg(F.max("l_linenumber").alias("n"), F.sum("l_quantity").alias("q")).withColumn("fps", F.lit(25.0))
+    grid = align.frame_grid(l, ["rec"], "n", "fps").drop("time_seconds")
+    scalars = l.select("rec", F.explode(F.create_map(F.lit("oc_quantity"), "q", F.lit("osm_x"), "q", F.lit("meta"), "q")).alias("feature", "value"))
+    return align.broadcast_scalars(grid, scalars, ["rec"], ("meta",))

@@ -89,3 +89,10 @@ def hmm_parameter_count(spark: SparkSession, sf: str) -> DataFrame:
 SELECT dyad, dimension, pos, round(mean, 5) + 0.0 AS mean FROM n WHERE pos <= n - 8""")
 def rolling_means(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(align.rolling_mean(fx.pairs(spark, sf), ["dyad", "dimension"], 8, "a").select("dyad", "dimension", F.col("pos").cast("long").alias("pos"), "mean"), 5)
+
+
+@query(f"WITH {STATES_SQL} SELECT dyad, person, bin * {D} AS time_seconds, CAST(bin AS BIGINT) AS frame_idx, state, CAST(CASE WHEN state BETWEEN 1 AND 3 THEN [0.5, 0.25, 0.125][state] END AS DOUBLE) AS state_probability FROM states")
+def segments_table(spark: SparkSession, sf: str) -> DataFrame:
+    """States with the probability of the one assigned, null where there is none for it."""
+    s = fx.states(spark, sf).withColumn("probs", F.array(*map(F.lit, (0.5, 0.25, 0.125))))
+    return states.segments_table(s, "probs", fx.BIN).select("dyad", "person", "time_seconds", "frame_idx", "state", "state_probability")
