@@ -19,9 +19,14 @@ def bin_series(series: DataFrame, bin_size: float, entity: list[str] = ENTITY) -
 
 
 def densify(binned: DataFrame, entity: list[str] = ENTITY) -> DataFrame:
-    """A row for each of an entity's bins and features; null where there was none. Grids join on the entity, never across."""
-    bins, features = binned.select(*entity, "bin").distinct(), binned.select(*entity, "feature").distinct()
-    return bins.join(features, entity).join(binned.select(*entity, "feature", "bin", "value"), [*entity, "feature", "bin"], "left")
+    """A row for each of an entity's bins and features; null where there was none.
+
+    A bin's features meet in one map, and the entity's names are laid over it: one small join on the entity, no grid.
+    """
+    wide = binned.groupBy(*entity, "bin").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("__cells"))
+    names = binned.groupBy(*entity).agg(F.collect_set("feature").alias("__names"))
+    out = wide.join(names, entity).select(*entity, F.explode("__names").alias("feature"), "bin", "__cells")
+    return out.withColumn("value", F.try_element_at("__cells", F.col("feature"))).drop("__cells")
 
 
 def time_varying(dense: DataFrame, most_missing: float = 0.5, entity: list[str] = ENTITY) -> DataFrame:
@@ -39,9 +44,13 @@ def filled(dense: DataFrame, entity: list[str] = ENTITY, order: str = "bin") ->
 
 
 def pairs(filled_series: DataFrame, dyad: str = "dyad", person: str = "person", names: tuple[str, str] = ("A", "B")) -> DataFrame:
-    """A's and B's values in the bins and features that both have; pos counts a dyad's common bins from 0."""
-    side = lambda who, c: filled_series.where(F.col(person) == who).select(dyad, F.col("feature").alias("dimension"), "bin", F.col("value").alias(c))
-    both = side(names[0], "a").join(side(names[1], "b"), [dyad, "dimension", "bin"])
+    """A's and B's values in the bins and features that both have; pos counts a dyad's common bins from 0.
+
+    One aggregation puts both side by side, in place of a self join.
+    """
+    of = lambda who, c: F.max(F.when(F.col(person) == who, c))
+    both = filled_series.groupBy(dyad, F.col("feature").alias("dimension"), "bin").agg(of(names[0], F.col("value")).alias("a"), of(names[1], F.col("value")).alias("b"), of(names[0], F.lit(1)).alias("__a"), of(names[1], F.lit(1)).alias("__b"))
+    both = both.where("__a = 1 AND __b = 1").drop("__a", "__b")
     return both.withColumn("pos", F.row_number().over(Window.partitionBy(dyad, "dimension").orderBy("bin")) - 1)
 
 

@@ -48,10 +48,10 @@ def _within(rows: DataFrame, low: int, high: int, key: list[str]) -> DataFrame:
 
 
 def windowed_peaks(swept: DataFrame, key: list[str] = KEY, of: str = "r") -> DataFrame:
-    """Peak value and lag of each window; null and lag 0 where no lag has a value."""
-    best = peaks(swept, [*key, "window", "start"], of)
-    every = swept.select(*key, "window", "start").distinct()
-    return every.join(best.select(*key, "window", "start", F.col(of).alias("peak"), F.col("lag").alias("peak_lag")), [*key, "window", "start"], "left").withColumn("peak_lag", F.coalesce("peak_lag", F.lit(0)))
+    """Peak value and lag of each window, the earliest lag on ties; null and lag 0 where no lag has a value."""
+    top = F.max(F.when(F.col(of).isNotNull(), F.struct(F.abs(of).alias("size"), (-F.col("lag")).alias("early"), F.col(of).alias("value"))))
+    out = swept.groupBy(*key, "window", "start").agg(top.alias("__top"))
+    return out.select(*key, "window", "start", F.col("__top.value").alias("peak"), F.coalesce(-F.col("__top.early"), F.lit(0)).alias("peak_lag"))
 
 
 def overall(pair: DataFrame, key: list[str] = KEY) -> DataFrame:
