@@ -123,14 +123,12 @@ def transfer_entropy(pair: DataFrame, bins: int = 6, key: list[str] = KEY) -> Da
     x = pair.withColumn("xa", binned("a")).withColumn("xb", binned("b"))
     x = x.withColumn("pa", F.lag("xa").over(w)).withColumn("pb", F.lag("xb").over(w)).where("pa IS NOT NULL")
 
-    def entropy(columns: list[str], name: str) -> DataFrame:
-        c = x.groupBy(*key, *columns).agg(F.count(F.lit(1)).alias("c")).withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(*key)))
-        return c.groupBy(*key).agg((-F.sum(F.col("p") * F.log2(F.col("p") + 1e-12))).alias(name))
-
-    out = None
-    for name, columns in (("b_bp", ["xb", "pb"]), ("bp", ["pb"]), ("b_bp_ap", ["xb", "pb", "pa"]), ("both", ["pb", "pa"]), ("a_ap", ["xa", "pa"]), ("ap", ["pa"]), ("a_ap_bp", ["xa", "pa", "pb"])):
-        e = entropy(columns, name)
-        out = e if out is None else out.join(e, key)
+    # joint counts once; the entropies are sums over their margins, all within the key's partition
+    sets = {"b_bp": ["xb", "pb"], "bp": ["pb"], "b_bp_ap": ["xb", "pb", "pa"], "both": ["pb", "pa"], "a_ap": ["xa", "pa"], "ap": ["pa"], "a_ap_bp": ["xa", "pa", "pb"]}
+    cells = x.groupBy(*key, "xa", "xb", "pa", "pb").agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy(*key)))
+    margin = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.concat_ws(",", *v).alias("cell")) for k, v in sets.items()])).alias("m")
+    margins = cells.select(*key, "c", "n", margin).groupBy(*key, "m.of", "m.cell").agg((F.sum("c") / F.max("n")).alias("p"))
+    out = margins.groupBy(*key).agg(*[(-F.sum(F.when(F.col("of") == k, F.col("p") * F.log2(F.col("p") + 1e-12)))).alias(k) for k in sets])
     ab = F.col("b_bp") - F.col("bp") - F.col("b_bp_ap") + F.col("both")
     ba = F.col("a_ap") - F.col("ap") - F.col("a_ap_bp") + F.col("both")
     out = out.select(*key, ab.alias("te_AtoB"), ba.alias("te_BtoA")).withColumn("te_net", F.col("te_AtoB") - F.col("te_BtoA"))
