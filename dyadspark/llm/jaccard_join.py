@@ -113,9 +113,9 @@ def signatures(row: np.ndarray, h: np.ndarray, n_rows: int, ranges: Ranges) -> t
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(sigs) if sigs else np.zeros(0, U)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """A bit for each value of the hash, flipped by each shingle: two bits a shingle at least, a power of two, 256 or more."""
-    bits = max(256, 1 << int(2 * len(h) - 1).bit_length())
+def sketch(h: np.ndarray, per: int = 2) -> bytes:
+    """A bit for each value of the hash, flipped by each shingle: `per` bits a shingle at least, a power of two, 256 or more."""
+    bits = max(256, 1 << int(per * len(h) - 1).bit_length())
     return np.packbits((np.bincount((h >> U(3)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -188,8 +188,8 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield list(own)
 
 
-def t_occurrence(lists: list[list[int]], least: int, wanted=None) -> dict[int, int]:
-    """{record: lists it is in} for the records (that are wanted) in at least `least` of the sorted lists, by DivideSkip.
+def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
+    """{record: lists it is in} for the records in at least `least` of the sorted lists, by DivideSkip.
 
     The `least` - 1 longest lists are set aside: a record in `least` of all must still be in one of the short ones, those of
     the rarest shingles. These are merged by a heap, and what they hold is looked up in the long ones by bisection, as long
@@ -201,8 +201,6 @@ def t_occurrence(lists: list[list[int]], least: int, wanted=None) -> dict[int, i
     short, long = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
     found = {}
     for record, times in groupby(heapq.merge(*short)):
-        if wanted and not wanted(record):
-            continue
         n = sum(1 for _ in times)
         for left, x in zip(range(len(long) - 1, -1, -1), long, strict=True):
             i = bisect_left(x, record)
@@ -223,11 +221,11 @@ def index_of(sets: list[np.ndarray]) -> dict[int, list[int]]:
     return out
 
 
-def partners(query: np.ndarray, sizes: list[int], index: dict[int, list[int]], similar: tuple[int, int], wanted=None) -> list[int]:
-    """The indexed sets (that are wanted) that are similar to the query."""
+def partners(query: np.ndarray, sizes: list[int], index: dict[int, list[int]], similar: tuple[int, int]) -> list[int]:
+    """The indexed sets that are similar to the query."""
     num, den = similar
     n = len(query)
-    hits = t_occurrence([index[x] for x in query.tolist() if x in index], -(-num * n // den), wanted)
+    hits = t_occurrence([index[x] for x in query.tolist() if x in index], -(-num * n // den))
     return [i for i, common in hits.items() if den * common >= num * (n + sizes[i] - common)]
 
 
@@ -327,7 +325,7 @@ def _searched_blocks(members: DataFrame, texts: DataFrame, size: int, similar: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def searched(task: list[dict]) -> list[tuple[bytes, bytes]]:
             sets = _sets(pa.array([r["text"] for r in task], pa.large_string()), size)
-            index, sizes = index_of(sets), [len(s) for s in sets]
+            bits, sizes = folded([sketch(x, 8) for x in sets]), np.array([len(x) for x in sets])
             up = {r["component"]: r["component"] for r in task}
 
             def root(x: bytes) -> bytes:
@@ -336,13 +334,17 @@ def _searched_blocks(members: DataFrame, texts: DataFrame, size: int, similar: t
                 return x
 
             out = []
-            for i, query in enumerate(sets):
-                apart = lambda k, i=i: k < i and root(task[k]["component"]) != root(task[i]["component"])
-                for k in partners(query, sizes, index, similar, apart):
-                    x, y = root(task[i]["component"]), root(task[k]["component"])
-                    if x != y:
-                        up[max(x, y)] = min(x, y)
-                        out.append((task[i]["key"], task[k]["key"]))
+            for i in range(1, len(sets)):
+                differing = np.bitwise_count(bits[i] ^ bits[:i]).sum(1, dtype=np.int64)
+                near = np.flatnonzero(_closeness(sizes[i], sizes[:i], differing, similar)).tolist()
+                near = [k for k in near if root(task[k]["component"]) != root(task[i]["component"])]
+                if near:
+                    own = [sets[k] for k in near]
+                    for k in partners(sets[i], [len(x) for x in own], index_of(own), similar):
+                        x, y = root(task[near[k]]["component"]), root(task[i]["component"])
+                        if x != y:
+                            up[max(x, y)] = min(x, y)
+                            out.append((task[i]["key"], task[near[k]]["key"]))
             return out
 
         for _, task in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["task"]):

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.llm.common import distinct_texts, parts_for, text_key, written
-from dyadspark.llm.textvec import U, Rolling, Words, _byte_values, sliding_argmin, slices, windows_within
+from dyadspark.llm.textvec import Rolling, Words, _byte_values, sliding_argmin, slices, windows_within
 
-MOST, CHUNK, STRETCH = 512, 3_000_000, 1_000_000
+MOST, CHUNK, STRETCH = 512, 1_500_000, 500_000
 
 
 @dataclass
@@ -248,6 +248,3 @@ def removed_runs(batch: pa.RecordBatch, i: int, items: int, window: int) -> tupl
     if spans is None or not len(spans):
         return (np.zeros(0, np.int64),) * 2
     return merged(spans.field("low").to_numpy(), spans.field("high").to_numpy())
-
-
-__all__ = ["U", "Items", "Stretches", "back_to_rows", "byte_items", "different_texts", "recurring_spans", "removed_runs", "with_spans", "word_items"]
