@@ -70,7 +70,7 @@ class Encoder:
     single spaces or line breaks is the sum of its words, each with the blank before it, and words are kept in a cache.
     """
 
-    MOST = 1_000_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
