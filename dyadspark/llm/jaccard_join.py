@@ -10,6 +10,9 @@ size give stars and not pairs. Then the set that is in most buckets becomes a bu
 one closest to the others. Hubs are searched first: each is a query to the index of the others in its buckets. Most buckets
 are then connected; only those that aren't are searched all against all, in blocks, across components. Before any search, sketches rule out what can't be: one bit for each hash value, flipped by each shingle, so that two sketches
 differ in no more bits than their sets in shingles. Only texts of sets that pass are fetched.
+
+That gives components. Every link is within one, so links are counted by searching each component of three texts or more all
+against all, each pair of texts in one task: again T-occurrence, for many queries at once by counting all lists.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.llm.common import parts_for, text_key, written
@@ -31,6 +34,8 @@ from dyadspark.llm.textvec import SLICE, U, Rolling, Words, mix, packed, slices,
 
 WORDS, SIMILAR = 5, (80, 100)
 SPARE, RATIO, BLOCK = 2, 1.5, 256
+#: Texts of a component that travel as one row, and postings that are counted at once.
+PACK, POSTINGS = 64, 4_000_000
 #: Characters of text that a part of the signatures stands for, and the least number of parts (a power of two).
 PART_CHARS, PARTS = 4_000_000, 64
 
@@ -229,6 +234,51 @@ def partners(query: np.ndarray, sizes: list[int], index: dict[int, list[int]], s
     return [i for i, common in hits.items() if den * common >= num * (n + sizes[i] - common)]
 
 
+class Lists:
+    """Inverted lists of sets as flat arrays; for shingles that over half of the sets hold, the sets without them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        n, owner = len(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        self.values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.common = 2 * np.bincount(at, minlength=len(self.values)) > n
+        dense = self.common[at]
+        without = np.ones((int(self.common.sum()), n), bool)
+        without[(np.cumsum(self.common) - 1)[at[dense]], owner[dense]] = False
+        which, lacks = np.nonzero(without)
+        of = np.concatenate([at[~dense], np.flatnonzero(self.common)[which]])
+        self.members = np.concatenate([owner[~dense], lacks])[np.argsort(of, kind="stable")]
+        self.length = np.bincount(of, minlength=len(self.values))
+        self.start = np.cumsum(self.length) - self.length
+
+    def linked(self, queries: list[np.ndarray], similar: tuple[int, int]) -> np.ndarray:
+        """Whether each query (row) is similar to each set (column)."""
+        num, den = similar
+        n, sizes = len(self.sizes), np.array([len(q) for q in queries], np.int64)
+        flat, owner = np.concatenate(queries), np.repeat(np.arange(len(queries)), sizes)
+        at = np.minimum(np.searchsorted(self.values, flat), len(self.values) - 1)
+        hit = self.values[at] == flat
+        at, owner = at[hit], owner[hit]
+        postings = np.cumsum(self.length[at])
+        shared = np.zeros((len(queries), n), np.int64)
+        begin = 0
+        while begin < len(queries):
+            a = int(np.searchsorted(owner, begin))
+            most = (postings[a - 1] if a else 0) + POSTINGS
+            past = int(np.searchsorted(postings, most, "right"))
+            end = max(begin + 1, int(owner[past]) if past < len(owner) else len(queries))
+            x = slice(a, int(np.searchsorted(owner, end)))
+            for kind in (False, True):
+                own = self.common[at[x]] == kind
+                lists, q = at[x][own], owner[x][own] - begin
+                length = self.length[lists]
+                place = np.repeat(self.start[lists] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+                times = np.bincount(np.repeat(q, length) * n + self.members[place], minlength=(end - begin) * n).reshape(-1, n)
+                shared[begin:end] += np.bincount(q, minlength=end - begin)[:, None] - times if kind else times
+            begin = end
+        return den * shared >= num * (sizes[:, None] + self.sizes - shared)
+
+
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     out = []
     for a, b, raw, offsets in slices(texts, SLICE):
@@ -385,8 +435,77 @@ def similar_texts(docs: DataFrame, text_col: str, size: int = WORDS, similar: tu
     return texts, components(links.unionByName(more))
 
 
+def _links_of(texts: DataFrame, known: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """__key, __links: how many rows of other texts each text that has such links to, of texts known as (__key, __root, __id, __copies).
+
+    A component of two is one link. In larger ones each two blocks of BLOCK texts meet once, a text's sets being made once and
+    sent PACK at a time.
+    """
+    shape = known.groupBy("__root").agg(F.count(F.lit(1)).alias("m"), F.sum("__copies").alias("rows")).where("m > 1")
+    members = written(known.join(shape, "__root"), "members")
+    two = members.where("m = 2").select("__key", (F.col("rows") - F.col("__copies")).alias("__links"))
+    pack = F.pmod(F.xxhash64("__key"), F.ceil(F.col("m") / PACK)).cast("int")
+    larger = members.where("m > 2").select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__copies").alias("copies"), F.col("__root").alias("root"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), pack.alias("pack"))
+    # equal keys as two inequalities: as an equality it would join the join's keys, which the texts aren't laid out by
+    rows = larger.join(texts.select("id", F.col("key").alias("key2"), "text"), "id").where("key <= key2 and key >= key2")
+    rows = rows.select("root", "pack", "blocks", "key", "copies", "text").repartition("root", "pack").sortWithinPartitions("root", "pack")
+
+    def pack_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[tuple]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    sets = _sets(batch.column("text"), size)
+                    yield from zip(*(batch.column(c).to_pylist() for c in ("root", "pack", "blocks", "key", "copies")), sets, strict=True)
+
+        for (root, k, blocks), own in groupby(read(), key=lambda r: r[:3]):
+            own = list(own)
+            n = np.array([len(r[5]) for r in own], np.int64)
+            values, local = np.unique(np.concatenate([r[5] for r in own]), return_inverse=True)
+            local = local[np.lexsort((local, np.repeat(np.arange(len(own)), n)))].astype(np.uint32)
+            cols = [root, k % blocks, blocks, b"".join(r[3] for r in own), np.array([r[4] for r in own], np.int64).tobytes(), n.tobytes(), len(values), packed(np.diff(values, prepend=U(0))), packed(np.diff(local, prepend=np.uint32(0)))]
+            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds, strict=True)], ["root", "own", "blocks", "keys", "copies", "n", "n_values", "of_values", "local"])
+
+    packs = rows.mapInArrow(pack_up, "root binary, own int, blocks int, keys binary, copies binary, n binary, n_values long, of_values binary, local binary")
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    dealt = packs.withColumn("at", meet).select("root", "at.i", "at.j", "own", "keys", "copies", "n", "n_values", "of_values", "local")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "own")
+
+    def opened(rows: list[dict]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+        keys, sets = [], []
+        for r in rows:
+            n = np.frombuffer(r["n"], np.int64)
+            with np.errstate(over="ignore"):
+                values = np.cumsum(unpacked(r["of_values"], U, r["n_values"]), dtype=U)
+                local = np.cumsum(unpacked(r["local"], np.uint32, int(n.sum())), dtype=np.uint32)
+            sets += np.split(values[local], np.cumsum(n)[:-1])
+            keys += [r["keys"][k : k + 20] for k in range(0, len(r["keys"]), 20)]
+        return keys, np.frombuffer(b"".join(r["copies"] for r in rows), np.int64), sets
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64())], ["__key", "__links"])
+        for (_, i, j), task in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["root"], r["i"], r["j"])):
+            task = list(task)
+            a = [r for r in task if r["own"] == i]
+            b = [r for r in task if r["own"] == j]
+            if not a or not b:  # a block that got no text
+                continue
+            keys, copies, sets = opened(a)
+            if i == j:
+                yield found(keys, Lists(sets).linked(sets, similar) @ copies - copies)
+            else:
+                other_keys, other_copies, other_sets = opened(b)
+                linked = Lists(other_sets).linked(sets, similar)
+                yield found(keys, linked @ other_copies)
+                yield found(other_keys, copies @ linked)
+
+    counted = dealt.mapInArrow(search, "__key binary, __links long").groupBy("__key").agg(F.sum("__links").alias("__links"))
+    return two.unionByName(counted)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """docs with n_shingles long and component_id: the least id reachable by links, its own included.
+    """docs with n_shingles long, n_links long: the other rows that link with it, and component_id: the least id reachable by links, its own included.
 
     Words are lower-cased in A-Z. Two documents link when their sets of `size`-word shingles have a Jaccard similarity of
     similar[0] / similar[1] or more. A text with fewer words has its sequence as its only shingle; null texts and texts
@@ -403,17 +522,20 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = WORD
 
     sizes = texts.select("key", "text").mapInArrow(count, "__key binary, n_shingles long")
     rows = docs.withColumn("__key", text_key(F.col(text_col)))
-    known = sizes.join(_components_of(rows, groups, id_col), "__key")
-    out = rows.join(known, "__key", "left")
-    return out.select(*docs.columns, F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.when(F.col("n_shingles") > 0, F.col("__component")).otherwise(F.col(id_col)).alias("component_id"))
+    each = written(_components_of(rows, groups, id_col, F.count(F.lit(1)).alias("__copies"), F.first(F.xxhash64(text_col)).alias("__id")), "components")
+    links = _links_of(texts, each, size, similar)
+    known = sizes.join(each, "__key").join(links, "__key", "left").withColumn("__links", F.col("__copies") - 1 + F.coalesce("__links", F.lit(0)))
+    out = rows.join(known.drop("__id", "__copies", "__root"), "__key", "left")
+    worded = F.col("n_shingles") > 0
+    return out.select(*docs.columns, F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.when(worded, F.col("__links")).otherwise(F.lit(0)).alias("n_links"), F.when(worded, F.col("__component")).otherwise(F.col(id_col)).alias("component_id"))
 
 
-def _components_of(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """__key, __root, __component: each text's component by its least text's key and its least id."""
-    least = rows.groupBy("__key").agg(F.min(id_col).alias("__least"))
+def _components_of(rows: DataFrame, groups: DataFrame, id_col: str, *more: Column) -> DataFrame:
+    """__key, __root, __component: each text's component by its least text's key and its least id; and more aggregates of its rows."""
+    least = rows.groupBy("__key").agg(F.min(id_col).alias("__least"), *more)
     rooted = least.join(groups.select(F.col("node").alias("__key"), F.col("root").alias("__root")), "__key", "left").withColumn("__root", F.coalesce("__root", "__key"))
     whole = rooted.groupBy("__root").agg(F.min("__least").alias("__component"))
-    return rooted.join(whole, "__root").select("__key", "__root", "__component")
+    return rooted.join(whole, "__root").select("__key", "__root", "__component", *least.columns[2:])
 
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -95,6 +95,33 @@ def test_jaccard_groups(docs, size, similar):
     assert kept.count() == len(groups) + sum(not s for s in sets)
 
 
+@pytest.mark.parametrize(("size", "similar", "block"), [(4, (85, 100), 256), (5, (80, 100), 7), (2, (9, 10), 3)])
+def test_jaccard_links(docs, size, similar, block, monkeypatch):
+    """Every link counts, those inside a component too, for each row, in components of one block and of several."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PACK", min(block, 4))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = []
+    for _, t in rows:
+        w = words((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    linked = lambda a, b: bool(a and b) and similar[1] * len(a & b) >= similar[0] * len(a | b)
+    want = [(d, sum(linked(a, b) for k, b in enumerate(sets) if k != i)) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True))]
+    assert max(n for _, n in want) > 2
+    got = jaccard_join.jaccard_groups(docs, "doc_id", "text", size, similar)
+    assert sorted(((r["doc_id"], r["n_links"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_lists_find_what_brute_force_finds(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "POSTINGS", 50)
+    rng = random.Random(2)
+    for _ in range(100):
+        a, b = ([set(rng.sample(range(15), rng.randint(1, 13))) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        arrays = [[np.array(sorted(s), np.uint64) for s in x] for x in (a, b)]
+        got = jaccard_join.Lists(arrays[1]).linked(arrays[0], (7, 10))
+        assert got.tolist() == [[10 * len(x & y) >= 7 * len(x | y) for y in b] for x in a]
+
+
 def test_t_occurrence():
     rng = random.Random(1)
     for _ in range(200):
