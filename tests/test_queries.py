@@ -24,3 +24,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_merge_keeps_every_concordance(spark):
+    from pyspark.sql import functions as F
+
+    from dyadspark.operators import synchrony
+    from dyadspark.plans import dyads
+
+    want = synchrony.windowed_peaks(dyads._swept(spark, DATA), of="ccc").where(F.col("peak").isNotNull()).count()
+    assert registry.QUERIES["merged_methods_whole"](spark, DATA).where(F.col("concordance_ccc").isNotNull()).count() == want > 0
