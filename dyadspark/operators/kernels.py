@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadspark.functions.special import f_sf
@@ -216,6 +216,13 @@ def loadings(series: DataFrame, method: str, k: int, within: list[str], index: s
     return _grouped(series, within, index, "component string, feature string, loading double, explained double", f)
 
 
+def top_features(loaded: DataFrame, within: list[str], most: int = 30) -> DataFrame:
+    """loaded, of the `most` features with the greatest absolute loading in any component, with max_abs and rank; ties by name."""
+    best = loaded.groupBy(*within, "feature").agg(F.max(F.abs("loading")).alias("max_abs"))
+    rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("max_abs"), "feature"))
+    return loaded.join(best.withColumn("rank", rank).where(F.col("rank") <= most), [*within, "feature"])
+
+
 def cca_weights(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ua, sa, va = np.linalg.svd(a, full_matrices=False)
     ub, sb, vb = np.linalg.svd(b, full_matrices=False)

@@ -101,10 +101,16 @@ def spectral_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pca_scree(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of variance by component and its running sum, and the thirty features of greatest loading."""
+    """Share of variance by component and its running sum."""
     from pyspark.sql import Window
 
     l = kernels.loadings(fx.dense(spark, sf), "pca", 20, ENTITY)
     c = l.groupBy(*ENTITY, "component").agg(F.first("explained").alias("explained"))
     k = F.regexp_extract("component", r"(\d+)", 1).cast("int")
     return rounded(c.withColumn("cumulative", F.sum("explained").over(Window.partitionBy(*ENTITY).orderBy(k))))
+
+
+@query()
+def pca_top_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    """The thirty features of greatest absolute loading in any component, with their loadings in all."""
+    return rounded(kernels.top_features(kernels.loadings(fx.dense(spark, sf), "pca", 20, ENTITY), ENTITY))

@@ -281,3 +281,18 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["value"] for r in spark.table("bins").collect()) == [2.0, 5.0]
+
+
+def test_top_features(spark):
+    rng = np.random.default_rng(5)
+    rows = [(e, c, f"f{k:02}", float(rng.normal())) for e in "ab" for c in ("PCA1", "PCA2") for k in range(40)]
+    got = kernels.top_features(spark.createDataFrame(rows, "e string, component string, feature string, loading double"), ["e"]).collect()
+    for e in "ab":
+        best = {}
+        for r in rows:
+            if r[0] == e:
+                best[r[2]] = max(best.get(r[2], 0), abs(r[3]))
+        want = sorted(best, key=lambda f: (-best[f], f))[:30]
+        own = [r for r in got if r["e"] == e]
+        assert sorted({(r["rank"], r["feature"]) for r in own}) == list(enumerate(want, 1))
+        assert {(r["component"], r["feature"], r["loading"]) for r in own} == {r[1:] for r in rows if r[0] == e and r[2] in want}
