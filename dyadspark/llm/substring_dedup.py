@@ -2,7 +2,8 @@
 
 The shards of `recurrence` confirm which windows of words recur, join neighbouring ones to passages, compile the passages of
 a chunk of anchors to an automaton over numbered words, and stream all stretches of documents with these anchors through
-it. Each match of a passage is a span to remove.
+it. Each match of a passage is a span to remove. The automata find no place that the hashes of windows don't already tell, and
+windows that recur only between salts of an anchor come from these hashes without passing one; documents aren't streamed whole.
 """
 
 from __future__ import annotations
