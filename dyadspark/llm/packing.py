@@ -7,10 +7,10 @@ documents there are. The driver packs the histogram; documents take their places
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,10 @@ SETTINGS = ((0.25, 0.25), (1, 0.25), (1, 0.5))
 BUCKETS = 1024
 
 
-#: White space other than single blanks or line breaks; a text with any is tokenized whole.
-ODD = [a + b for a in " \n" for b in " \n"] + [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Characters that every version of Unicode classes alike, in texts that ranks may encode: Latin, dashes and quotes.
+PLAIN = "\n\x20-\x7e\xa1-\u024f\u2010-\u2027"
+#: Blanks in a row that they may hold; only texts of LONG characters or more are searched for such runs.
+RUN, LONG = 1000, 100_000
 
 
 def _by_ranks(path: str):
@@ -66,60 +68,32 @@ def _by_ranks(path: str):
 class Encoder:
     """Ids as bytes (little-endian unsigned 32-bit), text by text.
 
-    The pre-tokenizer always cuts before white space that follows something else. So a text whose words are parted by
-    single spaces or line breaks is the sum of its words, each with the blank before it, and words are kept in a cache.
+    Where ranks give the tokenizer's ids they encode whole texts of Latin letters, which needs no list of ids. All other
+    texts, and those with very long runs of blanks, on which the pattern would have to go back too far, go to the tokenizer,
+    which is loaded with the first of them.
     """
 
-    MOST = 400_000
-
     def __init__(self, path: str):
+        self.path, self.ranks = path, _by_ranks(path)
+        self.other, self.blank = re.compile(f"[^{PLAIN}]").search, re.compile(f"[ \n]{{{RUN}}}").search
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
-        self.ranks = _by_ranks(path)
-        self.stops = dict(zip(".,", self._ids([".", ","]), strict=True))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Takes the words' ids into the cache: words of Latin letters by ranks, others by the tokenizer as they are."""
-        plain = [w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in words]
-        if self.ranks is None:
-            own = dict.fromkeys(plain)
-        else:
-            own = {w: None for w in plain if w and max(w) > "\u024f"}
-            code = self.ranks._core_bpe.encode_ordinary
-            self.cache.update((k, array("I", code(w)).tobytes()) for k, w in zip(words, plain, strict=True) if w not in own)
-        own.update(zip(own, self._ids(list(own)), strict=True))
-        self.cache.update((k, own[w]) for k, w in zip(words, plain, strict=True) if w in own)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.cache) > self.MOST:
-            self.cache.clear()
-        cut, new = [], set()
-        for t in texts:
-            if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ODD):
-                cut.append(None)
-                continue
-            words = t.replace("\n", " \n").split(" ")
-            words[0] = "\0" + words[0]  # the only one without a blank before it
-            cut.append(words)
-            new.update(words)
-        new -= self.cache.keys()
-        # a stop or comma after a letter is a token of its own
-        stopped = [w for w in new if w[-1] in self.stops and len(w) > 1 and w[-2].isalpha()]
-        self._learn([w for w in new if not (w[-1] in self.stops and len(w) > 1 and w[-2].isalpha())])
-        self._learn(list({w[:-1] for w in stopped if w[:-1] not in self.cache}))
-        self.cache.update({w: self.cache[w[:-1]] + self.stops[w[-1]] for w in stopped})
-        for t, words in zip(texts, cut, strict=True):
-            yield b"".join(map(self.cache.__getitem__, words)) if words is not None else self._ids([t])[0] if t else b""
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
+    def encode(self, text: str) -> bytes:
+        if self.ranks is None or self.other(text) or (len(text) >= LONG and self.blank(text)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return bytes(self.ranks._core_bpe.encode_to_tiktoken_buffer(text, set()))
 
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """One a worker process, so that its words last from task to task."""
+    """One a worker process, so that it is loaded once."""
     return Encoder(path)
 
 
@@ -134,13 +108,12 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
         encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts, rows = batch.column(1).to_pylist(), []
-            for at in range(0, len(texts), 256):
-                for i, ids in enumerate(encoder.encode([t or "" for t in texts[at : at + 256]]), at):
-                    data = memoryview(ids + end)
-                    n = len(data) // 4
-                    head = n % capacity or capacity
-                    cuts = [0, *range(head, n + 1, capacity)] if n > capacity else [0, n]
-                    rows += [(i, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            for i, text in enumerate(texts):
+                data = memoryview(encoder.encode(text or "") + end)
+                n = len(data) // 4
+                head = n % capacity or capacity
+                cuts = [0, *range(head, n + 1, capacity)] if n > capacity else [0, n]
+                rows += [(i, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             i, k, a, n, crc = map(list, zip(*rows, strict=True)) if rows else [[]] * 5
             cols = [batch.column(0).take(pa.array(i, pa.int64())), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32"])
