@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session names none, one of our own serves a local master; on a cluster executors wouldn't see it, so that is
+    an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(spark, "_own_shared_dir", None) or tempfile.mkdtemp(prefix="shared_")
         spark._own_shared_dir = folder
     return folder.rstrip("/")
@@ -31,10 +38,52 @@ def written(df: DataFrame, what: str) -> DataFrame:
     Unlike an executor-local cache the table outlives any executor that made it.
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    _left(df.sparkSession).append(("path", path))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the warehouse, bucketed by key: later joins by key don't move its rows."""
+    spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
+    _left(spark).append(("table", name))
+    df.write.bucketBy(parts_for(spark, 8), key).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def _left(spark: SparkSession) -> list[tuple[str, str]]:
+    """What this session has written: (kind, name)."""
+    if not hasattr(spark, "_llm_left"):
+        spark._llm_left = []
+    return spark._llm_left
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate files and tables that the operators have written in this session; gives their number.
+
+    Results are lazy and read them, so they must be stored first.
+    """
+    left = _left(spark)
+    for kind, name in left:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    n = len(left)
+    left.clear()
+    return n
+
+
+def numbered(docs: DataFrame, *cols: str, added: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """docs with columns c0, c1, ..., which no column of an operator's own can clash with; its names; and the new ones of cols.
+
+    Columns that bear the name of one to be added give way to it.
+    """
+    names = [c for c in docs.columns if c not in added]
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), names, [f"c{names.index(c)}" for c in cols]
+
+
 def text_key(text: Column) -> Column:
     """A 20-byte key under which equal texts, and only they, meet."""
     return F.unhex(F.sha1(text.cast("binary")))

@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm.common import fold
+from dyadspark.llm.common import fold, numbered
 from dyadspark.llm.textvec import Words, slices
 
-#: Most labelled documents that the model is fitted on, the least by hash of their id; lines a training chain, at most.
-SAMPLE, CHAIN = 3000, 64
+#: Most labelled documents that the model is fitted on, the least by hash of their id; lines a training chain, at most; and
+#: chains of a training document, spread evenly over it.
+SAMPLE, CHAIN, CHAINS = 3000, 64, 2
 THRESHOLD = 0.3
 #: Character classes of UTF-8 bytes: other letters of words, white space, upper case, digits, and punctuation by kind.
 CLASS = np.full(256, 15, np.uint8)
@@ -94,6 +95,15 @@ def lines_of(raw: np.ndarray, offsets: np.ndarray) -> Lines:
     return Lines(raw, start, end, row, pair, bins)
 
 
+def _thinned(x: Lines, rows: int) -> Lines:
+    """Of texts with more than CHAINS chains of lines, CHAINS of them, the first and others at even distances."""
+    first = np.searchsorted(x.row, np.arange(rows + 1))
+    n = np.diff(first)[x.row]
+    chain, chains = (np.arange(len(x.row)) - first[x.row]) // CHAIN, -(-n // CHAIN)
+    keep = (chains <= CHAINS) | (chain * CHAINS // np.maximum(chains, 1) != (chain - 1) * CHAINS // np.maximum(chains, 1))
+    return Lines(x.raw, x.start[keep], x.end[keep], x.row[keep], x.pair, x.bins[keep])
+
+
 def features(x: Lines) -> np.ndarray:
     """A row for each line: frequencies of class pairs, then one-hot bins."""
     out = np.zeros((len(x.start), WIDTH), np.float32)
@@ -251,7 +261,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, folds: int = 5) -> Model:
-    """Fits to at most `sample` labelled documents outside fold 0 by crc32 of their id; features are made on the executors."""
+    """Fits to at most `sample` labelled documents outside fold 0 by crc32 of their id; features are made on the executors.
+
+    A document gives CHAINS * CHAIN lines at most, so what reaches the driver is bounded by the parameters. Every line takes
+    its document's label, there being no others: the chain learns that neighbouring lines go together, and which lines are bad
+    in good documents only as far as bad documents show it.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (fold(F.col("id"), folds) != 0))
     chosen = known.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # `sample` rows at most
@@ -260,6 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         for batch in batches:
             for a, b, raw, offsets in slices(batch.column(1)):
                 x = lines_of(raw, offsets)
+                x = _thinned(x, b - a)
                 f, n, cut = features(x), (x.end - x.start).astype(np.int64), np.searchsorted(x.row, np.arange(b - a + 1))
                 cols = [[f[i:j].astype(np.float16).tobytes() for i, j in zip(cut, cut[1:], strict=False)], [n[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(c, pa.binary()) for c in cols)], ["id", "y", "f", "n"])
@@ -274,8 +290,9 @@ def classify(docs: DataFrame, model: Model, id_col: str, text_col: str, threshol
     """The columns of docs with __score double and __predicted int (1 at the threshold or over). Null texts count as empty.
 
     Only the text is looked at. Empty texts and texts of white space get the share of good documents in the sample.
-    Repeated rows get equal scores.
+    Repeated rows get equal scores; an empty table gives none. Columns named __score and __predicted give way.
     """
+    docs, names, (text_col,) = numbered(docs, text_col, added=("__score", "__predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -286,4 +303,10 @@ def classify(docs: DataFrame, model: Model, id_col: str, text_col: str, threshol
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "__score", "__predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, __score double, __predicted int")
+    return docs.mapInArrow(run, f"{schema}, __score double, __predicted int").toDF(*names, "__score", "__predicted")
+
+
+def good(docs: DataFrame, model: Model, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the model predicts to be good, with all their columns, whatever their names."""
+    own, names, (i, text) = numbered(docs, id_col, text_col)
+    return classify(own, model, i, text, threshold).where(F.col("__predicted") == 1).select(own.columns).toDF(*names)
