@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadspark.llm.common import written
+
 RATIO, MIN_PAGES = 0.1, 3
+#: Hosts and boilerplate lines, 16 bytes each, that are sent to every executor at most; with more, pages go to their host's.
+SMALL = 100_000
+#: A host with more than one in so many of all pages is dealt out over several tasks; there are fewer such hosts than that.
+SHARES = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -22,12 +28,17 @@ def line_dedup(
     A line is compared without its outer spaces and counts once a page; it needs `min_pages` pages at least, so that small
     hosts lose nothing by chance. Blank lines are kept and never counted. What is kept is joined by the separator's first
     alternative, a line break. Null texts stay null; pages with a null host, and all pages of hosts without
-    boilerplate, stay as they are. Rows, their order of lines, repeated rows and other columns are kept. counts names two
-    columns to add: lines that aren't blank, and lines dropped.
+    boilerplate, stay as they are; an empty table gives none. Rows, their order of lines, repeated rows and other columns are
+    kept. counts names two columns to add: lines that aren't blank, and lines dropped; columns so named give way.
 
     The lines over the ratio are few: their shares of a host's pages add up to the mean number of lines a page, so a host
     has no more than (mean lines a page) / ratio of them. They travel as one array a host; no line is shuffled with its text.
+    Up to SMALL in all they go to every executor, and pages don't move. Beyond that pages meet them by host; a large host's
+    pages are dealt out by hash over as many tasks as it has thousandths of all pages, each with a copy of its array.
     """
+    names = [c for c in pages.columns if c not in (counts or ())]
+    pages = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], host.alias("__host"))
+    text_col, host = f"c{names.index(text_col)}", F.col("__host")
     parts = lambda text: F.split(text, separator, -1)
     key = lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h1"), F.xxhash64(F.trim(x), F.lit(1)).alias("h2"))
     seen = pages.select(host.alias("host"), F.col(text_col).alias("text")).where(F.col("host").isNotNull())
@@ -38,16 +49,30 @@ def line_dedup(
         often.join(totals, "host")
         .where(F.col("n") > F.lit(ratio) * F.col("total"))
         .groupBy("host")
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("__boiler"))
+        .agg(F.collect_list(F.struct("h1", "h2")).alias("__boiler"), F.first("total").alias("__total"))
         .withColumnRenamed("host", "__host")
     )
+    boiler = written(boiler, "boilerplate")
     kept = lambda text: F.filter(parts(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__boiler"), key(x)))
     full = lambda a: F.size(F.filter(a, lambda x: F.trim(x) != "")).cast("long")
     text = F.col(text_col)
-    out = pages.withColumn("__host", host).join(boiler, "__host", "left")
+    out = _with_boiler(pages, boiler)
     out = out.withColumn("__kept", F.when(F.col("__boiler").isNotNull() & text.isNotNull(), kept(text)))
     if counts:
         n = F.when(text.isNull(), F.lit(0)).otherwise(full(parts(text)))
         out = out.withColumn(counts[0], n).withColumn(counts[1], F.when(F.col("__kept").isNull(), F.lit(0).cast("long")).otherwise(F.col(counts[0]) - full(F.col("__kept"))))
     new = F.when(F.col("__kept").isNull() | (F.size("__kept") == F.size(parts(text))), text).otherwise(F.array_join("__kept", "\n"))
-    return out.withColumn(text_col, new).select(*pages.columns, *(counts or ()))
+    return out.withColumn(text_col, new).drop("__boiler", "__host").select(*pages.columns[:-1], *(counts or ())).toDF(*names, *(counts or ()))
+
+
+def _with_boiler(pages: DataFrame, boiler: DataFrame) -> DataFrame:
+    """pages (with __host) with __boiler, null where their host has none."""
+    if boiler.agg(F.coalesce(F.sum(F.size("__boiler") + 1), F.lit(0)).alias("n")).first().n <= SMALL:
+        return pages.join(F.broadcast(boiler.drop("__total")), "__host", "left")
+    share = max(1, pages.count() // SHARES)
+    large = boiler.where(F.col("__total") > share).select("__host", F.ceil(F.col("__total") / share).cast("int").alias("__salts"))
+    kinds = [F.col(f"`{c}`") for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
+    salts = F.when(F.col("__host").isNull(), SHARES).otherwise(F.coalesce("__salts", F.lit(1)))  # pages without a host, too
+    dealt = pages.join(F.broadcast(large), "__host", "left").withColumn("__salt", F.pmod(F.xxhash64(*kinds), salts).cast("int"))
+    copies = boiler.join(F.broadcast(large), "__host", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    return dealt.join(copies.select("__host", "__salt", "__boiler"), ["__host", "__salt"], "left")
