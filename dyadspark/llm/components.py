@@ -10,8 +10,8 @@ from dyadspark.llm.common import written
 
 def _star(neighbours: DataFrame, larger: bool) -> DataFrame:
     """neighbours (u, v): hangs v's on the least of u's neighbourhood; on the large star only those above u."""
-    least = neighbours.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = neighbours.join(least, "u")
+    least = neighbours.groupBy("u").agg(F.min("v").alias("m")).select(F.when(F.col("m").isNotNull(), F.col("u")).alias("u"), F.least("m", "u").alias("m"))
+    joined = neighbours.join(least, "u")  # u being an expression there, both sides are dealt out anew, and Spark can split a large star
     hung = joined.where(F.col("v") > F.col("u")).withColumn("x", F.array("v")) if larger else joined.withColumn("x", F.array("u", "v"))
     return hung.select(F.explode("x").alias("u"), F.col("m").alias("v"))
 

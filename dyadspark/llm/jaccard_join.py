@@ -18,7 +18,6 @@ against all, each pair of texts in one task: again T-occurrence, for many querie
 from __future__ import annotations
 
 import heapq
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations, groupby
@@ -28,16 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm.common import parts_for, text_key, written
+from dyadspark.llm.common import bucketed, numbered, text_key, written
 from dyadspark.llm.components import components
 from dyadspark.llm.textvec import SLICE, U, Rolling, Words, mix, packed, slices, unpacked, windows_within
 
 WORDS, SIMILAR = 5, (80, 100)
 SPARE, RATIO, BLOCK = 2, 1.5, 256
+#: Blocks that sketches are compared across in one task.
+SKETCHED = 8
+#: Differences up to which a range has just SPARE spare parts.
+FEW = 9
 #: Texts of a component that travel as one row, and postings that are counted at once.
 PACK, POSTINGS = 64, 4_000_000
-#: Characters of text that a part of the signatures stands for, and the least number of parts (a power of two).
-PART_CHARS, PARTS = 4_000_000, 64
+#: Characters of text that a part of the signatures stands for, the least number of parts (a power of two), and signatures that
+#: a task gathers before it sends each part its own.
+PART_CHARS, PARTS, GATHERED = 16_000_000, 64, 600_000
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +76,7 @@ class Ranges:
         for _ in range(20):  # large sets: so many that more empty parts are rare in the range's smallest sets
             q = self.apart + 1.0 + spare
             empty = q * np.exp(-self.low[:-1] / q)
-            spare = np.where(self.apart > 9, np.minimum(np.maximum(SPARE, np.ceil(empty + 4 * np.sqrt(empty)) + 1), self.apart), SPARE).astype(np.int64)
+            spare = np.where(self.apart > FEW, np.minimum(np.maximum(SPARE, np.ceil(empty + 4 * np.sqrt(empty)) + 1), self.apart), SPARE).astype(np.int64)
         self.spare = np.where(self.apart > 0, spare, 0)
         self.parts = self.apart + 1 + self.spare
 
@@ -109,7 +113,12 @@ def signatures(row: np.ndarray, h: np.ndarray, n_rows: int, ranges: Ranges) -> t
             sigs.append(mix(total + mix(name)))
         rows.append(sets[own])
         empty = q - np.bincount(own, minlength=len(sets))
-        for k in np.flatnonzero((empty > ranges.spare[j]) & (ranges.apart[j] > 0)):  # rare: many parts without shingles
+        crowded = (empty > ranges.spare[j]) & (ranges.apart[j] > 0)
+        # many parts without shingles: in ranges of many parts that is rare, and such sets form one bucket a range
+        few = np.flatnonzero(crowded & (ranges.apart[j] > FEW))
+        sigs.append(mix(mix((j[few] + 1).astype(U) << U(50)) ^ U(0xE4)))
+        rows.append(sets[few])
+        for k in np.flatnonzero(crowded & (ranges.apart[j] <= FEW)):  # else each combination of spare + 1 of them, 220 at most
             none = sorted(set(range(int(q[k]))) - set((cell[own == k] - base[k]).tolist()))
             codes = [hash(c) & (1 << 64) - 1 for c in combinations(none, int(ranges.spare[j[k]]) + 1)]  # of ints: the same everywhere
             with np.errstate(over="ignore"):
@@ -127,41 +136,47 @@ def sketch(h: np.ndarray, per: int = 2) -> bytes:
 def folded(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of one length, the least: halves of longer ones laid on each other."""
     least = min(map(len, sketches))
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, least), 0) for s in sketches])
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, least // 8), 0) for s in sketches])
 
 
 def _stars(texts: DataFrame, size: int, similar: tuple[int, int], bits: int) -> DataFrame:
     """sig, a, b long: in each bucket every id but the least is hung on a smaller one."""
 
+    edges_of = np.arange(1 << bits, dtype=U) << U(64 - bits)
+    kinds = {"part": pa.int32(), "n": pa.int32(), "sigs": pa.binary(), "local": pa.binary(), "ids": pa.binary(), "e_sig": pa.binary(), "e_a": pa.binary(), "e_b": pa.binary()}
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """For each part its signatures, each with the least id, and the edges of ids that have a signature too."""
+        sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        head = np.flatnonzero(new)
+        lead = np.repeat(head, np.diff(np.append(head, len(sig))))
+        edge = np.flatnonzero((node != node[lead]) & ~new)
+        lone, least = sig[head], node[head]
+        cut, side = (np.append(np.searchsorted(x, edges_of), len(x)) for x in (lone, sig[edge]))
+        rows = []
+        for part in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            i, k = cut[part], cut[part + 1]
+            used, local = np.unique(least[i:k], return_inverse=True)
+            own = edge[side[part] : side[part + 1]]
+            rows.append((part, k - i, packed(np.diff(lone[i:k], prepend=U(0))), packed(local.astype(np.uint16) if len(used) < 65536 else local.astype(np.uint32)), used.tobytes(), sig[own].tobytes(), node[lead[own]].tobytes(), node[own].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = Ranges(similar)
+        ranges, held, n = Ranges(similar), [], 0
         for batch in batches:
             for a, b, raw, offsets in slices(batch.column(1), SLICE):
-                ids = batch.column(0).slice(a, b - a).to_numpy()
                 row, sig = signatures(*shingles(raw, offsets, size), b - a, ranges)
-                node = ids[row]
-                order = np.lexsort((node, sig))
-                sig, node, row = sig[order], node[order], row[order]
-                new = np.ones(len(sig), bool)
-                new[1:] = sig[1:] != sig[:-1]
-                head = np.flatnonzero(new)
-                lead = np.repeat(head, np.diff(np.append(head, len(sig))))
-                edge = np.flatnonzero((node != node[lead]) & ~new)
-                lone, least = sig[head], row[head]
-                cut = np.searchsorted(lone, np.arange(1 << bits, dtype=U) << U(64 - bits))
-                ends = np.append(cut[1:], len(lone))
-                side = np.searchsorted(sig[edge], np.arange(1 << bits, dtype=U) << U(64 - bits))
-                side_ends = np.append(side[1:], len(edge))
-                rows = []
-                for part in range(1 << bits):
-                    i, k, e, f = cut[part], ends[part], side[part], side_ends[part]
-                    if k > i:
-                        used, local = np.unique(least[i:k], return_inverse=True)
-                        own = edge[e:f]
-                        rows.append((part, k - i, packed(np.diff(lone[i:k], prepend=U(0))), packed(local.astype(np.uint16) if len(used) < 65536 else local.astype(np.uint32)), ids[used].tobytes(), sig[own].tobytes(), node[lead[own]].tobytes(), node[own].tobytes()))
-                cols = [pa.array(list(c)) for c in zip(*rows, strict=True)] if rows else None
-                if cols:
-                    yield pa.RecordBatch.from_arrays([cols[0].cast(pa.int32()), cols[1].cast(pa.int32()), *cols[2:]], ["part", "n", "sigs", "local", "ids", "e_sig", "e_a", "e_b"])
+                held.append((sig, batch.column(0).slice(a, b - a).to_numpy()[row]))
+                n += len(sig)
+                if n >= GATHERED:
+                    yield dealt(held)
+                    held, n = [], 0
+        if held:
+            yield dealt(held)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _by_part(batches):
@@ -340,34 +355,51 @@ def _searched_stars(pairs: DataFrame, texts: DataFrame, size: int, similar: tupl
     return both.select("a", "b", "a_key", "b_key", "a_text", "b_text").mapInArrow(run, "a long, b long, a_key binary, b_key binary")
 
 
+def _near(a: list[dict], b: list[dict], similar: tuple[int, int]) -> np.ndarray:
+    """Of the rows of a, then of b: whether sketches leave a partner of another component, across a and b, or in a if b is empty."""
+    rows = [*a, *b]
+    bits, n = folded([r["bits"] for r in rows]), np.array([r["n"] for r in rows])
+    _, part = np.unique(np.array([r["component"].hex() for r in rows]), return_inverse=True)
+    keep = np.zeros(len(rows), bool)
+    for i in range(len(a)):
+        k = len(a) if b else i + 1
+        differing = np.bitwise_count(bits[i] ^ bits[k:]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(_closeness(n[i], n[k:], differing, similar) & (part[k:] != part[i])) + k
+        keep[near] = True
+        keep[i] |= len(near) > 0
+    return keep
+
+
 def _searched_blocks(members: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
     """a, b (keys) of links between components in buckets (sig, id, key, component, n, bits), each all against all.
 
     A bucket of more than BLOCK members is cut into blocks by hash, and each two blocks meet in one search. Sketches choose
-    the members whose texts are needed.
+    the members whose texts are needed; they are compared in one task across SKETCHED blocks on either side, so that few rows
+    travel for it.
     """
     n = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    dealt = members.join(n, "sig").withColumn("own", own).withColumn("at", meet).select(F.xxhash64("sig", "at.i", "at.j").alias("task"), "id", "key", "component", "n", "bits")
+    wide, most = F.floor(F.col("own") / SKETCHED).cast("int"), F.ceil(F.col("blocks") / SKETCHED).cast("int")
+    meet = F.explode(F.transform(F.sequence(F.lit(0), most - 1), lambda j: F.struct(F.least(wide, j).alias("i"), F.greatest(wide, j).alias("j"))))
+    dealt = members.join(n, "sig").withColumn("own", own).withColumn("at", meet).select(F.xxhash64("sig", "at.i", "at.j").alias("task"), "at.i", "at.j", "own", "id", "key", "component", "n", "bits")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task, rows in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["task"]):
-            rows = list(rows)
-            bits, size_of = folded([r["bits"] for r in rows]), np.array([r["n"] for r in rows])
-            _, part = np.unique(np.array([r["component"].hex() for r in rows]), return_inverse=True)
-            keep = np.zeros(len(rows), bool)
-            for i in range(len(rows) - 1):
-                differing = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1, dtype=np.int64)
-                near = np.flatnonzero(_closeness(size_of[i], size_of[i + 1 :], differing, similar) & (part[i + 1 :] != part[i])) + i + 1
-                keep[near] = True
-                keep[i] |= len(near) > 0
-            at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array([task] * len(at), pa.int64()), *(pa.array([rows[i][c] for i in at], k) for c, k in (("id", pa.int64()), ("key", pa.binary()), ("component", pa.binary())))], ["task", "id", "key", "component"])
-
-    needed = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(chosen, "task long, id long, key binary, component binary")
-    # tasks with the same members need one search
+        for (task, i, j), rows in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["task"], r["i"], r["j"])):
+            blocks: dict[int, list[dict]] = {}
+            for r in rows:
+                blocks.setdefault(r["own"], []).append(r)
+            for x in blocks:
+                for y in blocks:
+                    if x // SKETCHED == i and y // SKETCHED == j and x <= y:
+                        a, b = blocks[x], blocks[y] if x != y else []
+                        near = _near(a, b, similar)
+                        need = [r for r, k in zip([*a, *b], near, strict=True) if k]
+                        name = int(mix(np.array([(x << 32) + y], U) ^ np.array([task], np.int64).view(U)).view(np.int64)[0])
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(need), pa.int64()), *(pa.array([r[c] for r in need], k) for c, k in (("id", pa.int64()), ("key", pa.binary()), ("component", pa.binary())))], ["task", "id", "key", "component"])
+
+    needed = dealt.repartition("task").sortWithinPartitions("task", "i", "j").mapInArrow(chosen, "task long, id long, key binary, component binary")
     needed = written(needed, "needed")
+    # tasks with the same members need one search
     once = needed.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("of")).groupBy("n", "of").agg(F.min("task").alias("task"))
     rows = needed.join(once.select("task"), "task").join(texts.select("id", F.col("key").alias("key2"), "text"), "id").where("key = key2")
     rows = rows.select("task", "component", "key", "text").repartition("task").sortWithinPartitions("task", "key")
@@ -406,13 +438,10 @@ def _searched_blocks(members: DataFrame, texts: DataFrame, size: int, similar: t
 
 def similar_texts(docs: DataFrame, text_col: str, size: int = WORDS, similar: tuple[int, int] = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """texts: key, n_shingles of each different text; groups: key, root of those linked to another, directly or on the way."""
-    spark = docs.sparkSession
-    name = f"texts_{uuid.uuid4().hex}"
     text = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # ids are 64-bit hashes; should two texts share one, both stay in the set and both are looked at
     same = text.groupBy(F.xxhash64("text").alias("id")).agg(F.collect_set("text").alias("texts")).select("id", F.explode("texts").alias("text"))
-    same.withColumn("key", text_key(F.col("text"))).write.bucketBy(parts_for(spark, 8), "id").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(same.withColumn("key", text_key(F.col("text"))), "id")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     stars = written(_stars(texts, size, similar, max(PARTS, 2 * chars // PART_CHARS).bit_length() - 1), "stars")
     members = stars.select("sig", F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -442,6 +471,7 @@ def _links_of(texts: DataFrame, known: DataFrame, size: int, similar: tuple[int,
     sent PACK at a time.
     """
     shape = known.groupBy("__root").agg(F.count(F.lit(1)).alias("m"), F.sum("__copies").alias("rows")).where("m > 1")
+    shape = shape.withColumn("__root", F.when(F.col("__root").isNotNull(), F.col("__root")))  # as in _components_of
     members = written(known.join(shape, "__root"), "members")
     two = members.where("m = 2").select("__key", (F.col("rows") - F.col("__copies")).alias("__links"))
     pack = F.pmod(F.xxhash64("__key"), F.ceil(F.col("m") / PACK)).cast("int")
@@ -510,8 +540,11 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = WORD
     Words are lower-cased in A-Z. Two documents link when their sets of `size`-word shingles have a Jaccard similarity of
     similar[0] / similar[1] or more. A text with fewer words has its sequence as its only shingle; null texts and texts
     without words have none and link with nothing, copies of them neither. Other copies link, repeated rows among them. Null
-    ids are passed over for the least id; a component of null ids alone has null.
+    ids are passed over for the least id; a component of null ids alone has null. An empty table gives none. Columns that
+    bear the names of the three give way.
     """
+    more = ("n_shingles", "n_links", "component_id")
+    docs, names, (id_col, text_col) = numbered(docs, id_col, text_col, added=more)
     texts, groups = similar_texts(docs, text_col, size, similar)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +560,7 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = WORD
     known = sizes.join(each, "__key").join(links, "__key", "left").withColumn("__links", F.col("__copies") - 1 + F.coalesce("__links", F.lit(0)))
     out = rows.join(known.drop("__id", "__copies", "__root"), "__key", "left")
     worded = F.col("n_shingles") > 0
-    return out.select(*docs.columns, F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.when(worded, F.col("__links")).otherwise(F.lit(0)).alias("n_links"), F.when(worded, F.col("__component")).otherwise(F.col(id_col)).alias("component_id"))
+    return out.select(*docs.columns, F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.when(worded, F.col("__links")).otherwise(F.lit(0)).alias("n_links"), F.when(worded, F.col("__component")).otherwise(F.col(id_col)).alias("component_id")).toDF(*names, *more)
 
 
 def _components_of(rows: DataFrame, groups: DataFrame, id_col: str, *more: Column) -> DataFrame:
@@ -535,6 +568,7 @@ def _components_of(rows: DataFrame, groups: DataFrame, id_col: str, *more: Colum
     least = rows.groupBy("__key").agg(F.min(id_col).alias("__least"), *more)
     rooted = least.join(groups.select(F.col("node").alias("__key"), F.col("root").alias("__root")), "__key", "left").withColumn("__root", F.coalesce("__root", "__key"))
     whole = rooted.groupBy("__root").agg(F.min("__least").alias("__component"))
+    whole = whole.withColumn("__root", F.when(F.col("__root").isNotNull(), F.col("__root")))  # dealt out anew: Spark can split a large group
     return rooted.join(whole, "__root").select("__key", "__root", "__component", *least.columns[2:])
 
 
@@ -542,8 +576,9 @@ def one_of_each(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS,
     """docs with one row of each group of similar or equal texts: the one with the least id.
 
     Rows without words, and other rows that link with nothing, all stay. Where several rows of a group bear its least id,
-    whole copies or not, one of them stays. Of a group without any id one row stays.
+    whole copies or not, one of them stays. Of a group without any id one row stays; an empty table gives none.
     """
+    docs, names, (id_col, text_col) = numbered(docs, id_col, text_col)
     texts, groups = similar_texts(docs, text_col, size, similar)
     wordless = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     rows = docs.withColumn("__key", text_key(F.col(text_col))).withColumn("__id", F.xxhash64(text_col)).withColumn("__wordless", wordless)
@@ -559,4 +594,4 @@ def one_of_each(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS,
         stay = plain.unionByName(first.dropDuplicates(["__root"]))
     # texts come from the table that is laid out by their hash, and don't move again
     own = texts.select(F.col("id").alias("__id"), F.col("key").alias("__k"), F.col("text").alias(text_col))
-    return stay.join(own, (stay["__id"] == own["__id"]) & (stay["__key"] == own["__k"]), "left").select(*docs.columns)
+    return stay.join(own, (stay["__id"] == own["__id"]) & (stay["__key"] == own["__k"]), "left").select(*docs.columns).toDF(*names)
