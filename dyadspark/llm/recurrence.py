@@ -4,27 +4,29 @@ A sequence (words, or bytes) has a window of `window` items at each place. The l
 window is its anchor, so equal windows have equal anchors at equal places. Only stretches around anchors that occur more
 than once travel, each to the shard of its anchor, where a matcher finds the windows that recur. An anchor with more than
 MOST stretches is dealt over several shards by salt; windows that recur only between its shards are found by their
-128-bit hashes, one row for each different window of a shard.
+128-bit hashes: each shard sends its different windows once, packed, to as many parts of the hashes as the anchor has salts.
 
 Each different text is handled once; exact copies meet again at the end, by their key.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm.common import distinct_texts, parts_for, text_key, written
+from dyadspark.llm.common import bucketed, distinct_texts, numbered, parts_for, text_key, written
 from dyadspark.llm.textvec import Rolling, Words, _byte_values, sliding_argmin, slices, windows_within
 
 MOST, CHUNK, STRETCH = 512, 1_500_000, 500_000
+#: Spans that a task gathers before it sends each part of the keys its own.
+GATHERED = 200_000
 
 
 @dataclass
@@ -108,14 +110,12 @@ def stretches_of(data: list[bytes], view: Callable, window: int) -> Stretches:
 
 def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
     """distinct_texts as a table bucketed by key in the warehouse: later joins by key move no text."""
-    spark = docs.sparkSession
-    name = f"texts_{uuid.uuid4().hex}"
-    distinct_texts(docs, text_col).write.bucketBy(parts_for(spark, 8), "key").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(distinct_texts(docs, text_col), "key")
 
 
 def recurring_spans(texts: DataFrame, view: Callable, window: int, gram: int, matcher: Matcher, most: int = MOST) -> DataFrame:
-    """key, low long, high long: spans of items of each different text, which together cover just the windows that recur."""
+    """key, spans array<struct<low, high>>: of each different text the runs of items that windows which recur cover, if any do."""
+    parts = parts_for(texts.sparkSession, 8)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,41 +152,134 @@ def recurring_spans(texts: DataFrame, view: Callable, window: int, gram: int, ma
                 own = low - x.first[row]
                 named = keys.take(pa.array(row + a))
                 salt = [zlib.crc32(k.as_py() + z.to_bytes(8)) % m if m > 1 else 0 for k, z, m in zip(named, own.tolist(), n.tolist(), strict=True)]
-                cols = [pa.array(found.hash[keep]), pa.array(salt, pa.int32()), pa.array(n > 1), named, pa.array(own), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "salt", "salted", "key", "low", "stretch"])
+                cols = [pa.array(found.hash[keep]), pa.array(salt, pa.int32()), pa.array(n.astype(np.int32)), named, pa.array(own), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "salt", "salts", "key", "low", "stretch"])
 
-    cuts = texts.select("key", "text").join(marks, "key").mapInArrow(cut, "anchor long, salt int, salted boolean, key binary, low long, stretch binary")
+    cuts = texts.select("key", "text").join(marks, "key").mapInArrow(cut, "anchor long, salt int, salts int, key binary, low long, stretch binary")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for chunk in _chunks(batches):
-            data = chunk.column("stretch").to_pylist()
-            s = stretches_of(data, view, window)
-            keys, low, salted = chunk.column("key"), chunk.column("low").to_numpy(), chunk.column("salted").to_numpy(zero_copy_only=False)
+            s = stretches_of(chunk.column("stretch").to_pylist(), view, window)
+            keys, low, salts = _key_bytes(chunk.column("key")), chunk.column("low").to_numpy(), chunk.column("salts").to_numpy()
             base = low - s.items.first[:-1]
             stretch, begin, end = matcher(s)
-            yield _found(keys.take(pa.array(stretch)), begin + base[stretch], end + base[stretch], None)
-            # of salted anchors: each different window once, with its place where it doesn't recur here
-            own = np.flatnonzero(salted[s.of])
-            _, one = np.unique(s.same[own], return_index=True)
-            own = own[one]
-            alone = s.times[s.same[own]] == 1
-            for part, lonely in ((own[alone], True), (own[~alone], False)):
-                of = s.of[part]
-                at = s.windows[part] + base[of]
-                yield _found(keys.take(pa.array(of)) if lonely else pa.nulls(len(part), pa.binary()), at, at + window, [h[part].view(np.int64) for h in s.hashes])
-
-    schema = "key binary, low long, high long, h1 long, h2 long"
+            row, begin, end = united(stretch, begin, end)
+            held.append((keys[row], begin + base[row], end + base[row]))
+            n += len(row)
+            if n >= GATHERED:
+                yield _spans(held, parts)
+                held, n = [], 0
+            own = np.flatnonzero(salts[s.of] > 1)
+            if len(own):
+                yield _windows(s, own, base, salts, chunk.column("anchor").to_numpy(), keys)
+        if held:
+            yield _spans(held, parts)
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for own in _groups(batches, "anchor", "part"):
+            h = np.concatenate([np.frombuffer(r["hashes"], np.uint64).reshape(2, -1) for r in own], 1)
+            alone = np.concatenate([np.arange(r["n"]) < r["alone"] for r in own])
+            order = np.lexsort(h)
+            new = np.ones(len(order), bool)
+            new[1:] = (h[:, order[1:]] != h[:, order[:-1]]).any(0)
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(new) - 1
+            hit = (np.bincount(group)[group] > 1)[alone]
+            at = _numbers(own, "places")[hit]
+            held.append((_key_rows(own)[hit], at, at + window))
+            if sum(len(x[1]) for x in held) >= GATHERED:
+                yield _spans(held, parts)
+                held = []
+        if held:
+            yield _spans(held, parts)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _groups(batches, "part"):
+            keys, low, high = _key_rows(own), _numbers(own, "places"), _numbers(own, "ends")
+            k = np.concatenate([keys, np.zeros((len(keys), 4), np.uint8)], 1).view(np.uint64)
+            _, first, text = np.unique(k, axis=0, return_index=True, return_inverse=True)
+            row, low, high = united(text.reshape(-1), low, high)
+            spans = pa.StructArray.from_arrays([pa.array(low), pa.array(high)], ["low", "high"])
+            named = pa.array([keys[i].tobytes() for i in first], pa.binary())
+            yield pa.RecordBatch.from_arrays([named, pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(first) + 1)).astype(np.int32)), spans)], ["key", "spans"])
+
+    schema = ", ".join(f"{c} {k}" for c, k in zip(_SENT, ("long", "int", "int", "int", *["binary"] * 4), strict=True))
     found = written(cuts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(matched, schema), "spans")
-    between = found.where(F.col("h1").isNotNull())
-    again = between.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    more = between.where(F.col("key").isNotNull()).join(again, ["h1", "h2"]).select("key", "low", "high")
-    return found.where(F.col("h1").isNull()).select("key", "low", "high").unionByName(more)
+    more = found.where(F.col("anchor").isNotNull()).repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(between, schema)
+    spans = found.where(F.col("anchor").isNull()).unionByName(more).select("part", "places", "ends", "keys")
+    return spans.repartition("part").sortWithinPartitions("part").mapInArrow(gathered, "key binary, spans array<struct<low: long, high: long>>")
 
 
-def _found(keys: pa.Array, low: np.ndarray, high: np.ndarray, hashes: list[np.ndarray] | None) -> pa.RecordBatch:
-    n = len(low)
-    h = [pa.array(x) for x in hashes] if hashes else [pa.nulls(n, pa.int64())] * 2
-    return pa.RecordBatch.from_arrays([keys, pa.array(low, pa.int64()), pa.array(high, pa.int64()), *h], ["key", "low", "high", "h1", "h2"])
+#: Rows that travel between tasks. Either n spans (places to ends) of the texts with these keys, which belong to a part of the
+#: keys; or the n windows that a shard of a salted anchor sends to a part of the hashes, two numbers each: those that occur
+#: once in the shard first, with their places and keys.
+_SENT = {"anchor": pa.int64(), "part": pa.int32(), "n": pa.int32(), "alone": pa.int32(), "hashes": pa.binary(), "places": pa.binary(), "ends": pa.binary(), "keys": pa.binary()}
+KEY = 20
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(_SENT)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, _SENT.values(), strict=True)], list(_SENT))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[list[dict]]:
+    rows = (r for batch in batches for r in batch.to_pylist())
+    for _, own in groupby(rows, key=lambda r: tuple(r[c] for c in by)):
+        yield list(own)
+
+
+def _numbers(rows: list[dict], c: str) -> np.ndarray:
+    return np.frombuffer(b"".join(r[c] for r in rows), np.int64)
+
+
+def _key_rows(rows: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, KEY)
+
+
+def _key_bytes(keys: pa.Array) -> np.ndarray:
+    """A row of KEY bytes for each key."""
+    return np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, KEY)
+
+
+def united(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of each row's spans as maximal runs, by row and place."""
+    if not len(row):
+        return row, low, high
+    wide = int(high.max()) + 2
+    a, b = merged(low + row * wide, high + row * wide)
+    row = a // wide
+    return row, a - row * wide, b - row * wide
+
+
+def _spans(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """A row for each part of the keys that has spans."""
+    keys, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+    part = (np.ascontiguousarray(keys[:, :4]).view(np.uint32)[:, 0] % np.uint32(parts)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+    order = np.argsort(part, kind="stable")
+    keys, low, high, part = keys[order], low[order], high[order], part[order]
+    new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    ends = [*new[1:], len(part)]
+    return _rows([(None, int(part[i]), int(j - i), None, None, low[i:j].tobytes(), high[i:j].tobytes(), keys[i:j].tobytes()) for i, j in zip(new, ends, strict=True)] if len(part) else [])
+
+
+def _windows(s: Stretches, own: np.ndarray, base: np.ndarray, salts: np.ndarray, anchors: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """The different ones of the windows `own`, a row for each anchor and part."""
+    _, one = np.unique(s.same[own], return_index=True)
+    own = own[one]
+    of = s.of[own]
+    lonely = s.times[s.same[own]] == 1
+    part = (s.hashes[0][own] % salts[of].astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((~lonely, part, anchors[of]))
+    own, of, lonely, part, anchor = own[order], of[order], lonely[order], part[order], anchors[of][order]
+    new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1])]))
+    h, at = np.stack([x[own] for x in s.hashes]), s.windows[own] + base[of]
+    rows = []
+    for i, j in zip(new.tolist(), [*new[1:].tolist(), len(own)], strict=True):
+        m = i + int(lonely[i:j].sum())
+        rows.append((int(anchor[i]), int(part[i]), j - i, m - i, h[:, i:j].tobytes(), at[i:m].tobytes(), None, keys[of[i:m]].tobytes()))
+    return _rows(rows)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,15 +322,16 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """The different texts with `spans`, an array of (low, high), null where nothing recurs."""
-    lists = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return texts.join(lists, "key", "left")
+    """The different texts with `spans`, null where nothing recurs."""
+    return texts.join(spans, "key", "left")
 
 
 def back_to_rows(docs: DataFrame, text_col: str, results: DataFrame) -> DataFrame:
-    """docs with the columns of results, found by the text's key; null for null texts."""
+    """docs with the columns of results, found by the text's key; null for null texts. Columns so named give way."""
+    more = tuple(results.columns[1:])
+    docs, names, (text_col,) = numbered(docs, text_col, added=more)
     results = results.withColumnRenamed("key", "__key")
-    return docs.withColumn("__key", text_key(F.col(text_col))).join(results, "__key", "left").drop("__key")
+    return docs.withColumn("__key", text_key(F.col(text_col))).join(results, "__key", "left").select(*docs.columns, *more).toDF(*names, *more)
 
 
 def removed_runs(batch: pa.RecordBatch, i: int, items: int, window: int) -> tuple[np.ndarray, np.ndarray]:

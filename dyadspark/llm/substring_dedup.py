@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from dyadspark.llm import recurrence as rec
+from dyadspark.llm.common import numbered
 
 WINDOW, GRAM = 35, 8
 
@@ -51,7 +52,7 @@ def locate(window: int):
 
 
 def passages(docs: DataFrame, text_col: str, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The different texts (key, text, copies), and the passages found in them: key, low, high as places of words."""
+    """The different texts (key, text, copies), and by key the runs of recurring passages in them: spans of (low, high), places of words."""
     texts = rec.different_texts(docs, text_col)
     return texts, rec.recurring_spans(texts, rec.word_items, window, gram, locate(window))
 
@@ -62,7 +63,7 @@ def dedup(docs: DataFrame, text_col: str, window: int = WINDOW, gram: int = GRAM
     A word goes if a window of `window` words that covers it also starts anywhere else in the table, its own document
     included. kept_sha256 is of the words left, joined by blanks; kept is the text without the words removed and the white
     space after each, and the text itself where nothing goes. Null texts have no words and keep nothing (digests: of an
-    empty text; kept: null); texts shorter than the window lose nothing; of exact copies all go. Repeated rows are copies.
+    empty text; kept: null); texts shorter than the window lose nothing; of exact copies all go. Repeated rows are copies; an empty table gives none.
     """
     texts, spans = passages(docs, text_col, window, gram)
     last = "kept_sha256" if digests else "kept"
@@ -94,3 +95,10 @@ def dedup(docs: DataFrame, text_col: str, window: int = WINDOW, gram: int = GRAM
     if digests:
         return rec.back_to_rows(docs, text_col, results).fillna(0, ["n_words", "n_removed"]).fillna(hashlib.sha256(b"").hexdigest(), ["kept_sha256"])
     return rec.back_to_rows(docs, text_col, results).fillna(0, ["n_words", "n_removed"])
+
+
+def without_passages(docs: DataFrame, text_col: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with each text as it is kept (see dedup), and all other columns, whatever their names."""
+    own, names, (text,) = numbered(docs, text_col)
+    kept = dedup(own, text, window, gram, digests=False)
+    return kept.select(*["kept" if c == text else c for c in own.columns]).toDF(*names)

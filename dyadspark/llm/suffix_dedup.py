@@ -90,10 +90,10 @@ def locate(window: int):
 
 
 def repeats(docs: DataFrame, text_col: str, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The different texts (key, text, copies), and spans of bytes (key, low, high) that together cover all that recurs.
+    """The different texts (key, text, copies), and by key the runs of bytes that recur: spans of (low, high).
 
-    A span is an occurrence of a shard's maximal repeat, the longest from its place, or a window that recurs only between salts
-    of an anchor. Spans aren't grouped by repeat, and a repeat longer than a stretch shows as overlapping ones.
+    A run is the union of occurrences of shards' maximal repeats, the longest from each place, and of windows that recur only
+    between salts of an anchor. Runs aren't grouped by repeat.
     """
     texts = rec.different_texts(docs, text_col)
     return texts, rec.recurring_spans(texts, rec.byte_items, window, gram, locate(window))
