@@ -2,15 +2,19 @@
 
 The text's blanks become U+2581, with one put before it. No piece has that sign after another character, so texts are cut
 before each run of it, and each such word merges by itself. Words not yet known to the worker are merged together as flat
-arrays: each round finds every word's best pair, leftmost on ties, merges all of these at once and closes the gaps.
+arrays: each round finds every word's best rank, merges all pairs of that rank at once, of overlapping ones the leftmost, and
+closes the gaps. That is exact while none of these merges makes a pair of an equal or better rank, which would come before the
+rest; in words where one does, the leftmost merges alone. Words of over LONG characters are merged by a heap of pairs, since
+rounds over them would cost the square of their length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,8 @@ BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 NORMAL, BYTE = 1, 6
 NONE = np.iinfo(np.int64).max
+#: Characters of a word that rounds merge, at most, and of a word that is kept.
+LONG, KEPT = 2000, 100
 
 
 class Model:
@@ -56,6 +62,10 @@ class Model:
         at = np.argsort(keys)
         self.keys, self.joined = keys[at], np.array(list(pairs.values()), np.int64)[at]
 
+    @cached_property
+    def table(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.joined.tolist(), strict=True))
+
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE: no piece) and symbol of each pair."""
         key = a << 32 | b
@@ -66,6 +76,45 @@ class Model:
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """Each word's ids."""
+        short = iter(self._rounds([w for w in words if len(w) <= LONG]))
+        return [next(short) if len(w) <= LONG else self._heaped(w) for w in words]
+
+    def _ids(self, symbols: list[int]) -> list[int]:
+        """Symbols as pieces; a character without a piece as its bytes."""
+        ids: list[int] = []
+        for x in symbols:
+            ids += [x] if x < len(self.text) else self.byte_id[list(chr(x - len(self.text)).encode("utf-8", "surrogatepass"))].tolist()
+        return ids
+
+    def _heaped(self, word: str) -> list[int]:
+        """Merges the best pair, leftmost on ties, until none is left; pairs wait in a heap, neighbours are linked."""
+        symbol = [self.id.get(c, len(self.text) + ord(c)) for c in word]
+        after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
+        rank, table, heap = self.rank.tolist(), self.table, []
+
+        def offer(a: int, b: int) -> None:
+            if (new := table.get(symbol[a] << 32 | symbol[b])) is not None:
+                heap.append((rank[new], a, symbol[a], symbol[b], new)) if start else heapq.heappush(heap, (rank[new], a, symbol[a], symbol[b], new))
+
+        start = True
+        for a in range(len(symbol) - 1):
+            offer(a, a + 1)
+        start = False
+        heapq.heapify(heap)
+        while heap:
+            _, a, x, y, new = heapq.heappop(heap)
+            b = after[a]
+            if symbol[a] != x or b == len(symbol) or symbol[b] != y:
+                continue
+            symbol[a], symbol[b], after[a] = new, -1, after[b]
+            if after[a] < len(symbol):
+                before[after[a]] = a
+                offer(a, after[a])
+            if before[a] >= 0:
+                offer(before[a], a)
+        return self._ids([x for x in symbol if x >= 0])
+
+    def _rounds(self, words: list[str]) -> list[list[int]]:
         if not words:
             return []
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -76,40 +125,57 @@ class Model:
         word = np.repeat(np.arange(len(words)), length)
         done_w, done_s, done_k = [], [], []
         at = np.arange(len(symbol))  # where each symbol began, for the order at the end
+        rank, new = np.full(len(symbol), NONE), np.zeros(len(symbol), np.int64)
+        stale = np.arange(len(symbol))  # where pairs have changed
         while len(symbol):
-            rank, new = np.full(len(symbol), NONE), np.zeros(len(symbol), np.int64)
-            inner = np.flatnonzero(word[1:] == word[:-1])
+            inner = stale[stale < len(symbol) - 1]
+            inner = inner[word[inner + 1] == word[inner]]
+            rank[stale] = NONE
             rank[inner], new[inner] = self.pairs(symbol[inner], symbol[inner + 1])
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             least = np.minimum.reduceat(rank, first)
-            n = np.diff(np.append(first, len(symbol)))
-            best = np.repeat(least, n)
+            best = np.repeat(least, np.diff(np.append(first, len(symbol))))
             live = best != NONE
             if not live.all():  # finished words leave the arrays
                 done_w.append(word[~live])
                 done_s.append(symbol[~live])
                 done_k.append(at[~live])
-            hit = np.flatnonzero(live & (rank == best))
-            hit = hit[np.concatenate([[True], word[hit][1:] != word[hit][:-1]])] if len(hit) else hit  # leftmost
-            symbol = symbol.copy()
+            hit = self._apart(np.flatnonzero(live & (rank == best)), symbol, new, word, best)
             symbol[hit] = new[hit]
+            changed = np.zeros(len(symbol), bool)
+            changed[hit], changed[hit - (hit > 0)] = True, True
             keep = live
             keep[hit + 1] = False
-            symbol, word, at = symbol[keep], word[keep], at[keep]
+            symbol, word, at, rank, new, changed = (x[keep] for x in (symbol, word, at, rank, new, changed))
+            stale = np.flatnonzero(changed)
         w, s, k = np.concatenate(done_w), np.concatenate(done_s), np.concatenate(done_k)
         order = np.argsort(k)
         w, s = w[order], s[order]
         cut = np.searchsorted(w, np.arange(len(words) + 1))
-        out = []
-        for i in range(len(words)):
-            ids: list[int] = []
-            for x in s[cut[i] : cut[i + 1]].tolist():
-                if x < len(self.text):
-                    ids.append(x)
-                else:  # a character without a piece: its bytes
-                    ids += self.byte_id[list(chr(x - len(self.text)).encode("utf-8", "surrogatepass"))].tolist()
-            out.append(ids)
-        return out
+        return [self._ids(s[cut[i] : cut[i + 1]].tolist()) for i in range(len(words))]
+
+    def _apart(self, hit: np.ndarray, symbol: np.ndarray, new: np.ndarray, word: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Of the pairs of their words' best rank (places in order) those that can merge at once."""
+        first = np.ones(len(hit), bool)
+        first[1:] = word[hit[1:]] != word[hit[:-1]]
+        if first.all():
+            return hit
+        begin = np.ones(len(hit), bool)
+        begin[1:] = hit[1:] != hit[:-1] + 1
+        run = np.flatnonzero(begin)
+        odd = (np.arange(len(hit)) - run[np.cumsum(begin) - 1]) % 2 == 0  # of runs of overlapping pairs the first, third and so on
+        hit, first = hit[odd], first[odd]
+        last = len(symbol) - 1
+        made = [  # with the symbol before, the symbol after, and the next pair's
+            (symbol[np.maximum(hit - 1, 0)], new[hit], (hit > 0) & (word[np.maximum(hit - 1, 0)] == word[hit])),
+            (new[hit], symbol[np.minimum(hit + 2, last)], (hit + 2 <= last) & (word[np.minimum(hit + 2, last)] == word[hit])),
+            (new[hit[:-1]], new[hit[1:]], (hit[1:] == hit[:-1] + 2) & ~first[1:]),
+        ]
+        sooner = np.zeros(int(word[-1]) + 1, bool)
+        for a, b, real in made:
+            own = hit[: len(a)]
+            sooner[word[own[real & (self.pairs(a, b)[0] <= best[own])]]] = True
+        return hit[first | ~sooner[word[hit]]]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: runs of byte pieces as UTF-8, one leading blank dropped."""
@@ -156,6 +222,9 @@ class Encoder:
         for words in cut:
             got = [self.cache[w] for w in words]
             yield sum(x[0] for x in got), ",".join([x[1] for x in got]), "".join([x[2] for x in got])[1:]
+        for w in fresh:
+            if len(w) > KEPT:
+                del self.cache[w]
 
 
 @lru_cache(maxsize=1)
