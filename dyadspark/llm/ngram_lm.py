@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.llm.common import fold, written
-from dyadspark.llm.textvec import SLICE, U, Words, mix, packed, slices, unpacked
+from dyadspark.llm.textvec import U, Words, mix, packed, slices, unpacked
 
 ADD, FOLDS, TUNING, BUCKETS = 0.1, 10, 1, 32
 END, START = mix(np.array([0xE0D, 0x57A27], U))
 #: Keys that a part of the key space holds, about, and the least number of parts (a power of two).
-PART_KEYS, PARTS = 400_000, 128
+PART_KEYS, PARTS = 1_600_000, 64
+#: Bytes of text in a coded batch: it sends a row to each part, so few and large ones keep rows few.
+CODED = 6_000_000
 STEP, LEAST_BIN, MOST_BIN = 8, -160, 320
 
 
@@ -40,7 +42,7 @@ def _coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng()
         for batch in batches:
-            for a, b, raw, offsets in slices(batch.column(2), SLICE):
+            for a, b, raw, offsets in slices(batch.column(2), CODED):
                 words = Words(raw, offsets, lower=True)
                 group = batch.column(1).slice(a, b - a).to_numpy()
                 size = np.diff(words.first)
