@@ -428,3 +428,264 @@ def test_pipeline(spark, tmp_path):
     assert kept[10_000]["text"] == good
     assert {r["doc_id"] for r in now.collect()} == set(kept)
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_line_dedup_deals_out_large_hosts(spark, monkeypatch):
+    """Beyond the bound of what is sent to all, pages meet the lines by host, large hosts over several tasks; results are the same."""
+    rows = [(k, "a" if k < 60 else f"h{k % 7}" if k % 5 else None, f"menu\nbody {k}\nfoot") for k in range(90)] + [(5, "a", None), (5, "a", ""), (7, None, "menu"), (7, None, "menu")]
+    pages = spark.createDataFrame(rows, "i int, host string, t string").withColumn("__boiler", F.lit("x")).withColumn("__host", F.lit("y")).withColumn("n", F.lit(1))
+    run = lambda: sorted((tuple(r) for r in line_dedup.line_dedup(pages, "t", F.col("host"), counts=("n", "gone")).collect()), key=repr)
+    whole = run()
+    monkeypatch.setattr(line_dedup, "SMALL", 0)
+    monkeypatch.setattr(line_dedup, "SHARES", 10)
+    assert run() == whole
+    assert line_dedup.line_dedup(pages, "t", F.col("host"), counts=("n", "gone")).columns == ["i", "host", "t", "__boiler", "__host", "n", "gone"]
+    assert sum(r[-1] for r in whole) >= 120
+
+
+def test_ball_tree_with_foreign_queries(spark):
+    """Queries that no row of the table equals, with other columns about, values that doubles can't hold, and ties."""
+    rng = np.random.default_rng(1)
+    for big in (1, 10**9):
+        rows = [(i, (rng.integers(-(2**20), 2**20, 5) * float(big)).tolist(), "x", 1) for i in range(300)]
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, score int")
+        q = [(10_000 + i, (rng.integers(-(2**20), 2**20, 5) * float(big) / 2**20).tolist()) for i in range(10)]
+        asked = spark.createDataFrame(q, "vec_id long, embedding array<double>")
+        whole = lambda v: [int(math.floor(256 * x)) for x in v]
+        want = set()
+        for i, v in q:
+            top = sorted((-sum(a * b for a, b in zip(whole(v), whole(w), strict=True)), j) for j, w, _, _ in rows)[:5]
+            want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(top)}
+        if any(abs(s) >= 2**63 for *_, s in want):
+            continue
+        got = ball_tree.top_k(d, asked, "vec_id", "embedding", block=4)
+        assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()} == want
+    ends = spark.createDataFrame([(1, [1e300, 1e300]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ball_tree.top_k(ends, ends, "vec_id", "embedding").collect()}
+    assert got == {(1, 2): -(2**63), (2, 1): -(2**63)}
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-(2**30), 2**30, (50, 6)).astype(float), rng.integers(-(2**30), 2**30, 6).astype(float)
+    assert ball_tree.products(a, b).tolist() == [sum(int(x) * int(y) for x, y in zip(r, b, strict=True)) for r in a]
+
+
+def test_sentencepiece_long_words():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(4)
+    model = piece_bpe.Model(path)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "a", "ab", "etaoin shr", "=-.*", "é日a"):
+        for n in (1, 7, 300, 2500, 32_000):
+            t = "".join(rng.choice(letters) for _ in range(n)).strip() or "a"
+            (k, ids, back), want = next(iter(piece_bpe.Encoder(path).encode([t]))), lib.encode(t)
+            assert (k, ids, back) == (len(want), ",".join(map(str, want)), lib.decode(want))
+            if n <= 300:
+                word = piece_bpe.BLANK + t.replace(" ", piece_bpe.BLANK)
+                assert model._heaped(word) == model._rounds([word])[0]
+
+
+def test_language_model_scores(docs, monkeypatch):
+    """score by brute force for given weights; the weights that EM learns from bins against EM on the ratios themselves."""
+    weight, seen = 0.2 + 0.02 * np.arange(ngram_lm.BUCKETS), []
+    learned = ngram_lm.learned_weights
+    monkeypatch.setattr(ngram_lm, "learned_weights", lambda h: (seen.append(h), weight)[1])
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    tokens = [[*words((t or "").translate(LOWER)), None] for _, t in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 for i, _ in rows]
+    uni, big, begin = Counter(), Counter(), ("begin",)
+    for w, h in zip(tokens, held, strict=True):
+        if h:
+            uni.update(w)
+            big.update(zip([begin, *w], w, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    times = {**uni, begin: uni[None]}
+    bucket = lambda c: min(ngram_lm.BUCKETS - 1, int(math.log2(c + 1)))
+    want = []
+    for (i, _), w, h in zip(rows, tokens, held, strict=True):
+        score = 0.0
+        for c, x in zip([begin, *w], w, strict=False):
+            before = times.get(c, 0)
+            b = weight[bucket(before)] if before else 0
+            score += math.log10(b * big[c, x] / max(before, 1) + (1 - b) * (uni[x] + 0.1) / (n + 0.1 * (v + 1)))
+        want.append((repr(i), len(w), h == 0, round(score, 6)))
+    got = ngram_lm.score_documents(docs, "doc_id", "text").collect()
+    assert sorted((repr(r["id"]), r["n_tokens"], r["held_out"], round(r["score"], 6)) for r in got) == sorted(want)
+    ratios = defaultdict(list)
+    for w, h in zip(tokens, held, strict=True):
+        for c, x in zip([begin, *w], w, strict=False) if h == ngram_lm.TUNING else ():
+            if times[c] > 1:
+                ratios[bucket(times[c] - 1)].append((big[c, x] - 1) / (times[c] - 1) / ((uni[x] - 0.9) / (n - 1 + 0.1 * (v + 1))))
+    fitted = learned(seen[0])
+    assert seen[0].sum() == sum(map(len, ratios.values())) > 100
+    for k, r in ratios.items():
+        x, b = np.array(r), 0.5
+        for _ in range(100):
+            b = min(1 - 1e-6, max(1e-6, ((b * x / (b * x + 1 - b)).sum() + 0.5) / (len(x) + 1)))
+        assert fitted[k] == pytest.approx(b, abs=0.02)
+
+
+def test_fingerprints_by_brute_force(docs):
+    """Fingerprints and both likenesses of every row, from sums of hashed paragraphs in Python."""
+    import struct
+
+    import xxhash
+
+    def sums(text):
+        parts = [p for p in re.split(r"\n+|(?<=[.!?])\s+", text, flags=re.ASCII) if p]
+        out = [len(parts)] + [0] * 40
+        for p in parts:
+            for seed in range(2):
+                h = xxhash.xxh64(struct.pack("<i", seed), seed=xxhash.xxh64(p.encode(), seed=42).intdigest()).intdigest()
+                for j in range(20):
+                    k = 1 + 20 * seed + j
+                    out[k] = (out[k] + (h >> j & fingerprint.MASK)) & fingerprint.MOD
+        return out
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        x, y = (np.array([2 * (w >> 20 * i & 0xFFFFF) - s[0] for w in s[1:] for i in range(3)], float) for s in (a, b))
+        norm = math.sqrt((x @ x) * (y @ y))
+        return min(1.0, max(0.0, float(x @ y) / norm)) if norm else 0.0
+
+    named = lambda s: "".join(f"{w:015x}" for w in s)
+    rows = sorted((-(2**63) if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in docs.collect())
+    want = []
+    for k, (i, t) in enumerate(rows):
+        nxt, h = rows[(k + 1) % len(rows)][1], len(t) // 2
+        a, b, c = sums(t), sums(t[: len(t) - h] + nxt[:h]), sums(nxt)
+        want.append((i, named(a), named(b), round(like(a, b), 9), round(like(a, c), 9)))
+    got = fingerprint.edited_neighbours(docs, "doc_id", "text").collect()
+    assert sorted((-(2**63) if r["id"] is None else r["id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == sorted(want)
+
+
+def test_quality_scores_by_enumeration(spark):
+    """Scores of a fixed model against sums over all labellings of the lines."""
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(size=(quality.WIDTH, 3)) * 0.3, rng.normal(size=(2, 2)), 0.1, 1.3, -0.2, 0.4)
+    texts = ["One line.", "A b c\nBUY!! NOW 100%\n\n  \nand the last", "x\n" * 6, "é日 1\n|||\nThe end.\nthe end. the end.", "", None, " \n "]
+    d = spark.createDataFrame([(i, t, "mine", 3) for i, t in enumerate(texts)], "id int, t string, __score string, __predicted int")
+    out = quality.classify(d, model, "id", "t")
+    assert out.columns == ["id", "t", "__score", "__predicted"]
+    got = {r["id"]: r["__score"] for r in out.collect()}
+    for i, t in enumerate(texts):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        x = quality.lines_of(raw, np.array([0, len(raw)]))
+        if not len(x.start):
+            assert got[i] == model.prior
+            continue
+        e, n = quality.features(x) @ model.weights, len(x.start)
+        odds = [e[k, 1] + (e[k - 1, 0] if k else 0) + (e[k + 1, 2] if k + 1 < n else 0) + model.bias for k in range(n)]
+        total, good = 0.0, np.zeros(n)
+        for code in range(1 << n):
+            y = [(code >> k) & 1 for k in range(n)]
+            p = math.exp(sum(a * b for a, b in zip(y, odds, strict=True)) + sum(model.transitions[u, v] for u, v in zip(y, y[1:], strict=False)))
+            total, good = total + p, good + p * np.array(y)
+        m = float((good / total) @ (x.end - x.start) / (x.end - x.start).sum())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(1.3 * math.log(m / (1 - m)) - 0.2))), rel=1e-6)
+    kept = quality.good(d, model, "id", "t").collect()
+    assert {r["id"] for r in kept} == {i for i, s in got.items() if s >= quality.THRESHOLD}
+    assert {r["__score"] for r in kept} <= {"mine"}
+
+
+def test_training_is_bounded():
+    line = b"Some words in a line.\n"
+    raw = np.frombuffer(line * 1000 + line, np.uint8)
+    x = quality.lines_of(raw, np.array([0, 1000 * len(line), 1001 * len(line)]))
+    thin = quality._thinned(x, 2)
+    assert np.bincount(thin.row).tolist() == [quality.CHAIN * quality.CHAINS, 1]
+    assert thin.start.max() > 1000 * len(line) - 1
+
+
+def test_crowded_sets_share_a_bucket():
+    """Sets with more parts without shingles than are spared still meet, in small ranges and in large ones."""
+    ranges = jaccard_join.Ranges((85, 100))
+    rng = np.random.default_rng(5)
+    for n in (20, 300, 3000):
+        same = np.full(n, 7 << 20, np.uint64) | rng.integers(0, 1 << 20, n).astype(np.uint64)  # all in one part
+        other = same.copy()
+        other[:1] = rng.integers(0, 1 << 20, 1).astype(np.uint64) | np.uint64(7 << 20)
+        row, sig = jaccard_join.signatures(np.repeat([0, 1], n), np.concatenate([same, other]), 2, ranges)
+        assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+
+
+@pytest.mark.parametrize(("block", "sketched"), [(3, 2)])
+def test_blocks_across_components(docs, block, sketched, monkeypatch):
+    """Components when buckets are cut into many blocks and sketches are compared across several of them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SKETCHED", sketched)
+    monkeypatch.setattr(jaccard_join, "GATHERED", 50)
+    test_jaccard_groups.__wrapped__(docs, 5, (80, 100)) if hasattr(test_jaccard_groups, "__wrapped__") else test_jaccard_groups(docs, 5, (80, 100))
+
+
+def test_very_long_texts(spark):
+    """A text of a million characters, and one of as many without a blank, twice, beside short ones."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long, solid = " ".join(rng.choice(vocab) for _ in range(170_000)), "".join(rng.choice("abcdefgh") for _ in range(1_000_000))
+    rows = [(0, long), (1, long + " more"), (2, solid), (3, solid), (4, "short"), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_groups(d, "doc_id", "text").collect()}
+    assert [got[i]["component_id"] for i in range(6)] == [0, 0, 2, 2, 4, 5]
+    w = {r["doc_id"]: r for r in substring_dedup.dedup(d, "text").collect()}
+    assert (w[0]["n_removed"], w[1]["n_removed"], w[2]["n_removed"]) == (170_000, 170_000, 0)
+    b = {r["doc_id"]: r for r in suffix_dedup.dedup(d, "text").collect()}
+    assert [b[i]["n_removed"] for i in range(5)] == [len(long), len(long), 1_000_000, 1_000_000, 0]
+    assert [b[i]["n_spans"] for i in range(5)] == [1, 1, 1, 1, 0]
+    f = {r["id"]: r for r in fingerprint.edited_neighbours(d, "doc_id", "text").collect()}
+    assert f[2]["fingerprint"] == f[3]["fingerprint"]
+    s = {r["id"]: r for r in ngram_lm.score_documents(d, "doc_id", "text").collect()}
+    assert s[0]["n_tokens"] == 170_001
+    p = packing.best_fit_packing(d, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json")).groupBy("id").agg(F.sum("length").alias("n"), F.max("length").alias("most")).collect()
+    assert max(r["most"] for r in p) == 1024
+    n = {r["id"]: r["n"] for r in p}
+    assert n[2] == n[3] > 100_000
+    e = {r["id"]: r for r in piece_bpe.encode_documents(d, "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert e[2]["ids_sha256"] == e[3]["ids_sha256"]
+    assert e[2]["decoded_sha256"] == hashlib.sha256(solid.encode()).hexdigest()
+    assert line_dedup.line_dedup(d, "text", F.lit("h")).count() == 6
+    model = quality.Model(np.zeros((quality.WIDTH, 3)), np.zeros((2, 2)), 0.0, 1.0, 0.0, 0.5)
+    assert quality.classify(d, model, "doc_id", "text").count() == 6
+
+
+def test_pipeline_corner_cases(spark, tmp_path):
+    """No documents at all; then nulls in every column, repeated rows, and columns with the names of the stages' own."""
+    import corpus_pipeline
+
+    d, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    for k, docs in enumerate((d.where("false"), d.where("doc_id % 10 = 0"))):
+        odd = spark.createDataFrame([(None, None, None, None, None), (None, "a lonely text without id", None, None, None), (3, "", None, "s", 0), (3, "", None, "s", 0)], d.schema)
+        own = (docs.unionByName(odd) if k else docs).withColumn("__score", F.lit("s")).withColumn("__host", F.lit(None).cast("int")).withColumn("key", F.lit(1)).withColumn("n_words", F.lit(2)).withColumn("kept", F.lit("k"))
+        now = own
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, DATA)
+            assert now.columns == own.columns, name
+            assert set(now.select("__score").distinct().toPandas()["__score"]) <= {"s"}
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, DATA)
+        assert packed.where("piece = 0").count() == now.count()
+        assert now.count() >= 3 * k
+        assert labels.count() > 0
+
+
+def test_clear_and_shared_folder(spark, docs):
+    from dyadspark.llm import common
+
+    common.clear(spark)
+    assert suffix_dedup.dedup(docs, "text", 100, 20).count() == docs.count()
+    tables = {t.name for t in spark.catalog.listTables()}
+    assert any(t.startswith("texts_") for t in tables)
+    assert common.clear(spark) > 1
+    assert not any(t.name.startswith("texts_") for t in spark.catalog.listTables())
+
+    class Conf:
+        def __init__(self, master):
+            self.conf = {"spark.master": master}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Conf("yarn"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Conf("local-cluster[3,2,1024]"))
+    assert common.shared_dir(Conf("local[2]"))
