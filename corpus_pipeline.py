@@ -11,29 +11,40 @@ from dyadspark.llm.common import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF predicts to be good, fitted to `labels`; texts that are empty or null get its prior."""
+    """Documents that the line CRF predicts to be good, fitted to `labels`; texts that are empty or null get its prior.
+
+    Repeated rows fare alike, null ids are scored like any; no documents give none. Without labels all stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
-    return quality.classify(docs, model, "doc_id", "text").where(F.col("__predicted") == 1).select(*docs.columns)
+    return quality.good(docs, model, "doc_id", "text")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand in over a tenth of their source's documents; sources that are null keep all."""
+    """All documents, without lines that stand in over a tenth of their source's documents; sources that are null keep all.
+
+    Each row counts, repeated ones too; null texts stay null and empty ones empty, as do texts that lose every line.
+    """
     return _recounted(line_dedup.line_dedup(docs, "text", F.col("source")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links by five-word shingles at a Jaccard similarity of 0.8 or more, the least id."""
+    """One document of each group that links by five-word shingles at a Jaccard similarity of 0.8 or more, the least id.
+
+    Repeated rows and rows that share the least id leave one; rows without words, null texts among them, all stay.
+    """
     return jaccard_join.one_of_each(docs, "doc_id", "text")
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 35 words or more that recur; one that loses all its words stays with what is left."""
-    kept = substring_dedup.dedup(docs, "text", digests=False)
-    return _recounted(kept.drop("text").withColumnRenamed("kept", "text").select(*docs.columns))
+    """All documents, without passages of 35 words or more that recur; one that loses all its words stays with what is left.
+
+    Passages are judged on the input, so all copies go, repeated rows' among them. Null texts stay null.
+    """
+    return _recounted(substring_dedup.without_passages(docs, "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
+    """The pieces of all documents in sequences of 1024 tokens; null and empty texts are an end token, no documents no rows."""
     return packing.best_fit_packing(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
