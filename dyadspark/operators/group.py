@@ -36,12 +36,13 @@ def signed_rank(df: DataFrame, value: str, within: list[str]) -> DataFrame:
     return out.select(*within, "n", w.alias("wilcoxon_W"), normal_p(F.try_divide(w - n * (n + 1) / 4, sd)).alias("p_wilcoxon"))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n: int = 1) -> DataFrame:
-    """U, p (normal, tie and continuity corrected), Cohen's d, p_fdr and significance for each two groups of an entity."""
+def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n: int = 2) -> DataFrame:
+    """U, p (normal, tie and continuity corrected), Cohen's d, p_fdr and significance for each two groups of an entity; null where a
+    group has fewer than `min_n` values."""
     x = df.where(F.col(value).isNotNull())
     stats = x.groupBy(*within, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
     side = lambda c: stats.select(*within, *[F.col(k).alias(f"{k}_{c}") for k in (group, "n", "m", "v")])
-    two = side("a").join(side("b"), within).where((F.col(f"{group}_a") < F.col(f"{group}_b")) & (F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
+    two = side("a").join(side("b"), within).where(F.col(f"{group}_a") < F.col(f"{group}_b"))
     # values of both groups by pair: equality joins on the group
     rows = x.select(*within, F.col(group).alias("g"), F.col(value).alias("x"))
     both = two.withColumn("g", F.explode(F.array(f"{group}_a", f"{group}_b"))).join(rows, [*within, "g"])
@@ -52,9 +53,10 @@ def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n
     n, u = na + nb, F.col("r") - na * (na + 1) / 2
     sd = F.sqrt(na * nb / 12 * (n + 1 - F.try_divide(F.col("tied"), n * (n - 1))))
     z = F.try_divide(F.greatest(F.abs(u - na * nb / 2) - 0.5, F.lit(0.0)), sd)
-    pooled = F.sqrt(((na - 1) * F.col("v_a") + (nb - 1) * F.col("v_b")) / (n - 2))
+    pooled = F.sqrt(F.try_divide((na - 1) * F.col("v_a") + (nb - 1) * F.col("v_b"), n - 2))
     d = F.coalesce(F.try_divide(F.col("m_a") - F.col("m_b"), pooled), F.lit(0.0))
-    tests = out.select(*key, u.alias("u_stat"), normal_p(z).alias("p_value"), d.alias("cohens_d"))
+    known = lambda c: F.when((na >= min_n) & (nb >= min_n), c)
+    tests = out.select(*key, known(u).alias("u_stat"), normal_p(known(z)).alias("p_value"), known(d).alias("cohens_d"))
     return benjamini_hochberg(tests, "p_value", within).withColumn("significant", F.coalesce(F.col("p_fdr") < 0.05, F.lit(False)))
 
 

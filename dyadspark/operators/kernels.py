@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadspark.functions.special import f_sf
+from dyadspark.operators.states import hmm_parameters
 
 KEY = ["dyad", "dimension"]
 
@@ -83,16 +84,17 @@ def morlet(x: np.ndarray, widths: np.ndarray) -> np.ndarray:
 
 
 def wavelet(pair: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Mean phase difference and mean smoothed coherence over widths 2 to min(64, n // 4) at each position; A leads on positive phase."""
+    """Mean phase difference and mean smoothed coherence at each position, over widths from 2 up to but not including min(64, n // 4); A
+    leads on positive phase. The size of the cross spectrum is smoothed, not its sign, so coherence doesn't vanish where phases alternate."""
 
     def f(x: pd.DataFrame) -> pd.DataFrame:
         a, b = x.a.to_numpy(float), x.b.to_numpy(float)
-        widths = np.arange(2, min(64, len(a) // 4) + 1)
+        widths = np.arange(2, min(64, len(a) // 4))
         if not len(widths):
             return pd.DataFrame({"pos": x.pos.astype(int), "mean_phase_diff": None, "mean_coherence": None, "leader": None})
         wa, wb = morlet(a, widths), morlet(b, widths)
         cross = wa * wb
-        c = np.abs(_smooth(cross)) ** 2 / (_smooth(wa**2) * _smooth(wb**2) + 1e-12)
+        c = _smooth(np.abs(cross)) ** 2 / (_smooth(wa**2) * _smooth(wb**2) + 1e-12)
         phase = np.where(cross < 0, np.pi, 0.0).mean(0)
         return pd.DataFrame({"pos": x.pos.to_numpy(int), "mean_phase_diff": phase, "mean_coherence": c.mean(0), "leader": np.where(phase > 0, "A", "B")})
 
@@ -130,6 +132,24 @@ def granger(pair: DataFrame, max_lag: int, key: list[str] = KEY) -> DataFrame:
     return _grouped(pair, key, "pos", "granger_F_AtoB double, granger_p_AtoB double, granger_F_BtoA double, granger_p_BtoA double, granger_leader string", f)
 
 
+def granger_windows(pair: DataFrame, max_lag: int, width: int, step: int, key: list[str] = KEY) -> DataFrame:
+    """Greatest F over lags in both directions within each window (the last one may be short); null where the window is too short
+    for its lags, min(max_lag, length // 3) of them, or a regression is exact. B leads unless A's F is greater."""
+
+    def f(x: pd.DataFrame) -> pd.DataFrame:
+        a, b, n = x.a.to_numpy(float), x.b.to_numpy(float), len(x)
+        rows, full = [], (n - width) // step + 1 if n >= width else 0
+        for w in range(full + (full * step < n)):
+            u, v = a[w * step : w * step + width], b[w * step : w * step + width]
+            lags = min(max_lag, len(u) // 3)
+            got = [[granger_f(t, s, k)[0] for k in range(1, lags + 1)] if lags and 3 * lags + 1 < len(u) else [math.nan] for t, s in ((v, u), (u, v))]
+            ab, ba = (None if any(map(math.isnan, g)) else max(g) for g in got)
+            rows.append((w, w * step, ab, ba, "A" if ab is not None and ba is not None and ab > ba else "B"))
+        return pd.DataFrame(rows, columns=["window", "start", "granger_F_AtoB", "granger_F_BtoA", "granger_leader"])
+
+    return _grouped(pair, key, "pos", "window long, start long, granger_F_AtoB double, granger_F_BtoA double, granger_leader string", f)
+
+
 # reduction
 
 
@@ -285,21 +305,69 @@ def feature_clusters(series: DataFrame, k: int, within: list[str], index: str =
     return _grouped(series, within, index, "feature string, cluster int", f)
 
 
+def cluster_components(series: DataFrame, k: int, within: list[str], index: str = "bin") -> DataFrame:
+    """cluster, index, value, explained: scores of the first principal component of each cluster of features."""
+
+    def f(x: pd.DataFrame) -> pd.DataFrame:
+        m, names = matrix(x, index)
+        r = m.T @ m / max(1, len(m))
+        label, at, out = ward(1 - np.abs(np.clip(r, -1, 1)), min(k, len(names))), np.sort(x[index].unique()), []
+        for c in sorted(set(label.tolist())):
+            own = m[:, label == c]
+            v, share = pca(own, 1)
+            out.append(pd.DataFrame({"cluster": c, index: at, "value": (own - own.mean(0)) @ v[0], "explained": float(share[0])}))
+        return pd.concat(out)
+
+    kind = series.schema[index].dataType.simpleString()
+    return _grouped(series, within, index, f"cluster int, {index} {kind}, value double, explained double", f)
+
+
+def component_labels(loaded: DataFrame, within: list[str], top: int = 3, width: int = 12) -> DataFrame:
+    """label: the component's features of greatest absolute loading, cut to `width` letters, joined by '+'; ties by name."""
+    w = Window.partitionBy(*within, "component").orderBy(F.desc(F.abs("loading")), "feature")
+    best = loaded.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= top)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("__k", F.substring("feature", 1, width).alias("name")))), lambda x: x["name"])
+    return best.groupBy(*within, "component").agg(F.array_join(names, "+").alias("label"))
+
+
 # segmentation
 
 
-def fit_hmm(x: np.ndarray, k: int, seed: int, rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, Viterbi path and posteriors of a diagonal Gaussian HMM by Baum-Welch in logs, from k-means++ means."""
+def _scatter(x: np.ndarray, mean: np.ndarray, post: np.ndarray, covariance: str) -> np.ndarray:
+    """Covariances (k, p, p) of the states in the given form, with 1e-3 on the diagonal."""
+    (k, p), w = mean.shape, post.sum(0) + 1e-9
+    full = np.array([((x - mean[j]) * post[:, [j]]).T @ (x - mean[j]) for j in range(k)])
+    if covariance == "tied":
+        return np.repeat((full.sum(0) / w.sum() + 1e-3 * np.eye(p))[None], k, 0)
+    full = full / w[:, None, None]
+    if covariance == "full":
+        return full + 1e-3 * np.eye(p)
+    var = np.maximum(np.diagonal(full, axis1=1, axis2=2), 1e-3)
+    return np.array([np.diag(np.full(p, v.mean()) if covariance == "spherical" else v) for v in var])
+
+
+def _log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), len(mean)))
+    for j, (m, c) in enumerate(zip(mean, cov, strict=True)):
+        low = np.linalg.cholesky(c)
+        z = np.linalg.solve(low, (x - m).T)
+        out[:, j] = -0.5 * ((z**2).sum(0) + len(m) * math.log(2 * math.pi)) - np.log(np.diag(low)).sum()
+    return out
+
+
+def fit_hmm(x: np.ndarray, k: int, seed: int, rounds: int = 60, covariance: str = "diag") -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, Viterbi path and posteriors of a Gaussian HMM by Baum-Welch in logs, from k-means++ means; covariances are
+    full, diag, tied or spherical."""
     rng, (n, p) = np.random.default_rng(seed), x.shape
     mean = x[[rng.integers(n)]]
     while len(mean) < k:
-        d = ((x[:, None] - mean) ** 2).sum(2).min(1)
+        d = squared_distances(x, mean).min(1)
         mean = np.vstack([mean, x[rng.choice(n, p=d / d.sum() if d.sum() > 0 else None)]])
-    var, start, trans = np.tile(x.var(0) + 1e-3, (k, 1)), np.log(np.full(k, 1 / k)), np.log(np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)))
+    cov, start, trans = np.repeat(np.diag(x.var(0) + 1e-3)[None], k, 0), np.log(np.full(k, 1 / k)), np.log(np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)))
     last = -np.inf
     total = lambda v, axis: np.logaddexp.reduce(v, axis)
     for _ in range(rounds):
-        e = -0.5 * (((x[:, None] - mean) ** 2 / var).sum(2) + np.log(2 * np.pi * var).sum(1))
+        e = _log_density(x, mean, cov)
         a, b = np.empty((n, k)), np.zeros((n, k))
         a[0] = start + e[0]
         for t in range(1, n):
@@ -315,7 +383,7 @@ def fit_hmm(x: np.ndarray, k: int, seed: int, rounds: int = 60) -> tuple[float,
         start, trans = np.log(post[0] + 1e-12), np.log(xi / xi.sum(1, keepdims=True))
         w = post.sum(0)[:, None] + 1e-9
         mean = post.T @ x / w
-        var = np.maximum(post.T @ x**2 / w - mean**2, 1e-3)
+        cov = _scatter(x, mean, post, covariance)
     v, back = start + e[0], np.zeros((n, k), int)
     for t in range(1, n):
         s = v[:, None] + trans
@@ -328,7 +396,7 @@ def fit_hmm(x: np.ndarray, k: int, seed: int, rounds: int = 60) -> tuple[float,
     return ll, path, post
 
 
-def hmm_states(series: DataFrame, states: list[int], restarts: int, within: list[str], index: str = "bin") -> DataFrame:
+def hmm_states(series: DataFrame, states: list[int], restarts: int, within: list[str], index: str = "bin", covariance: str = "full") -> DataFrame:
     """index, state (from 1), prob, n_states, log_likelihood, BIC, AIC: every number of states is one group of its own, so
     Spark runs the grid of fits in parallel; the best of the restarts stands. Seeds follow from the entity."""
     grid = series.withColumn("n_states", F.explode(F.array(*map(F.lit, states))))
@@ -337,8 +405,8 @@ def hmm_states(series: DataFrame, states: list[int], restarts: int, within: list
         m, _ = matrix(x, index)
         k, n, p = int(x.n_states.iloc[0]), len(m), m.shape[1]
         seed = zlib.crc32(repr([x[c].iloc[0] for c in within]).encode())
-        ll, path, post = max((fit_hmm(m, k, seed + r) for r in range(restarts)), key=lambda r: r[0])
-        free = k - 1 + k * (k - 1) + 2 * k * p
+        ll, path, post = max((fit_hmm(m, k, seed + r, covariance=covariance) for r in range(restarts)), key=lambda r: r[0])
+        free = hmm_parameters(k, p, covariance)
         at = np.sort(x[index].unique())
         return pd.DataFrame({index: at, "state": path + 1, "prob": post[np.arange(n), path], "log_likelihood": ll, "BIC": free * math.log(n) - 2 * ll, "AIC": 2 * free - 2 * ll})
 
@@ -346,21 +414,33 @@ def hmm_states(series: DataFrame, states: list[int], restarts: int, within: list
     return _grouped(grid, [*within, "n_states"], index, f"{index} {kind}, state int, prob double, log_likelihood double, BIC double, AIC double", f)
 
 
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By dot products: memory is that of the result, whatever the number of columns."""
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0.0)
+
+
 def rbf_gram(m: np.ndarray) -> np.ndarray:
-    d = ((m[:, None] - m) ** 2).sum(2)
+    d = squared_distances(m, m)
     off = d[np.triu_indices(len(m), 1)]
     med = float(np.median(off)) if len(off) else 1.0
-    return np.exp(-np.clip(d / (med if med > 0 else 1.0), 1e-2, 1e2))
+    g = np.exp(-np.clip(d / (med if med > 0 else 1.0), 1e-2, 1e2))
+    np.fill_diagonal(g, 1.0)
+    return g
 
 
-def change_points(m: np.ndarray, penalty: float = 1.0, least: int = 2) -> list[int]:
-    """Ends of segments by pruned exact search over the kernel cost."""
-    n, g = len(m), rbf_gram(m)
+def kernel_cost(m: np.ndarray) -> Callable[[int, int], float]:
+    """Cost of the segment [a, b) by prefix sums of the Gram matrix."""
+    n = len(m)
     s = np.zeros((n + 1, n + 1))
-    s[1:, 1:] = g.cumsum(0).cumsum(1)
-    cost = lambda a, b: (b - a) - (s[b, b] - s[a, b] - s[b, a] + s[a, a]) / (b - a)
+    s[1:, 1:] = rbf_gram(m).cumsum(0).cumsum(1)
+    return lambda a, b: (b - a) - (s[b, b] - s[a, b] - s[b, a] + s[a, a]) / (b - a)
+
+
+def change_points(m: np.ndarray, penalty: float = 1.0, least: int = 2, jump: int = 1) -> list[int]:
+    """Ends of segments by pruned exact search over the kernel cost; ends lie at multiples of `jump`, but for the last."""
+    n, cost = len(m), kernel_cost(m)
     best, prev, open_ = {0: 0.0}, {}, [0]
-    for t in range(least, n + 1):
+    for t in [*[t for t in range(jump, n, jump) if t >= least], n]:
         options = [(best[a] + cost(a, t) + penalty, a) for a in open_ if t - a >= least and a in best]
         if not options:
             continue
@@ -373,49 +453,75 @@ def change_points(m: np.ndarray, penalty: float = 1.0, least: int = 2) -> list[i
     return out[::-1]
 
 
-def changepoint_states(series: DataFrame, penalty: float, within: list[str], index: str = "bin") -> DataFrame:
-    """index, state: the segment's number from 1. The cost is quadratic in an entity's bins, as the algorithm is."""
+def binary_segments(m: np.ndarray, splits: int, least: int = 2, jump: int = 1) -> list[int]:
+    """Ends of segments after `splits` greedy cuts, each where the kernel cost falls most; fewer where nothing can be cut."""
+    n, cost = len(m), kernel_cost(m)
+    ends = [0, n]
+    for _ in range(splits):
+        best = None
+        for a, b in zip(ends, ends[1:], strict=False):
+            for t in range(a + least + (-(a + least)) % jump, b - least + 1, jump):
+                gain = cost(a, b) - cost(a, t) - cost(t, b)
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, t)
+        if best is None:
+            break
+        ends = sorted([*ends, best[1]])
+    return ends[1:]
+
+
+def changepoint_states(series: DataFrame, penalty: float, within: list[str], index: str = "bin", n_states: int | None = None, least: int = 2, jump: int = 5) -> DataFrame:
+    """index, state: the segment's number from 1, by penalised search, or by n_states - 1 greedy cuts. The cost is quadratic in an
+    entity's bins, as the algorithm is."""
 
     def f(x: pd.DataFrame) -> pd.DataFrame:
         m, _ = matrix(x, index)
-        ends = change_points(m, penalty)
+        ends = change_points(m, penalty, least, jump) if n_states is None else binary_segments(m, n_states - 1, least, jump)
         return pd.DataFrame({index: np.sort(x[index].unique()), "state": np.searchsorted(ends, np.arange(len(m)), "right") + 1})
 
     kind = series.schema[index].dataType.simpleString()
     return _grouped(series, within, index, f"{index} {kind}, state int", f)
 
 
-def kmeans(m: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    c = m[[rng.integers(len(m))]]
-    while len(c) < k:
-        d = ((m[:, None] - c) ** 2).sum(2).min(1)
-        c = np.vstack([c, m[rng.choice(len(m), p=d / d.sum() if d.sum() > 0 else None)]])
-    for _ in range(rounds):
-        label = ((m[:, None] - c) ** 2).sum(2).argmin(1)
-        new = np.array([m[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
-        if np.allclose(new, c):
-            break
-        c = new
-    return label
+def kmeans(m: np.ndarray, k: int, seed: int = 0, rounds: int = 50, starts: int = 10) -> np.ndarray:
+    """Labels of the start of least inertia, centres drawn by squared distance."""
+    best = None
+    for start in range(starts):
+        rng = np.random.default_rng([seed, start])
+        c = m[[rng.integers(len(m))]]
+        while len(c) < k:
+            d = squared_distances(m, c).min(1)
+            c = np.vstack([c, m[rng.choice(len(m), p=d / d.sum() if d.sum() > 0 else None)]])
+        for _ in range(rounds):
+            d = squared_distances(m, c)
+            label = d.argmin(1)
+            new = np.array([m[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        inertia = float(squared_distances(m, c).min(1).sum())
+        if best is None or inertia < best[0] - 1e-12:
+            best = (inertia, label)
+    return best[1]
 
 
 def silhouette(m: np.ndarray, label: np.ndarray) -> float:
-    d = np.sqrt(((m[:, None] - m) ** 2).sum(2))
-    score = []
-    for i in range(len(m)):
-        own = (label == label[i]).sum()
-        if own < 2:
-            score.append(0.0)
-            continue
-        a = d[i, label == label[i]].sum() / (own - 1)
-        b = min(d[i, label == j].mean() for j in set(label.tolist()) - {label[i]})
-        score.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-    return float(np.mean(score))
+    d = np.sqrt(squared_distances(m, m))
+    np.fill_diagonal(d, 0.0)
+    values, at = np.unique(label, return_inverse=True)
+    size = np.bincount(at)
+    total = d @ np.eye(len(values))[at]  # distance to each cluster
+    own = np.arange(len(m)), at
+    a = total[own] / np.maximum(size[at] - 1, 1)
+    mean = total / size
+    mean[own] = np.inf
+    b = mean.min(1)
+    top = np.maximum(a, b)
+    return float(np.where((size[at] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0).mean())
 
 
 def kmeans_windows(series: DataFrame, width: int, candidates: list[int], within: list[str], index: str = "bin") -> DataFrame:
-    """index, state: clusters of rolling means, their number by silhouette; the tail takes the last window's."""
+    """index, state: clusters of rolling means, their number by silhouette, or the given one; the tail takes the last window's."""
 
     def f(x: pd.DataFrame) -> pd.DataFrame:
         m, _ = matrix(x, index)
@@ -423,7 +529,7 @@ def kmeans_windows(series: DataFrame, width: int, candidates: list[int], within:
         roll = np.stack([np.convolve(c, np.ones(w) / w, "valid") for c in m.T], 1)
         fits = [kmeans(roll, k) for k in candidates if 1 < k < len(roll)]
         fits = [v for v in fits if len(set(v.tolist())) > 1]
-        label = max(fits, key=lambda v: silhouette(roll, v)) if fits else np.zeros(len(roll), int)
+        label = fits[0] if len(fits) == 1 else max(fits, key=lambda v: silhouette(roll, v)) if fits else np.zeros(len(roll), int)
         full = np.concatenate([label, np.full(len(m) - len(label), label[-1])])
         return pd.DataFrame({index: np.sort(x[index].unique()), "state": full + 1})
 
@@ -434,37 +540,45 @@ def kmeans_windows(series: DataFrame, width: int, candidates: list[int], within:
 # single series
 
 
-def adf_statistic(x: np.ndarray, max_lag: int) -> tuple[float, int]:
-    """t of the level in the Dickey-Fuller regression with constant; lags by AIC over one common sample."""
+def _dickey_fuller(x: np.ndarray, lags: int, skip: int) -> tuple[float, float]:
+    """t of the level and AIC of the regression with constant and `lags` differences, without the first `skip` rows."""
     d = np.diff(x)
-    best = None
-    for p in range(max_lag + 1):
-        y = d[max_lag:]
-        cols = [x[max_lag:-1], np.ones(len(y)), *[d[max_lag - k : len(d) - k] for k in range(1, p + 1)]]
-        m = np.column_stack(cols)
-        beta, *_ = np.linalg.lstsq(m, y, rcond=None)
-        rss = float(((y - m @ beta) ** 2).sum())
-        aic = len(y) * math.log(max(rss, 1e-300) / len(y)) + 2 * m.shape[1]
-        se = math.sqrt(max(rss, 1e-300) / max(1, len(y) - m.shape[1]) * np.linalg.pinv(m.T @ m)[0, 0])
-        if best is None or aic < best[0]:
-            best = (aic, float(beta[0] / se), p)
-    return best[1], best[2]
+    y = d[skip:]
+    m = np.column_stack([x[skip:-1], np.ones(len(y)), *[d[skip - k : len(d) - k] for k in range(1, lags + 1)]])
+    beta, *_ = np.linalg.lstsq(m, y, rcond=None)
+    rss = max(float(((y - m @ beta) ** 2).sum()), 1e-300)
+    se = math.sqrt(rss / max(1, len(y) - m.shape[1]) * np.linalg.pinv(m.T @ m)[0, 0])
+    return float(beta[0] / se), len(y) * math.log(rss / len(y)) + 2 * m.shape[1]
+
+
+def adf_statistic(x: np.ndarray, max_lag: int) -> tuple[float, int]:
+    """t of the level in the Dickey-Fuller regression with constant: lags by AIC over one common sample, then all rows they allow."""
+    lags = min(range(max_lag + 1), key=lambda p: _dickey_fuller(x, p, max_lag)[1])
+    return _dickey_fuller(x, lags, lags)[0], lags
+
+
+#: Response surface of the Dickey-Fuller distribution with constant (MacKinnon 1994): bounds, and polynomials in t of
+#: the normal quantile below and above the middle bound.
+ADF_LEAST, ADF_MIDDLE, ADF_MOST = -18.83, -1.61, 2.74
+ADF_SMALL, ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
 
 
-#: Asymptotic points of the Dickey-Fuller distribution with constant, and their probabilities.
-ADF_POINTS = (-4.5, -3.96, -3.43, -3.12, -2.86, -2.57, -2.19, -1.57, -0.94, -0.44, 0.23, 0.6, 1.3, 2.0)
-ADF_P = (0.0002, 0.0016, 0.01, 0.025, 0.05, 0.10, 0.21, 0.50, 0.77, 0.90, 0.97, 0.99, 0.997, 0.999)
+def adf_p(t: float) -> float:
+    if t > ADF_MOST or t < ADF_LEAST:
+        return float(t > ADF_MOST)
+    z = sum(c * t**k for k, c in enumerate(ADF_SMALL if t <= ADF_MIDDLE else ADF_LARGE))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
 def stationarity(series: DataFrame, within: list[str], index: str = "bin", least: int = 20) -> DataFrame:
-    """adf_stat, adf_p (interpolated), lags, stationary (p < 0.05); null for fewer than `least` points or a constant."""
+    """adf_stat, adf_p (response surface), lags, stationary (p < 0.05); null for fewer than `least` points or a constant."""
 
     def f(x: pd.DataFrame) -> pd.DataFrame:
         v = x["value"].dropna().to_numpy(float)
         if len(v) < least or v.std() == 0:
             return pd.DataFrame({"adf_stat": [None], "adf_p": [None], "lags": [None], "stationary": [None]}, dtype=object)
         t, lags = adf_statistic(v, min(20, len(v) // 4))
-        p = float(np.interp(t, ADF_POINTS, ADF_P))
+        p = adf_p(t)
         return pd.DataFrame({"adf_stat": [t], "adf_p": [p], "lags": [lags], "stationary": [p < 0.05]})
 
     return _grouped(series, within, index, "adf_stat double, adf_p double, lags int, stationary boolean", f)

@@ -55,7 +55,8 @@ def segment_slopes(states: DataFrame, signal: str, bin_size: float, entity: list
 
 
 def slope_summary(slopes: DataFrame, states: DataFrame, entity: list[str] = ENTITY) -> DataFrame:
-    agg = slopes.groupBy(*entity, "state").agg(F.avg("slope").alias("mean_slope"), F.coalesce(F.stddev_samp("slope"), F.lit(0.0)).alias("sd_slope"), F.count("slope").alias("n_segments"))
+    """Mean, sd (null under two segments) and number of slopes of every state there is."""
+    agg = slopes.groupBy(*entity, "state").agg(F.avg("slope").alias("mean_slope"), F.stddev_samp("slope").alias("sd_slope"), F.count("slope").alias("n_segments"))
     return states.select(*entity, "state").distinct().join(agg, [*entity, "state"], "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadspark.functions.columns import leader, safe_ccc, safe_corr
+from dyadspark.functions.special import r_p
 from dyadspark.operators.align import sliding
 
 KEY = ["dyad", "dimension"]
@@ -19,9 +20,9 @@ def lagged(pair: DataFrame, low: int, high: int, key: list[str] = KEY) -> DataFr
 
 
 def lagged_correlation(pair: DataFrame, low: int, high: int, bin_size: float, key: list[str] = KEY) -> DataFrame:
-    """r of each lag, positive where a comes first; all lags of a series are there, null where r isn't defined."""
+    """r of each lag, positive where a comes first, and its two-sided p; all lags of a series are there, null where r isn't defined."""
     out = lagged(pair, low, high, key).groupBy(*key, "lag").agg(safe_corr(F.col("a"), F.col("b")).alias("correlation"), F.count("a").alias("n"))
-    return out.withColumn("lag_seconds", F.col("lag") * F.lit(float(bin_size)))
+    return out.withColumn("p", r_p(F.col("correlation"), F.col("n"))).withColumn("lag_seconds", F.col("lag") * F.lit(float(bin_size)))
 
 
 def peaks(correlation: DataFrame, within: list[str], r: str = "correlation", lag: str = "lag") -> DataFrame:
@@ -55,7 +56,8 @@ def windowed_peaks(swept: DataFrame, key: list[str] = KEY, of: str = "r") -> Dat
 
 
 def overall(pair: DataFrame, key: list[str] = KEY) -> DataFrame:
-    return pair.groupBy(*key).agg(safe_corr(F.col("a"), F.col("b")).alias("pearson_pearson_r_overall"), safe_ccc(F.col("a"), F.col("b")).alias("concordance_concordance_ccc_overall"))
+    out = pair.groupBy(*key).agg(safe_corr(F.col("a"), F.col("b")).alias("pearson_pearson_r_overall"), safe_ccc(F.col("a"), F.col("b")).alias("concordance_concordance_ccc_overall"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("__n"))
+    return out.withColumn("pearson_pearson_p_overall", r_p(F.col("pearson_pearson_r_overall"), F.col("__n"))).drop("__n")
 
 
 def leaders(windows: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -163,7 +165,7 @@ def surrogate_test(pair: DataFrame, permutations: int, block: int, seed: int = 0
     shuffled = p.select(*key, "perm", (F.row_number().over(w) - 1).alias("pos"), "b")
     both = p.select(*key, "perm", "pos", "a").join(shuffled, [*key, "perm", "pos"])
     sur = both.groupBy(*key, "perm").agg(safe_corr(F.col("a"), F.col("b")).alias("r"), safe_ccc(F.col("a"), F.col("b")).alias("ccc"))
-    obs = overall(pair, key)
+    obs = overall(pair, key).drop("pearson_pearson_p_overall")
     reach = lambda s, o: ((F.count_if(F.abs(s) >= F.abs(o)) + 1) / F.lit(permutations + 1.0))
     return sur.join(obs, key).groupBy(*key).agg(reach("r", "pearson_pearson_r_overall").alias("p_pearson"), reach("ccc", "concordance_concordance_ccc_overall").alias("p_concordance"))
 

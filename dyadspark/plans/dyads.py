@@ -10,7 +10,7 @@ from dyadspark.operators import align, synchrony
 from dyadspark.operators.multiple import benjamini_hochberg
 from dyadspark.plans.registry import query, rounded
 from dyadspark.sources import fixtures as fx
-from dyadspark.sources.fixtures import BINNED_SQL, DENSE_SQL, EVENTS_SQL, PAIRS_SQL, RAW_PAIRS_SQL, ccc_sql, corr_sql
+from dyadspark.sources.fixtures import BINNED_SQL, DENSE_SQL, EVENTS_SQL, PAIRS_SQL, RAW_PAIRS_SQL, ccc_sql, corr_sql, r_p_sql
 
 LOW, HIGH, WIDTH, STEP = -3, 3, 28, 4
 
@@ -47,13 +47,13 @@ lags AS (SELECT x.dyad, x.dimension, l.lag, {corr_sql("x.a", "y.b")} AS correlat
   FROM pair x CROSS JOIN (SELECT unnest(range({LOW}, {HIGH + 1})) AS lag) l JOIN pair y ON y.dyad = x.dyad AND y.dimension = x.dimension AND y.pos = x.pos + l.lag GROUP BY ALL)"""
 
 
-@query(f"WITH {LAGGED_SQL} SELECT dyad, dimension, CAST(lag AS INTEGER) AS lag, round(correlation, 6) + 0.0 AS correlation, n, lag * CAST(21600.0 AS DOUBLE) AS lag_seconds FROM lags")
+@query(f"WITH {LAGGED_SQL} SELECT dyad, dimension, CAST(lag AS INTEGER) AS lag, round(correlation, 6) + 0.0 AS correlation, n, round({r_p_sql("correlation", "n")}, 6) AS p, lag * CAST(21600.0 AS DOUBLE) AS lag_seconds FROM lags")
 def lagged_crosscorr(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(synchrony.lagged_correlation(fx.pairs(spark, sf), LOW, HIGH, fx.BIN))
 
 
 PEAK_SQL = LAGGED_SQL + """,
-peak AS (SELECT dyad, dimension, lag, correlation FROM (SELECT *, row_number() OVER (PARTITION BY dyad, dimension ORDER BY abs(correlation) DESC, lag) AS k FROM lags WHERE correlation IS NOT NULL) WHERE k = 1)"""
+peak AS (SELECT dyad, dimension, lag, correlation, n FROM (SELECT *, row_number() OVER (PARTITION BY dyad, dimension ORDER BY abs(correlation) DESC, lag) AS k FROM lags WHERE correlation IS NOT NULL) WHERE k = 1)"""
 
 
 @query(f"WITH {PEAK_SQL} SELECT dyad, dimension, CAST(lag AS INTEGER) AS lag, round(correlation, 6) AS correlation FROM peak")
@@ -78,12 +78,27 @@ def fisher_transform(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(p.select("dyad", "dimension", z.alias("z"), F.tanh(F.avg(z).over(Window.partitionBy("dimension"))).alias("mean_r")))
 
 
-@query(f"""WITH {LAGGED_SQL}, p AS (SELECT dyad, dimension, lag, exp(-abs(correlation) * 10) AS p FROM lags WHERE correlation IS NOT NULL),
-r AS (SELECT *, p * count(*) OVER (PARTITION BY dyad) / row_number() OVER (PARTITION BY dyad ORDER BY p) AS x FROM p)
-SELECT dyad, dimension, CAST(lag AS INTEGER) AS lag, round(p, 6) AS p, round(least(1.0, min(x) OVER (PARTITION BY dyad ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS p_fdr FROM r""")
+FDR_SQL = LAGGED_SQL + f""",
+tested AS (SELECT dyad, dimension, lag, correlation, {r_p_sql("correlation", "n")} AS p FROM lags WHERE correlation IS NOT NULL),
+ranked AS (SELECT *, p * count(*) OVER (PARTITION BY dyad) / row_number() OVER (PARTITION BY dyad ORDER BY p) AS x FROM tested),
+fdr AS (SELECT dyad, dimension, lag, correlation, p, least(1.0, min(x) OVER (PARTITION BY dyad ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS p_fdr FROM ranked)"""
+
+
+def _tested(spark: SparkSession, sf: str) -> DataFrame:
+    """Lagged correlations with p, and p_fdr over all tests of a dyad."""
+    c = synchrony.lagged_correlation(fx.pairs(spark, sf), LOW, HIGH, fx.BIN).where("correlation IS NOT NULL")
+    return benjamini_hochberg(c, "p", ["dyad"])
+
+
+@query(f"WITH {FDR_SQL} SELECT dyad, dimension, CAST(lag AS INTEGER) AS lag, round(p, 6) AS p, round(p_fdr, 6) AS p_fdr FROM fdr")
 def fdr_bh(spark: SparkSession, sf: str) -> DataFrame:
-    c = synchrony.lagged_correlation(fx.pairs(spark, sf), LOW, HIGH, fx.BIN).where("correlation IS NOT NULL").withColumn("p", F.exp(-F.abs("correlation") * 10))
-    return rounded(benjamini_hochberg(c, "p", ["dyad"]).select("dyad", "dimension", "lag", "p", "p_fdr"))
+    return rounded(_tested(spark, sf).select("dyad", "dimension", "lag", "p", "p_fdr"))
+
+
+@query(f"""WITH {FDR_SQL} SELECT dyad, dimension, CAST(lag AS INTEGER) AS lag, round(correlation, 6) AS correlation, round(p, 6) AS p, round(p_fdr, 6) AS p_fdr FROM (SELECT *, row_number() OVER (PARTITION BY dyad, dimension ORDER BY abs(correlation) DESC, lag) AS k FROM fdr) WHERE k = 1""")
+def peak_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """The peak of each dimension with its p and the p_fdr it has among all lags of the dyad."""
+    return rounded(synchrony.peaks(_tested(spark, sf), ["dyad", "dimension"]).select("dyad", "dimension", "lag", "correlation", "p", "p_fdr"))
 
 
 WINDOWS_SQL = PAIRS_SQL + f""",
@@ -129,7 +144,11 @@ def leader_follower(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(synchrony.leaders(synchrony.windowed_peaks(_swept(spark, sf))))
 
 
-@query(f"""WITH {PAIRS_SQL} SELECT dyad, dimension, round({corr_sql("a", "b")}, 6) AS pearson_pearson_r_overall, round({ccc_sql("a", "b")}, 6) AS concordance_concordance_ccc_overall FROM pair GROUP BY ALL""")
+OVERALL_SQL = PAIRS_SQL + f""",
+ov AS (SELECT dyad, dimension, {corr_sql("a", "b")} AS r, {ccc_sql("a", "b")} AS c, count(*) AS n FROM pair GROUP BY ALL)"""
+
+
+@query(f"""WITH {OVERALL_SQL} SELECT dyad, dimension, round(r, 6) AS pearson_pearson_r_overall, round({r_p_sql("r", "n")}, 6) AS pearson_pearson_p_overall, round(c, 6) AS concordance_concordance_ccc_overall FROM ov""")
 def overall_synchrony(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(synchrony.overall(fx.pairs(spark, sf)))
 
@@ -195,8 +214,8 @@ def surrogate_test(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL}, target AS (SELECT CAST(floor(t / 21600.0) AS BIGINT) AS bin, avg(value) AS b FROM ev WHERE feature = 'purchase' GROUP BY ALL),
 f AS (SELECT subject, feature AS dimension, CAST(floor(t / 21600.0) AS BIGINT) AS bin, avg(value) AS a FROM ev WHERE feature <> 'purchase' GROUP BY ALL),
 p AS (SELECT f.*, b, row_number() OVER (PARTITION BY subject, dimension ORDER BY f.bin) - 1 AS pos FROM f JOIN target USING (bin)),
-l AS (SELECT x.subject, x.dimension, l.lag, {corr_sql("x.a", "y.b")} AS correlation FROM p x CROSS JOIN (SELECT unnest(range(-2, 3)) AS lag) l JOIN p y ON x.subject = y.subject AND x.dimension = y.dimension AND y.pos = x.pos + l.lag GROUP BY ALL)
-SELECT subject, dimension, CAST(lag AS INTEGER) AS lag, round(correlation, 6) + 0.0 AS correlation FROM l""")
+l AS (SELECT x.subject, x.dimension, l.lag, {corr_sql("x.a", "y.b")} AS correlation, count(*) AS n FROM p x CROSS JOIN (SELECT unnest(range(-2, 3)) AS lag) l JOIN p y ON x.subject = y.subject AND x.dimension = y.dimension AND y.pos = x.pos + l.lag GROUP BY ALL)
+SELECT subject, dimension, CAST(lag AS INTEGER) AS lag, round(correlation, 6) + 0.0 AS correlation, round({r_p_sql("correlation", "n")}, 6) AS p FROM l""")
 def target_crosscorr(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.events(spark, sf)
     target = align.bin_series(e.where("feature = 'purchase'"), fx.BIN, []).select("bin", "value")
@@ -205,7 +224,7 @@ def target_crosscorr(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     p = joined.withColumn("pos", F.row_number().over(Window.partitionBy("subject", "dimension").orderBy("bin")) - 1)
-    return rounded(synchrony.lagged_correlation(p, -2, 2, fx.BIN, ["subject", "dimension"]).select("subject", "dimension", "lag", "correlation"))
+    return rounded(synchrony.lagged_correlation(p, -2, 2, fx.BIN, ["subject", "dimension"]).select("subject", "dimension", "lag", "correlation", "p"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -114,3 +114,25 @@ def pca_scree(spark: SparkSession, sf: str) -> DataFrame:
 def pca_top_loadings(spark: SparkSession, sf: str) -> DataFrame:
     """The thirty features of greatest absolute loading in any component, with their loadings in all."""
     return rounded(kernels.top_features(kernels.loadings(fx.dense(spark, sf), "pca", 20, ENTITY), ENTITY))
+
+
+@query()
+def granger_windows(spark: SparkSession, sf: str) -> DataFrame:
+    w = kernels.granger_windows(fx.pairs(spark, sf), 3, 28, 4)
+    return rounded(w.withColumn("window_time", F.col("start") * fx.BIN).drop("start"))
+
+
+@query()
+def cluster_components(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(kernels.cluster_components(fx.dense(spark, sf), 3, ENTITY))
+
+
+@query()
+def component_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return kernels.component_labels(kernels.loadings(fx.dense(spark, sf), "pca", 3, ENTITY), ENTITY)
+
+
+@query()
+def changepoints_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Four segments by greedy cuts."""
+    return kernels.changepoint_states(fx.dense(spark, sf), 1.0, ENTITY, n_states=4)

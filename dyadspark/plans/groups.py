@@ -90,7 +90,7 @@ def lag_direction(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {STATES_SQL}, g AS (SELECT dyad, person, state, count(*) AS n, avg(signal) AS m, coalesce(var_samp(signal), 0) AS v FROM states GROUP BY ALL),
 p AS (SELECT a.dyad, a.person, a.state AS state_a, b.state AS state_b, a.n AS na, b.n AS nb, a.m AS ma, b.m AS mb, a.v AS va, b.v AS vb FROM g a JOIN g b ON a.dyad = b.dyad AND a.person = b.person AND a.state < b.state),
 r AS (SELECT p.*, s.state, rank() OVER (PARTITION BY p.dyad, p.person, state_a, state_b ORDER BY signal) + (count(*) OVER (PARTITION BY p.dyad, p.person, state_a, state_b, signal) - 1) / 2.0 AS k FROM p JOIN states s ON s.dyad = p.dyad AND s.person = p.person AND s.state IN (state_a, state_b))
-SELECT dyad, person, state_a, state_b, CAST(sum(k) FILTER (state = state_a) - na * (na + 1) / 2.0 AS DOUBLE) AS u_stat, round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 0), 0), 5) AS cohens_d FROM r GROUP BY dyad, person, state_a, state_b, na, nb, ma, mb, va, vb""")
+SELECT dyad, person, state_a, state_b, CASE WHEN na >= 2 AND nb >= 2 THEN CAST(sum(k) FILTER (state = state_a) - na * (na + 1) / 2.0 AS DOUBLE) END AS u_stat, CASE WHEN na >= 2 AND nb >= 2 THEN round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 0), 0), 5) END AS cohens_d FROM r GROUP BY dyad, person, state_a, state_b, na, nb, ma, mb, va, vb""")
 def mannwhitney_u(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(group.mann_whitney(fx.states(spark, sf), "signal", "state", ["dyad", "person"]).drop("p_value", "p_fdr", "significant"), 5)
 
@@ -179,9 +179,9 @@ def dyad_covariates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(group.joined_scores(p, c, "c_acctbal").select("dyad", "c_acctbal"))
 
 
-@query(f"""WITH {PEAK_SQL} SELECT dyad, dimension, CAST(lag AS INTEGER) AS lag, round(correlation, 6) AS correlation FROM peak WHERE abs(correlation) > 0.15""")
+@query(f"""WITH {PEAK_SQL} SELECT dyad, dimension, CAST(lag AS INTEGER) AS lag, round(correlation, 6) AS correlation, round({fx.r_p_sql("correlation", "n")}, 6) AS p FROM peak WHERE abs(correlation) > 0.15 AND {fx.r_p_sql("correlation", "n")} < 0.05""")
 def significant_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_peaks(spark, sf).where(F.abs("correlation") > 0.15).select("dyad", "dimension", "lag", "correlation"))
+    return rounded(_peaks(spark, sf).where((F.abs("correlation") > 0.15) & (F.col("p") < 0.05)).select("dyad", "dimension", "lag", "correlation", "p"))
 
 
 @query(f"""WITH {PEAK_SQL} SELECT dyad, dimension, round(correlation, 6) AS correlation, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY dyad ORDER BY abs(correlation) DESC, dimension) AS rank FROM peak) WHERE rank <= 3""")

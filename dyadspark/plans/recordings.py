@@ -49,16 +49,13 @@ def zscore_mean(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(describe.composite(fx.dense(spark, sf), ["dyad", "person"], "bin", "vocal_energy"), 5)
 
 
-@query("""WITH s AS (SELECT l_suppkey % 10 AS g, l_partkey, l_orderkey * 10 + l_linenumber AS frame, sqrt(power(coalesce(l_quantity - lag(l_quantity) OVER w, 0), 2) + power(coalesce(l_discount - lag(l_discount) OVER w, 0), 2)) AS step
+@query("""WITH s AS (SELECT l_suppkey % 10 AS g, l_partkey, l_orderkey * 10 + l_linenumber AS frame, l_quantity AS q, l_discount AS d, sqrt(power(coalesce(l_quantity - lag(l_quantity) OVER w, 0), 2) + power(coalesce(l_discount - lag(l_discount) OVER w, 0), 2)) AS step
 FROM lineitem WINDOW w AS (PARTITION BY l_suppkey % 10, l_partkey ORDER BY l_orderkey * 10 + l_linenumber, l_quantity, l_discount))
-SELECT g, frame % 1000 AS slot, round(avg(step), 4) AS movement_energy FROM s GROUP BY ALL""")
+SELECT g, frame AS f, round(avg(step), 4) AS movement_energy FROM s GROUP BY g, frame, q, d""")
 def movement_energy(spark: SparkSession, sf: str) -> DataFrame:
-    l = fx.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("g"), "l_partkey", F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f"), "l_quantity", "l_discount").alias("frame"), "l_quantity", "l_discount")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("g", "l_partkey").orderBy("frame")
-    step = F.sqrt(F.pow(F.coalesce(F.col("l_quantity") - F.lag("l_quantity").over(w), F.lit(0.0)), 2) + F.pow(F.coalesce(F.col("l_discount") - F.lag("l_discount").over(w), F.lit(0.0)), 2))
-    return rounded(l.withColumn("step", step).groupBy("g", (F.col("frame.f") % 1000).alias("slot")).agg(F.avg("step").alias("movement_energy")), 4)
+    f = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f")
+    l = fx.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("g"), "l_partkey", F.struct(f, "l_quantity", "l_discount").alias("frame"), "l_quantity", "l_discount")
+    return rounded(describe.movement_energy(l, ["g"], "l_partkey", "frame", ["l_quantity", "l_discount"]).select("g", F.col("frame.f").alias("f"), "movement_energy"), 4)
 
 
 @query("SELECT n, CASE n WHEN 'GMP_world_x_1' THEN 'movement' WHEN 'oc_audvol' THEN 'vocal_energy' WHEN 'ee_valence' THEN 'emotieffnet' ELSE 'other' END AS modality, lower(replace(n, ' ', '_')) AS slug FROM (VALUES ('GMP_world_x_1'), ('oc_audvol'), ('ee_valence'), ('Some Label'))t(n)")

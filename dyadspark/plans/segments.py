@@ -51,11 +51,11 @@ def segment_slopes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(states.segment_slopes(fx.states(spark, sf), "signal", fx.BIN).withColumn("slope", F.col("slope") * 1e6), 4)
 
 
-@query(f"""WITH {SLOPES_SQL} SELECT s.dyad, s.person, s.state, round(avg(slope) * 1e6, 4) + 0.0 AS mean_slope, count(slope) AS n_segments FROM (SELECT DISTINCT dyad, person, state FROM states) s LEFT JOIN slopes USING (dyad, person, state) GROUP BY ALL""")
+@query(f"""WITH {SLOPES_SQL} SELECT s.dyad, s.person, s.state, round(avg(slope) * 1e6, 4) + 0.0 AS mean_slope, round(stddev_samp(slope) * 1e6, 4) + 0.0 AS sd_slope, count(slope) AS n_segments FROM (SELECT DISTINCT dyad, person, state FROM states) s LEFT JOIN slopes USING (dyad, person, state) GROUP BY ALL""")
 def state_slope_summary(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.states(spark, sf)
     out = states.slope_summary(states.segment_slopes(s, "signal", fx.BIN), s)
-    return rounded(out.select("dyad", "person", "state", (F.col("mean_slope") * 1e6).alias("mean_slope"), "n_segments"), 4)
+    return rounded(out.select("dyad", "person", "state", (F.col("mean_slope") * 1e6).alias("mean_slope"), (F.col("sd_slope") * 1e6).alias("sd_slope"), "n_segments"), 4)
 
 
 @query(f"""WITH {STATES_SQL}, e AS (SELECT dyad, person, state, CAST(row_number() OVER (PARTITION BY dyad, person ORDER BY avg(abs(signal)), state) AS INTEGER) AS label FROM states GROUP BY dyad, person, state)

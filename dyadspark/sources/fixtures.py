@@ -75,3 +75,10 @@ def corr_sql(a: str, b: str) -> str:
 
 def ccc_sql(a: str, b: str) -> str:
     return f"CASE WHEN count({a}) FILTER ({b} IS NOT NULL) >= 3 AND min({a}) FILTER ({b} IS NOT NULL) < max({a}) FILTER ({b} IS NOT NULL) AND min({b}) FILTER ({a} IS NOT NULL) < max({b}) FILTER ({a} IS NOT NULL) THEN 2 * covar_pop({a}, {b}) / (var_pop({a}) FILTER ({b} IS NOT NULL) + var_pop({b}) FILTER ({a} IS NOT NULL) + power(avg({a}) FILTER ({b} IS NOT NULL) - avg({b}) FILTER ({a} IS NOT NULL), 2)) END"
+
+
+def r_p_sql(r: str, n: str) -> str:
+    """Two-sided p of Pearson's r from n pairs: the finite series of Student's t at whole degrees of freedom."""
+    even = f"abs({r}) * list_sum(list_transform(range(0, CAST(({n} - 2) // 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0)) * power(1 - {r} * {r}, k)))"
+    odd = f"2 / pi() * (asin(abs({r})) + coalesce(abs({r}) * list_sum(list_transform(range(0, CAST(({n} - 3) // 2 AS BIGINT)), lambda k: exp(lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5)) * power(1 - {r} * {r}, k + 0.5))), 0))"
+    return f"CASE WHEN {r} IS NULL THEN NULL WHEN abs({r}) >= 1 THEN 0.0 WHEN {n} % 2 = 0 THEN greatest(0.0, 1 - {even}) ELSE greatest(0.0, 1 - {odd}) END"

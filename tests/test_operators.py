@@ -296,3 +296,100 @@ def test_top_features(spark):
         own = [r for r in got if r["e"] == e]
         assert sorted({(r["rank"], r["feature"]) for r in own}) == list(enumerate(want, 1))
         assert {(r["component"], r["feature"], r["loading"]) for r in own} == {r[1:] for r in rows if r[0] == e and r[2] in want}
+
+
+def test_wavelet_against_its_definition(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 40))
+    got = kernels.wavelet(spark.createDataFrame(pd.DataFrame({"dyad": 1, "dimension": "x", "pos": range(40), "a": a, "b": b}))).orderBy("pos").toPandas()
+    widths = np.arange(2, 10)  # up to but without n // 4
+
+    def transform(x):
+        out = np.zeros((len(widths), 40))
+        for i, s in enumerate(widths):
+            for t in range(40):
+                u = (t - np.arange(40)) / s
+                out[i, t] = (x * np.where(abs(u) <= 8, np.exp(-(u**2) / 2) * np.cos(5 * u), 0)).sum() / s**0.5
+        return out
+
+    def smooth(x):
+        k = np.exp(-0.5 * (np.arange(-12, 13) / 3.0) ** 2)
+        k /= k.sum()
+        p = np.pad(x, 12, "symmetric")
+        return np.array([[(p[i : i + 25, j : j + 25] * np.outer(k, k)).sum() for j in range(x.shape[1])] for i in range(x.shape[0])])
+
+    wa, wb = transform(a), transform(b)
+    c = smooth(abs(wa * wb)) ** 2 / (smooth(wa**2) * smooth(wb**2) + 1e-12)
+    assert np.allclose(got.mean_coherence, c.mean(0))
+    assert np.allclose(got.mean_phase_diff, np.where(wa * wb < 0, np.pi, 0).mean(0))
+
+
+def test_dickey_fuller_probabilities():
+    for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
+        assert kernels.adf_p(t) == pytest.approx(p, abs=0.002)
+    assert kernels.adf_p(3.0) == 1 and kernels.adf_p(-20.0) == 0
+    x = np.random.default_rng(1).normal(size=60).cumsum()
+    t, lags = kernels.adf_statistic(x, 4)
+    d = np.diff(x)
+    m = np.column_stack([x[lags:-1], np.ones(len(d) - lags), *[d[lags - k : len(d) - k] for k in range(1, lags + 1)]])
+    beta = np.linalg.solve(m.T @ m, m.T @ d[lags:])
+    e = d[lags:] - m @ beta
+    assert t == pytest.approx(beta[0] / np.sqrt(e @ e / (len(e) - m.shape[1]) * np.linalg.inv(m.T @ m)[0, 0]))
+
+
+def test_greedy_cuts_and_starts():
+    rng = np.random.default_rng(2)
+    steps = np.repeat([0.0, 5.0, -5.0], 20)[:, None] + 0.01 * rng.normal(size=(60, 1))
+    assert kernels.binary_segments(steps, 2) == [20, 40, 60] == kernels.binary_segments(steps, 2, 5, 5)
+    assert kernels.change_points(steps, 1.0, 2, 5) == [20, 40, 60]
+    assert kernels.binary_segments(steps[:5], 9, 2)[-1] == 5 and len(kernels.binary_segments(steps[:5], 9, 2)) == 2
+    label = kernels.kmeans(steps, 3)
+    assert len({tuple(label[i : i + 20]) for i in (0, 20, 40)}) == 3
+    d = np.sqrt(((steps[:, None] - steps) ** 2).sum(2))
+    want = []
+    for i in range(60):
+        own = label == label[i]
+        a, b = d[i, own].sum() / (own.sum() - 1), min(d[i, label == j].mean() for j in set(label.tolist()) - {label[i]})
+        want.append((b - a) / max(a, b))
+    assert kernels.silhouette(steps, label) == pytest.approx(np.mean(want), abs=1e-6)
+
+
+@pytest.mark.parametrize("covariance", ["full", "diag", "tied", "spherical"])
+def test_hmm_covariances(covariance):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(60, 2)) @ np.array([[1, 0.9], [0, 0.4]]), 6 + rng.normal(size=(60, 2))])
+    ll, path, post = kernels.fit_hmm(x, 2, 0, covariance=covariance)
+    assert len(set(path[:60])) == len(set(path[60:])) == 1 and path[0] != path[-1]
+    assert np.allclose(post.sum(1), 1)
+    mean = np.array([x[:60].mean(0), x[60:].mean(0)])
+    cov = np.array([[[2.0, 0.3], [0.3, 1.0]], np.eye(2)])
+    got = kernels._log_density(x, mean, cov)
+    z = x - mean[0]
+    assert np.allclose(got[:, 0], -0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov[0]), z) + np.log(np.linalg.det(2 * np.pi * cov[0]))))
+
+
+def test_granger_by_window(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 50))
+    got = kernels.granger_windows(spark.createDataFrame(pd.DataFrame({"dyad": 1, "dimension": "x", "pos": range(50), "a": a, "b": b})), 2, 20, 10).orderBy("window").toPandas()
+    assert got.start.tolist() == [0, 10, 20, 30, 40]
+    assert got.granger_F_AtoB[1] == pytest.approx(max(kernels.granger_f(b[10:30], a[10:30], k)[0] for k in (1, 2)))
+
+
+def test_correlation_p(spark):
+    import pandas as pd
+
+    from dyadspark.operators import synchrony
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=12)
+    frame = pd.DataFrame({"dyad": 1, "dimension": "x", "pos": range(12), "a": x, "b": x + rng.normal(size=12)})
+    row = synchrony.overall(spark.createDataFrame(frame)).first()
+    r = np.corrcoef(frame.a, frame.b)[0, 1]
+    grid = np.linspace(abs(r), 1, 200_001)
+    area = np.trapezoid((1 - grid**2) ** 4, grid) / np.trapezoid((1 - np.linspace(0, 1, 200_001) ** 2) ** 4, np.linspace(0, 1, 200_001))
+    assert row.pearson_pearson_p_overall == pytest.approx(area, abs=1e-6)
