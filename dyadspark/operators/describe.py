@@ -138,3 +138,50 @@ def batch_summary(dense: DataFrame, entity: list[str], index: str, dims: list[st
         ((F.max(index) - F.min(index) + 1) * F.lit(bin_size)).alias("duration"), F.count_distinct(index).alias("n_frames"), F.count_distinct("feature").alias("n_features"),
         *[x for d in dims for x in (F.avg(of(d)).alias(f"mean_{d}"), F.var_pop(of(d)).alias(f"var_{d}"))],
     )
+
+
+#: Statistics looked for in the names of functionals, in lower case.
+STATISTICS = (
+    "mean", "stddev", "skewness", "kurtosis", "percentile1.0", "percentile5.0", "percentile25.0", "percentile50.0", "percentile75.0", "percentile95.0", "percentile99.0",
+    "min", "max", "minPos", "maxPos", "range", "quartile1", "quartile3", "interquartileRange", "linregc1", "linregc2", "linregerr",
+)
+
+
+def by_statistic(rows: DataFrame, within: list[str], name: str, value: str) -> DataFrame:
+    """Mean of all functionals whose lower-case name holds a statistic's; statistics written with capitals thus match none."""
+    found = F.filter(F.array(*map(F.lit, STATISTICS)), lambda s: F.contains(F.lower(name), s))
+    return rows.select(*within, F.explode(found).alias("statistic"), F.col(value).alias("__v")).groupBy(*within, "statistic").agg(F.avg("__v").alias("value"))
+
+
+def loudness(rms: Column) -> Column:
+    """Loudness by frame, from the root mean square."""
+    return F.pow(F.lit(2.0), 20 * F.log10(rms + 1e-8) / 10 - 40) / 10
+
+
+def spectral_decrease(spectrum: Column) -> Column:
+    """Mean change from the first magnitude, weighted by 1 / k, over the sum of all others; 0 for one magnitude, null where they are 0."""
+    first, rest = spectrum[0], F.slice(spectrum, F.lit(2), F.greatest(F.size(spectrum) - 1, F.lit(1)))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(spectrum) > 1, F.try_divide(add(F.transform(rest, lambda x, i: (x - first) / (i + 1))), add(rest))).otherwise(F.lit(0.0))
+
+
+def stretched(duration: Column, frames: Column, ratio: float) -> list[Column]:
+    """Duration and whole frames of a signal stretched by a ratio."""
+    return [(duration * ratio).alias("output_duration_sec"), F.floor(frames * F.lit(float(ratio))).cast("long").alias("output_nframes")]
+
+
+def shapes(frames: DataFrame, within: list[str], value: str = "value") -> DataFrame:
+    """Skewness and excess kurtosis (population) of functionals; null without variance."""
+    v = F.col(value)
+    of = lambda f: F.when(F.min(v) < F.max(v), f(v))
+    return frames.where(v.isNotNull()).groupBy(*within).agg(of(F.skewness).alias("skewness"), of(F.kurtosis).alias("kurtosis"))
+
+
+def grouped_dimensions(series: DataFrame, groups: dict[str, list[str]], within: list[str], index: str) -> DataFrame:
+    """One composite a group of features by prefix, all groups in one pass; a feature counts in the first group that takes it."""
+    name = None
+    for group, prefixes in groups.items():
+        takes = reduce(lambda a, b: a | b, [F.col("feature").startswith(p) for p in prefixes])
+        name = F.when(takes, group) if name is None else name.when(takes, group)
+    named = series.withColumn("dimension", name).where(F.col("dimension").isNotNull())
+    return composite(named, [*within, "dimension"], index, "value")

@@ -208,3 +208,81 @@ def smoothed_by_overlap(frames: DataFrame, within: list[str], pos: str, value: s
     x = frames.withColumn("__n", n).withColumn("__s", F.explode(with_last))
     x = x.withColumn("__m", F.avg(value).over(Window.partitionBy(*within, "__s")))
     return x.groupBy(*within, pos).agg(F.avg("__m").alias("smoothed"))
+
+
+def heatmap_keypoints(cells: DataFrame, within: list[str], x: str, y: str, value: str, threshold: float, scale: float = 1.0) -> DataFrame:
+    """Place, scaled, and value of each heatmap's greatest cell, the first by rows on ties; zeros where it isn't over the threshold."""
+    top = cells.groupBy(*within).agg(F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.struct(F.col(value), -F.col(y), -F.col(x))).alias("__at"), F.max(value).alias("__v"))
+    of = lambda c: F.when(F.col("__v") > threshold, c.cast("double")).otherwise(F.lit(0.0))
+    return top.select(*within, of(F.col("__at.x") * scale).alias("x"), of(F.col("__at.y") * scale).alias("y"), of(F.col("__v")).alias("confidence"))
+
+
+def activation_summary(rows: DataFrame, within: list[str], value: str, threshold: float) -> DataFrame:
+    """Number of activations over the threshold and mean of all."""
+    return rows.groupBy(*within).agg(F.count_if(F.col(value) > threshold).alias("total_activations"), F.avg(value).alias("avg_intensity"))
+
+
+#: Regions of a frame by foreground (f) and motion (d); None takes both.
+FLOW_REGIONS = {"fg_static": (True, False), "fg_dynamic": (True, True), "bg_static": (False, False), "bg_dynamic": (False, True), "fg_avg": (True, None), "bg_avg": (False, None), "avg": (None, None)}
+
+
+def region_flow(pixels: DataFrame, within: list[str], frame: str, u: str, v: str, foreground: Column, dynamic: float) -> DataFrame:
+    """Mean length of the flow (epe) and its alignment with its own mean direction (r2, 0 to 1) in each region, over frames.
+
+    The mean of dot products with the mean direction m is |m|^2 / (|m| + 1e-6), so one aggregation a frame will do. A region without
+    pixels counts 0 in its frame.
+    """
+    length = F.sqrt(F.pow(F.col(u), 2) + F.pow(F.col(v), 2))
+    x = pixels.withColumns({"__m": length, "__f": foreground}).withColumns({"__u": F.col(u) / (F.col("__m") + 1e-6), "__w": F.col(v) / (F.col("__m") + 1e-6), "__d": F.col("__m") > dynamic})
+    sums = []
+    for name, (f, d) in FLOW_REGIONS.items():
+        inside = (F.lit(True) if f is None else F.col("__f") == f) & (F.lit(True) if d is None else F.col("__d") == d)
+        sums += [F.avg(F.when(inside, F.col(c))).alias(f"{c}_{name}") for c in ("__m", "__u", "__w")]
+    per = x.groupBy(*within, frame).agg(*sums)
+    out = []
+    for name in FLOW_REGIONS:
+        mean = F.sqrt(F.pow(F.col(f"__u_{name}"), 2) + F.pow(F.col(f"__w_{name}"), 2))
+        out += [F.avg(F.coalesce(F.col(f"__m_{name}"), F.lit(0.0))).alias(f"of_{name}_epe_st"), F.avg(F.coalesce((mean * mean / (mean + 1e-6) + 1) / 2, F.lit(0.0))).alias(f"of_{name}_r2_st")]
+    return per.groupBy(*within).agg(*out)
+
+
+def array_moments(rows: DataFrame, within: list[str], vector: str) -> DataFrame:
+    """Mean and population sd of each element over rows, with the number of rows."""
+    x = rows.select(*within, F.posexplode(vector).alias("pos", "__x"))
+    return x.groupBy(*within, "pos").agg(F.avg(F.col("__x").cast("double")).alias("mean"), F.stddev_pop(F.col("__x").cast("double")).alias("std"), F.count("__x").alias("n"))
+
+
+#: The range of hue, and least saturation and brightness, of skin in 8-bit HSV.
+SKIN_HUE, SKIN_SATURATION, SKIN_VALUE = (0, 20), 48, 80
+
+
+def skin_luminance(pixels: DataFrame, within: list[str], hsv: list[str], channels: list[str]) -> DataFrame:
+    """Mean and population sd of the channels' mean over skin pixels; 0 without any."""
+    h, s, v = map(F.col, hsv)
+    light = F.when(h.between(*SKIN_HUE) & (s >= SKIN_SATURATION) & (v >= SKIN_VALUE), sum(map(F.col, channels), F.lit(0.0)) / len(channels))
+    return pixels.groupBy(*within).agg(F.coalesce(F.avg(light), F.lit(0.0)).alias("skin_mean"), F.coalesce(F.stddev_pop(light), F.lit(0.0)).alias("skin_std"))
+
+
+def frame_maximum_bands(points: DataFrame, within: list[str], frame: str, score: str) -> DataFrame:
+    """confidence_bands of the greatest score of each frame."""
+    return confidence_bands(points.groupBy(*within, frame).agg(F.max(score).alias(score)), within, score)
+
+
+def consistency_strings(frames: DataFrame, within: list[str], order: str, flag: Column, span: int = 10) -> DataFrame:
+    """In how many of the last `span` frames the flag holds, as 'k/span'."""
+    w = Window.partitionBy(*within).orderBy(order).rowsBetween(1 - span, 0)
+    return frames.withColumn("consistency", F.concat(F.count_if(flag).over(w).cast("string"), F.lit(f"/{span}")))
+
+
+def instance_score(score: Column, box: Column, keypoints: Column) -> Column:
+    """An instance's score: its own, else its box's, else the mean of its keypoints', else 0."""
+    return F.coalesce(score, box, F.try_divide(F.aggregate(keypoints, F.lit(0.0), lambda s, x: s + x), F.size(keypoints)), F.lit(0.0))
+
+
+def to_unit(x: Column, size: Column) -> Column:
+    """Pixels to [-1, 1]."""
+    return F.coalesce(F.try_divide(2 * x, size) - 1, F.lit(0.0))
+
+
+def from_unit(x: Column, size: Column) -> Column:
+    return (x + 1) / 2 * size

@@ -90,7 +90,7 @@ def perturbations(sentence: Column) -> dict[str, Column]:
     without = lambda x: F.when(F.locate(x, sentence) > 0, first(x)).otherwise(sentence)
     return {
         "lowered": lower,
-        "rotated": F.when(F.size(words) >= 3, F.concat_ws(" ", F.slice(words, 2, 100_000), F.slice(words, 1, 1))).otherwise(sentence),
+        "rotated": F.when(F.size(words) >= 3, F.concat_ws(" ", F.slice(words, F.lit(2), F.size(words)), F.slice(words, 1, 1))).otherwise(sentence),
         "the_to_a": F.regexp_replace(sentence, r"(?i)\bthe\b", "a"),
         "expanded": F.concat(sentence, F.lit(" in this context.")),
         "negated": F.when(F.contains(lower, F.lit(" not ")), without(" not ")).when(F.contains(lower, F.lit("n't")), without("n't")).otherwise(F.concat(sentence, F.lit(" not"))),
@@ -231,3 +231,33 @@ def embedding_spread(vectors: DataFrame, within: list[str], vector: str) -> Data
     centre = long.groupBy(*within, "__i").agg(F.avg("__x").alias("__c"))
     d = long.join(centre, [*within, "__i"]).groupBy(*within, "__row").agg(F.sqrt(F.sum(F.pow(F.col("__x") - F.col("__c"), 2))).alias("d"))
     return d.groupBy(*within).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("centroid_distance"), F.var_pop("d").alias("spread_variance"))
+
+
+def alternating_speakers(sentences: Column) -> Column:
+    """Utterances where nobody knows who speaks: sentences by two speakers in turn, with their numbers of letters and words."""
+    words = lambda s: F.size(F.filter(F.split(F.trim(s), r"\s+"), lambda w: w != ""))
+    return F.transform(sentences, lambda s, i: F.struct(F.concat(F.lit("SPEAKER_0"), (i % 2).cast("string")).alias("speaker"), s.alias("text"), F.length(s).alias("length"), words(s).alias("word_count")))
+
+
+def correlation_score(rows: DataFrame, within: list[str], prediction: str, target: str, order: str) -> DataFrame:
+    """Mean of Pearson's and Spearman's r of predictions and targets. One pair, or targets all alike, give the first prediction in
+    the given order; predictions all alike give their mean."""
+    from dyadspark.functions.columns import mid_rank
+
+    x = rows.where(F.col(prediction).isNotNull() & F.col(target).isNotNull())
+    x = x.withColumn("__p", mid_rank(F.col(prediction), within)).withColumn("__t", mid_rank(F.col(target), within))
+    r = lambda a, b: F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.covar_pop(a, b) / F.sqrt(F.var_pop(a) * F.var_pop(b)))
+    out = x.groupBy(*within).agg(F.count(F.lit(1)).alias("n"), (F.min(target) == F.max(target)).alias("__alike"), F.min_by(prediction, order).alias("__first"), F.avg(prediction).alias("__mean"), r(prediction, target).alias("pearson"), r("__p", "__t").alias("spearman"))
+    score = F.when(F.col("__alike"), F.col("__first")).otherwise(F.coalesce((F.col("pearson") + F.col("spearman")) / 2, F.col("__mean")))
+    return out.select(*within, "n", "pearson", "spearman", score.alias("score"))
+
+
+def positive_score(candidates: Column, prefixes: list[str]) -> Column:
+    """Score of the first candidate (label, score) whose label, in lower case, starts with one of the prefixes; else the best score."""
+    positive = F.filter(candidates, lambda c: F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(F.lower(F.trim(c["label"])), p)))
+    return F.coalesce(F.try_element_at(positive, F.lit(1))["score"], F.array_max(F.transform(candidates, lambda c: c["score"])))
+
+
+def distinct_sentences(text: Column) -> Column:
+    """Sentences in order, each once."""
+    return F.array_distinct(sentences_kept(text))

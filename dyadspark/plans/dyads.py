@@ -62,11 +62,14 @@ def peak_corr(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(synchrony.peaks(c, ["dyad", "dimension"]).select("dyad", "dimension", "lag", "correlation"))
 
 
-@query(f"""WITH {PEAK_SQL} SELECT dyad, round(max(correlation) FILTER (dimension = 'click'), 6) AS click, round(max(correlation) FILTER (dimension = 'error'), 6) AS error,
-round(max(correlation) FILTER (dimension = 'view'), 6) AS view FROM peak GROUP BY dyad""")
+DIMENSIONS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"""WITH {PEAK_SQL} SELECT dyad, {", ".join(f"CAST(max(lag) FILTER (dimension = '{d}') AS INTEGER) AS {d}" for d in DIMENSIONS)} FROM peak GROUP BY dyad""")
 def heatmap_peak(spark: SparkSession, sf: str) -> DataFrame:
+    """Peak lags of all dimensions."""
     c = synchrony.lagged_correlation(fx.pairs(spark, sf), LOW, HIGH, fx.BIN)
-    return rounded(synchrony.peak_matrix(synchrony.peaks(c, ["dyad", "dimension"]), "dyad", "dimension", ["click", "error", "view"], "correlation"))
+    return synchrony.peak_matrix(synchrony.peaks(c, ["dyad", "dimension"]), "dyad", "dimension", DIMENSIONS, "lag")
 
 
 @query(f"WITH {PEAK_SQL} SELECT dyad, dimension, round(atanh(greatest(-0.9999, least(0.9999, correlation))), 6) AS z, round(tanh(avg(atanh(greatest(-0.9999, least(0.9999, correlation)))) OVER (PARTITION BY dimension)), 6) AS mean_r FROM peak")

@@ -195,3 +195,73 @@ def action_units(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {P} SELECT rec, i, CAST(rank() OVER (PARTITION BY rec ORDER BY x) + (count(*) OVER (PARTITION BY rec, x) - 1) / 2.0 AS DOUBLE) AS k FROM p""")
 def mid_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return _points(spark, sf).select("rec", F.col("i").cast("long").alias("i"), mid_rank(F.col("x"), ["rec"]).alias("k"))
+
+
+@query(f"""WITH {P} SELECT rec, frame, CASE WHEN score > 0.5 THEN x * 4 ELSE 0 END AS x, CASE WHEN score > 0.5 THEN round(y * 4, 6) ELSE 0 END AS y, CASE WHEN score > 0.5 THEN score ELSE 0 END AS confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY rec, frame ORDER BY score DESC, y, x) AS k FROM p) WHERE k = 1""")
+def heatmap_keypoints(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.heatmap_keypoints(_points(spark, sf), ["rec", "frame"], "x", "y", "score", 0.5, 4.0))
+
+
+@query(f"WITH {P} SELECT rec, frame, count(*) FILTER (score > 0.3) AS total_activations, round(avg(score), 6) AS avg_intensity FROM p GROUP BY ALL")
+def activation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.activation_summary(_points(spark, sf), ["rec", "frame"], "score", 0.3))
+
+
+def _flow_sql() -> str:
+    per, out = [], []
+    for name, (f, d) in frames.FLOW_REGIONS.items():
+        inside = " AND ".join([c if yes else f"NOT {c}" for c, yes in (("f", f), ("d", d)) if yes is not None] or ["true"])
+        per += [f"avg({c}) FILTER ({inside}) AS {c}_{name}" for c in ("m", "uu", "vv")]
+        mean = f"sqrt(uu_{name} * uu_{name} + vv_{name} * vv_{name})"
+        out += [f"round(avg(coalesce(m_{name}, 0)), 5) AS of_{name}_epe_st", f"round(avg(coalesce(({mean} * {mean} / ({mean} + 1e-6) + 1) / 2, 0)), 5) AS of_{name}_r2_st"]
+    return f"""WITH {P}, c AS (SELECT rec, frame, x - 25 AS u, y - 30 AS v, score > 0.5 AS f FROM p), q AS (SELECT *, sqrt(u * u + v * v) AS m FROM c),
+n AS (SELECT rec, frame, m, u / (m + 1e-6) AS uu, v / (m + 1e-6) AS vv, f, m > 20 AS d FROM q), g AS (SELECT rec, frame, {", ".join(per)} FROM n GROUP BY rec, frame)
+SELECT rec, {", ".join(out)} FROM g GROUP BY rec"""
+
+
+@query(_flow_sql())
+def region_flow(spark: SparkSession, sf: str) -> DataFrame:
+    p = _points(spark, sf).withColumn("u", F.col("x") - 25).withColumn("v", F.col("y") - 30)
+    return rounded(frames.region_flow(p, ["rec"], "frame", "u", "v", F.col("score") > 0.5, 20.0), 5)
+
+
+@query("""SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(avg(x), 5) + 0.0 AS mean, round(stddev_pop(x), 5) AS std, count(x) AS n
+FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL""")
+def array_moments(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.array_moments(fx.table(spark, sf, "embeddings"), ["label"], "embedding"), 5)
+
+
+@query(f"""WITH {P}, s AS (SELECT rec, CASE WHEN x BETWEEN 0 AND 20 AND score * 255 >= 48 AND y * 3 >= 80 THEN (x + y + score) / 3 END AS l FROM p)
+SELECT rec, round(coalesce(avg(l), 0), 5) AS skin_mean, round(coalesce(stddev_pop(l), 0), 5) AS skin_std FROM s GROUP BY rec""")
+def skin_luminance(spark: SparkSession, sf: str) -> DataFrame:
+    p = _points(spark, sf).withColumn("s", F.col("score") * 255).withColumn("v", F.col("y") * 3)
+    return rounded(frames.skin_luminance(p, ["rec"], ["x", "s", "v"], ["x", "y", "score"]), 5)
+
+
+@query(f"""WITH {P}, m AS (SELECT rec, frame, max(score) AS s FROM p GROUP BY ALL) SELECT rec, round(avg(s), 6) AS AP, round(avg(CAST(s > 0.5 AS DOUBLE)), 6) AS AP_50, round(avg(CAST(s > 0.75 AS DOUBLE)), 6) AS AP_75,
+round(coalesce(avg(s) FILTER (s > 0.3 AND s <= 0.7), 0), 6) AS AP_M, round(coalesce(avg(s) FILTER (s > 0.7), 0), 6) AS AP_L FROM m GROUP BY rec""")
+def frame_maximum_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.frame_maximum_bands(_points(spark, sf), ["rec"], "frame", "score"))
+
+
+@query(f"""WITH {P} SELECT rec, i, count(*) FILTER (score > 0.5) OVER (PARTITION BY rec ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) || '/10' AS consistency FROM p""")
+def consistency_strings(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.consistency_strings(_points(spark, sf), ["rec"], "i", F.col("score") > 0.5).select("rec", F.col("i").cast("long").alias("i"), "consistency")
+
+
+@query(f"WITH {P} SELECT rec, i, round(2 * x / 50 - 1, 6) AS unit, round(x, 6) AS back FROM p")
+def unit_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    """Coordinates of frames of 50 to [-1, 1] and back."""
+    unit = frames.to_unit(F.col("x"), F.lit(50.0))
+    return rounded(_points(spark, sf).select("rec", F.col("i").cast("long").alias("i"), unit.alias("unit"), frames.from_unit(unit, F.lit(50.0)).alias("back")))
+
+
+@query(f"""WITH {P}, s AS (SELECT rec, frame, i, CASE WHEN joint % 3 = 0 THEN score WHEN joint % 3 = 1 THEN y / 200 ELSE (x + y) / 200 END AS s FROM p)
+SELECT rec, frame, i, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY rec, frame ORDER BY s DESC, i) AS k FROM s) WHERE k = 1""")
+def best_instance(spark: SparkSession, sf: str) -> DataFrame:
+    """The best instance of each frame; a third of them has scores of its own, a third its box's, a third its keypoints'."""
+    j = F.col("joint") % 3
+    s = frames.instance_score(F.when(j == 0, F.col("score")), F.when(j == 1, F.col("y") / 200), F.array(F.col("x") / 100, F.col("y") / 100))
+    p = _points(spark, sf).withColumn("s", s)
+    return rounded(frames.best_row(p, ["rec", "frame"], [F.desc("s"), F.col("i")]).select("rec", "frame", F.col("i").cast("long").alias("i"), F.col("s").alias("score")))

@@ -393,3 +393,45 @@ def test_correlation_p(spark):
     grid = np.linspace(abs(r), 1, 200_001)
     area = np.trapezoid((1 - grid**2) ** 4, grid) / np.trapezoid((1 - np.linspace(0, 1, 200_001) ** 2) ** 4, np.linspace(0, 1, 200_001))
     assert row.pearson_pearson_p_overall == pytest.approx(area, abs=1e-6)
+
+
+def test_methods_that_fail_leave_the_others(spark):
+    from dyadspark.operators import results
+
+    d = spark.range(3)
+    plans, errors = results.planned({"good": lambda: d, "bad": lambda: results.dimensions(d, "none", [])}, ["good", "bad", "other"])
+    assert list(plans) == ["good"] and plans["good"].count() == 3
+    assert errors == {"bad": "ValueError: unknown method none", "other": "unknown method"}
+    with pytest.raises(ValueError, match="groups"):
+        results.dimensions(d, "grouped", [])
+
+
+def test_nested_stacked_and_probed(spark):
+    from dyadspark.operators import results
+
+    d = spark.sql("SELECT 1 AS id, named_struct('a', 2, 'b', named_struct('c.d', 3)) AS s, array(1, 2) AS x, array(5) AS y")
+    assert results.flattened(d.drop("x", "y")).first().asDict() == {"id": 1, "s_a": 2, "s_b_c.d": 3}
+    assert [tuple(r) for r in results.per_frame(d, ["id"], ["x", "y"]).orderBy("frame").collect()] == [(1, 0, 1, 5), (1, 1, 2, None)]
+    both = results.stacked({"p": spark.sql("SELECT 1 AS a"), "q": spark.sql("SELECT 2 AS b")}).orderBy("source").collect()
+    assert [(r.source, r.a, r.b) for r in both] == [("p", 1, None), ("q", None, 2)]
+    assert d.select(results.first_existing(d, ["none", "id"]).alias("v"), results.first_existing(d, ["none"]).alias("w")).first() == (1, None)
+
+
+def test_scores_of_labels_and_correlations(spark):
+    d = spark.sql("SELECT array(named_struct('label', 'NO', 'score', 0.9D), named_struct('label', ' Yes', 'score', 0.2D)) AS c")
+    assert d.select(text.positive_score(F.col("c"), ["yes"]).alias("a"), text.positive_score(F.col("c"), ["maybe"]).alias("b")).first() == (0.2, 0.9)
+    rows = spark.createDataFrame([("one", 1, 0.3, 1.0), ("alike", 1, 0.4, 2.0), ("alike", 2, 0.6, 2.0), ("flat", 1, 0.5, 1.0), ("flat", 2, 0.5, 2.0), ("down", 1, 1.0, 2.0), ("down", 2, 2.0, 1.0)], "k string, o int, p double, t double")
+    got = {r.k: r.score for r in text.correlation_score(rows, ["k"], "p", "t", "o").collect()}
+    assert got == {"one": 0.3, "alike": 0.4, "flat": 0.5, "down": pytest.approx(-1.0)}
+
+
+def test_region_without_pixels_counts_zero(spark):
+    p = spark.createDataFrame([(1, 0, 3.0, 4.0, True), (1, 0, 3.0, 4.0, True), (1, 1, 0.0, 0.0, False)], "rec int, frame int, u double, v double, f boolean")
+    r = frames.region_flow(p, ["rec"], "frame", "u", "v", F.col("f"), 1.0).first()
+    assert r.of_fg_dynamic_epe_st == 2.5 and r.of_fg_dynamic_r2_st == pytest.approx(0.5, abs=1e-5) and r.of_bg_static_epe_st == 0
+
+
+def test_few_values_give_null_tests(spark):
+    d = spark.createDataFrame([(1, 0, 1.0), (1, 0, 2.0), (1, 1, 5.0)], "k int, s int, v double")
+    r = group.mann_whitney(d, "v", "s", ["k"]).first()
+    assert (r.u_stat, r.p_value, r.cohens_d, r.significant) == (None, None, None, False)
