@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadspark.functions.columns import clip, fisher_z
@@ -269,23 +269,11 @@ def wide_interpolated(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(align.interpolated(w, grid, ["dyad"], "time_seconds", "pearson_r_click"), 5)
 
 
-@query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")}, ctop AS (SELECT dyad, dimension, start, ccc AS concordance_ccc FROM (SELECT *, row_number() OVER (PARTITION BY dyad, dimension, "window" ORDER BY abs(ccc) DESC, lag) AS k FROM swept WHERE ccc IS NOT NULL) WHERE k = 1 AND start % 8 = 0)
+@query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")}, ctop AS (SELECT dyad, dimension, start, ccc AS concordance_ccc FROM (SELECT *, row_number() OVER (PARTITION BY dyad, dimension, "window" ORDER BY abs(ccc) DESC, lag) AS k FROM swept WHERE ccc IS NOT NULL) WHERE k = 1)
 SELECT coalesce(b.dyad, c.dyad) AS dyad, coalesce(b.dimension, c.dimension) AS dimension, coalesce(b.start, c.start) * CAST(21600.0 AS DOUBLE) AS window_time, round(b.peak, 6) AS pearson_r, round(c.concordance_ccc, 6) AS concordance_ccc FROM best b FULL JOIN ctop c ON b.dyad = c.dyad AND b.dimension = c.dimension AND b.start = c.start""")
 def merged_methods(spark: SparkSession, sf: str) -> DataFrame:
-    """Full outer merge of two methods' windows, concordance of every second window only: gaps for the merge, as its SQL has them."""
-    return _merged(_swept(spark, sf), F.col("start") % 8 == 0)
-
-
-def _merged(swept: DataFrame, concordant: Column) -> DataFrame:
-    """The windows of both methods, concordance being that of the windows for which the condition holds."""
-    key = ["dyad", "dimension", "start"]
+    """Full outer merge of all windows of two methods."""
+    swept, key = _swept(spark, sf), ["dyad", "dimension", "start"]
     r = synchrony.windowed_peaks(swept).select(*key, F.col("peak").alias("pearson_r"))
-    c = synchrony.windowed_peaks(swept, of="ccc").where(concordant & F.col("peak").isNotNull()).select(*key, F.col("peak").alias("concordance_ccc"))
+    c = synchrony.windowed_peaks(swept, of="ccc").where("peak IS NOT NULL").select(*key, F.col("peak").alias("concordance_ccc"))
     return rounded(r.join(c, key, "full_outer").withColumn("window_time", F.col("start") * fx.BIN).drop("start"))
-
-
-@query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")}, ctop AS (SELECT dyad, dimension, start, ccc AS concordance_ccc FROM (SELECT *, row_number() OVER (PARTITION BY dyad, dimension, "window" ORDER BY abs(ccc) DESC, lag) AS k FROM swept WHERE ccc IS NOT NULL) WHERE k = 1)
-SELECT coalesce(b.dyad, c.dyad) AS dyad, coalesce(b.dimension, c.dimension) AS dimension, coalesce(b.start, c.start) * CAST(21600.0 AS DOUBLE) AS window_time, round(b.peak, 6) AS pearson_r, round(c.concordance_ccc, 6) AS concordance_ccc FROM best b FULL JOIN ctop c ON b.dyad = c.dyad AND b.dimension = c.dimension AND b.start = c.start""")
-def merged_methods_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Full outer merge of all windows of two methods."""
-    return _merged(_swept(spark, sf), F.lit(True))

@@ -154,23 +154,12 @@ def normalized_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(n.groupBy("rec").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
 
 
-@query(f"""WITH {P}, k AS (SELECT rec, frame, avg(x) AS x FROM p WHERE frame % 3 <> 1 GROUP BY ALL), g AS (SELECT rec, CAST(unnest(range(0, max(frame) + 1)) AS INTEGER) AS frame FROM p GROUP BY rec) SELECT g.rec, g.frame, round(coalesce(x, 0), 5) AS x FROM g LEFT JOIN k ON k.rec = g.rec AND k.frame = g.frame""")
+@query(f"""WITH {P}, k AS (SELECT rec, frame, avg(x) AS x FROM p GROUP BY ALL), g AS (SELECT rec, CAST(unnest(range(0, max(frame) + 1)) AS INTEGER) AS frame FROM p GROUP BY rec) SELECT g.rec, g.frame, round(coalesce(x, 0), 5) AS x FROM g LEFT JOIN k ON k.rec = g.rec AND k.frame = g.frame""")
 def densified_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third frame's values are left out, as its SQL has it, and come back as zeros."""
+    """All frames up to a recording's last; those without points, gaps of the data, are zeros."""
     p = _points(spark, sf)
-    return _densified(p, p.where("frame % 3 <> 1"))
-
-
-def _densified(p: DataFrame, kept: DataFrame) -> DataFrame:
-    """All frames of the points p, with the means of those that are kept."""
     n = p.groupBy("rec").agg((F.max("frame") + 1).alias("n"))
-    return rounded(frames.densified_frames(kept.groupBy("rec", "frame").agg(F.avg("x").alias("x")), n, ["rec"], "frame", "n", ["x"]), 5)
-
-
-@query(f"""WITH {P}, k AS (SELECT rec, frame, avg(x) AS x FROM p GROUP BY ALL), g AS (SELECT rec, CAST(unnest(range(0, max(frame) + 1)) AS INTEGER) AS frame FROM p GROUP BY rec) SELECT g.rec, g.frame, round(coalesce(x, 0), 5) AS x FROM g LEFT JOIN k ON k.rec = g.rec AND k.frame = g.frame""")
-def densified_frames_whole(spark: SparkSession, sf: str) -> DataFrame:
-    p = _points(spark, sf)
-    return _densified(p, p)
+    return rounded(frames.densified_frames(p.groupBy("rec", "frame").agg(F.avg("x").alias("x")), n, ["rec"], "frame", "n", ["x"]), 5)
 
 
 @query(f"""WITH {P} SELECT rec, round(sum(x), 4) AS total_motion, round(avg(x), 5) AS average_motion FROM p WHERE i < 10 GROUP BY rec""")
