@@ -203,10 +203,10 @@ def coupled_oscillator(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(synchrony.coupled_oscillator(fx.pairs(spark, sf)), 5)
 
 
-@query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")} SELECT dyad, start * CAST(21600.0 AS DOUBLE) AS time_seconds, round(max(peak) FILTER (dimension = 'click'), 6) AS pearson_r_click, round(max(peak) FILTER (dimension = 'view'), 6) AS pearson_r_view FROM best GROUP BY ALL""")
+@query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")} SELECT dyad, start * CAST(21600.0 AS DOUBLE) AS time_seconds, {", ".join(f"round(max(peak) FILTER (dimension = '{d}'), 6) AS pearson_r_{d}" for d in DIMENSIONS)} FROM best GROUP BY ALL""")
 def wide_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     p = synchrony.windowed_peaks(_swept(spark, sf)).withColumn("time_seconds", F.col("start") * fx.BIN).withColumnRenamed("peak", "pearson_r")
-    return rounded(synchrony.wide(p, ["pearson_r"], ["click", "view"], ["dyad", "time_seconds"]))
+    return rounded(synchrony.wide(p, ["pearson_r"], DIMENSIONS, ["dyad", "time_seconds"]))
 
 
 @query()

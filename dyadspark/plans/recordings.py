@@ -118,12 +118,12 @@ def roi_average(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(describe.roi_means(b, rois, ["subject"], "bin"), 5)
 
 
-@query("""WITH p AS (SELECT user_id AS g, epoch_us(ts) / 1e6 - 1704067200 AS x, value AS y FROM events WHERE event_type = 'purchase'),
+@query("""WITH p AS (SELECT user_id AS g, epoch_us(ts) / 1e6 - 1704067200 AS x, value AS y FROM events),
 u AS (SELECT g, x, avg(y) AS y FROM p GROUP BY ALL), q AS (SELECT DISTINCT g, unnest(range(0, 30)) * 86400.0 AS x FROM p),
 l AS (SELECT q.g, q.x, max(u.x) AS lx FROM q LEFT JOIN u ON u.g = q.g AND u.x <= q.x GROUP BY ALL), r AS (SELECT q.g, q.x, min(u.x) AS rx FROM q LEFT JOIN u ON u.g = q.g AND u.x >= q.x GROUP BY ALL)
 SELECT l.g, CAST(l.x AS DOUBLE) AS x, round(CASE WHEN lx IS NULL THEN b.y WHEN rx IS NULL OR lx = rx THEN a.y ELSE a.y + (b.y - a.y) * (l.x - lx) / (rx - lx) END, 5) AS y FROM l JOIN r ON l.g = r.g AND l.x = r.x LEFT JOIN u a ON a.g = l.g AND a.x = lx LEFT JOIN u b ON b.g = l.g AND b.x = rx""")
 def resample_linear(spark: SparkSession, sf: str) -> DataFrame:
-    e = fx.table(spark, sf, "events").where("event_type = 'purchase'")
+    e = fx.table(spark, sf, "events")
     p = e.groupBy(F.col("user_id").alias("g"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - 1704067200).alias("x")).agg(F.avg("value").alias("y"))
     grid = p.select("g").distinct().withColumn("x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: i * 86400.0)))
     return rounded(align.interpolated(p, grid, ["g"], "x", "y"), 5)
