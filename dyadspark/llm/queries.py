@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import ball_tree, fingerprint, jaccard_join, line_dedup, ngram_lm, packing, piece_bpe, quality, substring_dedup, suffix_dedup
+from dyadspark.llm import ball_tree, fingerprint, jaccard_join, language_id, line_dedup, ngram_lm, packing, piece_bpe, quality, substring_dedup, suffix_dedup, whitening
 from dyadspark.llm.common import fold, table
 
 #: Where a page's markup ends a line of text.
@@ -89,6 +89,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, "doc_id", "text", "lang")
+    out = language_id.predict(docs.select("doc_id", "text"), model, "text")
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -104,6 +115,8 @@ def queries() -> dict:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_language_id": op12_language_id,
     }
 
 
