@@ -28,4 +28,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def load() -> None:
-    from dyadspark.plans import catalog, dialogue, dyads, fits, frames, groups, recordings, results, segments  # noqa: F401
+    from dyadspark.plans import catalog, dialogue, dyads, fits, frames, groups, jobs, recordings, results, segments  # noqa: F401
