@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     Unlike an executor-local cache the table outlives any executor that made it.
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    _left(df.sparkSession).append(("path", path))
+    _leaves(df.sparkSession, "path", path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,33 +48,51 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """df as a table in the warehouse, bucketed by key: later joins by key don't move its rows."""
     spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
-    _left(spark).append(("table", name))
+    _leaves(spark, "table", name)
     df.write.bucketBy(parts_for(spark, 8), key).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
-def _left(spark: SparkSession) -> list[tuple[str, str]]:
-    """What this session has written: (kind, name)."""
+def _left(spark: SparkSession) -> list[tuple[str, str, str]]:
+    """What this session has written: (kind, name, owner)."""
     if not hasattr(spark, "_llm_left"):
         spark._llm_left = []
     return spark._llm_left
 
 
-def clear(spark: SparkSession) -> int:
+def _leaves(spark: SparkSession, kind: str, name: str) -> None:
+    _left(spark).append((kind, name, getattr(spark, "_llm_owner", "")))
+
+
+@contextmanager
+def owned(spark: SparkSession, owner: str, docs: DataFrame) -> Iterator[None]:
+    """Deletes what the owner has left before, but for what docs still reads, and notes what is written from now on as its own."""
+    clear(spark, owner, docs)
+    before, spark._llm_owner = getattr(spark, "_llm_owner", ""), owner
+    try:
+        yield
+    finally:
+        spark._llm_owner = before
+
+
+def clear(spark: SparkSession, owner: str | None = None, docs: DataFrame | None = None) -> int:
     """Deletes the intermediate files and tables that the operators have written in this session; gives their number.
 
-    Results are lazy and read them, so they must be stored first.
+    With an owner only what is noted as its own, and with docs only what docs doesn't read. Results are lazy and read them, so
+    they must be stored first.
     """
-    left = _left(spark)
-    for kind, name in left:
+    gone = [x for x in _left(spark) if owner is None or x[2] == owner]
+    if docs is not None and gone:
+        read = {part for f in docs.inputFiles() for part in f.split("/")}
+        gone = [x for x in gone if x[1].rsplit("/", 1)[-1] not in read]
+    for kind, name, _ in gone:
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         else:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    n = len(left)
-    left.clear()
-    return n
+    _left(spark)[:] = [x for x in _left(spark) if x not in gone]
+    return len(gone)
 
 
 def numbered(docs: DataFrame, *cols: str, added: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[str]]:

@@ -680,6 +680,16 @@ def test_clear_and_shared_folder(spark, docs):
     assert common.clear(spark) > 1
     assert not any(t.name.startswith("texts_") for t in spark.catalog.listTables())
 
+    with common.owned(spark, "one", docs):
+        kept = common.written(docs, "kept")
+        common.written(docs, "gone")
+    with common.owned(spark, "two", docs):
+        common.written(docs, "others")
+    with common.owned(spark, "one", kept.where("id > 0")):  # what is still read stays, as does what others own
+        assert kept.count() == docs.count()
+        assert {(w.rsplit("/", 1)[1][:4], o) for _, w, o in common._left(spark)} == {("kept", "one"), ("othe", "two")}
+    assert common.clear(spark) == 2
+
     class Conf:
         def __init__(self, master):
             self.conf = {"spark.master": master}
