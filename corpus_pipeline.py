@@ -1,15 +1,34 @@
-"""From raw documents to packed training sequences, in five stages of the operators in dyadspark.llm."""
+"""From raw documents to packed training sequences, in five stages of the operators in dyadspark.llm.
+
+A stage begins by deleting what the stages before it have left in the shared folder and its documents don't read: nothing, if they
+are still a plan over it; all, once they have been written and read back.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadspark.llm import jaccard_join, line_dedup, packing, quality, substring_dedup
-from dyadspark.llm.common import table, written
+from dyadspark.llm.common import owned, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with owned(spark, "pipeline", docs):
+            return f(spark, docs, sf_dir)
+
+    return tidy
 
 
+@stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF predicts to be good, fitted to `labels`; texts that are empty or null get its prior.
 
@@ -19,6 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.good(docs, model, "doc_id", "text")
 
 
+@stage
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that stand in over a tenth of their source's documents; sources that are null keep all.
 
@@ -27,6 +47,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _recounted(line_dedup.line_dedup(docs, "text", F.col("source")))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links by five-word shingles at a Jaccard similarity of 0.8 or more, the least id.
 
@@ -35,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.one_of_each(docs, "doc_id", "text")
 
 
+@stage
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 35 words or more that recur; one that loses all its words stays with what is left.
 
@@ -43,6 +65,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _recounted(substring_dedup.without_passages(docs, "text"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens; null and empty texts are an end token, no documents no rows."""
     return packing.best_fit_packing(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
@@ -66,6 +89,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, step in STAGES[:-1]:
+        with owned(spark, "pipeline documents", docs):  # frees the documents of the step before the last
+            docs = written(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
