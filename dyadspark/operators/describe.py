@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadspark.functions.columns import finite, safe_corr
+from dyadspark.functions.columns import finite
+from dyadspark.operators import crossed
 
 #: Feature groups by prefix.
 GROUPS = ("oc_", "lbrs_", "osm_", "GMP_", "pf_", "eln_")
@@ -37,10 +38,10 @@ def feature_groups(described: DataFrame, groups: tuple[str, ...] = GROUPS) -> Da
 
 
 def correlation_matrix(dense: DataFrame, within: list[str], index: str) -> DataFrame:
-    """r of each two features of an entity by an equality join on the index."""
-    side = lambda c: dense.select(*within, index, F.col("feature").alias(f"feature_{c}"), F.col("value").alias(f"v{c}"))
-    both = side("a").join(side("b"), [*within, index]).where(F.col("feature_a") <= F.col("feature_b"))
-    return both.groupBy(*within, "feature_a", "feature_b").agg(safe_corr(F.col("va"), F.col("vb")).alias("r"))
+    """r of each two features of an entity, by blocks of a whole-numbered index: rows in proportion to bins, none a pair and bin."""
+    x = dense.withColumn("pos", F.col(index).cast("long"))
+    out = crossed.correlations(x, x.withColumnRenamed("feature", "target"), within, symmetric=True)
+    return out.select(*within, F.col("dimension").alias("feature_a"), F.col("target").alias("feature_b"), F.col("correlation").alias("r"))
 
 
 def movement_energy(landmarks: DataFrame, within: list[str], point: str, frame: str, axes: list[str]) -> DataFrame:
@@ -177,6 +178,15 @@ def shapes(frames: DataFrame, within: list[str], value: str = "value") -> DataFr
     return frames.where(v.isNotNull()).groupBy(*within).agg(of(F.skewness).alias("skewness"), of(F.kurtosis).alias("kurtosis"))
 
 
+def with_movement(composites: DataFrame, movement: DataFrame, bins: DataFrame, within: list[str], bin_size: float) -> DataFrame:
+    """Composites (within, dimension, bin, value) and movement energy (within, t, movement_energy) as one more of them, first by name
+    in the order of groups: the mean of its bins, where an entity's other features (bins: within, bin) have a row as well."""
+    own = F.floor(F.col("t") / F.lit(float(bin_size))).cast("long").alias("bin")
+    binned = movement.groupBy(*within, own).agg(F.avg("movement_energy").alias("value"))
+    common = binned.join(bins.select(*within, "bin").distinct(), [*within, "bin"], "left_semi")
+    return common.withColumn("dimension", F.lit("movement_energy")).unionByName(composites)
+
+
 def grouped_dimensions(series: DataFrame, groups: dict[str, list[str]], within: list[str], index: str) -> DataFrame:
     """One composite a group of features by prefix, all groups in one pass; a feature counts in the first group that takes it."""
     name = None

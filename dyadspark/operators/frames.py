@@ -87,12 +87,42 @@ def depth_errors(pixels: DataFrame, within: list[str], predicted: str, truth: st
     )
 
 
+def depth_proxies(pixels: DataFrame, within: list[str], depth: str) -> DataFrame:
+    """Stand-ins for the depth errors where there is no truth, from the variance and range of depths of 0 to 255."""
+    d = F.col(depth) / F.lit(255.0)
+    x = pixels.groupBy(*within).agg(F.var_pop(d).alias("v"), (F.max(d) - F.min(d)).alias("r"))
+    held = lambda low, high, c: F.greatest(F.lit(low), F.least(F.lit(high), c))
+    v, r = F.col("v"), F.col("r")
+    # fixed values: bounds and weights of each
+    return x.select(
+        *within, held(0.1, 0.5, 2 * v).alias("abs_rel"), held(0.05, 0.3, 1.5 * v).alias("sq_rel"), held(0.2, 1.0, 0.8 * r).alias("rmse"), held(0.1, 0.4, 1.2 * v).alias("rmse_log"),
+        held(0.5, 0.95, 1 - v).alias("delta_1"), held(0.7, 0.98, 1 - 0.8 * v).alias("delta_2"), held(0.8, 0.99, 1 - 0.6 * v).alias("delta_3"),
+    )
+
+
+def edge_score(pixels: DataFrame, within: list[str], row: str, column: str, depth: str) -> DataFrame:
+    """Mean gradient by Sobel's 3 x 3 kernels over 50, 1 at most; borders are mirrored about the outermost pixels."""
+    along, down = Window.partitionBy(*within, row).orderBy(column), Window.partitionBy(*within, column).orderBy(row)
+    d = F.col(depth).cast("double")
+    left, right = F.coalesce(F.lag(d).over(along), F.lead(d).over(along), d), F.coalesce(F.lead(d).over(along), F.lag(d).over(along), d)
+    x = pixels.withColumn("__slope", right - left).withColumn("__smooth", left + 2 * d + right)
+    near = lambda c, a, b: F.coalesce(a(c).over(down), b(c).over(down), F.col(c))
+    gx = near("__slope", F.lag, F.lead) + 2 * F.col("__slope") + near("__slope", F.lead, F.lag)
+    gy = near("__smooth", F.lead, F.lag) - near("__smooth", F.lag, F.lead)
+    x = x.withColumn("__edge", F.sqrt(gx * gx + gy * gy))
+    return x.groupBy(*within).agg(F.least(F.lit(1.0), F.avg("__edge") / 50).alias("depth_discontinuity_score"))
+
+
 def split_at_quantile(pixels: DataFrame, within: list[str], depth: str, motion: str, q: float = 0.7) -> DataFrame:
-    """Mean motion before and behind the depth quantile, and their ratio."""
+    """Mean motion, the shares in it of motion before and behind the depth quantile, and how even the former is: a tenth of
+    mean over sd, 1 at most; nothing before or behind counts 0."""
     limit = pixels.groupBy(*within).agg(F.percentile(depth, F.lit(q)).alias("limit"))
     x = pixels.join(limit, within)
-    out = x.groupBy(*within).agg(F.avg(F.when(F.col(depth) > F.col("limit"), F.col(motion))).alias("foreground_motion"), F.avg(F.when(F.col(depth) <= F.col("limit"), F.col(motion))).alias("background_motion"))
-    return out.withColumn("motion_ratio", F.try_divide(F.col("foreground_motion"), F.col("background_motion")))
+    front, back = F.when(F.col(depth) > F.col("limit"), F.col(motion)), F.when(F.col(depth) <= F.col("limit"), F.col(motion))
+    out = x.groupBy(*within).agg(F.avg(motion).alias("m"), F.avg(front).alias("f"), F.stddev_pop(front).alias("sd"), F.avg(back).alias("b"))
+    share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / (F.col("m") + 1e-8)
+    even = F.when(F.col("f").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("f") / (F.col("sd") + 1e-8) / 10))
+    return out.select(*within, F.col("m").alias("avg_motion_magnitude"), share("f").alias("foreground_motion_ratio"), share("b").alias("background_motion_ratio"), even.alias("object_interaction_score"))
 
 
 def temporal_consistency(frames: DataFrame, within: list[str], order: str, value: str) -> DataFrame:

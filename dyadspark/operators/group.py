@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dyadspark.functions.columns import fisher_z, mid_rank, modality, safe_corr
 from dyadspark.functions.special import binomial_two_sided, chi2_p, normal_p, r_p, t_p
+from dyadspark.operators import exact
 from dyadspark.operators.multiple import benjamini_hochberg
 
 
@@ -26,18 +27,28 @@ def correlation_test(peaks: DataFrame, r: str, within: list[str]) -> DataFrame:
 
 
 def signed_rank(df: DataFrame, value: str, within: list[str]) -> DataFrame:
-    """Wilcoxon signed-rank: W (the lesser sum of mid-ranks), n without zeros, p by the normal with tie correction."""
+    """Wilcoxon signed-rank: W (the lesser sum of mid-ranks), n without zeros, and p: exact up to 50 values without ties or zeros,
+    else by the normal with tie correction."""
+    zeros = df.where(F.col(value) == 0).groupBy(*within).agg(F.count(F.lit(1)).alias("zeros"))
     x = df.where(F.col(value).isNotNull() & (F.col(value) != 0)).withColumn("__abs", F.abs(value))
     x = x.withColumn("rank", mid_rank(F.col("__abs"), within)).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*within, "__abs")))
     out = x.groupBy(*within).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col(value) > 0, F.col("rank"))), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(F.when(F.col(value) < 0, F.col("rank"))), F.lit(0.0)).alias("minus"), F.sum(F.pow("ties", 2) - 1).alias("tied"))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
     w = F.least("plus", "minus")
-    return out.select(*within, "n", w.alias("wilcoxon_W"), normal_p(F.try_divide(w - n * (n + 1) / 4, sd)).alias("p_wilcoxon"))
+    out = out.join(zeros, within, "left")
+    small = F.when((F.col("tied") == 0) & F.col("zeros").isNull(), exact.signed_rank_p(w, F.col("n")))
+    return out.select(*within, "n", w.alias("wilcoxon_W"), F.coalesce(small, normal_p(F.try_divide(w - n * (n + 1) / 4, sd))).alias("p_wilcoxon"))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n: int = 2) -> DataFrame:
-    """U, p (normal, tie and continuity corrected), Cohen's d, p_fdr and significance for each two groups of an entity; null where a
+def paired_signed_rank(df: DataFrame, a: str, b: str, within: list[str]) -> DataFrame:
+    """The signed-rank test of a - b; pairs that lack either are left out."""
+    return signed_rank(df.withColumn("__d", F.col(a) - F.col(b)), "__d", within)
+
+
+def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n: int = 2, small: bool = True) -> DataFrame:
+    """U, p (exact without ties where one group has up to 8 values and the other up to 64, unless `small` is off; else normal, tie
+    and continuity corrected), Cohen's d, p_fdr and significance for each two groups of an entity; null where a
     group has fewer than `min_n` values."""
     x = df.where(F.col(value).isNotNull())
     stats = x.groupBy(*within, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
@@ -56,7 +67,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, within: list[str], min_n
     pooled = F.sqrt(F.try_divide((na - 1) * F.col("v_a") + (nb - 1) * F.col("v_b"), n - 2))
     d = F.coalesce(F.try_divide(F.col("m_a") - F.col("m_b"), pooled), F.lit(0.0))
     known = lambda c: F.when((na >= min_n) & (nb >= min_n), c)
-    tests = out.select(*key, known(u).alias("u_stat"), normal_p(known(z)).alias("p_value"), known(d).alias("cohens_d"))
+    counted = F.when(F.lit(small) & (F.col("tied") == 0), exact.rank_sum_p(u, F.col("n_a"), F.col("n_b")))
+    tests = out.select(*key, known(u).alias("u_stat"), F.coalesce(known(counted), normal_p(known(z))).alias("p_value"), known(d).alias("cohens_d"))
     return benjamini_hochberg(tests, "p_value", within).withColumn("significant", F.coalesce(F.col("p_fdr") < 0.05, F.lit(False)))
 
 

@@ -39,11 +39,14 @@ def planned(methods: dict[str, Callable[[], DataFrame]], chosen: list[str]) -> t
     return plans, errors
 
 
-def dimensions(series: DataFrame, method: str, within: list[str], index: str = "bin", k: int = 3, groups: dict[str, list[str]] | None = None) -> DataFrame:
+def dimensions(series: DataFrame, method: str, within: list[str], index: str = "bin", k: int = 3, groups: dict[str, list[str]] | None = None, movement: DataFrame | None = None, bin_size: float = 1.0) -> DataFrame:
     """(within, dimension, index, value, method) by every feature, grouped composites, pca, fa, ica or cluster; the reductions have the
-    grouped composites as well, where groups are given."""
+    grouped composites as well, where groups are given. Movement energy (within, t, movement_energy), where given, is a composite
+    more: it is rebinned, and the index must then be bin."""
     cols = [*within, "dimension", index, "value"]
     grouped = describe.grouped_dimensions(series, groups, within, index).select(*cols) if groups else None
+    if grouped is not None and movement is not None:
+        grouped = describe.with_movement(grouped, movement, series, within, bin_size).select(*cols)
     if method == "every":
         out = series.withColumnRenamed("feature", "dimension").select(*cols)
     elif method == "grouped":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from dyadspark.functions.columns import clip
+from dyadspark.operators import pairwise
 
 #: What negates, in a text with a blank before and after it.
 NEGATIONS = (" not ", "n't", " never ", " no ")
@@ -227,10 +228,7 @@ def ranked_passages(scored: DataFrame, within: list[str], score: str, tie: str,
 
 def embedding_spread(vectors: DataFrame, within: list[str], vector: str) -> DataFrame:
     """Mean and variance (population) of the distances to the group's centroid."""
-    long = vectors.withColumn("__row", F.monotonically_increasing_id()).select(*within, "__row", F.posexplode(vector).alias("__i", "__x"))
-    centre = long.groupBy(*within, "__i").agg(F.avg("__x").alias("__c"))
-    d = long.join(centre, [*within, "__i"]).groupBy(*within, "__row").agg(F.sqrt(F.sum(F.pow(F.col("__x") - F.col("__c"), 2))).alias("d"))
-    return d.groupBy(*within).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("centroid_distance"), F.var_pop("d").alias("spread_variance"))
+    return pairwise.spread(vectors, within, vector)
 
 
 def alternating_speakers(sentences: Column) -> Column:

@@ -84,12 +84,33 @@ def depth_errors(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("rec", *[F.round(c, n).alias(c) for c, n in (("abs_rel", 5), ("sq_rel", 4), ("rmse", 5), ("rmse_log", 5), ("delta_1", 6), ("delta_2", 6), ("delta_3", 6))])
 
 
-@query(f"""WITH {P}, q AS (SELECT rec, quantile_cont(y, 0.7) AS q FROM p GROUP BY rec), m AS (SELECT rec, avg(x) FILTER (y > q) AS f, avg(x) FILTER (y <= q) AS b FROM p JOIN q USING (rec) GROUP BY rec)
-SELECT rec, round(f, 5) AS foreground_motion, round(b, 5) AS background_motion, round(f / b, 5) AS motion_ratio FROM m""")
+@query(f"""WITH {P}, q AS (SELECT rec, quantile_cont(y, 0.7) AS q FROM p GROUP BY rec), m AS (SELECT rec, avg(x) AS m, avg(x) FILTER (y > q) AS f, stddev_pop(x) FILTER (y > q) AS sd, avg(x) FILTER (y <= q) AS b FROM p JOIN q USING (rec) GROUP BY rec)
+SELECT rec, round(m, 5) AS avg_motion_magnitude, round(coalesce(f, 0) / (m + 1e-8), 5) AS foreground_motion_ratio, round(coalesce(b, 0) / (m + 1e-8), 5) AS background_motion_ratio, round(CASE WHEN f IS NULL THEN 0.0 ELSE least(1.0, f / (sd + 1e-8) / 10) END, 5) AS object_interaction_score FROM m""")
 def foreground_split(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(frames.split_at_quantile(_points(spark, sf), ["rec"], "y", "x"), 5)
 
 
+@query(f"""WITH {P}, m AS (SELECT rec, var_pop(y / 255.0) AS v, max(y / 255.0) - min(y / 255.0) AS r FROM p GROUP BY rec)
+SELECT rec, round(greatest(0.1, least(0.5, v * 2)), 6) AS abs_rel, round(greatest(0.05, least(0.3, v * 1.5)), 6) AS sq_rel, round(greatest(0.2, least(1.0, r * 0.8)), 6) AS rmse, round(greatest(0.1, least(0.4, v * 1.2)), 6) AS rmse_log,
+round(greatest(0.5, least(0.95, 1 - v)), 6) AS delta_1, round(greatest(0.7, least(0.98, 1 - v * 0.8)), 6) AS delta_2, round(greatest(0.8, least(0.99, 1 - v * 0.6)), 6) AS delta_3 FROM m""")
+def depth_proxies(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(frames.depth_proxies(_points(spark, sf), ["rec"], "y"))
+
+
+IMAGE_SQL = """g AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, 100 * CAST(x AS DOUBLE) AS d FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))"""
+
+
+@query(f"""WITH {IMAGE_SQL}, n AS (SELECT *, coalesce(lag(d) OVER a, lead(d) OVER a, d) AS l, coalesce(lead(d) OVER a, lag(d) OVER a, d) AS n FROM g WINDOW a AS (PARTITION BY vec_id, r ORDER BY c)),
+s AS (SELECT vec_id, r, c, n - l AS slope, l + 2 * d + n AS smooth FROM n),
+e AS (SELECT vec_id, coalesce(lag(slope) OVER b, lead(slope) OVER b, slope) + 2 * slope + coalesce(lead(slope) OVER b, lag(slope) OVER b, slope) AS gx, coalesce(lead(smooth) OVER b, lag(smooth) OVER b, smooth) - coalesce(lag(smooth) OVER b, lead(smooth) OVER b, smooth) AS gy FROM s WINDOW b AS (PARTITION BY vec_id, c ORDER BY r))
+SELECT vec_id, round(least(1.0, avg(sqrt(gx * gx + gy * gy)) / 50), 6) AS depth_discontinuity_score FROM e GROUP BY vec_id""")
+def depth_discontinuity(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as images of eight columns."""
+    g = fx.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    g = g.select("vec_id", F.floor(F.col("i") / 8).alias("r"), (F.col("i") % 8).alias("c"), (100 * F.col("x").cast("double")).alias("d"))
+    return rounded(frames.edge_score(g, ["vec_id"], "r", "c", "d"))
+
+
 @query(f"""WITH {P}, d AS (SELECT *, x - lag(x) OVER (PARTITION BY rec ORDER BY i) AS d FROM p) SELECT rec, round(1 - least(1.0, coalesce(stddev_pop(d), 0) / (avg(x) + 1e-8)), 5) + 0.0 AS temporal_consistency, round(avg(x) FILTER (x > 0), 5) AS positive_mean FROM d GROUP BY rec""")
 def temporal_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(frames.temporal_consistency(_points(spark, sf), ["rec"], "i", "x"), 5)
@@ -246,11 +267,11 @@ def unit_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_points(spark, sf).select("rec", F.col("i").cast("long").alias("i"), unit.alias("unit"), frames.from_unit(unit, F.lit(50.0)).alias("back")))
 
 
-@query(f"""WITH {P}, s AS (SELECT rec, frame, i, CASE WHEN joint % 3 = 0 THEN score WHEN joint % 3 = 1 THEN y / 200 ELSE (x + y) / 200 END AS s FROM p)
-SELECT rec, frame, i, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY rec, frame ORDER BY s DESC, i) AS k FROM s) WHERE k = 1""")
+@query(f"""WITH {P}, s AS (SELECT rec, frame, i, CASE WHEN joint % 3 = 0 THEN score WHEN joint % 3 = 1 THEN y / 200 ELSE (x / 100 + y / 100) / 2 END AS s FROM p)
+SELECT rec, frame, i, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY rec, frame ORDER BY s DESC, i) AS k FROM s) WHERE k = 1""")
 def best_instance(spark: SparkSession, sf: str) -> DataFrame:
     """The best instance of each frame; a third of them has scores of its own, a third its box's, a third its keypoints'."""
     j = F.col("joint") % 3
     s = frames.instance_score(F.when(j == 0, F.col("score")), F.when(j == 1, F.col("y") / 200), F.array(F.col("x") / 100, F.col("y") / 100))
     p = _points(spark, sf).withColumn("s", s)
-    return rounded(frames.best_row(p, ["rec", "frame"], [F.desc("s"), F.col("i")]).select("rec", "frame", F.col("i").cast("long").alias("i"), F.col("s").alias("score")))
+    return rounded(frames.best_row(p, ["rec", "frame"], [F.desc("s"), F.col("i")]).select("rec", "frame", F.col("i").cast("long").alias("i"), F.col("s").alias("score")), 9)

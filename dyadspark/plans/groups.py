@@ -58,10 +58,10 @@ def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {METHODS_SQL}, r AS (SELECT dyad, method, rank() OVER (PARTITION BY dyad ORDER BY mean_abs_r) + (count(*) OVER (PARTITION BY dyad, mean_abs_r) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY dyad, mean_abs_r) AS t FROM per9),
 s AS (SELECT method, sum(k) AS s, count(*) AS n, sum(t * t - 1) AS tied FROM r GROUP BY method)
-SELECT 1 AS one, max(n) AS n_blocks, count(*) AS n_treatments, round(CAST((12.0 / (max(n) * 3 * 4) * sum(s * s) - 3 * max(n) * 4) / (1 - sum(tied) / (max(n) * 3.0 * 8)) AS DOUBLE), 5) AS chi2 FROM s""")
+SELECT 1 AS one, max(n) AS n_blocks, count(*) AS n_treatments, round(CAST((12.0 / (max(n) * 3 * 4) * sum(s * s) - 3 * max(n) * 4) / (1 - sum(tied) / (max(n) * 3.0 * 8)) AS DOUBLE), 5) AS chi2, round(exp(-CAST((12.0 / (max(n) * 3 * 4) * sum(s * s) - 3 * max(n) * 4) / (1 - sum(tied) / (max(n) * 3.0 * 8)) AS DOUBLE) / 2), 5) AS p_value FROM s""")
 def friedman_chi2(spark: SparkSession, sf: str) -> DataFrame:
     per = group.method_means(_methods(spark, sf), "correlation", ["dyad"])[0].withColumn("one", F.lit(1)).withColumn("mean_abs_r", F.round("mean_abs_r", 9))
-    return rounded(group.friedman(per, "mean_abs_r", "dyad", "method", ["one"]).drop("p_value"), 5)
+    return rounded(group.friedman(per, "mean_abs_r", "dyad", "method", ["one"]), 5)
 
 
 @query(f"""WITH {METHODS_SQL} SELECT dyad, round(max(mean_abs_r) FILTER (method = 'peak'), 6) AS peak, round(max(mean_abs_r) FILTER (method = 'overall'), 6) AS overall FROM per GROUP BY dyad HAVING count(DISTINCT method) = 3""")
@@ -95,13 +95,67 @@ def mannwhitney_u(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(group.mann_whitney(fx.states(spark, sf), "signal", "state", ["dyad", "person"]).drop("p_value", "p_fdr", "significant"), 5)
 
 
-@query("""WITH x AS (SELECT c_mktsegment, c_acctbal, coalesce(t, 0) AS t FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY ALL) ON c_custkey = o_custkey),
+def _two_sided_sql(z: str) -> str:
+    """Two-sided p of a normal z up to 12, by Simpson's rule."""
+    return f"greatest(0.0, 1 - 2 / sqrt(2 * pi()) * {z} / 600 * list_sum(list_transform(range(0, 201), lambda k: (CASE WHEN k IN (0, 200) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * power({z} * k / 200, 2)))))"
+
+
+MW_SQL = STATES_SQL + f""",
+g AS (SELECT dyad, person, state, count(*) AS n FROM states GROUP BY ALL),
+p AS (SELECT a.dyad, a.person, a.state AS state_a, b.state AS state_b, a.n AS na, b.n AS nb FROM g a JOIN g b ON a.dyad = b.dyad AND a.person = b.person AND a.state < b.state),
+r AS (SELECT p.*, s.state, rank() OVER w + (count(*) OVER (PARTITION BY p.dyad, p.person, state_a, state_b, signal) - 1) / 2.0 AS k, power(count(*) OVER (PARTITION BY p.dyad, p.person, state_a, state_b, signal), 2) - 1 AS tied
+  FROM p JOIN states s ON s.dyad = p.dyad AND s.person = p.person AND s.state IN (state_a, state_b) WINDOW w AS (PARTITION BY p.dyad, p.person, state_a, state_b ORDER BY signal)),
+u AS (SELECT dyad, person, state_a, state_b, na, nb, sum(k) FILTER (state = state_a) - na * (na + 1) / 2.0 AS u, sum(tied) AS tied FROM r GROUP BY dyad, person, state_a, state_b, na, nb),
+z AS (SELECT *, least(12.0, greatest(abs(u - na * nb / 2.0) - 0.5, 0.0) / nullif(sqrt(na * nb / 12.0 * (na + nb + 1 - tied / ((na + nb) * (na + nb - 1.0)))), 0)) AS z FROM u)"""
+
+
+@query(f"""WITH {MW_SQL}, t AS (SELECT dyad, person, state_a, state_b, CASE WHEN na >= 2 AND nb >= 2 THEN {_two_sided_sql("z")} END AS p FROM z),
+f AS (SELECT *, p * count(p) OVER (PARTITION BY dyad, person) / row_number() OVER (PARTITION BY dyad, person ORDER BY p NULLS LAST) AS x FROM t),
+q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(x) OVER (PARTITION BY dyad, person ORDER BY p DESC NULLS LAST RANGE UNBOUNDED PRECEDING)) END AS p_fdr FROM f WHERE p IS NOT NULL)
+SELECT t.dyad, t.person, t.state_a, t.state_b, round(t.p, 6) AS p_value, round(q.p_fdr, 6) AS p_fdr FROM t LEFT JOIN q USING (dyad, person, state_a, state_b)""")
+def mannwhitney_p(spark: SparkSession, sf: str) -> DataFrame:
+    """p by the normal and p_fdr over an entity's comparisons."""
+    t = group.mann_whitney(fx.states(spark, sf), "signal", "state", ["dyad", "person"], small=False)
+    return rounded(t.select("dyad", "person", "state_a", "state_b", "p_value", "p_fdr"))
+
+
+SUBSETS_SQL = """bits AS (SELECT n, m, list_filter(range(1, n + 1), lambda i: (m >> (i - 1)) & 1 = 1) AS s FROM (SELECT n, unnest(range(0, CAST(1 << n AS BIGINT))) AS m FROM (SELECT unnest(range(1, 13)) AS n)))"""
+
+
+@query(f"""WITH {SUBSETS_SQL}, sums AS (SELECT n, coalesce(list_sum(s), 0) AS w FROM bits),
+o AS (SELECT o_custkey, o_totalprice - 150000 AS d FROM orders), k AS (SELECT o_custkey, d, rank() OVER (PARTITION BY o_custkey ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY o_custkey, abs(d)) AS c FROM o WHERE d <> 0),
+t AS (SELECT o_custkey, count(*) AS n, least(coalesce(sum(k) FILTER (d > 0), 0), coalesce(sum(k) FILTER (d < 0), 0)) AS w, max(c) AS c FROM k GROUP BY o_custkey),
+p AS (SELECT o_custkey, least(1.0, 2.0 * count(*) FILTER (sums.w <= t.w) / count(*)) AS p FROM t JOIN sums USING (n) WHERE c = 1 GROUP BY o_custkey)
+SELECT t.o_custkey, t.n, CAST(t.w AS DOUBLE) AS wilcoxon_W, round(CAST(p AS DOUBLE), 9) AS p_exact FROM t LEFT JOIN p USING (o_custkey)""")
+def wilcoxon_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders against 150,000 by customer; shown are the exact p of up to 12 orders, for which SQL can try all signs."""
+    d = fx.table(spark, sf, "orders").select("o_custkey", (F.col("o_totalprice") - 150000).alias("d"))
+    ties = d.groupBy("o_custkey", F.abs("d").alias("d")).count().groupBy("o_custkey").agg(F.max("count").alias("c"))
+    w = group.signed_rank(d, "d", ["o_custkey"]).join(ties, "o_custkey")
+    return rounded(w.select("o_custkey", "n", "wilcoxon_W", F.when((F.col("n") <= 12) & (F.col("c") == 1), F.col("p_wilcoxon")).alias("p_exact")), 9)
+
+
+@query(f"""WITH {SUBSETS_SQL}, sums AS (SELECT n, len(s) AS a, coalesce(list_sum(s), 0) - len(s) * (len(s) + 1) // 2 AS u FROM bits WHERE len(s) > 0 AND len(s) < n),
+o AS (SELECT o_custkey, o_orderkey % 2 AS g, o_totalprice AS v FROM orders), k AS (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY v) AS k, count(*) OVER (PARTITION BY o_custkey, v) AS c FROM o),
+t AS (SELECT o_custkey, count(*) FILTER (g = 0) AS a, count(*) AS n, sum(k) FILTER (g = 0) - count(*) FILTER (g = 0) * (count(*) FILTER (g = 0) + 1) // 2 AS u, max(c) AS c FROM k GROUP BY o_custkey HAVING count(DISTINCT g) = 2),
+p AS (SELECT o_custkey, least(1.0, 2.0 * count(*) FILTER (sums.u <= least(t.u, t.a * (t.n - t.a) - t.u)) / count(*)) AS p FROM t JOIN sums ON sums.n = t.n AND sums.a = t.a WHERE c = 1 GROUP BY o_custkey)
+SELECT t.o_custkey, CASE WHEN c = 1 THEN CAST(t.u AS DOUBLE) END AS u_stat, round(CAST(p AS DOUBLE), 9) AS p_exact FROM t LEFT JOIN p USING (o_custkey)""")
+def mannwhitney_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with even against odd keys by customer; shown are the exact p of up to 12 orders."""
+    o = fx.table(spark, sf, "orders").select("o_custkey", (F.col("o_orderkey") % 2).alias("g"), F.col("o_totalprice").alias("v"))
+    sizes = o.groupBy("o_custkey", "v").count().groupBy("o_custkey").agg(F.sum("count").alias("n"), F.max("count").alias("c"))
+    t = group.mann_whitney(o, "v", "g", ["o_custkey"], min_n=1).join(sizes, "o_custkey")
+    plain = F.col("c") == 1
+    return rounded(t.select("o_custkey", F.when(plain, F.col("u_stat")).alias("u_stat"), F.when(plain & (F.col("n") <= 12), F.col("p_value")).alias("p_exact")), 9)
+
+
+@query(f"""WITH x AS (SELECT c_mktsegment, c_acctbal, coalesce(t, 0) AS t FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY ALL) ON c_custkey = o_custkey),
 r AS (SELECT c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY c_mktsegment ORDER BY round(t, 2)) + (count(*) OVER (PARTITION BY c_mktsegment, round(t, 2)) - 1) / 2.0 AS ry FROM x)
-SELECT c_mktsegment, count(*) AS n, round(corr(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)), 6) AS rho FROM r GROUP BY c_mktsegment HAVING count(*) >= 4""")
+SELECT c_mktsegment, n, round(rho, 6) AS rho, round({fx.r_p_sql("rho", "n")}, 6) AS p_value FROM (SELECT c_mktsegment, count(*) AS n, corr(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)) AS rho FROM r GROUP BY c_mktsegment HAVING count(*) >= 4)""")
 def spearman_moderators(spark: SparkSession, sf: str) -> DataFrame:
     o = fx.table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"))
     c = fx.table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("t", F.round(F.coalesce("t", F.lit(0.0)), 2))
-    return rounded(group.spearman(c, "c_acctbal", "t", ["c_mktsegment"]).drop("p_value"))
+    return rounded(group.spearman(c, "c_acctbal", "t", ["c_mktsegment"]))
 
 
 @query(f"""WITH {STATES_SQL}, s AS (SELECT dyad, person, state, count(*) AS n, avg(signal) AS m, coalesce(stddev_samp(signal), 0) AS sd FROM states GROUP BY ALL),

@@ -29,13 +29,13 @@ def leaders_by_method(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(results.stacked(plans, "method"))
 
 
-@query(f"""WITH {OVERALL_SQL}, o AS (SELECT dimension, avg(r) AS mean_overall FROM ov WHERE dimension <> 'view' GROUP BY dimension), k AS (SELECT dimension, max(abs(c)) AS max_ccc FROM ov WHERE dimension <> 'click' GROUP BY dimension)
+@query(f"""WITH {OVERALL_SQL}, o AS (SELECT dimension, avg(r) AS mean_overall FROM ov GROUP BY dimension), k AS (SELECT dimension, max(abs(c)) AS max_ccc FROM ov GROUP BY dimension)
 SELECT coalesce(o.dimension, k.dimension) AS dimension, round(mean_overall, 6) + 0.0 AS mean_overall, round(max_ccc, 6) AS max_ccc FROM o FULL JOIN k ON o.dimension = k.dimension""")
 def merged_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Summaries of two methods merged on the dimension; each lacks one that the other has."""
+    """Summaries of two methods merged on the dimension."""
     o = synchrony.overall(fx.pairs(spark, sf))
-    r = o.where("dimension <> 'view'").groupBy("dimension").agg(F.avg("pearson_pearson_r_overall").alias("mean_overall"))
-    c = o.where("dimension <> 'click'").groupBy("dimension").agg(F.max(F.abs("concordance_concordance_ccc_overall")).alias("max_ccc"))
+    r = o.groupBy("dimension").agg(F.avg("pearson_pearson_r_overall").alias("mean_overall"))
+    c = o.groupBy("dimension").agg(F.max(F.abs("concordance_concordance_ccc_overall")).alias("max_ccc"))
     return rounded(results.merged([r, c], ["dimension"]))
 
 
@@ -57,6 +57,17 @@ def grouped_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(results.dimensions(fx.dense(spark, sf), "grouped", ["dyad", "person"], groups=GROUPS), 5)
 
 
+@query(f"""WITH {DENSE_SQL}, z AS (SELECT dyad, person, bin, CASE WHEN feature IN ('click', 'view') THEN 'seen' ELSE 'else' END AS dimension, {Z_SQL} AS z FROM dense WHERE regexp_matches(feature, '^(click|view|e|p|s)') WINDOW w AS (PARTITION BY dyad, person, feature)),
+s AS (SELECT dyad, person, t, abs(coalesce(value - lag(value) OVER (PARTITION BY dyad, person, feature ORDER BY t), 0)) AS step FROM ev), m AS (SELECT dyad, person, t, avg(step) AS e FROM s GROUP BY ALL),
+b AS (SELECT dyad, person, CAST(floor(t / 21600.0) AS BIGINT) AS bin, avg(e) AS e FROM m GROUP BY ALL)
+SELECT dyad, person, dimension, bin, round(avg(z), 5) + 0.0 AS value, 'grouped' AS method FROM z GROUP BY ALL UNION ALL SELECT dyad, person, 'movement_energy', bin, round(e, 5), 'grouped' FROM b SEMI JOIN dense USING (dyad, person, bin)""")
+def grouped_with_movement(spark: SparkSession, sf: str) -> DataFrame:
+    """The composites after the movement energy of landmarks, for which the kinds of events stand, rebinned."""
+    d, key = fx.dense(spark, sf), ["dyad", "person"]
+    energy = describe.movement_energy(fx.events(spark, sf), key, "feature", "t", ["value"])
+    return rounded(results.dimensions(d, "grouped", key, groups=GROUPS, movement=energy, bin_size=fx.BIN), 5)
+
+
 @query(f"WITH {DENSE_SQL} SELECT dyad, person, feature AS dimension, bin, round(value, 6) AS value, 'every' AS method FROM dense")
 def every_dimension(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(results.dimensions(fx.dense(spark, sf), "every", ["dyad", "person"]))

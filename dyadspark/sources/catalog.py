@@ -17,11 +17,40 @@ PREFIXES = {
 }
 
 
+def longest_prefix(names: DataFrame, name: str, catalog: DataFrame) -> DataFrame:
+    """names with the columns of the catalogue's row (prefix, ...) whose prefix is the longest that a name starts with; null without one.
+
+    Each different name is cut at the lengths that the catalogue has, and the cuts meet the prefixes by equality: no comparison
+    of every name with every prefix. Of equal prefixes the least row counts.
+    """
+    rows = catalog.groupBy("prefix").agg(F.min(F.struct(*[c for c in catalog.columns if c != "prefix"])).alias("__row"))
+    lengths = F.broadcast(rows.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("__lengths")).withColumn("__one", F.lit(1)))  # one row
+    own = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("__one", F.lit(1)).join(lengths, "__one").drop("__one")
+    cuts = own.withColumn("__n", F.explode(F.filter("__lengths", lambda n: n <= F.length(name)))).withColumn("prefix", F.substring(F.col(name), F.lit(1), F.col("__n")))
+    found = cuts.join(rows, "prefix").groupBy(name).agg(F.max_by(F.struct("prefix", "__row.*"), "__n").alias("__found"))
+    return names.join(found.select(name, "__found.*"), name, "left")
+
+
 def by_model(features: DataFrame) -> DataFrame:
-    """features (feature, ...) with their model; the longest prefix wins, else Other. One equality join on the name's head."""
+    """features (feature, ...) with their model; the longest prefix wins, else Other."""
     catalog = features.sparkSession.createDataFrame([(k, v) for k, v in PREFIXES.items()], "prefix string, model string")
-    head = F.regexp_extract("feature", r"^([A-Za-z0-9]+_)", 1)
-    return features.withColumn("prefix", head).join(F.broadcast(catalog), "prefix", "left").withColumn("model", F.coalesce("model", F.lit("Other"))).drop("prefix")  # one row an extractor
+    return longest_prefix(features, "feature", catalog).withColumn("model", F.coalesce("model", F.lit("Other"))).drop("prefix")
+
+
+def by_pattern(names: DataFrame, name: str, patterns: list[str], order: str) -> DataFrame:
+    """Each different name that matches one of the globs, in the order of its first appearance: name, position, pattern (the first
+    that matches). Raises ValueError where nothing does."""
+    import fnmatch
+
+    pattern = None
+    for p in patterns:
+        hit = F.col(name).rlike("^" + fnmatch.translate(p).replace("(?s:", "(?:").replace("\\z", "\\Z").replace("\\Z", "$"))
+        pattern = F.when(hit, p) if pattern is None else pattern.when(hit, p)
+    first = names.groupBy(name).agg(F.min(order).alias("__at")).withColumn("pattern", pattern).where("pattern IS NOT NULL")
+    if first.isEmpty():
+        raise ValueError(f"no name matches any of {patterns}")
+    # names are few by nature: columns of recordings
+    return first.withColumn("position", F.row_number().over(Window.orderBy("__at", name)) - 1).drop("__at")
 
 
 Step = Callable[[DataFrame], DataFrame]

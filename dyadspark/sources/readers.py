@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names of time columns in order of preference, and those that may hold milliseconds.
@@ -31,8 +34,14 @@ def resolved_time(df: DataFrame, entity: list[str], always_ms: bool = False) ->
     for c in MS_COLUMNS:
         if c in df.columns:
             t = F.col(c).cast("double")
-            ms = F.lit(True) if always_ms else F.max(t).over(Window.partitionBy(*(entity or [F.lit(0)]))) > 1000
-            return df.withColumn("time_seconds", F.when(ms, t / 1000).otherwise(t)).drop(c)
+            if always_ms:
+                return df.withColumn("time_seconds", t / 1000).drop(c)
+            # one row an entity; null-safe, for rows without an entity have a greatest time as well
+            keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(entity)] or [F.lit(0).alias("__k0")]
+            ms = df.groupBy(*keys).agg((F.max(t) > 1000).alias("__ms"))
+            same = reduce(and_, [(F.col(k) if entity else F.lit(0)).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(entity or [""])])
+            out = df.join(ms if entity else F.broadcast(ms), same, "left")  # without an entity: a single row
+            return out.withColumn("time_seconds", F.when(F.col("__ms"), t / 1000).otherwise(t)).drop(c, "__ms", *[f"__k{i}" for i in range(len(keys))])
     raise ValueError(f"no time column among {df.columns}")
 
 
