@@ -12,6 +12,8 @@ from dyadspark.sources import catalog, readers, recordings, writers
 from dyadspark.sources import fixtures as fx
 from dyadspark.sources.fixtures import EVENTS_SQL
 from dyadspark.sources.shared import run_folder
+from dyadspark.streaming.segments import live_runs as _live_runs
+from dyadspark.streaming.segments import state_store
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT 'sub' || subject AS recording, event_id, feature, round(value, 6) AS value, CAST(count(*) OVER w AS VARCHAR) AS n_rows, CAST(round(max(value) OVER w, 1) AS VARCHAR) AS highest FROM ev WINDOW w AS (PARTITION BY subject)""")
@@ -169,3 +171,25 @@ def ranked_by_variance(spark: SparkSession, sf: str) -> DataFrame:
 
     d = describe.descriptives(fx.events(spark, sf), ["subject"]).withColumn("variance", F.round("variance", 6))
     return d.select("subject", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("variance"), "feature")).alias("rank"), "feature", "variance")
+
+
+@query("""WITH e AS (SELECT user_id, event_type AS state, epoch_ms(ts) AS t FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+c AS (SELECT *, CASE WHEN state = lag(state) OVER w AND t - lag(t) OVER w <= 86400000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, state)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, state ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT user_id, state, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n FROM r GROUP BY user_id, state, run""")
+def live_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of one kind of event by user, with a day's silence as an end, from a stream to its end.
+
+    A row of no user, years later, moves the watermark past all others; it waits alone when the stream ends.
+    """
+    out, path = run_folder(spark, "runs"), f"{sf}/events.parquet"
+    e = fx.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts", F.lit("end").alias("event_type"))
+    last.write.parquet(f"{out}/end")
+    read = lambda schema, p: spark.readStream.schema(schema).parquet(f"{p[:-1]}[{p[-1]}]")  # noqa: E731  a pattern, for one file as for a folder
+    stream = read(fx.table(spark, sf, "events").schema, path).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").unionAll(read(last.schema, f"{out}/end"))
+    with state_store(spark):
+        runs = _live_runs(stream, ["user_id"], "ts", "event_type", 86_400.0)
+        runs.writeStream.format("parquet").option("path", f"{out}/runs").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(runs.schema).parquet(f"{out}/runs").where("user_id >= 0")
+    return got.select("user_id", "state", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
