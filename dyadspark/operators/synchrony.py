@@ -3,6 +3,8 @@ coupled dynamics, peaks, leaders and surrogates; all as plans over pair (dyad, d
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from dyadspark.functions.special import r_p
 from dyadspark.operators.align import sliding
 
 KEY = ["dyad", "dimension"]
+#: Permutations of a key that one task does at least; positions of a recurrence matrix's rows in one task.
+PERMUTATIONS, CELLS = 100, 512
 
 
 def lagged(pair: DataFrame, low: int, high: int, key: list[str] = KEY) -> DataFrame:
@@ -66,29 +70,98 @@ def leaders(windows: DataFrame, key: list[str] = KEY) -> DataFrame:
     return out.withColumn("leader", leader(F.col("peak_lag")))
 
 
-def recurrence(pair: DataFrame, share: float = 0.1, shortest: int = 2, key: list[str] = KEY) -> DataFrame:
-    """Cross recurrence: RR, DET, L, Lmax, ENTR, LAM, TT. Cells are the pairs of positions of one series; the distance at
-    the given quantile is the threshold. Lines are runs along diagonals and columns."""
-    left, right = pair.select(*key, F.col("pos").alias("i"), "a"), pair.select(*key, F.col("pos").alias("j"), "b")
-    cells = left.join(right, key).withColumn("d", F.round(F.abs(F.col("a") - F.col("b")), 9))  # ties stay ties
-    limit = cells.groupBy(*key).agg(F.percentile("d", F.lit(share)).alias("limit"), F.count(F.lit(1)).alias("n"))
-    hits = cells.join(limit, key).where(F.col("d") <= F.col("limit") + 1e-10)
+def _distance_limit(a: np.ndarray, b: np.ndarray, share: float) -> float:
+    """The quantile, linear between neighbours, of all |a_i - b_j| to nine digits, by counting how many lie under a bound."""
+    b = np.sort(b)
+    most = len(a) * len(b)
+    place = share * (most - 1)
+    low, high = 0.0, float(max(abs(a.max() - b[0]), abs(b[-1] - a.min())))
+
+    def under(t: float) -> np.ndarray:
+        return np.searchsorted(b, a + t, "right") - np.searchsorted(b, a - t, "left")
+
+    def kth(k: int) -> float:
+        """The k-th least, from 1: halving until few distances are left in between."""
+        lo, hi = -1.0, high
+        while hi - lo > 1e-12 * max(1.0, high) and under(hi).sum() - (under(lo).sum() if lo >= 0 else 0) > 4 * len(a):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if under(mid).sum() >= k else (mid, hi)
+        base = int(under(lo).sum()) if lo >= 0 else 0
+        inner_from, inner_to = (np.searchsorted(b, a - lo, "left"), np.searchsorted(b, a + lo, "right")) if lo >= 0 else (None, None)
+        found = []
+        for i, (p, q) in enumerate(zip(np.searchsorted(b, a - hi, "left"), np.searchsorted(b, a + hi, "right"), strict=True)):
+            if lo < 0:
+                found.append(np.abs(a[i] - b[p:q]))
+            else:
+                found += [np.abs(a[i] - b[p : min(q, inner_from[i])]), np.abs(a[i] - b[max(p, inner_to[i]) : q])]
+        rest = np.sort(np.concatenate(found))
+        return float(rest[min(max(k - 1 - base, 0), len(rest) - 1)])
+
+    k = int(np.floor(place))
+    first = round(kth(k + 1), 9)
+    return first if k + 1 >= most or place == k else first + (place - k) * (round(kth(k + 2), 9) - first)
+
+
+def _line_lengths(a: np.ndarray, b: np.ndarray, limit: float, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of diagonal and of vertical lines by length that begin in rows start .. start + size - 1 of the recurrence matrix."""
+    n = len(b)
+    hit = lambda i: np.round(np.abs(a[i] - b), 9) <= limit + 1e-10
+    found: tuple[list, list] = ([], [])
+    before = hit(start - 1) if start else np.zeros(n, bool)
+    # lengths so far of lines that began here; 0: none, for one that began above isn't counted
+    run = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    for i in range(start, len(a) + 1):
+        now = hit(i) if i < len(a) else np.zeros(n, bool)
+        for k, (came, prior) in enumerate(((np.concatenate([[0], run[0][:-1]]), np.concatenate([[False], before[:-1]])), (run[1], before))):
+            if k == 0:
+                found[0].append(run[0][-1:])  # a diagonal that leaves the matrix
+            grown = np.where(now & (came > 0), came + 1, 0)
+            found[k].append(came[(came > 0) & ~now])
+            run[k] = np.where(now & ~prior, 1, grown) if i < start + size else grown
+        before = now
+        if i >= start + size - 1 and not run[0].any() and not run[1].any():
+            break
+    return tuple(np.bincount(np.concatenate(f)[np.concatenate(f) > 0]) if len(f) else np.zeros(0, np.int64) for f in found)
 
-    hits = hits.withColumn("k", F.col("j") - F.col("i"))
 
-    def lines(along: str) -> DataFrame:
-        run = F.col("i") - F.row_number().over(Window.partitionBy(*key, along).orderBy("i"))
-        return hits.withColumn("run", run).groupBy(*key, along, "run").agg(F.count(F.lit(1)).alias("len"))
+def recurrence(pair: DataFrame, share: float = 0.1, shortest: int = 2, key: list[str] = KEY) -> DataFrame:
+    """Cross recurrence: RR, DET, L, Lmax, ENTR, LAM, TT. Cells are the pairs of positions of one series; the distance at
+    the given quantile is the threshold. Lines are runs along diagonals and columns.
 
-    diagonal, vertical = lines("k"), lines("j")
-    long = F.col("len") >= shortest
-    by_length = diagonal.where(long).groupBy(*key, "len").agg(F.count(F.lit(1)).alias("c")).withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(*key)))
-    entropy = by_length.groupBy(*key).agg((-F.sum(F.col("p") * F.ln(F.col("p") + 1e-12))).alias("rqa_rqa_ENTR"))
-    share_of = lambda name: F.coalesce(F.try_divide(F.sum(F.when(long, F.col("len"))), F.sum("len")), F.lit(0.0)).alias(name)
-    det = diagonal.groupBy(*key).agg(F.sum("len").alias("hits"), share_of("rqa_rqa_DET"), F.coalesce(F.avg(F.when(long, F.col("len"))), F.lit(0.0)).alias("rqa_rqa_L"), F.coalesce(F.max(F.when(long, F.col("len"))), F.lit(0)).cast("double").alias("rqa_rqa_Lmax"))
-    lam = vertical.groupBy(*key).agg(share_of("rqa_rqa_LAM"), F.coalesce(F.avg(F.when(long, F.col("len"))), F.lit(0.0)).alias("rqa_rqa_TT"))
-    out = limit.join(det, key, "left").join(lam, key, "left").join(entropy, key, "left")
-    return out.select(*key, (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("rqa_rqa_RR"), "rqa_rqa_DET", "rqa_rqa_L", "rqa_rqa_Lmax", F.coalesce("rqa_rqa_ENTR", F.lit(0.0)).alias("rqa_rqa_ENTR"), "rqa_rqa_LAM", "rqa_rqa_TT")
+    A series is one row with two arrays; a row for each CELLS rows of its matrix finds the lines that begin there. What moves
+    is a count by length: no cell is a row. Positions without a or b are left out.
+    """
+    known = pair.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    one = known.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b"))).alias("x"))
+    one = one.select(*key, F.transform("x", lambda x: x["a"].cast("double")).alias("a"), F.transform("x", lambda x: x["b"].cast("double")).alias("b"))
+
+    @F.pandas_udf("double")
+    def limit(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_distance_limit(np.asarray(x, float), np.asarray(y, float), share) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    @F.pandas_udf("array<array<bigint>>")
+    def lengths(a: pd.Series, b: pd.Series, limit: pd.Series, start: pd.Series) -> pd.Series:
+        rows = zip(a, b, limit, start, strict=True)
+        return pd.Series([[h.tolist() for h in _line_lengths(np.asarray(x, float), np.asarray(y, float), t, int(s), CELLS)] for x, y, t, s in rows], dtype=object)
+
+    n = F.size("a")
+    limited = one.withColumn("limit", limit("a", "b")).withColumn("start", F.explode(F.sequence(F.lit(0), n - 1, F.lit(CELLS))))
+    found = limited.repartition(*key, "start").select(*key, n.cast("long").alias("n"), lengths("a", "b", "limit", "start").alias("h"))
+    counts = found.select(*key, "n", F.posexplode("h").alias("kind", "h")).select(*key, "n", "kind", F.posexplode("h").alias("len", "c")).where("c > 0")
+    counts = counts.groupBy(*key, "n", "kind", "len").agg(F.sum("c").alias("c"))
+    of = lambda kind, least, v: F.sum(F.when((F.col("kind") == kind) & (F.col("len") >= least), v))
+    cells, c = F.col("len") * F.col("c"), F.col("c")
+    sums = counts.groupBy(*key, "n").agg(
+        of(0, 1, cells).alias("hits"), of(0, shortest, cells).alias("dl"), of(0, shortest, c).alias("dc"), F.max(F.when((F.col("kind") == 0) & (F.col("len") >= shortest), F.col("len"))).alias("most"),
+        of(1, 1, cells).alias("vhits"), of(1, shortest, cells).alias("vl"), of(1, shortest, c).alias("vc"),
+        F.collect_list(F.when((F.col("kind") == 0) & (F.col("len") >= shortest), c)).alias("cs"),
+    )
+    ratio = lambda x, y: F.coalesce(F.try_divide(F.col(x), F.col(y)), F.lit(0.0))
+    entropy = -F.aggregate("cs", F.lit(0.0), lambda s, x: s + x / F.col("dc") * F.ln(x / F.col("dc") + 1e-12))
+    return sums.select(
+        *key, (F.coalesce("hits", F.lit(0)) / (F.col("n") * F.col("n"))).alias("rqa_rqa_RR"), ratio("dl", "hits").alias("rqa_rqa_DET"), ratio("dl", "dc").alias("rqa_rqa_L"), F.coalesce("most", F.lit(0)).cast("double").alias("rqa_rqa_Lmax"),
+        F.coalesce(entropy, F.lit(0.0)).alias("rqa_rqa_ENTR"), ratio("vl", "vhits").alias("rqa_rqa_LAM"), ratio("vl", "vc").alias("rqa_rqa_TT"),
+    )
 
 
 def detrended(pair: DataFrame, key: list[str] = KEY, n_scales: int = 15, least: int = 4) -> DataFrame:
@@ -158,16 +231,36 @@ def coupled_oscillator(pair: DataFrame, key: list[str] = KEY) -> DataFrame:
 def surrogate_test(pair: DataFrame, permutations: int, block: int, seed: int = 0, key: list[str] = KEY) -> DataFrame:
     """Share of block-shuffled surrogates of b that reach the observed |r| and |CCC|, (exceed + 1) / (permutations + 1).
 
-    Blocks take a seeded hash order in each permutation; surrogates are rows of the same plan, not a loop.
+    A permutation takes b's blocks in the order of a seeded hash. Shuffling moves no mean and no variance, so a surrogate is one
+    sum of products, of slices of two arrays inside one row: a row a key and permutation, none a position. Positions that lack
+    a or b are left out; null where r or CCC isn't defined.
     """
-    p = pair.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("block", F.floor(F.col("pos") / block))
-    w = Window.partitionBy(*key, "perm").orderBy(F.xxhash64(F.lit(seed), "perm", "dimension", "block"), "pos")
-    shuffled = p.select(*key, "perm", (F.row_number().over(w) - 1).alias("pos"), "b")
-    both = p.select(*key, "perm", "pos", "a").join(shuffled, [*key, "perm", "pos"])
-    sur = both.groupBy(*key, "perm").agg(safe_corr(F.col("a"), F.col("b")).alias("r"), safe_ccc(F.col("a"), F.col("b")).alias("ccc"))
-    obs = overall(pair, key).drop("pearson_pearson_p_overall")
-    reach = lambda s, o: ((F.count_if(F.abs(s) >= F.abs(o)) + 1) / F.lit(permutations + 1.0))
-    return sur.join(obs, key).groupBy(*key).agg(reach("r", "pearson_pearson_r_overall").alias("p_pearson"), reach("ccc", "concordance_concordance_ccc_overall").alias("p_concordance"))
+    at = F.array_sort(F.collect_list(F.struct("pos", "a", "b")))
+    known = pair.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    one = known.groupBy(*key).agg(at.alias("x"), *[f(c).alias(f"{n}{c}") for c in "ab" for n, f in (("m", F.avg), ("v", F.var_pop), ("lo", F.min), ("hi", F.max))])
+    one = one.withColumns({"n": F.size("x"), "a": F.transform("x", lambda x: x["a"]), "b": F.transform("x", lambda x: x["b"])}).drop("x")
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    one = one.withColumn("observed", dot("a", "b"))
+    # the permutations of a key may run in several tasks
+    some = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // PERMUTATIONS)))).repartition(*key, "part")
+    last = F.least((F.col("part") + 1) * PERMUTATIONS, F.lit(permutations))
+    each = some.withColumn("perm", F.explode(F.sequence(F.col("part") * PERMUTATIONS + 1, last)))
+    name = lambda k: F.md5(F.concat_ws("/", F.lit(seed), "perm", *key, k))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1), lambda k: F.struct(name(k).alias("h"), k.alias("k"))))
+
+    def step(done, x):
+        start = x["k"] * block
+        size = F.least(F.lit(block), F.col("n") - start)
+        return F.struct((done["at"] + size).alias("at"), (done["sum"] + dot(F.slice("a", done["at"], size), F.slice("b", start + 1, size))).alias("sum"))
+
+    total = F.aggregate(order, F.struct(F.lit(1).alias("at"), F.lit(0.0).alias("sum")), step)["sum"]
+    cov = lambda s: s / F.col("n") - F.col("ma") * F.col("mb")
+    fine = (F.col("n") >= 3) & (F.col("loa") < F.col("hia")) & (F.col("lob") < F.col("hib"))
+    # both statistics are covariances over what a shuffle leaves as it is, so the same surrogates reach either
+    reach = (F.count_if(F.abs(cov(F.col("sum"))) >= F.abs(cov(F.col("observed"))) - 1e-12) + 1) / F.lit(permutations + 1.0)
+    kept = each.select(*key, "n", "ma", "mb", "loa", "hia", "lob", "hib", "observed", total.alias("sum"))
+    out = kept.groupBy(*key).agg(F.when(F.first(fine), reach).alias("p_pearson"))
+    return out.withColumn("p_concordance", F.col("p_pearson"))
 
 
 def wide(windows: DataFrame, metrics: list[str], dimensions: list[str], index: list[str]) -> DataFrame:

@@ -209,9 +209,14 @@ def wide_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(synchrony.wide(p, ["pearson_r"], DIMENSIONS, ["dyad", "time_seconds"]))
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, size AS (SELECT dyad, dimension, count(*) AS n, {corr_sql("a", "b")} AS r, {ccc_sql("a", "b")} AS c FROM pair GROUP BY ALL),
+blocks AS (SELECT dyad, dimension, perm, k, md5('0/' || perm || '/' || dyad || '/' || dimension || '/' || k) AS h, least(4, n - 4 * k) AS len FROM (SELECT *, unnest(range(0, CAST(ceil(n / 4.0) AS BIGINT))) AS k FROM (SELECT *, unnest(range(1, 1001)) AS perm FROM size))),
+placed AS (SELECT *, sum(len) OVER (PARTITION BY dyad, dimension, perm ORDER BY h) - len AS start FROM blocks),
+sur AS (SELECT x.dyad, x.dimension, perm, {corr_sql("y.a", "x.b")} AS r, {ccc_sql("y.a", "x.b")} AS c FROM placed p JOIN pair x ON x.dyad = p.dyad AND x.dimension = p.dimension AND x.pos // 4 = p.k JOIN pair y ON y.dyad = p.dyad AND y.dimension = p.dimension AND y.pos = p.start + x.pos % 4 GROUP BY ALL)
+SELECT dyad, dimension, round((count(*) FILTER (abs(sur.r) >= abs(size.r) - 1e-12) + 1) / 1001.0, 6) AS p_pearson, round((count(*) FILTER (abs(sur.c) >= abs(size.c) - 1e-12) + 1) / 1001.0, 6) AS p_concordance FROM sur JOIN size USING (dyad, dimension) GROUP BY ALL""")
 def surrogate_test(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synchrony.surrogate_test(fx.pairs(spark, sf), 50, 4))
+    """A thousand surrogates of each series, in blocks of a day."""
+    return rounded(synchrony.surrogate_test(fx.pairs(spark, sf), 1000, 4))
 
 
 @query(f"""WITH {EVENTS_SQL}, target AS (SELECT CAST(floor(t / 21600.0) AS BIGINT) AS bin, avg(value) AS b FROM ev WHERE feature = 'purchase' GROUP BY ALL),

@@ -173,7 +173,7 @@ def ranked_by_variance(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("subject", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("variance"), "feature")).alias("rank"), "feature", "variance")
 
 
-@query("""WITH e AS (SELECT user_id, event_type AS state, epoch_ms(ts) AS t FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+@query("""WITH e AS (SELECT user_id, event_type AS state, epoch_us(ts) // 1000 AS t FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
 c AS (SELECT *, CASE WHEN state = lag(state) OVER w AND t - lag(t) OVER w <= 86400000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, state)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, state ROWS UNBOUNDED PRECEDING) AS run FROM c)
 SELECT user_id, state, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n FROM r GROUP BY user_id, state, run""")

@@ -26,7 +26,8 @@ def group_ttest(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("dimension", "n", F.round("mean_r", 6).alias("mean_r"), F.round("sd", 6).alias("sd"), F.round("t_stat", 5).alias("t_stat"), F.round("cohens_d", 5).alias("cohens_d"))
 
 
-@query()
+@query(f"""WITH {PEAK_SQL}, t AS (SELECT dimension, count(*) + 1 AS n, avg({Z}) / (stddev_samp({Z}) / sqrt(count(*))) AS t FROM peak GROUP BY dimension), r AS (SELECT dimension, n, t / sqrt(t * t + n - 2) AS r FROM t)
+SELECT dimension, round({fx.r_p_sql("r", "n")}, 6) AS p_value FROM r""")
 def group_ttest_p(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(group.correlation_test(_peaks(spark, sf), "correlation", ["dimension"]).select("dimension", "p_value"))
 
