@@ -130,6 +130,36 @@ def interpolated(points: DataFrame, grid: DataFrame, within: list[str], x: str,
     return out.select(*within, F.col("__x").alias(x), value.alias(y))
 
 
+def audio_at_frames(values: Column, n_frames: Column, fps: Column, hop: int = 512, rate: int = 16000) -> Column:
+    """An array of one value an audio hop at the times of video frames, linear in between; beyond its ends the end values hold.
+
+    The place of a frame in the array follows from its number, so nothing is joined. Null under two values.
+    """
+    last = F.size(values) - 1
+
+    def at(k: Column) -> Column:
+        x = F.least(k / fps * F.lit(rate / hop), last.cast("double"))
+        i = F.least(F.floor(x).cast("int"), last - 1)
+        left, right = F.element_at(values, i + 1), F.element_at(values, i + 2)
+        return left + (right - left) * (x - i)
+
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), n_frames.cast("int") - 1), at))
+
+
+def frame_tracks(samples: DataFrame, recordings: DataFrame, within: list[str], frame: str, value: str, n_frames: str) -> DataFrame:
+    """within, frame_idx, value for each frame of recordings (within, n_frames): as many samples as frames are taken as they come;
+    others, two at least, are interpolated at the frame numbers, the end values holding beyond. Recordings with one sample have no rows.
+    """
+    counts = samples.groupBy(*within).agg(F.count(F.lit(1)).alias("__n")).join(recordings.select(*within, n_frames), within)
+    whole = samples.join(counts.where(F.col("__n") == F.col(n_frames)).select(*within), within, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(frame)) - 1
+    taken = whole.select(*within, place.cast("double").alias("frame_idx"), F.col(value).cast("double").alias("value"))
+    sparse = counts.where((F.col("__n") != F.col(n_frames)) & (F.col("__n") >= 2))
+    grid = sparse.select(*within, F.explode(F.transform(F.sequence(F.lit(0), F.col(n_frames).cast("int") - 1), lambda k: k.cast("double"))).alias("frame_idx"))
+    some = samples.join(sparse.select(*within), within, "left_semi").select(*within, F.col(frame).cast("double").alias("frame_idx"), F.col(value).cast("double").alias("value"))
+    return taken.unionByName(interpolated(some, grid, within, "frame_idx", "value")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+
+
 def frame_grid(recordings: DataFrame, within: list[str], n_frames: str, fps: str) -> DataFrame:
     """frame_idx 0 to n - 1 and time_seconds of each recording."""
     return recordings.select(*within, fps, F.explode(F.sequence(F.lit(0), F.col(n_frames) - 1)).alias("frame_idx")).select(*within, "frame_idx", (F.col("frame_idx") / F.col(fps)).alias("time_seconds"))

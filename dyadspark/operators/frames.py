@@ -156,6 +156,26 @@ def motion_norms(tracks: DataFrame, within: list[str], order: str, axes: list[st
     return out.withColumn("smoothness", F.exp(-F.coalesce("acceleration", F.lit(0.0)))).withColumn("stability", 1 / (1 + F.coalesce("velocity", F.lit(0.0))))
 
 
+def pose_quality(joints: DataFrame, within: list[str], frame: str, joint: str, x: str, y: str, score: str, active: float) -> DataFrame:
+    """Of joints by frame: share of frames with any score above 0, mean score, mean number of joints at or over `active`, and the
+    mean over joints and axes of the variance (population) over frames."""
+    by_frame = joints.groupBy(*within, frame).agg((F.max(score) > 0).cast("double").alias("valid"), F.count_if(F.col(score) >= active).alias("active"))
+    by_joint = joints.groupBy(*within, joint).agg(((F.var_pop(x) + F.var_pop(y)) / 2).alias("v"), F.sum(score).alias("s"), F.count(score).alias("n"))
+    a = by_frame.groupBy(*within).agg(F.avg("valid").alias("valid_ratio"), F.avg("active").alias("active_joints"))
+    b = by_joint.groupBy(*within).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("joint_confidence"), F.avg("v").alias("keypoint_variance"))
+    return a.join(b, within)
+
+
+def coherence_scores(velocity_before: Column, velocity_after: Column) -> list[Column]:
+    """Scores of speeds before and after smoothing: exp(-after), 1 / (1 + before), and 1 / (1 + their difference)."""
+    return [F.exp(-velocity_after).alias("pose_stability"), (1 / (1 + F.greatest(velocity_before, F.lit(1e-6)))).alias("motion_coherence"), (1 / (1 + F.abs(velocity_before - velocity_after))).alias("temporal_consistency")]
+
+
+def heat_density(maps: DataFrame, within: list[str], image: str, heat: str) -> DataFrame:
+    """The mean over heat maps of their mean; each map counts alike, whatever its size."""
+    return maps.groupBy(*within, image).agg(F.avg(heat).alias("m")).groupBy(*within).agg(F.avg("m").alias("heatmap_density"))
+
+
 def predicted_errors(tracks: DataFrame, within: list[str], step: str, x: str, y: str, observed: int, scales: list[float], miss: float) -> DataFrame:
     """Constant-velocity prediction from the last observed step: average and final displacement and miss, best of the scales."""
     w = Window.partitionBy(*within).orderBy(step)

@@ -139,6 +139,18 @@ def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "feature", "left_anti").select("feature")
 
 
+def ordered(df: DataFrame, by: list[str], within: list[str] | None = None, top: int | None = None) -> DataFrame:
+    """df with rank from 1 in the order of `by` (falling where a name begins with '-'), within groups; the first `top` only, if
+    asked. Nulls come last. Names that tell rows apart belong at the end of `by`."""
+    order = [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in by]
+    if within:
+        out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+        return out if top is None else out.where(F.col("rank") <= top)
+    # a list for readers: without a top it is one table in one order, made for few rows
+    out = df if top is None else df.orderBy(*order).limit(top)
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def method_means(peaks: DataFrame, r: str, entity: list[str]) -> tuple[DataFrame, DataFrame]:
     """Mean absolute r by entity and method, and over entities mean, sd and median by method."""
     per = peaks.groupBy(*entity, "method").agg(F.avg(F.abs(r)).alias("mean_abs_r"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dyadspark.operators import describe, kernels
+from dyadspark.operators import align, describe, kernels
 
 
 def stacked(tables: dict[str, DataFrame], name: str = "source") -> DataFrame:
@@ -63,6 +63,32 @@ def dimensions(series: DataFrame, method: str, within: list[str], index: str = "
     return out.withColumn("method", F.lit(method))
 
 
+def targets(series: DataFrame, method: str, within: list[str], index: str = "bin", k: int = 3, rois: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
+    """(within, target, index, value): the channels of a target as they are (none), means of regions (roi-average), or its
+    components, named T_ and the component; cca gives the target's side against features of the same index."""
+    cols = [*within, "target", index, "value"]
+    if method == "none":
+        return series.withColumnRenamed("feature", "target").select(*cols)
+    if method == "roi-average":
+        if rois is None:
+            raise ValueError("regions are needed")
+        return describe.roi_means(series, rois, within, index).withColumnRenamed("roi", "target").select(*cols)
+    if method == "cca":
+        if features is None:
+            raise ValueError("features are needed")
+        at = [*within, index]
+        common = features.select(*at).distinct().join(series.select(*at).distinct(), at)
+        x, y = (s.select(*at, "feature", "value").join(common, at, "left_semi") for s in (features, series))
+        loaded = kernels.cca(x.withColumn("person", F.lit("A")).unionByName(y.withColumn("person", F.lit("B"))), k, within, index=index)
+        weights = loaded.where("member = 'B'").select(*within, "component", "feature", "loading")
+        z = align.z_scored(y, ["value"], [*within, "feature"]).join(weights, [*within, "feature"])
+        scores = z.groupBy(*within, "component", index).agg(F.sum(F.col("value") * F.col("loading")).alias("value"))
+        return scores.withColumn("target", F.concat(F.lit("T_"), F.col("component"))).select(*cols)
+    if method in kernels.REDUCTIONS:
+        return kernels.reduced(series, method, k, within, index).withColumn("target", F.concat(F.lit("T_"), F.col("component"))).select(*cols)
+    raise ValueError(f"unknown method {method}")
+
+
 def flattened(df: DataFrame, sep: str = "_") -> DataFrame:
     """Structs, at any depth, as columns named by their path."""
 

@@ -221,6 +221,26 @@ def agreement(rows: DataFrame, within: list[str], score: str, truth: str, thresh
     return x.select(*within, "tp", "fp", "fn", "tn", F.when(one_class, F.col("__mean")).otherwise((d["tp"] + d["tn"]) / n).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), mcc.alias("mcc"))
 
 
+def label_matches(rows: DataFrame, within: list[str], predicted: str, target: str, score: str, place: str) -> DataFrame:
+    """n, matched and mismatched: the share of predictions that equal their target, over pairs at even and at odd places; the
+    mean score where none of a kind does, null where there are none of a kind."""
+
+    def share(odd: int) -> Column:
+        own = F.col(place) % 2 == odd
+        hit = F.when(own, (F.col(predicted) == F.col(target)).cast("double"))
+        return F.when(F.max(hit) > 0, F.avg(hit)).otherwise(F.avg(F.when(own, F.col(score))))
+
+    return rows.groupBy(*within).agg(F.count(F.lit(1)).alias("n"), share(0).alias("matched"), share(1).alias("mismatched"))
+
+
+def questions_and_statements(sentences: Column) -> tuple[Column, Column]:
+    """The sentences that end in a question mark and the others; the first of all stands where there are none of a kind."""
+    asks = lambda s: F.endswith(s, F.lit("?"))
+    first = F.slice(sentences, 1, 1)
+    some = lambda x: F.when(F.size(x) > 0, x).otherwise(first)
+    return some(F.filter(sentences, asks)), some(F.filter(sentences, lambda s: ~asks(s)))
+
+
 def ranked_passages(scored: DataFrame, within: list[str], score: str, tie: str, top: int = 10) -> DataFrame:
     k = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score), tie))
     return scored.withColumn("rank", k).where(F.col("rank") <= top)

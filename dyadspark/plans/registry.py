@@ -28,4 +28,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def load() -> None:
-    from dyadspark.plans import blocks, catalog, dialogue, dyads, files, fits, frames, groups, jobs, recordings, results, segments  # noqa: F401
+    from dyadspark.plans import blocks, catalog, dialogue, dyads, files, fits, frames, groups, jobs, lists, recordings, results, segments  # noqa: F401

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dyadspark.operators import crossed, describe, exact, frames, framing, group, nested, pairwise
+from dyadspark.operators import align, crossed, describe, exact, frames, framing, group, nested, pairwise, results, synchrony, text
 from dyadspark.sources import catalog, readers, recordings
 
 
@@ -200,3 +200,73 @@ def test_split_and_edges(spark):
     ramp = spark.createDataFrame([("r", y, x, float(x)) for y in range(4) for x in range(5)] + [("one", 0, 0, 9.0)], "rec string, y int, x int, d double")
     got = {r.rec: r.depth_discontinuity_score for r in frames.edge_score(ramp, ["rec"], "y", "x", "d").collect()}
     assert got == {"r": pytest.approx(8 * 3 / 5 / 50), "one": 0.0}  # a mirrored border has no slope
+
+
+def test_frames_of_a_video(spark):
+    df = spark.createDataFrame([("a", [1.0, 3.0, 2.0]), ("b", [4.0])], "rec string, v array<double>")
+    got = {r.rec: r.x for r in df.select("rec", align.audio_at_frames(F.col("v"), F.lit(4), F.lit(10.0), 800, 16000).alias("x")).collect()}
+    assert got == {"a": pytest.approx([1.0, 2.0, 2.0, 2.0]), "b": None}  # hops at 0, 0.05, 0.1 seconds: frame 1 stands at the last
+    s = spark.createDataFrame([("same", 5, 1.0), ("same", 9, 2.0), ("few", 0, 0.0), ("few", 4, 8.0), ("one", 0, 1.0)], "rec string, f int, v double")
+    r = spark.createDataFrame([("same", 2), ("few", 6), ("one", 3)], "rec string, n int")
+    got = sorted((r.rec, r.frame_idx, r.value) for r in align.frame_tracks(s, r, ["rec"], "f", "v", "n").collect())
+    assert got == [("few", k, min(2.0 * k, 8.0)) for k in range(6)] + [("same", 0, 1.0), ("same", 1, 2.0)]
+
+
+def test_labels_and_questions(spark):
+    rows = [("g", "a", "a", 0.9, 0), ("g", "a", "b", 0.7, 2), ("g", "a", "b", 0.6, 1), ("h", "a", "a", 0.5, 0)]
+    got = {r.g: (r.n, r.matched, r.mismatched) for r in text.label_matches(spark.createDataFrame(rows, "g string, p string, t string, s double, i int"), ["g"], "p", "t", "s", "i").collect()}
+    assert got == {"g": (3, 0.5, 0.6), "h": (1, 1.0, None)}
+    s = spark.createDataFrame([(0, ["A?", "B."]), (1, ["B.", "C."]), (2, ["A?"]), (3, [])], "i int, s array<string>")
+    got = {r.i: (r.q, r.a) for r in s.select("i", *[c.alias(n) for c, n in zip(text.questions_and_statements(F.col("s")), "qa", strict=True)]).collect()}
+    assert got == {0: (["A?"], ["B."]), 1: (["B."], ["B.", "C."]), 2: (["A?"], ["A?"]), 3: ([], [])}
+
+
+def test_lists_in_order(spark):
+    df = spark.createDataFrame([("x", 1, None), ("x", 2, 5.0), ("y", 3, 7.0), ("x", 4, 5.0)], "g string, i int, v double")
+    assert [(r.i, r["rank"]) for r in group.ordered(df, ["-v", "i"]).orderBy("rank").collect()] == [(3, 1), (2, 2), (4, 3), (1, 4)]
+    assert {(r.g, r.i) for r in group.ordered(df, ["-v", "i"], ["g"], 1).collect()} == {("x", 2), ("y", 3)}
+    assert [r.i for r in group.ordered(df, ["v", "-i"], top=2).orderBy("rank").collect()] == [4, 2]
+
+
+def test_canonical_targets(spark):
+    """T_CCA1 is the mix of targets that goes best with the features; here one mix of each is the same."""
+    rng = np.random.default_rng(1)
+    z, noise = rng.normal(0, 1, 80), rng.normal(0, 1, (80, 3))
+    long = lambda m: [("s", n, b, float(v)) for b in range(80) for n, v in m(b).items()]
+    f = spark.createDataFrame(long(lambda b: {"f1": z[b] + noise[b, 0], "f2": noise[b, 0]}), "e string, feature string, bin long, value double")
+    t = spark.createDataFrame(long(lambda b: {"t1": 3 * z[b] - noise[b, 1], "t2": noise[b, 1], "t3": noise[b, 2]}), "e string, feature string, bin long, value double")
+    got = results.targets(t, "cca", ["e"], k=1, features=f)
+    scores = np.array([r.value for r in got.where("target = 'T_CCA1'").orderBy("bin").collect()])
+    assert abs(np.corrcoef(scores, z)[0, 1]) == pytest.approx(1, abs=1e-6)
+    assert {r.target for r in results.targets(t, "pca", ["e"], k=2).select("target").distinct().collect()} == {"T_PCA1", "T_PCA2"}
+    for method in ("cca", "roi-average", "no such"):
+        with pytest.raises(ValueError):
+            results.targets(t, method, ["e"])
+
+
+@pytest.mark.parametrize(("n", "cells"), [(23, 5), (23, 512), (9, 1)])
+def test_recurrence_lines_by_enumeration(spark, n, cells, monkeypatch):
+    monkeypatch.setattr(synchrony, "CELLS", cells)
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(0, 1, n).round(1), rng.normal(0, 1, n).round(1)
+    df = spark.createDataFrame([("d", "x", i, float(a[i]), float(b[i])) for i in range(n)], "dyad string, dimension string, pos long, a double, b double")
+    r = synchrony.recurrence(df).first()
+    d = np.round(np.abs(a[:, None] - b), 9)
+    hit = d <= np.percentile(d, 10) + 1e-10
+    runs = lambda lines: [len(list(g)) for line in lines for k, g in itertools.groupby(line) if k]
+    diagonal, vertical = runs([np.diagonal(hit, k) for k in range(-n + 1, n)]), runs(hit.T)
+    long = [x for x in diagonal if x > 1]
+    p = np.array(list(Counter(long).values())) / max(1, len(long))
+    assert r.rqa_rqa_RR == pytest.approx(hit.mean()) and r.rqa_rqa_DET == pytest.approx(sum(long) / sum(diagonal)) and r.rqa_rqa_Lmax == max(long, default=0)
+    assert r.rqa_rqa_LAM == pytest.approx(sum(x for x in vertical if x > 1) / sum(vertical)) and r.rqa_rqa_ENTR == pytest.approx(-(p * np.log(p + 1e-12)).sum())
+
+
+def test_surrogates_keep_what_must_stay(spark):
+    """One block is the series itself, so every surrogate reaches; a strong coupling is reached by few."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(0, 1, 60)
+    df = spark.createDataFrame([("d", "x", i, float(v), float(v + 0.1 * rng.normal())) for i, v in enumerate(a)] + [("d", "flat", i, 1.0, float(v)) for i, v in enumerate(a)] + [("d", "x", 60, None, 1.0)], "dyad string, dimension string, pos long, a double, b double")
+    one = {r.dimension: r.p_pearson for r in synchrony.surrogate_test(df, 20, 60).collect()}
+    assert one == {"x": 1.0, "flat": None}
+    many = {r.dimension: (r.p_pearson, r.p_concordance) for r in synchrony.surrogate_test(df, 250, 7).collect()}
+    assert many["x"] == (1 / 251, 1 / 251)
