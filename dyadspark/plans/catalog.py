@@ -24,14 +24,20 @@ def path_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("user_id", *[a[k].alias(k) for k in ("subject", "sub_a", "sub_b", "method")])
 
 
-@query("SELECT * FROM (VALUES ('front', 'C3'), ('front', 'C4'), ('back', 'O1'))r(roi, feature)")
+@query("SELECT DISTINCT event_type AS roi, 'C' || user_id AS feature FROM events")
 def roi_config(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.regions(spark.createDataFrame([('{"front": ["C3", "C4"], "back": ["O1"]}',)], "j string"), "j")
+    """Regions out of one JSON object of arrays of channels, made of events' kinds and users."""
+    e = fx.table(spark, sf, "events").groupBy("event_type").agg(F.collect_set(F.concat(F.lit("C"), "user_id")).alias("c"))
+    return readers.regions(e.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "c")))).alias("j")), "j")
 
 
-@query("SELECT * FROM (VALUES ('oc_audvol', 'basic_audio'), ('GMP_world_x_1', 'mediapipe_pose_vision'), ('nothing', 'Other'), ('WhX_words', 'whisperx_transcription'))m(feature, model)")
+MODELS = [("oc_audvol", "basic_audio"), ("GMP_world_x_1", "mediapipe_pose_vision"), ("nothing", "Other"), ("WhX_words", "whisperx_transcription")]
+
+
+@query(f"SELECT feature, model, count(*) AS n FROM part JOIN (VALUES {', '.join(str((i, *m)) for i, m in enumerate(MODELS))}) m(k, feature, model) ON p_partkey % 4 = k GROUP BY ALL")
 def model_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.by_model(spark.createDataFrame([("oc_audvol",), ("GMP_world_x_1",), ("nothing",), ("WhX_words",)], "feature string"))
+    names = F.element_at(F.array(*[F.lit(m[0]) for m in MODELS]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return catalog.by_model(fx.table(spark, sf, "part").select(names.alias("feature"))).groupBy("feature", "model").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_type AS status, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM events GROUP BY event_type")
@@ -44,7 +50,7 @@ def summary_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(writers.report(fx.table(spark, sf, "orders").select("o_custkey", "o_totalprice"), "orders"), 4)
 
 
-@query("SELECT l_returnflag AS subject, feature, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT l_returnflag, feature, nullif(value, -100.0) AS value FROM lineitem UNPIVOT (value FOR feature IN (l_quantity, l_discount, l_tax))) GROUP BY ALL")
+@query("SELECT l_returnflag AS subject, feature, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT l_returnflag, feature, nullif(value, -100.0) AS value FROM lineitem UNPIVOT (value FOR feature IN (l_quantity, l_discount, l_tax, l_extendedprice))) GROUP BY ALL")
 def load_features(spark: SparkSession, sf: str) -> DataFrame:
-    l = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("subject"), F.col("l_orderkey").cast("double").alias("time"), "l_quantity", "l_discount", "l_tax")
+    l = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("subject"), F.col("l_orderkey").cast("double").alias("time"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     return rounded(readers.load_features(l, ["subject"]).groupBy("subject", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 2)

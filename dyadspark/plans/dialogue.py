@@ -119,10 +119,11 @@ def embedding_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT item_id, list_transform(range(0, 32), lambda i: CAST(CAST('0x' || substr(sha256(text), 2 * i + 1, 2) AS INTEGER) AS DOUBLE)) AS b FROM benchmark)
-SELECT item_id, round((b[1] - list_avg(b)) / (list_stddev_pop(b) + 1e-6), 5) + 0.0 AS first, round((b[32] - list_avg(b)) / (list_stddev_pop(b) + 1e-6), 5) + 0.0 AS last, CAST(128 AS INTEGER) AS size FROM b""")
+SELECT item_id, CAST(i AS INTEGER) AS i, round((b[i % 32 + 1] - list_avg(b)) / (list_stddev_pop(b) + 1e-6), 5) + 0.0 AS value FROM (SELECT *, unnest(range(0, 128)) AS i FROM b)""")
 def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    e = fx.table(spark, sf, "benchmark").select("item_id", text.hashed_embedding(F.col("text")).alias("e"))
-    return rounded(e.select("item_id", F.element_at("e", 1).alias("first"), F.element_at("e", 128).alias("last"), F.size("e").alias("size")), 5)
+    """All 128 numbers, one a row."""
+    e = fx.table(spark, sf, "benchmark").select("item_id", F.posexplode(text.hashed_embedding(F.col("text"))).alias("i", "value"))
+    return rounded(e, 5)
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(abs(embedding[1]) AS DOUBLE) AS a, CAST(abs(embedding[2]) AS DOUBLE) AS h, CAST(abs(embedding[3]) AS DOUBLE) AS s, CAST(abs(embedding[4]) AS DOUBLE) AS n, CAST(embedding[5] AS DOUBLE) AS l, CAST(embedding[6] AS DOUBLE) AS g FROM embeddings),
@@ -170,10 +171,17 @@ def passage_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return text.ranked_passages(fx.table(spark, sf, "documents"), ["source"], "n_chars", "doc_id").select("source", "doc_id", "n_chars", "rank")
 
 
-@query("SELECT * FROM (VALUES ('ENTAILMENT', 'entailment', 'osm_ENTAILMENT'), ('LABEL_0', 'contradiction', 'osm_LABEL_0'), ('unacceptable', 'acceptable', 'osm_unacceptable'), ('not_duplicate', 'positive', 'osm_not_duplicate'), ('none', 'negative', 'osm_none'), ('mfcc_sma[3]', 'mfcc_sma[3]', 'osm_mfcc3_sma'), ('audSpec_Rfilt_sma[12]', 'audspec_rfilt_sma[12]', 'osm_audSpec_Rfilt_sma_12'), ('lspFreq_sma[7]', 'lspfreq_sma[7]', 'osm_lsf7'), ('a.b-c[1]', 'a.b-c[1]', 'osm_a_b_c_1'))t(n, label, name)")
+#: Names with the label and the feature name that they are read as.
+NAMES = [
+    ("ENTAILMENT", "entailment", "osm_ENTAILMENT"), ("LABEL_0", "contradiction", "osm_LABEL_0"), ("unacceptable", "acceptable", "osm_unacceptable"), ("not_duplicate", "positive", "osm_not_duplicate"), ("none", "negative", "osm_none"),
+    ("mfcc_sma[3]", "mfcc_sma[3]", "osm_mfcc3_sma"), ("audSpec_Rfilt_sma[12]", "audspec_rfilt_sma[12]", "osm_audSpec_Rfilt_sma_12"), ("lspFreq_sma[7]", "lspfreq_sma[7]", "osm_lsf7"), ("a.b-c[1]", "a.b-c[1]", "osm_a_b_c_1"),
+]
+
+
+@query(f"SELECT event_id, n, label, name FROM events JOIN (VALUES {', '.join(str((i, *x)) for i, x in enumerate(NAMES))}) t(k, n, label, name) ON event_id % {len(NAMES)} = k")
 def label_names(spark: SparkSession, sf: str) -> DataFrame:
-    n = spark.createDataFrame([(x,) for x in ("ENTAILMENT", "LABEL_0", "unacceptable", "not_duplicate", "none", "mfcc_sma[3]", "audSpec_Rfilt_sma[12]", "lspFreq_sma[7]", "a.b-c[1]")], "n string")
-    return n.select("n", text.label_name(F.col("n")).alias("label"), text.clean_name(F.col("n")).alias("name"))
+    n = fx.table(spark, sf, "events").select("event_id", F.element_at(F.array(*[F.lit(x[0]) for x in NAMES]), (F.col("event_id") % len(NAMES) + 1).cast("int")).alias("n"))
+    return n.select("event_id", "n", text.label_name(F.col("n")).alias("label"), text.clean_name(F.col("n")).alias("name"))
 
 
 @query("SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END), ''), props) AS text FROM events")

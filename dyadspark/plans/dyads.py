@@ -259,19 +259,21 @@ def select_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.max(clip(F.col("value") - 60.0, -50.0, 50.0)).alias("clipped")))
 
 
-@query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")}, t AS (SELECT dyad, start * CAST(21600.0 AS DOUBLE) AS x, max(peak) FILTER (dimension = 'click') AS y FROM best GROUP BY ALL), k AS (SELECT * FROM t WHERE y IS NOT NULL),
-b AS (SELECT dyad, min(x) AS lo, max(x) AS hi FROM t GROUP BY dyad), g AS (SELECT dyad, lo + 43200.0 * unnest(range(0, CAST(floor((hi + 21600.0 - lo) / 43200.0) AS BIGINT) + 1)) AS x FROM b),
-n AS (SELECT g.dyad, g.x, max(k.x) FILTER (k.x <= g.x) AS lx, min(k.x) FILTER (k.x >= g.x) AS rx FROM g LEFT JOIN k USING (dyad) GROUP BY ALL)
-SELECT n.dyad, n.x AS time_seconds, round(CASE WHEN lx IS NULL THEN r.y WHEN rx IS NULL OR lx = rx THEN l.y ELSE l.y + (r.y - l.y) * (n.x - lx) / (rx - lx) END, 5) AS pearson_r_click FROM n LEFT JOIN k l ON l.dyad = n.dyad AND l.x = lx LEFT JOIN k r ON r.dyad = n.dyad AND r.x = rx""")
+@query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")}, t AS (SELECT dyad, dimension, start * CAST(21600.0 AS DOUBLE) AS x, peak AS y FROM best), k AS (SELECT * FROM t WHERE y IS NOT NULL),
+b AS (SELECT dyad, min(x) AS lo, max(x) AS hi FROM t GROUP BY dyad), g AS (SELECT b.dyad, dimension, lo + 43200.0 * unnest(range(0, CAST(floor((hi + 21600.0 - lo) / 43200.0) AS BIGINT) + 1)) AS x FROM b JOIN (SELECT DISTINCT dyad, dimension FROM t) USING (dyad)),
+n AS (SELECT g.dyad, g.dimension, g.x, max(k.x) FILTER (k.x <= g.x) AS lx, min(k.x) FILTER (k.x >= g.x) AS rx FROM g LEFT JOIN k USING (dyad, dimension) GROUP BY ALL),
+v AS (SELECT n.dyad, n.dimension, n.x, CASE WHEN lx IS NULL THEN r.y WHEN rx IS NULL OR lx = rx THEN l.y ELSE l.y + (r.y - l.y) * (n.x - lx) / (rx - lx) END AS y
+  FROM n LEFT JOIN k l ON l.dyad = n.dyad AND l.dimension = n.dimension AND l.x = lx LEFT JOIN k r ON r.dyad = n.dyad AND r.dimension = n.dimension AND r.x = rx)
+SELECT dyad, x AS time_seconds, {", ".join(f"round(max(y) FILTER (dimension = '{d}'), 5) AS pearson_r_{d}" for d in DIMENSIONS)} FROM v GROUP BY ALL""")
 def wide_interpolated(spark: SparkSession, sf: str) -> DataFrame:
-    """Windowed metrics on an even grid of 12 hours, linear between windows."""
+    """Windowed metrics of all dimensions on an even grid of 12 hours, linear between windows."""
     step = 43200.0
     p = synchrony.windowed_peaks(_swept(spark, sf)).withColumn("time_seconds", F.col("start") * fx.BIN).withColumnRenamed("peak", "pearson_r")
-    w = synchrony.wide(p, ["pearson_r"], ["click"], ["dyad", "time_seconds"])
-    ends = w.groupBy("dyad").agg(F.min("time_seconds").alias("lo"), F.max("time_seconds").alias("hi"))
+    ends = p.groupBy("dyad").agg(F.min("time_seconds").alias("lo"), F.max("time_seconds").alias("hi"))
     steps = F.sequence(F.lit(0), F.floor((F.col("hi") + step / 2 - F.col("lo")) / step).cast("int"))
-    grid = ends.select("dyad", F.explode(F.transform(steps, lambda k: F.col("lo") + k * step)).alias("time_seconds"))
-    return rounded(align.interpolated(w, grid, ["dyad"], "time_seconds", "pearson_r_click"), 5)
+    grid = ends.select("dyad", F.explode(F.transform(steps, lambda k: F.col("lo") + k * step)).alias("time_seconds")).join(p.select("dyad", "dimension").distinct(), "dyad")
+    even = align.interpolated(p, grid, ["dyad", "dimension"], "time_seconds", "pearson_r")
+    return rounded(synchrony.wide(even, ["pearson_r"], DIMENSIONS, ["dyad", "time_seconds"]), 5)
 
 
 @query(f"""WITH {WINDOWS_SQL}, {_peaks_sql("r")}, ctop AS (SELECT dyad, dimension, start, ccc AS concordance_ccc FROM (SELECT *, row_number() OVER (PARTITION BY dyad, dimension, "window" ORDER BY abs(ccc) DESC, lag) AS k FROM swept WHERE ccc IS NOT NULL) WHERE k = 1)

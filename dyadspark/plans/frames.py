@@ -64,17 +64,18 @@ def body_parts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(frames.part_means(_points(spark, sf), m, ["rec"], "score", 0.4567), 9)
 
 
-PROB = "list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE)))"
+PROB = "list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))"
 
 
 @query(f"""WITH p AS (SELECT label, {PROB} AS e FROM embeddings), s AS (SELECT label, list_transform(e, lambda x: x / list_sum(e)) AS e FROM p),
-m AS (SELECT label, [avg(e[1]), avg(e[2]), avg(e[3]), avg(e[4])] AS m, avg(list_max(e)) AS c FROM s GROUP BY label)
-SELECT label, round(c, 5) AS mean_confidence, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS dominant, round(-list_sum(list_transform(m, lambda x: greatest(x, 1e-6) * ln(greatest(x, 1e-6)))) / ln(4), 5) AS entropy FROM m""")
+u AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM s) GROUP BY ALL), c AS (SELECT label, avg(list_max(e)) AS c FROM s GROUP BY label),
+m AS (SELECT label, list(x ORDER BY i) AS m, any_value(c) AS c FROM u JOIN c USING (label) GROUP BY label)
+SELECT label, round(c, 5) AS mean_confidence, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS dominant, round(-list_sum(list_transform(m, lambda x: greatest(x, 1e-6) * ln(greatest(x, 1e-6)))) / ln(len(m)), 5) AS entropy FROM m""")
 def class_probs_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")))
+    e = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
     p = fx.table(spark, sf, "embeddings").select("label", F.transform(e, lambda x: x / total).alias("e"))
-    return rounded(frames.class_means(p, ["label"], "e", 4).drop("means"), 5)
+    return rounded(frames.class_means(p, ["label"], "e", 64).drop("means"), 5)
 
 
 @query(f"""WITH {P} SELECT rec, round(avg(abs(x - y) / y), 5) AS abs_rel, round(avg(power(x - y, 2) / y), 4) AS sq_rel, round(sqrt(avg(power(x - y, 2))), 5) AS rmse, round(sqrt(avg(power(ln(x) - ln(y), 2))), 5) AS rmse_log,
@@ -158,10 +159,10 @@ def mode_vote(spark: SparkSession, sf: str) -> DataFrame:
     return frames.majority(_points(spark, sf).withColumn("flag", F.col("score") > 0.5), ["rec"], "joint", "flag")
 
 
-@query("""SELECT l_returnflag AS rec, CAST(floor(l_quantity * 5 / 32) AS INTEGER) AS bin_r, CAST(floor(l_partkey % 256 / 32.0) AS INTEGER) AS bin_g, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS share FROM lineitem GROUP BY l_returnflag, floor(l_quantity * 5 / 32), floor(l_partkey % 256 / 32.0)""")
+@query("""SELECT l_returnflag AS rec, CAST(floor(l_quantity * 5 / 32) AS INTEGER) AS bin_r, CAST(floor(l_partkey % 256 / 32.0) AS INTEGER) AS bin_g, CAST(floor(l_suppkey % 256 / 32.0) AS INTEGER) AS bin_b, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS share FROM lineitem GROUP BY l_returnflag, floor(l_quantity * 5 / 32), floor(l_partkey % 256 / 32.0), floor(l_suppkey % 256 / 32.0)""")
 def color_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    l = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("rec"), (F.col("l_quantity") * 5).alias("r"), (F.col("l_partkey") % 256).alias("g"))
-    return rounded(frames.color_histogram(l, ["rec"], ["r", "g"]))
+    l = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("rec"), (F.col("l_quantity") * 5).alias("r"), (F.col("l_partkey") % 256).alias("g"), (F.col("l_suppkey") % 256).alias("b"))
+    return rounded(frames.color_histogram(l, ["rec"], ["r", "g", "b"]))
 
 
 @query(f"""WITH {P} SELECT rec, round(avg(CAST(x > 25 AS DOUBLE)), 6) AS coverage, round(coalesce(count(*) FILTER (x > 25 AND y > 30) / CAST(nullif(count(*) FILTER (x > 25 OR y > 30), 0) AS DOUBLE), 0), 6) AS iou FROM p GROUP BY rec""")
@@ -194,12 +195,17 @@ def overlap_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(frames.smoothed_by_overlap(_points(spark, sf), ["rec"], "i", "x", 8, 4).select("rec", F.col("i").cast("long").alias("i"), "smoothed"), 5)
 
 
-@query(f"""WITH {P}, a AS (SELECT rec, i, x / 50 AS m, score AS e, y / 100 AS c FROM p), u AS (SELECT rec, i, greatest(0.0, least(1.0, (e - m) * 2.0)) AS au1, greatest(0.0, least(1.0, c * 1.3)) AS au6 FROM a)
-SELECT rec, round(avg(au1), 6) AS au1, round(avg(au6), 6) AS au6, round(avg(CASE WHEN au1 < 0.25 THEN 1 - au1 * 2 ELSE 0 END), 6) AS au1_0 FROM u GROUP BY rec""")
+UNITS_SQL = " UNION ALL ".join(f"SELECT rec, '{n}' AS unit, greatest(0.0, least(1.0, ({plus}{f' - {minus}' if minus else ''}) * {slope})) AS a FROM r" for n, (plus, minus, slope) in frames.ACTION_UNITS.items())
+
+
+@query(f"""WITH {P}, r AS (SELECT rec, x / 50 AS mean, score / 2 AS std, score AS eye, y / 200 AS mouth, y / 100 AS cheek FROM p), u AS ({UNITS_SQL})
+SELECT rec, unit, round(avg(a), 6) AS activation, round(avg(CASE WHEN a < 0.25 THEN 1 - a * 2 ELSE 0 END), 6) AS level_0, round(avg(CASE WHEN a < 0.25 THEN a * 2 WHEN a < 0.5 THEN 1 - (a - 0.25) * 4 ELSE 0 END), 6) AS level_33,
+round(avg(CASE WHEN a < 0.25 THEN 0 WHEN a < 0.5 THEN (a - 0.25) * 4 WHEN a < 0.75 THEN 1 - (a - 0.5) * 4 ELSE 1 - (a - 0.75) * 4 END), 6) AS level_66, round(avg(CASE WHEN a < 0.5 THEN 0 WHEN a < 0.75 THEN (a - 0.5) * 4 ELSE (a - 0.75) * 4 END), 6) AS level_99 FROM u GROUP BY ALL""")
 def action_units(spark: SparkSession, sf: str) -> DataFrame:
-    au = frames.action_units(F.col("x") / 50, F.lit(0.1), F.col("score"), F.lit(0.5), F.col("y") / 100)
-    u = _points(spark, sf).select("rec", au.alias("au"))
-    return rounded(u.groupBy("rec").agg(F.avg(F.col("au")["AU1"]).alias("au1"), F.avg(F.col("au")["AU6"]).alias("au6"), F.avg(frames.intensity_levels(F.col("au")["AU1"])[0]).alias("au1_0")))
+    """All action units of five regions' intensities, with the mean weights of their levels."""
+    au = frames.action_units(F.col("x") / 50, F.col("score") / 2, F.col("score"), F.col("y") / 200, F.col("y") / 100)
+    u = _points(spark, sf).select("rec", F.explode(au).alias("unit", "a")).withColumn("l", frames.intensity_levels(F.col("a")))
+    return rounded(u.groupBy("rec", "unit").agg(F.avg("a").alias("activation"), *[F.avg(F.col("l")[k]).alias(f"level_{n}") for k, n in enumerate((0, 33, 66, 99))]))
 
 
 @query(f"""WITH {P} SELECT rec, i, CAST(rank() OVER (PARTITION BY rec ORDER BY x) + (count(*) OVER (PARTITION BY rec, x) - 1) / 2.0 AS DOUBLE) AS k FROM p""")

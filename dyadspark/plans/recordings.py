@@ -20,15 +20,15 @@ def _long(spark: SparkSession, sf: str) -> DataFrame:
     return describe.unpivoted(l, ["subject", "l_orderkey", "l_linenumber"], COLUMNS)
 
 
-DESC_SQL = """SELECT subject, feature, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd, min(value) AS min, max(value) AS max, round(median(value), 4) AS median,
+DESC_SQL = """SELECT subject, feature, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd, round(var_pop(value), 4) AS variance, min(value) AS min, max(value) AS max, round(median(value), 4) AS median,
 round(CASE WHEN count(value) > 2 AND min(value) < max(value) THEN (avg(value * value * value) - 3 * avg(value) * avg(value * value) + 2 * power(avg(value), 3)) / power(var_pop(value), 1.5) END, 3) + 0.0 AS skewness,
 round(CASE WHEN count(value) > 2 AND min(value) < max(value) THEN kurtosis_pop(value) END, 3) + 0.0 AS kurtosis, round(100 * avg(CASE WHEN value = 0 THEN 1.0 ELSE 0.0 END), 4) AS percent_zero, round(100 * avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 4) AS percent_nan, min(value) = max(value) AS is_constant FROM long GROUP BY subject, feature"""
 
 
 @query(f"WITH {LONG_SQL} {DESC_SQL}")
 def descriptives(spark: SparkSession, sf: str) -> DataFrame:
-    d = describe.descriptives(_long(spark, sf), ["subject"]).drop("variance")
-    return d.select("subject", "feature", *[F.round(c, 4).alias(c) for c in ("mean", "sd")], "min", "max", F.round("median", 4).alias("median"), *[(F.round(c, 3) + 0.0).alias(c) for c in ("skewness", "kurtosis")], *[F.round(c, 4).alias(c) for c in ("percent_zero", "percent_nan")], "is_constant")
+    d = describe.descriptives(_long(spark, sf), ["subject"])
+    return d.select("subject", "feature", *[F.round(c, 4).alias(c) for c in ("mean", "sd", "variance")], "min", "max", F.round("median", 4).alias("median"), *[(F.round(c, 3) + 0.0).alias(c) for c in ("skewness", "kurtosis")], *[F.round(c, 4).alias(c) for c in ("percent_zero", "percent_nan")], "is_constant")
 
 
 @query(f"""WITH {LONG_SQL}, d AS (SELECT subject, feature, var_pop(value) AS v, max(value) - min(value) AS r, min(value) = max(value) AS c FROM long GROUP BY ALL)
@@ -58,10 +58,14 @@ def movement_energy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(describe.movement_energy(l, ["g"], "l_partkey", "frame", ["l_quantity", "l_discount"]).select("g", F.col("frame.f").alias("f"), "movement_energy"), 4)
 
 
-@query("SELECT n, CASE n WHEN 'GMP_world_x_1' THEN 'movement' WHEN 'oc_audvol' THEN 'vocal_energy' WHEN 'ee_valence' THEN 'emotieffnet' ELSE 'other' END AS modality, lower(replace(n, ' ', '_')) AS slug FROM (VALUES ('GMP_world_x_1'), ('oc_audvol'), ('ee_valence'), ('Some Label'))t(n)")
+KINDS = ("GMP_world_", "oc_audvol", "ee_", "Some ")
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {list(KINDS)}[p_partkey % 4 + 1] || p_name AS n FROM part)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'movement' WHEN 1 THEN 'vocal_energy' WHEN 2 THEN 'emotieffnet' ELSE 'other' END AS modality, lower(replace(n, ' ', '_')) AS slug FROM n""")
 def modality_map(spark: SparkSession, sf: str) -> DataFrame:
-    n = spark.createDataFrame([("GMP_world_x_1",), ("oc_audvol",), ("ee_valence",), ("Some Label",)], "n string")
-    return n.select("n", modality(F.col("n")).alias("modality"), slugify(F.col("n")).alias("slug"))
+    n = F.concat(F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 4 + 1).cast("int")), "p_name")
+    return fx.table(spark, sf, "part").select("p_partkey", modality(n).alias("modality"), slugify(n).alias("slug"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
