@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, IntegralType, StructField, StructType
 
-from dyadspark.llm.common import parts_for
+from dyadspark.llm.common import parts_for, written
 
 PARAGRAPH = r"\n+|(?<=[.!?])\s+"
 LANE_BITS, PER_WORD, HASHES = 20, 3, 2
@@ -99,6 +100,22 @@ def _with_next(docs: DataFrame, id_col: str) -> DataFrame:
     return out.withColumn("next_text", F.lead("text").over(w)).withColumn("next_words", F.lead("words").over(w)).where(~F.col("guest")).drop("span", "guest")
 
 
+def _with_next_by_range(docs: DataFrame) -> DataFrame:
+    """The same for ids of any other type that has an order: Spark's ranges of it, written so that they stay as they are."""
+    spark, n = docs.sparkSession, 4 * parts_for(docs.sparkSession, 8)
+    rows = written(docs.repartitionByRange(n, "id").withColumn("span", F.spark_partition_id()), "ranges")
+    first = sorted((r.span, r.least.id) for r in rows.groupBy("span").agg(F.min(F.struct("id")).alias("least")).collect())
+    if not first:
+        return docs.withColumn("next_text", F.lit("")).withColumn("next_words", F.col("words"))
+    heads = [(least, first[i - 1][0]) for i, (_, least) in enumerate(first)]
+    after = spark.createDataFrame(heads, StructType([StructField("__least", docs.schema["id"].dataType), StructField("__span", IntegerType())]))
+    rows = rows.withColumn("guest", F.lit(False))
+    guests = rows.join(F.broadcast(after), F.col("id").eqNullSafe(F.col("__least"))).withColumns({"guest": F.lit(True), "span": F.col("__span")}).select(rows.columns)
+    w = Window.partitionBy("span").orderBy("guest", "id", "text")
+    out = rows.unionByName(guests)
+    return out.withColumn("next_text", F.lead("text").over(w)).withColumn("next_words", F.lead("words").over(w)).where(~F.col("guest")).drop("span", "guest")
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str, text_col: str, pattern: str = PARAGRAPH) -> DataFrame:
     """id, text, words array<long>, fingerprint: one row for each row of docs; null texts count as empty.
 
@@ -112,11 +129,16 @@ def fingerprint_documents(docs: DataFrame, id_col: str, text_col: str, pattern:
 def edited_neighbours(docs: DataFrame, id_col: str, text_col: str, pattern: str = PARAGRAPH) -> DataFrame:
     """Fingerprints each text, its edited form (its last half replaced by the start of the next document) and compares them.
 
-    Ids that are null come first; rows with one id are ordered by text. A single document is its own next one.
+    Ids have the order of their type, be they numbers, texts or times. Ids that are null come first; rows with one id are
+    ordered by text, in one task. A single document is its own next one.
     """
-    base = fingerprint_documents(docs, id_col, text_col, pattern).drop("fingerprint").withColumn("__key", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
+    base = fingerprint_documents(docs, id_col, text_col, pattern).drop("fingerprint")
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    out = _with_next(base, "id").withColumn("n_chars", n.cast("long"))
+    if isinstance(base.schema["id"].dataType, IntegralType):
+        out = _with_next(base.withColumn("__key", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))), "id")
+    else:
+        out = _with_next_by_range(base)
+    out = out.withColumn("n_chars", n.cast("long"))
     out = out.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
     out = out.withColumn("edited_words", words_of(paragraphs(F.col("edited"), pattern)))
     return out.select(

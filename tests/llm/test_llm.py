@@ -562,6 +562,20 @@ def test_fingerprints_by_brute_force(docs):
     assert sorted((-(2**63) if r["id"] is None else r["id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == sorted(want)
 
 
+def test_fingerprints_in_the_order_of_any_ids(spark):
+    """Ids of text, with a common start, repeats, an empty one and nulls; then times; and no rows."""
+    rng = random.Random(8)
+    ids = [f"document-{rng.randrange(10**6)}" for _ in range(120)] + ["document-5"] * 4 + ["", None, None, "é", "Z"]
+    rows = [(i, f"text {k} " + "ab" * rng.randrange(6)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest() for k, (_, t) in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in fingerprint.edited_neighbours(df, "doc_id", "text").collect()) == want
+    times = df.select((F.lit("2024-01-01").cast("date") + F.length("text")).alias("doc_id"), "text")
+    assert fingerprint.edited_neighbours(times, "doc_id", "text").count() == len(rows)
+    assert fingerprint.edited_neighbours(df.where("false"), "doc_id", "text").collect() == []
+
+
 def test_quality_scores_by_enumeration(spark):
     """Scores of a fixed model against sums over all labellings of the lines."""
     rng = np.random.default_rng(3)
