@@ -12,37 +12,26 @@ INNER_KEYS = ("text", "transcription")
 SKIPPED = ("per_frame", "GMP_SM_pic", "video_path")
 
 
-def entries(df: DataFrame, variant: str, ids: list[str]) -> DataFrame:
-    """ids, key, value (variant) of an object's fields; nothing for other kinds of values."""
-    own = df.where(F.schema_of_variant(variant).startswith("OBJECT")).select(*ids, F.col(variant).alias("__v"))
-    spark = df.sparkSession
-    return own.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer())).select(*ids, "key", "value")
-
-
-def _inner(value: str = "value") -> Column:
-    """The object under `features`, where the value is an object that has one."""
-    inside = F.try_variant_get(F.col(value), "$.features", "variant")
-    return F.when(F.schema_of_variant(inside).startswith("OBJECT"), inside)
+def _fields(v: Column, path: str = "$") -> Column:
+    """An object's fields as a map of variants; null for other kinds of values."""
+    return F.try_variant_get(v, path, "map<string,variant>")
 
 
 def features(df: DataFrame, variant: str, ids: list[str]) -> DataFrame:
     """ids, key, value (variant) of the features of an output in one of three shapes.
 
     {name: value}; {"features": {name: value}, ...}; or {group: {"features": {...}}, ...} where every group has one. Of groups
-    that share a name the last by group name counts. An object in which only some groups have features is taken as flat.
-    ids must tell the rows apart.
+    that share a name the last by group name counts. An object in which only some groups have features is taken as flat, and
+    what is no object has none. All within the row: nothing is joined or moved.
     """
-    top = entries(df, variant, ids).withColumn("__in", _inner())
-    whole = df.withColumn("__in", _inner(variant))
-    direct = entries(whole.where("__in IS NOT NULL"), "__in", ids)
-    flat = whole.where("__in IS NULL").select(*ids)
-    shape = top.groupBy(*ids).agg(F.every(F.col("__in").isNotNull()).alias("__grouped"))
-    rest = top.join(flat.join(shape, ids), ids)
-    plain = rest.where("NOT __grouped").select(*ids, "key", "value")
-    grouped = rest.where("__grouped").select(*ids, F.col("key").alias("__group"), "__in")
-    inside = entries(grouped, "__in", [*ids, "__group"])
-    last = inside.groupBy(*ids, "key").agg(F.max_by(F.to_json("value"), "__group").alias("value")).withColumn("value", F.parse_json("value"))
-    return direct.unionByName(plain).unionByName(last)
+    v = F.col(variant)
+    named = lambda fields, group: F.transform(F.map_entries(fields), lambda f: F.struct(f["key"].alias("key"), group.alias("in"), f["value"].alias("value")))
+    whole, direct = _fields(v), _fields(v, "$.features")
+    grouped = (F.size(whole) > 0) & F.forall(F.map_values(whole), lambda x: _fields(x, "$.features").isNotNull())
+    each = F.flatten(F.transform(F.map_entries(whole), lambda g: named(_fields(g["value"], "$.features"), g["key"])))
+    last = F.filter(each, lambda x: ~F.exists(each, lambda y: (y["key"] == x["key"]) & (y["in"] > x["in"])))
+    found = F.when(direct.isNotNull(), named(direct, F.lit(""))).when(grouped, last).otherwise(named(whole, F.lit("")))
+    return df.select(*ids, F.explode(found).alias("__f")).select(*ids, "__f.key", "__f.value")
 
 
 def scalars(named: DataFrame, ids: list[str], few: int = 20) -> DataFrame:
@@ -53,22 +42,30 @@ def scalars(named: DataFrame, ids: list[str], few: int = 20) -> DataFrame:
     Booleans are text. Keys that are or end in error, and those of whole frames, are left out.
     """
     kept = named.where(~(F.col("key").isin(*SKIPPED) | (F.col("key") == "error") | F.col("key").endswith("_error")))
-    kind = F.schema_of_variant("value")
-    numeric = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))$"
-    x = kept.withColumn("__kind", kind).withColumn("__n", F.when(F.col("__kind").rlike(r"^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))>$"), F.try_variant_get("value", "$", "array<double>")))
-    one = x.where(F.col("__kind").rlike(numeric)).select(*ids, "key", F.try_variant_get("value", "$", "double").alias("number"), F.lit(None).cast("string").alias("text"))
-    words = x.where(F.col("__kind").isin("STRING", "BOOLEAN")).select(*ids, "key", F.lit(None).cast("double").alias("number"), F.try_variant_get("value", "$", "string").alias("text"))
-    other = x.where((F.startswith("__kind", F.lit("ARRAY")) & F.col("__n").isNull() & (F.to_json("value") != "[]")) | F.startswith("__kind", F.lit("OBJECT")))
-    other = other.select(*ids, "key", F.lit(None).cast("double").alias("number"), F.to_json("value").alias("text"))
+    number = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))"
+    x = kept.withColumn("__kind", F.schema_of_variant("value"))
+    x = x.withColumn("__n", F.when(F.col("__kind").rlike(f"^ARRAY<{number}>$"), F.try_variant_get("value", "$", "array<double>")))
+    row = lambda name, v, text: F.struct(name.alias("key"), v.cast("double").alias("number"), text.cast("string").alias("text"))
+    null = F.lit(None)
+    at = lambda name: F.concat_ws("_", "key", name)
     finite = F.filter("__n", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    mean = F.aggregate(finite, F.lit(0.0), lambda s, v: s + v) / F.size(finite)
-    spread = F.sqrt(F.aggregate(finite, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(finite))
-    some = F.when(F.size(finite) > 0, F.array(*[F.struct(F.lit(n).alias("name"), v.alias("v")) for n, v in (("mean", mean), ("std", spread), ("min", F.array_min(finite)), ("max", F.array_max(finite)))]))
-    each = F.when(F.size("__n") <= few, F.transform("__n", lambda v, i: F.struct(i.cast("string").alias("name"), v.alias("v"))))
-    none = F.array().cast("array<struct<name:string,v:double>>")
-    many = x.where(F.col("__n").isNotNull()).select(*ids, "key", F.explode(F.concat(F.coalesce(some, none), F.coalesce(each, none))).alias("x"))
-    many = many.select(*ids, F.concat_ws("_", "key", "x.name").alias("key"), F.col("x.v").alias("number"), F.lit(None).cast("string").alias("text"))
-    return one.unionByName(words).unionByName(other).unionByName(many)
+    x = x.withColumn("__f", finite)
+    mean = F.aggregate("__f", F.lit(0.0), lambda s, v: s + v) / F.size("__f")
+    x = x.withColumn("__m", F.when(F.size("__f") > 0, mean))
+    spread = F.sqrt(F.aggregate("__f", F.lit(0.0), lambda s, v: s + (v - F.col("__m")) * (v - F.col("__m"))) / F.size("__f"))
+    summary = F.array(*[row(at(F.lit(n)), v, null) for n, v in (("mean", F.col("__m")), ("std", spread), ("min", F.array_min("__f")), ("max", F.array_max("__f")))])
+    none = F.array().cast("array<struct<key:string,number:double,text:string>>")
+    each = F.when(F.size("__n") <= few, F.transform("__n", lambda v, i: row(at(i.cast("string")), v, null))).otherwise(none)
+    json = F.to_json("value")
+    kind = F.col("__kind")
+    out = (
+        F.when(kind.rlike(f"^{number}$"), F.array(row(F.col("key"), F.try_variant_get("value", "$", "double"), null)))
+        .when(kind.isin("STRING", "BOOLEAN"), F.array(row(F.col("key"), null, F.try_variant_get("value", "$", "string"))))
+        .when(F.col("__n").isNotNull(), F.concat(F.when(F.size("__f") > 0, summary).otherwise(none), each))
+        .when((kind.startswith("ARRAY") & (json != "[]")) | kind.startswith("OBJECT"), F.array(row(F.col("key"), null, json)))
+        .otherwise(none)
+    )
+    return x.select(*ids, F.explode(out).alias("__s")).select(*ids, "__s.key", "__s.number", "__s.text")
 
 
 def text_of(variant: str) -> Column:
