@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.llm.common import fold, written
-from dyadspark.llm.textvec import U, Words, mix, packed, slices, unpacked
+from dyadspark.llm.textvec import U, Words, in_parts, mix, packed, slices, unpacked
 
 ADD, FOLDS, TUNING, BUCKETS = 0.1, 10, 1, 32
 END, START = mix(np.array([0xE0D, 0x57A27], U))
@@ -105,25 +105,21 @@ def _batches(batch: pa.RecordBatch) -> Iterator[Batch]:
         yield Batch(*(c[i].as_py() for c in cols))
 
 
-def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where the parts of the key space begin in sorted keys."""
-    edges = np.arange(1 << bits, dtype=U) << U(64 - bits)
-    return np.append(np.searchsorted(keys, edges), len(keys))
-
-
 def _asked(coded: DataFrame, bits: int) -> DataFrame:
+    """A row for each batch and each part of the key space that it has keys of: a batch's rows and work are bounded by its keys,
+    however many parts there are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, x in zip(batch.column("batch").to_pylist(), _batches(batch), strict=True):
                 rows = []
-                sides = [(keys, n, _cuts(keys, bits)) for keys, n in zip((x.words, x.pairs), x.counts(), strict=True)]
-                for part in range(1 << bits):
+                sides = [(keys, n, in_parts(keys, bits)) for keys, n in zip((x.words, x.pairs), x.counts(), strict=True)]
+                for part in sorted({p for _, _, cut in sides for p in cut}):
                     row = [part, name]
                     for keys, n, cut in sides:
-                        i, j = cut[part], cut[part + 1]
-                        row += [int(j - i), packed(np.diff(keys[i:j], prepend=U(0))), packed(n[i:j].astype(np.uint32))]
-                    if row[2] or row[5]:
-                        rows.append(row)
+                        i, j = cut.get(part, (0, 0))
+                        row += [j - i, packed(np.diff(keys[i:j], prepend=U(0))), packed(n[i:j].astype(np.uint32))]
+                    rows.append(row)
                 kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "batch", "n1", "k1", "c1", "n2", "k2", "c2"])
 

@@ -129,6 +129,15 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return where
 
 
+def in_parts(keys: np.ndarray, bits: int) -> dict[int, tuple[int, int]]:
+    """For each part of the key space (its number: the keys' first bits) that has any of the sorted keys, where they begin and end."""
+    part = keys >> U(64 - bits)
+    if not len(part):
+        return {}
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return dict(zip(part[begin].tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True), strict=True))
+
+
 def packed(values: np.ndarray) -> bytes:
     """Integers as zstd bytes, byte by byte of their places; sorted ones as differences pack best."""
     import zstandard
