@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from dyadspark.llm.common import bucketed, numbered, text_key, written
 from dyadspark.llm.components import components
-from dyadspark.llm.textvec import SLICE, U, Rolling, Words, mix, packed, slices, unpacked, windows_within
+from dyadspark.llm.textvec import SLICE, U, Rolling, Words, in_parts, mix, packed, slices, unpacked, windows_within
 
 WORDS, SIMILAR = 5, (80, 100)
 SPARE, RATIO, BLOCK = 2, 1.5, 256
@@ -142,7 +142,6 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 def _stars(texts: DataFrame, size: int, similar: tuple[int, int], bits: int) -> DataFrame:
     """sig, a, b long: in each bucket every id but the least is hung on a smaller one."""
 
-    edges_of = np.arange(1 << bits, dtype=U) << U(64 - bits)
     kinds = {"part": pa.int32(), "n": pa.int32(), "sigs": pa.binary(), "local": pa.binary(), "ids": pa.binary(), "e_sig": pa.binary(), "e_a": pa.binary(), "e_b": pa.binary()}
 
     def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -156,12 +155,11 @@ def _stars(texts: DataFrame, size: int, similar: tuple[int, int], bits: int) ->
         lead = np.repeat(head, np.diff(np.append(head, len(sig))))
         edge = np.flatnonzero((node != node[lead]) & ~new)
         lone, least = sig[head], node[head]
-        cut, side = (np.append(np.searchsorted(x, edges_of), len(x)) for x in (lone, sig[edge]))
+        sides = in_parts(sig[edge], bits)
         rows = []
-        for part in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            i, k = cut[part], cut[part + 1]
+        for part, (i, k) in in_parts(lone, bits).items():
             used, local = np.unique(least[i:k], return_inverse=True)
-            own = edge[side[part] : side[part + 1]]
+            own = edge[slice(*sides.get(part, (0, 0)))]
             rows.append((part, k - i, packed(np.diff(lone[i:k], prepend=U(0))), packed(local.astype(np.uint16) if len(used) < 65536 else local.astype(np.uint32)), used.tobytes(), sig[own].tobytes(), node[lead[own]].tobytes(), node[own].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
 
