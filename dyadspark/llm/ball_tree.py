@@ -22,6 +22,8 @@ from dyadspark.llm.common import written
 SHARD, LEAF, BLOCK, K = 16_384, 128, 16_384, 5
 #: Candidates that give each query its first kth score.
 SEEDS = 1024
+#: Bytes of a block of queries as doubles: wide vectors pass the driver in blocks of fewer rows.
+BLOCK_BYTES = 64_000_000
 EXACT, WIDEST, LEAST = 2.0**53, 2.0**63, np.iinfo(np.int64).min
 
 
@@ -135,7 +137,7 @@ def _floors(ids: np.ndarray, queries: np.ndarray, seed_ids: np.ndarray, seeds: n
 
 def _collected(df: DataFrame) -> tuple[np.ndarray, list]:
     got = df.toArrow()
-    return got.column(0).to_numpy(), got.column(1).to_pylist()
+    return got.column(0).to_numpy(), list(got.column(1).to_numpy())
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = K, scale: float = 256.0, block: int = BLOCK) -> DataFrame:
@@ -146,13 +148,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
     asks; candidates with one id all stand. Fewer than k candidates give as many rows; without queries or candidates there
     are none. Scores are exact within 64 bits and stand at the range's ends beyond. No other column is read.
 
-    Queries pass the driver in blocks of about `block` rows, one at a time: each is a job over all vectors, whose best rows
-    are written before the next begins. SEEDS candidates at most pass it, too.
+    Queries pass the driver in blocks of about `block` rows, fewer where vectors are wide (BLOCK_BYTES), one at a time: each is
+    a job over all vectors, whose best rows are written before the next begins. SEEDS candidates at most pass it, too.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows, asked = pick(vectors), pick(queries).groupBy("id").agg(F.min("v").alias("v"))
-    n = asked.count()
+    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, width))))
     seed_ids, seed_vectors = _collected(rows.limit(SEEDS)) if n else (np.zeros(0, np.int64), [])
     out = None
     for i in range(-(-n // block)):
