@@ -10,8 +10,9 @@ from dyadspark.llm.common import written
 RATIO, MIN_PAGES = 0.1, 3
 #: Hosts and boilerplate lines, 16 bytes each, that are sent to every executor at most; with more, pages go to their host's.
 SMALL = 100_000
-#: A host with more than one in so many of all pages is dealt out over several tasks; there are fewer such hosts than that.
-SHARES = 1000
+#: A host with more than one in SHARES of all pages, or with more than PAGES of them, is dealt out over several tasks, but never
+#: one with less than one in LARGEST: so there are fewer such hosts than that, whatever the number of pages.
+SHARES, PAGES, LARGEST = 1000, 20_000, 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -34,7 +35,7 @@ def line_dedup(
     The lines over the ratio are few: their shares of a host's pages add up to the mean number of lines a page, so a host
     has no more than (mean lines a page) / ratio of them. They travel as one array a host; no line is shuffled with its text.
     Up to SMALL in all they go to every executor, and pages don't move. Beyond that pages meet them by host; a large host's
-    pages are dealt out by hash over as many tasks as it has thousandths of all pages, each with a copy of its array.
+    pages are dealt out by hash in shares of a thousandth of all pages, 20,000 at most, each with a copy of its array.
     """
     names = [c for c in pages.columns if c not in (counts or ())]
     pages = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], host.alias("__host"))
@@ -65,14 +66,20 @@ def line_dedup(
     return out.withColumn(text_col, new).drop("__boiler", "__host").select(*pages.columns[:-1], *(counts or ())).toDF(*names, *(counts or ()))
 
 
+def share_of(total: int) -> int:
+    """Pages of a host that one task gets, about."""
+    return max(1, min(total // SHARES, PAGES), total // LARGEST)
+
+
 def _with_boiler(pages: DataFrame, boiler: DataFrame) -> DataFrame:
     """pages (with __host) with __boiler, null where their host has none."""
     if boiler.agg(F.coalesce(F.sum(F.size("__boiler") + 1), F.lit(0)).alias("n")).first().n <= SMALL:
         return pages.join(F.broadcast(boiler.drop("__total")), "__host", "left")
-    share = max(1, pages.count() // SHARES)
+    total = pages.count()
+    share = share_of(total)
     large = boiler.where(F.col("__total") > share).select("__host", F.ceil(F.col("__total") / share).cast("int").alias("__salts"))
     kinds = [F.col(f"`{c}`") for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
-    salts = F.when(F.col("__host").isNull(), SHARES).otherwise(F.coalesce("__salts", F.lit(1)))  # pages without a host, too
+    salts = F.when(F.col("__host").isNull(), max(1, -(-total // share))).otherwise(F.coalesce("__salts", F.lit(1)))  # pages without a host, too
     dealt = pages.join(F.broadcast(large), "__host", "left").withColumn("__salt", F.pmod(F.xxhash64(*kinds), salts).cast("int"))
     copies = boiler.join(F.broadcast(large), "__host", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
     return dealt.join(copies.select("__host", "__salt", "__boiler"), ["__host", "__salt"], "left")
