@@ -27,6 +27,8 @@ from dyadspark.llm.textvec import Rolling, Words, _byte_values, sliding_argmin,
 MOST, CHUNK, STRETCH = 512, 1_500_000, 500_000
 #: Spans that a task gathers before it sends each part of the keys its own.
 GATHERED = 200_000
+#: Different texts, about, whose spans one task unites.
+TEXTS = 200_000
 
 
 @dataclass
@@ -115,7 +117,7 @@ def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def recurring_spans(texts: DataFrame, view: Callable, window: int, gram: int, matcher: Matcher, most: int = MOST) -> DataFrame:
     """key, spans array<struct<low, high>>: of each different text the runs of items that windows which recur cover, if any do."""
-    parts = parts_for(texts.sparkSession, 8)
+    parts = max(parts_for(texts.sparkSession, 8), texts.count() // TEXTS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
