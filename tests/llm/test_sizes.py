@@ -27,9 +27,9 @@ def test_in_parts():
 
 
 def test_language_model_of_more_parts_than_keys(spark, monkeypatch):
-    """A batch asks the parts that it has keys of, so 2^14 parts cost no more than its keys."""
+    """A batch asks the parts that it has keys of, so many parts cost no more than its keys."""
     want = {r.id: r for r in ngram_lm.score_documents(_docs(spark), "doc_id", "text").collect()}
-    monkeypatch.setattr(ngram_lm, "PARTS", 1 << 14)
+    monkeypatch.setattr(ngram_lm, "PARTS", 1 << 10)
     got = {r.id: r for r in ngram_lm.score_documents(_docs(spark), "doc_id", "text").collect()}
     assert set(got) == set(want)
     for i, r in got.items():
@@ -40,7 +40,7 @@ def test_language_model_of_more_parts_than_keys(spark, monkeypatch):
 
 def test_jaccard_join_of_many_parts(spark, monkeypatch):
     want = _rows(jaccard_join.jaccard_groups(_docs(spark), "doc_id", "text"))
-    monkeypatch.setattr(jaccard_join, "PARTS", 1 << 11)
+    monkeypatch.setattr(jaccard_join, "PARTS", 1 << 9)
     assert _rows(jaccard_join.jaccard_groups(_docs(spark), "doc_id", "text")) == want
 
 
