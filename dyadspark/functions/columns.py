@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import builtins
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row: a lambda inside body would compute an expression anew for each of its elements."""
+    return F.transform(F.array(value), body)[0]
+
+
 def finite(x: Column) -> Column:
     """x, or null where it is NaN or infinite."""
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from dyadspark.functions.columns import clip
+from dyadspark.functions.columns import clip, held
 from dyadspark.operators import pairwise
 
 #: What negates, in a text with a blank before and after it.
@@ -157,9 +157,8 @@ def capped_speakers(rows: DataFrame, recording: str, most: int) -> DataFrame:
 def uniform_alignment(text: Column, duration: Column) -> Column:
     """Words at even steps over the duration, a quarter second each at least."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    step = F.greatest(duration, 0.25 * n) / n
-    return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.round(i * step, 3).alias("start"), F.round((i + 1) * step, 3).alias("end")))
+    steps = held(words, lambda x: F.struct(x.alias("words"), F.try_divide(F.greatest(duration, 0.25 * F.size(x)), F.size(x)).alias("step")))
+    return held(steps, lambda x: F.transform(x["words"], lambda w, i: F.struct(w.alias("word"), F.round(i * x["step"], 3).alias("start"), F.round((i + 1) * x["step"], 3).alias("end"))))
 
 
 def logistic_sentiment(angry: Column, happy: Column, sad: Column, neutral: Column, loudness: Column, voicing: Column) -> list[Column]:

@@ -436,3 +436,13 @@ def test_few_values_give_null_tests(spark):
     d = spark.createDataFrame([(1, 0, 1.0), (1, 0, 2.0), (1, 1, 5.0)], "k int, s int, v double")
     r = group.mann_whitney(d, "v", "s", ["k"]).first()
     assert (r.u_stat, r.p_value, r.cohens_d, r.significant) == (None, None, None, False)
+
+
+def test_words_of_long_turns_align_once_a_row(spark):
+    """The step is one value a row: 20,000 words cut anew for each word would take hours."""
+    rows = spark.createDataFrame([(0, " a  bb c "), (1, " "), (2, None), (3, "w " * 20_000)], "k int, t string")
+    got = rows.select("k", text.uniform_alignment(F.col("t"), F.lit(10.0)).alias("w")).select("k", F.size("w").alias("n"), F.slice("w", 1, 3).alias("w"), F.try_element_at("w", F.lit(-1))["end"].alias("last"))
+    got = {r.k: r for r in got.collect()}
+    assert [tuple(x) for x in got[0].w] == [("a", 0.0, 3.333), ("bb", 3.333, 6.667), ("c", 6.667, 10.0)]
+    assert got[1].w == [] and got[2].w is None
+    assert (got[3].n, got[3].last) == (20_000, 5000.0)
