@@ -32,17 +32,16 @@ def sentences_bare(text: Column) -> Column:
 def paragraphs(text: Column, long: int = 200, group: int = 3) -> Column:
     """Cut at blank lines; one long paragraph is cut to groups of three sentences."""
     p = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
-    s = sentences_kept(text)
-    n = F.floor((F.size(s) + group - 1) / group).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_join(F.slice(s, i * group + 1, F.lit(group)), " "))
+    n = lambda s: F.floor((F.size(s) + group - 1) / group).cast("int")
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(n(s) - 1, F.lit(0))), lambda i: F.array_join(F.slice(s, i * group + 1, F.lit(group)), " "))
+    groups = held(sentences_kept(text), cut)
     return F.when((F.size(p) == 1) & (F.length(text) > long), groups).otherwise(p)
 
 
 def consecutive(sentences: Column) -> Column:
     """Pairs (left, right) of neighbours; a single sentence stands with itself."""
-    n = F.size(sentences)
-    two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at(sentences, i).alias("left"), F.element_at(sentences, F.least(i + 1, n)).alias("right")))
-    return F.when(n > 0, two)
+    two = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.struct(F.element_at(s, i).alias("left"), F.element_at(s, F.least(i + 1, F.size(s))).alias("right")))
+    return held(sentences, lambda s: F.when(F.size(s) > 0, two(s)))
 
 
 def negated(text: Column) -> Column:

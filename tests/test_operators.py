@@ -446,3 +446,11 @@ def test_words_of_long_turns_align_once_a_row(spark):
     assert [tuple(x) for x in got[0].w] == [("a", 0.0, 3.333), ("bb", 3.333, 6.667), ("c", 6.667, 10.0)]
     assert got[1].w == [] and got[2].w is None
     assert (got[3].n, got[3].last) == (20_000, 5000.0)
+
+
+def test_sentences_of_long_texts_are_cut_once_a_row(spark):
+    rows = spark.createDataFrame([(0, "One. Two. Three. Four. " + "x" * 200), (1, "Some text. It ends."), (2, None), (3, "ab. " * 20_000)], "k int, t string")
+    got = {r.k: r for r in rows.select("k", text.paragraphs(F.col("t")).alias("p"), text.consecutive(text.sentences_kept(F.col("t"))).alias("c")).collect()}
+    assert got[0].p == ["One. Two. Three.", "Four. " + "x" * 200] and got[1].p == ["Some text. It ends."] and got[2].p is None
+    assert [tuple(x) for x in got[1].c] == [("Some text.", "It ends.")]
+    assert len(got[3].p) == 6667 and got[3].p[-1] == "ab. ab." and len(got[3].c) == 19_999
