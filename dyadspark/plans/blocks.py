@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadspark.operators import align, crossed, framing, group, pairwise, synchrony
@@ -60,9 +60,14 @@ SIGNAL_SQL = "s AS (SELECT l_returnflag AS rec, l_quantity - 25 AS x, row_number
 
 def _signal(spark: SparkSession, sf: str) -> DataFrame:
     """Three long signals: the line items' quantities about their middle, in order."""
+    l = fx.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    placed = framing.numbered(l, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "i")
+    return placed.select(F.col("l_returnflag").alias("rec"), (F.col("l_quantity") - 25).cast("double").alias("x"), "i")
+
+
+def _parts(spark: SparkSession, sf: str) -> int:
     l = fx.table(spark, sf, "lineitem")
-    place = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
-    return l.select(F.col("l_returnflag").alias("rec"), (F.col("l_quantity") - 25).cast("double").alias("x"), place.cast("long").alias("i"))
+    return framing.parts(l, l.count())
 
 
 def _frames_sql(padded: str) -> str:
@@ -77,13 +82,13 @@ SELECT rec, frame, round(sqrt(coalesce(e, 0) / 2048), 6) AS rms, round(coalesce(
 @query(_frames_sql("SELECT rec, i, x FROM s"))
 def framed_signal(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of 2048 samples every 512, centred, with zeros beyond the ends."""
-    return rounded(framing.frames(_signal(spark, sf), ["rec"], "i", "x"))
+    return rounded(framing.frames(_signal(spark, sf), ["rec"], "i", "x", into=_parts(spark, sf)))
 
 
 @query(_frames_sql("SELECT rec, i, x FROM s UNION ALL SELECT rec, -i, x FROM s WHERE i BETWEEN 1 AND 1024 UNION ALL SELECT rec, 2 * (n - 1) - i, x FROM s JOIN n USING (rec) WHERE i BETWEEN n - 1025 AND n - 2"))
 def framed_signal_reflected(spark: SparkSession, sf: str) -> DataFrame:
     """The same with the signal reflected about its ends."""
-    return rounded(framing.frames(_signal(spark, sf), ["rec"], "i", "x", reflect=True))
+    return rounded(framing.frames(_signal(spark, sf), ["rec"], "i", "x", reflect=True, into=_parts(spark, sf)))
 
 
 WEIGHTS = (0.05, 0.1, 0.2, 0.3, 0.2, 0.1, 0.05)
@@ -92,7 +97,7 @@ WEIGHTS = (0.05, 0.1, 0.2, 0.3, 0.2, 0.1, 0.05)
 @query(f"""WITH {SIGNAL_SQL} SELECT rec, i, round({" + ".join(f"{w} * coalesce({'lag' if k < 3 else 'lead'}(x, {abs(k - 3)}) OVER o, 0)" for k, w in enumerate(WEIGHTS))}, 6) + 0.0 AS filtered FROM s WINDOW o AS (PARTITION BY rec ORDER BY i)""")
 def chunked_filter(spark: SparkSession, sf: str) -> DataFrame:
     """A filter over chunks of 1000 samples with halos; the SQL filters the whole signals."""
-    return rounded(framing.filtered(_signal(spark, sf), ["rec"], "i", "x", list(WEIGHTS), 1000).select("rec", "i", "filtered"))
+    return rounded(framing.filtered(_signal(spark, sf), ["rec"], "i", "x", list(WEIGHTS), 1000, _parts(spark, sf)).select("rec", "i", "filtered"))
 
 
 V = "list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE))"

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dyadspark.operators import align, crossed, describe, exact, frames, framing, group, nested, pairwise, results, synchrony, text
@@ -270,3 +271,20 @@ def test_surrogates_keep_what_must_stay(spark):
     assert one == {"x": 1.0, "flat": None}
     many = {r.dimension: (r.p_pearson, r.p_concordance) for r in synchrony.surrogate_test(df, 250, 7).collect()}
     assert many["x"] == (1 / 251, 1 / 251)
+
+
+def test_long_groups_are_numbered_in_cells(spark):
+    """Places over cells are row_number's, with nulls first, a key that many rows share, and groups of null; no task sorts a whole group."""
+    rng = np.random.default_rng(5)
+    made = [("a" if i % 9 else None, None if i % 50 == 0 else 7 if i % 3 == 0 else int(rng.integers(-400, 5000)), i) for i in range(6000)] + [("b", 1, i) for i in range(5)]
+    df = spark.createDataFrame(made, "g string, k long, j int").repartition(5)
+    want = df.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("k", "j")) - 1)
+    for task in (100, 2500, 100_000):
+        got = framing.numbered(df, ["g"], ["k", "j"], "at", task)
+        assert got.columns == ["g", "k", "j", "at"] and dict(got.dtypes)["at"] == "bigint"
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    rows = framing.numbered(df.where("k <> 7 AND g = 'a'"), ["g"], ["k", "j"], "at", 100).groupBy(F.spark_partition_id()).count()
+    assert rows.count() > 10 and rows.agg(F.max("count")).first()[0] < 1000
+    assert framing.numbered(df.where("false"), ["g"], ["k", "j"], "at").count() == 0
+    with pytest.raises(ValueError, match="whole numbers"):
+        framing.numbered(df, ["g"], ["g", "k"], "at")
