@@ -258,12 +258,27 @@ def alternating_speakers(sentences: Column) -> Column:
 def correlation_score(rows: DataFrame, within: list[str], prediction: str, target: str, order: str) -> DataFrame:
     """Mean of Pearson's and Spearman's r of predictions and targets. One pair, or targets all alike, give the first prediction in
     the given order; predictions all alike give their mean."""
-    from dyadspark.functions.columns import mid_rank
-
+    # equal pairs are one row with their number: what is sorted for the ranks is distinct pairs, not rows
     x = rows.where(F.col(prediction).isNotNull() & F.col(target).isNotNull())
-    x = x.withColumn("__p", mid_rank(F.col(prediction), within)).withColumn("__t", mid_rank(F.col(target), within))
-    r = lambda a, b: F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.covar_pop(a, b) / F.sqrt(F.var_pop(a) * F.var_pop(b)))
-    out = x.groupBy(*within).agg(F.count(F.lit(1)).alias("n"), (F.min(target) == F.max(target)).alias("__alike"), F.min_by(prediction, order).alias("__first"), F.avg(prediction).alias("__mean"), r(prediction, target).alias("pearson"), r("__p", "__t").alias("spearman"))
+    x = x.groupBy(*within, F.col(prediction).alias("__p"), F.col(target).alias("__t")).agg(F.count(F.lit(1)).alias("__k"), F.min(order).alias("__o"))
+    whole = Window.partitionBy(*within)
+
+    def rank(c: str) -> Column:
+        upto, ties = F.sum("__k").over(whole.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.sum("__k").over(Window.partitionBy(*within, c))
+        return upto - (ties - 1) / F.lit(2.0)
+
+    x = x.withColumn("__rp", rank("__p")).withColumn("__rt", rank("__t"))
+    # squares are of differences from the mean
+    names = ("__p", "__t", "__rp", "__rt")
+    weight = lambda c: F.sum(F.col("__k") * c)
+    mean = {c: weight(F.col(c)).over(whole) / F.sum("__k").over(whole) for c in names}
+    x = x.select("*", *[(F.col(c) - mean[c]).alias(f"{c}_d") for c in names])
+
+    def r(a: str, b: str) -> Column:
+        da, db = F.col(f"{a}_d"), F.col(f"{b}_d")
+        return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), weight(da * db) / F.sqrt(weight(da * da) * weight(db * db)))
+
+    out = x.groupBy(*within).agg(F.sum("__k").alias("n"), (F.min("__t") == F.max("__t")).alias("__alike"), F.min_by("__p", "__o").alias("__first"), (weight(F.col("__p")) / F.sum("__k")).alias("__mean"), r("__p", "__t").alias("pearson"), r("__rp", "__rt").alias("spearman"))
     score = F.when(F.col("__alike"), F.col("__first")).otherwise(F.coalesce((F.col("pearson") + F.col("spearman")) / 2, F.col("__mean")))
     return out.select(*within, "n", "pearson", "spearman", score.alias("score"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadspark.functions.columns import mid_rank
-from dyadspark.operators import frames
+from dyadspark.operators import frames, framing
 from dyadspark.plans.registry import query, rounded
 from dyadspark.sources import fixtures as fx
 
@@ -14,8 +14,8 @@ from dyadspark.sources import fixtures as fx
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     """rec, frame, i, x, y, score, joint: one row a line item, ordered within its supplier."""
     l = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("rec"), F.col("l_quantity").alias("x"), F.round(F.col("l_extendedprice") / 1000, 6).alias("y"), (F.col("l_discount") * 10).alias("score"), F.col("l_linenumber").alias("joint"), "l_orderkey", "l_partkey", "l_shipdate")
-    w = Window.partitionBy("rec").orderBy("l_orderkey", "joint", "l_partkey", "x", "y", "score", "l_shipdate")
-    return l.withColumn("i", F.row_number().over(w) - 1).withColumn("frame", F.floor(F.col("i") / 5).cast("long")).withColumn("score", F.round("score", 6))
+    l = framing.numbered(l, ["rec"], ["l_orderkey", "joint", "l_partkey", "x", "y", "score", "l_shipdate"], "i")
+    return l.withColumn("frame", F.floor(F.col("i") / 5).cast("long")).withColumn("score", F.round("score", 6))
 
 
 P = """l AS (SELECT l_suppkey AS rec, l_quantity AS x, round(l_extendedprice / 1000, 6) AS y, round(l_discount * 10, 6) AS score, l_linenumber AS joint,

@@ -454,3 +454,26 @@ def test_sentences_of_long_texts_are_cut_once_a_row(spark):
     assert got[0].p == ["One. Two. Three.", "Four. " + "x" * 200] and got[1].p == ["Some text. It ends."] and got[2].p is None
     assert [tuple(x) for x in got[1].c] == [("Some text.", "It ends.")]
     assert len(got[3].p) == 6667 and got[3].p[-1] == "ab. ab." and len(got[3].c) == 19_999
+
+
+def test_correlation_score_sorts_distinct_pairs_only(spark):
+    """Ranks with ties against pandas; the plan meets equal pairs as one row before any window."""
+    rng = np.random.default_rng(3)
+    made = pd.DataFrame({"k": rng.integers(0, 3, 4000), "o": rng.permutation(4000), "p": rng.integers(0, 11, 4000) / 100, "t": rng.integers(1, 51, 4000) * 1.0})
+    out = text.correlation_score(spark.createDataFrame(made), ["k"], "p", "t", "o")
+    for r in out.collect():
+        g = made[made.k == r.k]
+        a, b = g.p.corr(g.t), g.p.rank().corr(g.t.rank())
+        assert (r.n, r.pearson, r.spearman, r.score) == (len(g), pytest.approx(a, abs=1e-12), pytest.approx(b, abs=1e-12), pytest.approx((a + b) / 2, abs=1e-12))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("Window") :]
+
+
+def test_points_of_large_tables_are_dealt_by_rows(spark):
+    from dyadspark.operators import framing
+
+    rows = spark.range(4000).select((F.col("id") % 100).alias("rec"), "id")
+    out = framing.numbered(rows, ["rec"], ["id"], "i", 100)
+    assert out.rdd.getNumPartitions() == 40
+    s = frames.smoothed_by_overlap(out.withColumn("x", F.col("id") * 1.0), ["rec"], "i", "x", 8, 4)
+    assert s.count() == 4000 and s.rdd.getNumPartitions() == 40
