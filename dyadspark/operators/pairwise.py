@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 512
+#: Pairs of blocks that a task computes at about.
+TASK = 64
+#: Squared distances under this share of the squared lengths are taken from differences.
+NEAR = 1e-3
 
 
 def block_statistics(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[int, float, float, float, float, float]:
     """pairs, sums of distance, cosine and its square, least and greatest cosine over rows of a with rows of b (same: i < j)."""
-    norm_a, norm_b = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-    i, j = np.triu_indices(len(a), 1) if same else (np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)))
-    if not len(i):
+    square_a, square_b = (a * a).sum(1), (b * b).sum(1)
+    take = np.triu(np.ones((len(a), len(a)), bool), 1) if same else np.ones((len(a), len(b)), bool)
+    n = int(take.sum())
+    if not n:
         return 0, 0.0, 0.0, 0.0, np.inf, -np.inf
-    dot, length = (a @ b.T)[i, j], (norm_a[:, None] * norm_b)[i, j]
-    cosine = np.divide(dot, length, out=np.zeros(len(i)), where=length > 0)
-    # differences, not dot products: distances of near copies would lose their digits
+    dot, length, both = a @ b.T, np.sqrt(square_a)[:, None] * np.sqrt(square_b), square_a[:, None] + square_b
+    cosine = np.divide(dot, length, out=np.zeros(dot.shape), where=length > 0)[take]
+    square = both - 2 * dot
+    # near copies would lose their digits in dot products: their distances are of differences, as are those of what isn't finite
+    i, j = np.nonzero(take & ~(square >= NEAR * both))
     step = max(1, 4_000_000 // max(1, a.shape[1]))
-    distance = np.concatenate([np.sqrt(((a[i[k : k + step]] - b[j[k : k + step]]) ** 2).sum(1)) for k in range(0, len(i), step)])
-    return len(i), float(distance.sum()), float(cosine.sum()), float((cosine * cosine).sum()), float(cosine.min()), float(cosine.max())
+    for k in range(0, len(i), step):
+        p, q = i[k : k + step], j[k : k + step]
+        square[p, q] = ((a[p] - b[q]) ** 2).sum(1)
+    distance = np.sqrt(square[take])
+    return n, float(distance.sum()), float(cosine.sum()), float((cosine * cosine).sum()), float(cosine.min()), float(cosine.max())
 
 
 def pair_statistics(vectors: DataFrame, within: list[str], key: list[str], vector: str, block: int = BLOCK) -> DataFrame:
     """within, n, n_pairs, mean_distance, and mean, sd (population), least and greatest cosine over all pairs of a group's vectors.
 
     A group's rows are dealt to blocks by a hash of their key and each block meets each: a row goes to as many tasks as its group
-    has blocks, and one row of sums comes back from each two. Rows that share a key share a block. Groups of one vector have 0 pairs, distance 0 and null cosines; null vectors
+    has blocks, and one row of sums comes back from each two. All pairs are quadratic work: tasks are as many as the pairs of blocks
+    ask for, so that one stays as long as it is. Rows that share a key share a block. Groups of one vector have 0 pairs, distance 0 and null cosines; null vectors
     take no part; a vector of zeros has cosine 0 with any. Vectors of a group have one length.
     """
     rows = vectors.where(F.col(vector).isNotNull()).select(*within, F.xxhash64(*key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
@@ -37,6 +50,8 @@ def pair_statistics(vectors: DataFrame, within: list[str], key: list[str], vecto
     dealt = rows.join(sizes.drop("n"), within).withColumn("own", F.pmod("key", F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(*within, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "v")
+    pairs = sizes.agg(F.sum(F.col("blocks").cast("double") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    dealt = dealt.repartition(max(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / TASK)), *within, "p", "q")
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
     sums = "pairs long, d double, c double, cc double, low double, high double"
 

@@ -288,3 +288,18 @@ def test_long_groups_are_numbered_in_cells(spark):
     assert framing.numbered(df.where("false"), ["g"], ["k", "j"], "at").count() == 0
     with pytest.raises(ValueError, match="whole numbers"):
         framing.numbered(df, ["g"], ["g", "k"], "at")
+
+
+def test_pairs_of_blocks_keep_a_task_short(spark, monkeypatch):
+    """Tasks follow the pairs of blocks, and close vectors keep their digits beside far ones."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (300, 4))
+    v[1::2] = v[::2] * (1 + 1e-9)
+    df = spark.createDataFrame([("a", i, [float(c) for c in row]) for i, row in enumerate(v)], "g string, i int, v array<double>")
+    asked, plain = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *c: asked.append(n) or plain(self, n, *c))
+    r = pairwise.pair_statistics(df, ["g"], ["i"], "v", 4).first()
+    assert asked == [math.ceil(75 * 76 / 2 / pairwise.TASK)] == [45]
+    n, distance, *_ = pairwise.block_statistics(v[:2], v[:2], True)
+    assert n == 1 and distance == pytest.approx(np.linalg.norm(v[0] - v[1]), rel=1e-12)
+    assert r.n_pairs == 44850 and r.mean_distance == pytest.approx(np.mean([np.linalg.norm(a - b) for a, b in itertools.combinations(v, 2)]), rel=1e-10)
