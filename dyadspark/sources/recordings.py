@@ -1,4 +1,4 @@
-"""Recordings as text files: media folders by extension, and CSV with a head of `# key: value` lines, one file a recording.
+"""Recordings as text files: media folders by extension, and CSV with a head of `# ` lines, one file a recording or many in a file.
 
 All through Spark's readers and writers, so paths may be remote, files are listed once, and a task that fails leaves no file.
 """
@@ -30,8 +30,8 @@ def media(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("video", "
 
 
 def _shown(df: DataFrame, digits: int) -> list[Column]:
-    """Columns as text: fractions with as many digits, others as they are."""
-    return [F.format_string(f"%.{digits}f", c) if isinstance(df.schema[c].dataType, (DoubleType, FloatType)) else F.col(c).cast("string") for c in df.columns]
+    """Columns as text: fractions with as many digits, others as they are, nulls as null."""
+    return [F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", c)) if isinstance(df.schema[c].dataType, (DoubleType, FloatType)) else F.col(c).cast("string") for c in df.columns]
 
 
 def write_commented(rows: DataFrame, path: str, recording: str, order: list[str], metadata: dict[str, Column], digits: int = 6) -> None:
@@ -63,3 +63,35 @@ def read_commented(spark: SparkSession, path: str, schema: str, keys: list[str])
     key, value = F.trim(pair[0]), F.trim(F.try_element_at(pair, F.lit(2)))
     head = lines.groupBy("file").agg(*[F.max(F.when(key == k, value)).alias(k) for k in keys])
     return rows.select("*", file).join(head, "file", "left")
+
+
+def write_shared(rows: DataFrame, path: str, recording: str, order: list[str], metadata: dict[str, Column], digits: int = 6) -> None:
+    """CSV files that recordings share: a line `# {json}` of a recording's name, columns and metadata, then its rows in order.
+
+    For many short recordings: files, listings and commits follow the size of the rows, not the number of recordings, and never
+    exceed the shuffle partitions. A recording stays whole in one file, and each row holds its name, so readers may split files.
+    metadata: aggregates over a recording's rows; nulls are empty fields. The folder is replaced as a whole.
+    """
+    whole = rows.select(recording, *[c for c in rows.columns if c != recording])
+    names = whole.columns
+    text = F.to_csv(F.struct(*[c.alias(n) for c, n in zip(_shown(whole, digits), names, strict=True)]), {"emptyValue": '""', "comment": "#", "escape": '"'})
+    lines = whole.select(recording, F.lit(1).alias("__part"), F.struct(*order).alias("__at"), text.alias("value"))
+    head = whole.groupBy(recording).agg(*[v.cast("string").alias(f"__{k}") for k, v in metadata.items()])
+    about = F.struct(F.col(recording).cast("string").alias("recording"), F.lit(",".join(names)).alias("columns"), F.struct(*[F.col(f"__{k}").alias(k) for k in metadata]).alias("metadata"))
+    head = head.select(recording, F.lit(0).alias("__part"), F.lit(None).cast(lines.schema["__at"].dataType).alias("__at"), F.concat(F.lit("# "), F.to_json(about)).alias("value"))
+    out = head.unionByName(lines).repartition(F.col(recording)).sortWithinPartitions(recording, "__part", "__at")
+    out.select("value").write.mode("overwrite").text(path)
+
+
+def read_shared(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """Rows of all CSV files that recordings share with their recording's metadata of the given keys, null where it has none.
+
+    schema: of the columns as they were written, the recording first.
+    """
+    rows = spark.read.schema(schema).options(comment="#", escape='"', nullValue="\0").csv(path)  # so that "" isn't null, but nothing is
+    recording = rows.columns[0]
+    text = F.expr("substring(value, 3)")
+    about = F.from_json(text, "recording string, metadata map<string,string>")
+    head = spark.read.text(path).where(F.startswith("value", F.lit("# {"))).select(about.alias("a"))
+    head = head.groupBy(F.col("a.recording").alias("__recording")).agg(*[F.max(F.col("a.metadata")[k]).alias(k) for k in keys])
+    return rows.join(head, F.col(recording).cast("string").eqNullSafe(F.col("__recording")), "left").drop("__recording")

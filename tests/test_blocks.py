@@ -11,7 +11,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dyadspark.operators import align, crossed, describe, exact, frames, framing, group, nested, pairwise, results, synchrony, text
+from dyadspark.plans import registry
 from dyadspark.sources import catalog, readers, recordings
+from tests.conftest import DATA
+
+registry.load()
 
 
 def test_correlations_over_blocks_and_lags(spark):
@@ -158,6 +162,32 @@ def test_commented_files(spark, tmp_path):
     assert not [f for _, _, names in os.walk(tmp_path / "broken") for f in names if f.startswith("part")]
 
 
+def test_shared_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [("#r1", 2, 0.5, 'say "hi", all'), ("#r1", 1, None, "#tag"), ('a "b", {c}', 3, 1 / 3, None), (None, 4, 2.0, ""), ("", 5, 2.5, "x")] + [(f"r{k}", k, float(k), "s") for k in range(100, 200)]
+    df = spark.createDataFrame(rows, "rec string, i int, x double, s string")
+    recordings.write_shared(df.select("i", "rec", "x", "s"), path, "rec", ["i"], {"n": F.count(F.lit(1)), "title": F.lit("a: b")})
+    files = sorted(tmp_path.glob("out/part*"))
+    assert len(files) <= 4
+    lines = [x for f in files for x in f.read_text().splitlines()]
+    at = next(k for k, x in enumerate(lines) if '"recording":"#r1"' in x)
+    assert lines[at : at + 3] == ['# {"recording":"#r1","columns":"rec,i,x,s","metadata":{"n":"2","title":"a: b"}}', '"#r1",1,,#tag', '"#r1",2,0.500000,"say ""hi"", all"']
+    back = recordings.read_shared(spark, path, "rec string, i int, x double, s string", ["n", "title", "missing"])
+    counts = {r: sum(q[0] == r for q in rows) for r, *_ in rows}
+    want = [(r, i, x if x is None else round(x, 6), s, str(counts[r]), "a: b", None) for r, i, x, s in rows]
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+
+
+def test_frames_files_follow_the_rows_not_the_recordings(spark):
+    from pathlib import Path
+
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base.glob("frames-*"))
+    assert registry.QUERIES["per_frame_files"](spark, DATA).select("vec_id").distinct().count() >= 50
+    (folder,) = set(base.glob("frames-*")) - before
+    assert 1 <= len(list(folder.rglob("part*"))) <= 4
+
+
 def test_media_by_extension(spark, tmp_path):
     for name in ("a.MP4", "b.wav", "c.txt", "d.mkv", "below/e.flac"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
