@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import DATA
 
-from dyadspark.streaming.segments import PROVIDER, live_runs, state_store
+from dyadspark.streaming.segments import PROVIDER, Runs, live_runs, state_store
 
 IDLE = 3_600_000
 
@@ -62,3 +62,49 @@ def test_silence_ties_gaps_and_late_rows(run):
     got, _ = run([(9, 40 * IDLE, "z")])
     assert [r for r in got if r[0] < 9] == [r for r in batch(kept + later) if r[0] < 9]
     assert (2, "x", 5, 5 + IDLE, 2) in got and (2, "x", 6 + 2 * IDLE, 6 + 2 * IDLE, 1) in got  # a gap of one over
+
+
+class _Kept:
+    """A state in memory that counts what it is asked to keep."""
+
+    def __init__(self):
+        self.has, self.puts = [], 0
+
+    def appendValue(self, x):
+        self.has, self.puts = [*self.has, x], self.puts + 1
+
+    appendList = put = lambda self, x: [self.appendValue(v) for v in x]
+
+    def update(self, x):
+        self.has, self.puts = [x], self.puts + 1
+
+    def clear(self):
+        self.has = []
+
+    def exists(self):
+        return bool(self.has)
+
+    def get(self):
+        return self.has
+
+
+def test_cost_of_an_entity_follows_batches_not_rows():
+    """Of one entity with 1000 rows in two batches: two elements of state, two timers, and one row of runs."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    waiting, timers, at = _Kept(), [], SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    opened = _Kept()
+    opened.get = lambda: opened.has[-1] if opened.has else None
+    p = Runs(["u"], IDLE)
+    p.init(SimpleNamespace(getListState=lambda *_: waiting, getValueState=lambda *_: opened, registerTimer=timers.append))
+    rows = [(7, 10 * t, "ab"[t // 3 % 2]) for t in range(1000)]
+    for part in (rows[1::2], rows[::2]):
+        assert list(p.handleInputRows((7,), iter([Row(u=u, ms=t, state=s) for u, t, s in part]), at)) == []
+    assert (waiting.puts, timers) == (2, [10, 0])
+    (out,) = p.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5000), None)
+    assert (waiting.puts, opened.puts) == (3, 1) and timers[2:] == [5000, 4990 + IDLE]
+    (rest,) = p.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9), None)
+    assert sorted((r.u, *x) for r in (out, rest) for x in zip(r.state, r.start, r.end, r.n, strict=True)) == sorted(batch(rows))
+    assert not waiting.has and not opened.has
